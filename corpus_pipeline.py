@@ -1,28 +1,53 @@
-"""A corpus pipeline: each stage reads what its predecessor kept and returns a table."""
+"""A corpus pipeline: each stage works on all its predecessor kept and returns a table."""
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from loomspan.llm import minhash
+from loomspan.llm import minhash, mixing, subword, toxicity
 from loomspan.llm.common import Stage
+from loomspan.session import attach
+
+
+def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the toxicity model, learnt from the labels table, does not reject."""
+    marks = toxicity.toxicity(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
+    stage = Stage(spark, "toxic")
+    bad = stage.put(marks.where("predicted = 1 AND doc_id IS NOT NULL").select("doc_id").distinct(), "bad")
+    return docs.join(stage.small(bad, "bad"), "doc_id", "left_anti").select(docs.columns)
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps one document of each near-duplicate group (five-word shingles, similarity 0.8)."""
-    marks = minhash.near_duplicates(docs).where("kept").select("doc_id").distinct()
-    return docs.join(marks.hint("merge"), "doc_id", "left_semi")
+    """One document of each near-duplicate group (five-word shingles, similarity 0.8): the least id."""
+    marks = minhash.near_duplicates(docs)
+    stage = Stage(spark, "near")
+    gone = stage.put(marks.where("NOT kept").select("doc_id").distinct(), "gone")
+    return docs.join(stage.small(gone, "gone"), "doc_id", "left_anti").select(docs.columns)
+
+
+def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents as often as the mix takes them: sources weighted 5, 2, 1 in turn, 150% of all words."""
+    return mixing.mixed(docs).select(docs.columns)
+
+
+def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Token ids of every document of the mix, and the text they decode to."""
+    model = public_tokenizers.path("piece_bpe_32k.model")
+    both = subword.decode(subword.encode(docs.select("doc_id", "source", "text"), model).drop("text"), model, text_column="text")
+    return both.select("doc_id", "source", F.size("ids").cast("long").alias("n_tokens"), "ids", "text")
 
 
-STAGES = [("near_dedup", near_dedup)]
+STAGES = [("toxicity", drop_toxic), ("minhash_near_dedup", near_dedup), ("mixing", mix_sources), ("sentencepiece", encode)]
 
 #: The stages learn from labels and merge components, which SQL can't express.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Applies the stages to the documents table, writing and rereading each stage's rows."""
-    stage = Stage(spark, "pipeline")
+    """Applies the stages to the documents table; each stage's rows are written and reread."""
+    stage = Stage(attach(spark), "pipeline")
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for k, (name, step) in enumerate(STAGES):
         docs = step(spark, docs, sf_dir)
