@@ -22,14 +22,12 @@ import pyarrow.compute
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .words import hash_words, text_slices, utf8
+from .words import UnitCache, text_slices, utf8
 
 SPACE = "▁"
 NO_PAIR = np.int64(1 << 40)
 #: Segments of more symbols go through a queue one by one: rounds over them would cost the square.
 LONG = 256
-#: Distinct stretches and tokens a task remembers before it starts afresh. Forgetting costs time only.
-CACHE_UNITS, CACHE_TOKENS = 300_000, 3_000_000
 
 
 class Pieces:
@@ -124,24 +122,32 @@ class Pieces:
         size = size[work]
         place = np.repeat(bounds[work] - (np.cumsum(size) - size), size) + np.arange(int(size.sum()))
         current = symbols[place]
+        at, hit = self._find(self.pair_key, current[:-1] * self.base + current[1:])
+        rank, piece = np.full(len(current), NO_PAIR), np.zeros(len(current), np.int64)
+        hit[(np.cumsum(size) - 1)[:-1]] = False
+        rank[:-1][hit], piece[:-1][hit] = self.pair_rank[at[hit]], self.pair_piece[at[hit]]
         while len(size):
             start = np.cumsum(size) - size
-            rank = np.full(len(current), NO_PAIR)
-            at, hit = self._find(self.pair_key, current[:-1] * self.base + current[1:])
-            hit[(start + size - 1)[:-1]] = False
-            rank[:-1][hit] = self.pair_rank[at[hit]]
             least = np.minimum.reduceat(rank, start)
             alive = least < NO_PAIR
             spot = np.flatnonzero((rank == np.repeat(least, size)) & (rank < NO_PAIR))
             owner = np.searchsorted(start, spot, side="right") - 1
             spot = spot[np.concatenate(([True], owner[1:] != owner[:-1]))] if len(spot) else spot
-            current[spot] = self.pair_piece[at[spot]]
-            keep = np.ones(len(current), bool)
+            current[spot] = piece[spot]
+            keep = np.repeat(alive, size)
+            done.append((place[~keep], current[~keep]))
             keep[spot + 1] = False
-            ended = ~np.repeat(alive, size)
-            done.append((place[ended], current[ended]))
-            keep &= ~ended
-            place, current, size = place[keep], current[keep], (size - 1)[alive]
+            moved = np.cumsum(keep) - 1
+            place, current, rank, piece, size = place[keep], current[keep], rank[keep], piece[keep], (size - 1)[alive]
+            # only pairs beside a merge have changed
+            last = np.zeros(len(current) + 1, bool)
+            last[np.cumsum(size) - 1] = True
+            spot = moved[spot]
+            fresh = np.concatenate((spot, spot[spot > 0] - 1))
+            inner = fresh[~last[fresh]]
+            rank[fresh] = NO_PAIR
+            at, hit = self._find(self.pair_key, current[inner] * self.base + current[inner + 1])
+            rank[inner[hit]], piece[inner[hit]] = self.pair_rank[at[hit]], self.pair_piece[at[hit]]
         places, values = (np.concatenate(x) for x in zip(*done, strict=True))
         order = np.argsort(places)
         return places[order], values[order]
@@ -179,16 +185,18 @@ def pieces(path: str) -> Pieces:
     return Pieces(path)
 
 
+@lru_cache(maxsize=1)
+def encoder(path: str) -> Encoder:
+    """One for each Python worker, so that its later tasks know the words of earlier ones."""
+    return Encoder(pieces(path))
+
+
 class Encoder:
     """Encodes batches of texts, remembering the stretches it has seen."""
 
     def __init__(self, model: Pieces) -> None:
         self.model = model
-        self._forget()
-
-    def _forget(self) -> None:
-        self.rows: dict[int, int] = {}
-        self.tokens, self.sizes = np.empty(0, np.int32), np.empty(0, np.int64)
+        self.cache = UnitCache(lambda units: model.encode_units([u.decode().replace(" ", SPACE) for u in units]))
 
     def __call__(self, texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
         """Token ids of all texts one after another, and ``len(texts) + 1`` offsets."""
@@ -205,25 +213,10 @@ class Encoder:
             first[1:] |= line
         starts = np.flatnonzero(first)
         starts, ends = starts[:-1], starts[1:]
-        keys, where, inverse = np.unique(hash_words(blob, starts, ends, lower=False), return_index=True, return_inverse=True)
-        self._learn(blob, keys, starts[where], ends[where])
-        row = np.fromiter(map(self.rows.__getitem__, keys.tolist()), np.int64, len(keys))[inverse]
-        size = self.sizes[row]
-        ends_of = np.cumsum(self.sizes)
-        out = self.tokens[np.repeat(ends_of[row] - np.cumsum(size), size) + np.arange(int(size.sum()))] if len(row) else self.tokens[:0]
+        rows, which = self.cache.find(blob, starts, ends)
+        ids, size = self.cache.tokens(rows[which])
         upto = np.concatenate(([0], np.cumsum(size)))
-        return out, upto[np.searchsorted(starts, begins)]
-
-    def _learn(self, blob: np.ndarray, keys: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> None:
-        if len(self.rows) > CACHE_UNITS or len(self.tokens) > CACHE_TOKENS:
-            self._forget()
-        rows, fresh = self.rows, [k for k, key in enumerate(keys.tolist()) if key not in self.rows]
-        if not fresh:
-            return
-        data = blob.tobytes()
-        ids, sizes = self.model.encode_units([data[starts[k] : ends[k]].decode().replace(" ", SPACE) for k in fresh])
-        rows.update(zip(keys[fresh].tolist(), range(len(rows), len(rows) + len(fresh)), strict=True))
-        self.tokens, self.sizes = np.concatenate((self.tokens, ids)), np.concatenate((self.sizes, sizes))
+        return ids, upto[np.searchsorted(starts, begins)]
 
 
 def _one_by_one(error: UnicodeDecodeError) -> tuple[str, int]:
@@ -256,9 +249,8 @@ def encode(docs: DataFrame, model_path: str, text_column: str = "text", ids_colu
     schema = docs.select(*(F.col(f"`{c}`") for c in rest)).withColumn(ids_column, F.lit(None).cast("array<int>")).schema
 
     def run(batches):
-        encoder = Encoder(pieces(model_path))
         for batch in text_slices(batches, text_column):
-            ids, offsets = encoder(utf8(batch.column(text_column)))
+            ids, offsets = encoder(model_path)(utf8(batch.column(text_column)))
             column = pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(ids, pa.int32()))
             yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in rest), column], [*rest, ids_column])
 

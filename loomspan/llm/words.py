@@ -7,9 +7,10 @@ the whole batch and no Python object is made for a word.
 
 from __future__ import annotations
 
-from collections.abc import Iterable, Iterator, Sequence
+from collections.abc import Callable, Iterable, Iterator, Sequence
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
 
@@ -123,3 +124,43 @@ def shingle_hashes(words: np.ndarray, offsets: np.ndarray, width: int) -> tuple[
         value = np.where(inside, step, value)
     owner = np.repeat(offsets[:-1], counts)
     return value[owner + np.arange(int(out_offsets[-1])) - np.repeat(out_offsets[:-1], counts)], out_offsets
+
+
+class UnitCache:
+    """Token ids of byte strings, each distinct one encoded once.
+
+    ``encode`` takes distinct strings and gives their ids end to end and the
+    number of each. What is remembered is bounded; forgetting costs time only.
+    """
+
+    MOST_UNITS, MOST_TOKENS = 700_000, 8_000_000
+
+    def __init__(self, encode: Callable[[list[bytes]], tuple[np.ndarray, np.ndarray]]) -> None:
+        self.encode = encode
+        self._forget()
+
+    def _forget(self) -> None:
+        self.rows: dict[int, int] = {}
+        self.ids, self.sizes, self.starts = np.empty(0, np.int32), np.empty(0, np.int64), np.empty(0, np.int64)
+
+    def find(self, blob: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """For stretches of ``blob``: the cache row of each distinct one, and which of these each is."""
+        which, keys = pd.factorize(hash_words(blob, starts, ends, lower=False))
+        first = np.empty(len(keys), np.int64)
+        first[which[::-1]] = np.arange(len(which) - 1, -1, -1)
+        if len(self.rows) > self.MOST_UNITS or len(self.ids) > self.MOST_TOKENS:
+            self._forget()
+        rows, listed = self.rows, keys.tolist()
+        fresh = [k for k, key in enumerate(listed) if key not in rows]
+        if fresh:
+            data = blob.data
+            ids, sizes = self.encode([bytes(data[a:b]) for a, b in zip(starts[first[fresh]].tolist(), ends[first[fresh]].tolist(), strict=True)])
+            rows.update(zip((listed[k] for k in fresh), range(len(rows), len(rows) + len(fresh)), strict=True))
+            self.starts = np.concatenate((self.starts, len(self.ids) + np.cumsum(sizes) - sizes))
+            self.ids, self.sizes = np.concatenate((self.ids, ids)), np.concatenate((self.sizes, sizes))
+        return np.fromiter(map(rows.__getitem__, listed), np.int64, len(listed)), which
+
+    def tokens(self, row: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of the given rows end to end, and the number of each."""
+        size = self.sizes[row]
+        return self.ids[np.repeat(self.starts[row] - (np.cumsum(size) - size), size) + np.arange(int(size.sum()))], size
