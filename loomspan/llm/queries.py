@@ -8,7 +8,8 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import minhash, mixing, subword, toxicity
+from . import minhash, mixing, simhash, subword, tokenfile, toxicity
+from .common import Stage
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -20,11 +21,39 @@ def op9_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash.near_duplicates(table(spark, sf_dir, "documents"), config=minhash.MinHash(width=4))
 
 
+def op2_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fingerprints of every document and of its text with the last half replaced from the next document.
+
+    ``n_near`` is asked for ids divisible by 100: documents whose fingerprint lies within the radius.
+    """
+    stage = Stage(spark, "simhash")
+    docs = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), F.coalesce("text", F.lit("")).alias("text"))
+    n = F.char_length("text")
+    edited = F.concat(F.substring("text", F.lit(1), n - F.floor(n / 2).cast("int")), F.substring("next_text", F.lit(1), F.floor(n / 2).cast("int")))
+    texts = simhash.with_next(docs, stage).withColumns({"n_chars": n.cast("long"), "edited": edited}).withColumn("edited_sha256", F.sha2("edited", 256))
+    prints = stage.put(simhash.fingerprints(texts.drop("text", "next_text"), ["edited"]), "prints")
+    own = prints.select("id", F.col("text_hi").alias("hi"), F.col("text_lo").alias("lo"))
+    near = simhash.within_radius(own.where("id % 100 = 0"), own).groupBy(F.col("query").alias("id")).agg(F.count("*").alias("near"))
+    words = ("text_hi", "text_lo")
+    return prints.join(near.hint("merge"), "id", "left").select(
+        F.col("id").alias("doc_id"), "n_chars", "edited_sha256",
+        simhash.shown(*words).alias("fingerprint"), simhash.shown("edited_hi", "edited_lo").alias("edited_fingerprint"),
+        simhash.likeness(*words, "edited_hi", "edited_lo").alias("near_edited"), simhash.likeness(*words, "next_text_hi", "next_text_lo").alias("near_next"),
+        F.when(F.col("id") % 100 == 0, F.coalesce("near", F.lit(0))).alias("n_near"))
+
+
 def op4_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What a mix of 150% of all words takes from each document, sources weighted 5, 2, 1 in turn."""
     return mixing.plan(table(spark, sf_dir, "documents"))
 
 
+def op6_token_file(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents as token ids, written to files of frequency-ranked ids and read back."""
+    docs = table(spark, sf_dir, "documents")
+    back = tokenfile.round_trip(docs, public_tokenizers.path("word_bpe_49k.json"))
+    return back.select(F.col("id").alias("doc_id"), "start", "n_tokens", F.crc32("ids").alias("ids_crc32"))
+
+
 def op8_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents encoded and decoded with the 32k piece model, as counts and digests."""
     model = public_tokenizers.path("piece_bpe_32k.model")
@@ -40,7 +69,9 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op2_simhash": op2_simhash,
     "op4_mixing": op4_mixing,
+    "op6_token_file": op6_token_file,
     "op8_sentencepiece": op8_sentencepiece,
     "op9_minhash_near_dedup": op9_minhash_near_dedup,
     "op10_toxicity": op10_toxicity,
