@@ -5,10 +5,10 @@ from __future__ import annotations
 from collections.abc import Callable
 
 import public_tokenizers
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from . import minhash, mixing, simhash, subword, tokenfile, toxicity
+from . import chat, minhash, mixing, simhash, subword, tokenfile, toxicity
 from .common import Stage
 
 
@@ -47,6 +47,25 @@ def op4_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.plan(table(spark, sf_dir, "documents"))
 
 
+def op5_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every conversation as a reply tree without branches, formatted, and what is read back from the written result."""
+    told = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    probe = spark.range(2).select(F.lit(-1).cast("long").alias("conv_id"), F.col("id").alias("turn"), F.when(F.col("id") == 0, "user").otherwise("assistant").alias("role"), F.lit("</s>[INST] ok [/INST]").alias("text"))
+    stage = Stage(spark, "conversations")
+    place = F.row_number().over(Window.partitionBy("conv_id").orderBy("turn", "role", "text"))
+    node = F.concat_ws(":", F.coalesce(F.col("conv_id").cast("string"), F.lit("-")), F.col("place"))
+    before = F.concat_ws(":", F.coalesce(F.col("conv_id").cast("string"), F.lit("-")), F.col("place") - 1)
+    messages = told.union(probe).withColumn("place", place).select(node.alias("node"), before.alias("parent"), "role", "text", F.char_length("text").alias("score"))
+    messages = stage.put(messages, "messages")
+    back = stage.put(chat.conversations(messages), "formatted")
+    turns = F.transform(chat.parse(F.col("formatted")), lambda t: F.concat(t["role"], F.lit("\n"), t["text"], F.lit("\n")))
+    back = back.withColumn("turns", turns).withColumn("learnt", chat.learnt(F.col("formatted"), F.col("loss_spans")))
+    return back.select(
+        F.split_part("root", F.lit(":"), F.lit(1)).try_cast("long").alias("conv_id"), F.size("turns").cast("long").alias("n_turns"),
+        F.sha2(F.array_join("turns", ""), 256).alias("turns_sha256"), F.char_length("learnt").cast("long").alias("loss_chars"),
+        F.sha2("learnt", 256).alias("loss_sha256"), F.char_length("formatted").cast("long").alias("formatted_chars"))
+
+
 def op6_token_file(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents as token ids, written to files of frequency-ranked ids and read back."""
     docs = table(spark, sf_dir, "documents")
@@ -71,6 +90,7 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_simhash": op2_simhash,
     "op4_mixing": op4_mixing,
+    "op5_chat": op5_chat,
     "op6_token_file": op6_token_file,
     "op8_sentencepiece": op8_sentencepiece,
     "op9_minhash_near_dedup": op9_minhash_near_dedup,
