@@ -8,8 +8,10 @@
    rarest lists (prefix filter), so only those lists are merged; the others,
    which hold boilerplate and hot passages, are skipped and only counted for
    pairs that the prefix found.
-3. Shingles that no other candidate has bound the similarity of a pair from
-   above; members that can't reach the threshold leave their lists.
+3. Shingles that no other candidate has can't be shared, and shingles marked in
+   one set's bit field but not in another's aren't. Both bound the similarity of
+   a pair from above: members that can't reach the threshold leave their lists,
+   and pairs that can't are not made.
 4. Lists are merged leader by leader: the pairs of a few leaders with members
    of other components are confirmed on signatures and full sets, components
    are contracted, and only lists that still join different components go on.
@@ -27,6 +29,7 @@ from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, Window
@@ -38,6 +41,10 @@ from .words import flat_words, mix, shingle_hashes, text_slices, utf8
 
 #: Ranks of the leaders of each round of merging; the last round takes all that are left.
 ROUNDS = ((1, 1), (2, 8), (9, 256), (257, 1 << 62))
+#: Words of 64 bits on which a set's shingles are marked; each mark of one set that another lacks is a shingle that it lacks.
+MARKS = 16
+#: Members of a list that are compared with as many others at once.
+TILE = 1024
 
 
 @dataclass(frozen=True)
@@ -60,6 +67,13 @@ class MinHash:
         return (best >> np.uint64(32)).astype(np.uint32).view(np.int32)
 
 
+def marks(shingles: np.ndarray) -> bytes:
+    """The bit field of a set: one bit for each value of its shingles' low bits."""
+    bits = np.zeros(64 * MARKS, np.uint8)
+    bits[(shingles & np.uint64(64 * MARKS - 1)).astype(np.int64)] = 1
+    return np.packbits(bits).tobytes()
+
+
 def shingle_sets(batch: pa.RecordBatch, width: int) -> Iterator[np.ndarray]:
     """Sorted distinct shingles of each text of column ``text``."""
     values, offsets = shingle_hashes(*flat_words(utf8(batch.column("text"))), width)
@@ -89,7 +103,8 @@ def _profile(config: MinHash):
                 pa.array([len(s) for s in sets], pa.int64()),
                 pa.array([config.signature(s).tobytes() if len(s) else b"" for s in sets], pa.binary()),
                 pa.array([s.tobytes() for s in sets], pa.binary()),
-            ], ["id", "n", "signature", "shingles"])
+                pa.array([marks(s) for s in sets], pa.binary()),
+            ], ["id", "n", "signature", "shingles", "marks"])
     return run
 
 
@@ -143,16 +158,77 @@ def _shared_lists(members: DataFrame) -> DataFrame:
 
 
 def _bounded(members: DataFrame, profiles: DataFrame, config: MinHash, stage: Stage) -> DataFrame:
-    """Adds each member's set size and how much of it others have; ranks the members of each list, the most common first."""
+    """Adds each member's set size, how much of it others have, and its marks; ranks the members of each list, the most common first."""
     spread = profiles.mapInArrow(_spread, f"id {profiles.schema['id'].dataType.simpleString()}, shingle long")
     alone = spread.groupBy("shingle").agg(F.count("*").alias("df"), F.min("id").alias("id")).where("df = 1").groupBy("id").agg(F.count("*").alias("alone"))
-    facts = profiles.select("id", "n").join(alone.hint("merge"), "id", "left").select("id", "n", (F.col("n") - F.coalesce("alone", F.lit(0))).alias("common"))
+    facts = profiles.select("id", "n", "marks").join(alone.hint("merge"), "id", "left").withColumn("common", F.col("n") - F.coalesce("alone", F.lit(0)))
+    facts = facts.select("id", "n", "common", "marks")
     facts = stage.put(facts.where(F.lit(100) * F.col("common") >= F.lit(config.percent) * F.col("n")), "facts")
-    known = _shared_lists(members.join(facts, "id"))
+    known = _shared_lists(members.join(facts.hint("merge"), "id"))
     order = Window.partitionBy("key").orderBy((F.lit(1) - F.col("common") / F.col("n")), "id")
     return known.withColumn("rank", F.row_number().over(order))
 
 
+def _candidates(config: MinHash, low: int, high: int):
+    """Pairs of a leader with a later member of another component that both bounds let through, for rows sorted by list and tile."""
+    def pairs(rank, component, n, common, bits, lead_tile, other_tile, tile):
+        for k in np.flatnonzero((rank >= low) & (rank <= high) & (tile == lead_tile)):
+            other = np.flatnonzero((rank > rank[k]) & (component != component[k]) & (tile == other_tile))
+            top = np.minimum(common[other], common[k])
+            other = other[100 * top >= config.percent * (n[other] + n[k] - top)]
+            if len(other):
+                lacks, misses = (np.bitwise_count(x).sum(axis=1, dtype=np.int64) for x in (bits[k] & ~bits[other], bits[other] & ~bits[k]))
+                top = np.minimum(n[k] - lacks, n[other] - misses)
+                for m in other[100 * top >= config.percent * (n[other] + n[k] - top)]:
+                    yield k, m
+
+    def found(table):
+        columns = {c: table.column(c).to_numpy() for c in ("key", "rank", "n", "common", "lead_tile", "other_tile")}
+        component = pd.factorize(table.column("component").to_pandas())[0]
+        bits = np.frombuffer(b"".join(table.column("marks").to_pylist()), np.uint64).reshape(-1, MARKS)
+        tile = (columns["rank"] - 1) // TILE
+        same = np.ones(table.num_rows, bool)
+        for c in ("key", "lead_tile", "other_tile"):
+            same[1:] &= columns[c][1:] == columns[c][:-1]
+        bounds = np.append(np.flatnonzero(~same[1:]) + 1, table.num_rows)
+        start, out = 0, []
+        for stop in bounds.tolist():
+            g = slice(start, stop)
+            out += [(start + k, start + m) for k, m in pairs(columns["rank"][g], component[g], columns["n"][g], columns["common"][g], bits[g], columns["lead_tile"][g], columns["other_tile"][g], tile[g])]
+            start = stop
+        first, second = (pa.array(x, pa.int64()) for x in zip(*out, strict=True)) if out else (pa.array([], pa.int64()),) * 2
+        ids = table.column("id").combine_chunks()
+        return pa.RecordBatch.from_arrays([ids.take(first), ids.take(second)], ["a", "b"])
+
+    def run(batches):
+        waiting = None
+        for batch in batches:
+            table = pa.Table.from_batches([batch])
+            waiting = table if waiting is None else pa.concat_tables([waiting, table])
+            keys = [waiting.column(c).to_numpy() for c in ("key", "lead_tile", "other_tile")]
+            ended = np.flatnonzero(np.logical_or.reduce([k[1:] != k[:-1] for k in keys]))
+            if len(ended):
+                yield found(waiting.slice(0, int(ended[-1]) + 1))
+                waiting = waiting.slice(int(ended[-1]) + 1)
+        if waiting is not None and waiting.num_rows:
+            yield found(waiting)
+
+    return run
+
+
+def _pairs(members: DataFrame, config: MinHash, low: int, high: int) -> DataFrame:
+    """Distinct candidate pairs of one round; a list is dealt out as pairs of tiles, so that no task needs more than two tiles at once."""
+    parts = 4 * int(members.sparkSession.conf.get("spark.sql.shuffle.partitions"))  # the work is in the pairs, not in the bytes
+    tile = F.floor((F.col("rank") - 1) / TILE)
+    tiles = F.transform(F.sequence(F.lit(0).cast("long"), F.floor((F.col("last") - 1) / TILE)), lambda s: F.struct(F.least(tile, s).alias("lead_tile"), F.greatest(tile, s).alias("other_tile")))
+    dealt = members.withColumn("t", F.explode(tiles)).select("key", "t.*", "rank", "id", "component", "n", "common", "marks")
+    dealt = dealt.where(F.col("lead_tile").between((low - 1) // TILE, (high - 1) // TILE))
+    dealt = dealt.repartition(parts, "key", "lead_tile", "other_tile").sortWithinPartitions("key", "lead_tile", "other_tile", "rank")
+    kind = members.schema["id"].dataType.simpleString()
+    found = dealt.mapInArrow(_candidates(config, low, high), f"a {kind}, b {kind}")
+    return found.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+
+
 def _links(pairs: DataFrame, profiles: DataFrame, config: MinHash) -> DataFrame:
     """The pairs that agree in enough coordinates and reach the similarity on their full sets."""
     def side(x):
@@ -168,13 +244,10 @@ def _merge(members: DataFrame, profiles: DataFrame, config: MinHash, stage: Stag
     for k, (low, high) in enumerate(ROUNDS):
         now = members.join(components, "id")
         open_lists = now.groupBy("key").agg(F.min("component").alias("x"), F.max("component").alias("y"), F.max("rank").alias("last")).where(f"x <> y AND last > {low}")
-        now = stage.put(now.join(open_lists.select("key").hint("merge"), "key"), f"open-{k}")
+        now = stage.put(now.join(open_lists.select("key", "last").hint("merge"), "key"), f"open-{k}")
         if now.isEmpty():
             break
-        lead = now.where(F.col("rank").between(low, high)).select("key", F.col("id").alias("a"), F.col("rank").alias("ra"), F.col("n").alias("na"), F.col("common").alias("ca"), F.col("component").alias("x"))
-        least = F.least("ca", "common")
-        pairs = lead.join(now, "key").where((F.col("rank") > F.col("ra")) & (F.col("component") != F.col("x")) & (F.lit(100) * least >= F.lit(config.percent) * (F.col("na") + F.col("n") - least)))
-        pairs = stage.put(pairs.select(F.least("a", "id").alias("a"), F.greatest("a", "id").alias("b")).distinct(), f"pairs-{k}")
+        pairs = stage.put(_pairs(now, config, low, high), f"pairs-{k}")
         links = stage.put(_links(pairs, profiles, config), f"links-{k}")
         named = links.join(components.toDF("a", "x"), "a").join(components.toDF("b", "y"), "b")
         merged = connected_components(named.select(F.col("x").alias("a"), F.col("y").alias("b")), stage, f"merged-{k}")
@@ -208,9 +281,9 @@ def near_duplicates(docs: DataFrame, id_column: str = "doc_id", text_column: str
     reps = signed.join(classes.select("set_key", F.col("rep").alias("id")).hint("merge"), ["set_key", "id"])
     members = stage.put(_prefix(reps.select("id", "signature"), config, stage), "members")
     wanted = stage.put(members.select("id").distinct(), "wanted")
-    texts = ids.join(stage.small(wanted, "wanted"), "id", "left_semi").mapInArrow(_profile(config), f"id {ids.schema['id'].dataType.simpleString()}, n long, signature binary, shingles binary")
+    texts = ids.join(stage.small(wanted, "wanted"), "id", "left_semi").mapInArrow(_profile(config), f"id {ids.schema['id'].dataType.simpleString()}, n long, signature binary, shingles binary, marks binary")
     if _repeats(ids):
-        texts = texts.groupBy("id").agg(F.min(F.struct("n", "signature", "shingles")).alias("p")).select("id", "p.*")
+        texts = texts.groupBy("id").agg(F.min(F.struct("n", "signature", "shingles", "marks")).alias("p")).select("id", "p.*")
     profiles = stage.put(texts, "profiles")
     lists = stage.put(_bounded(members, profiles, config, stage), "lists")
     stage.drop("prefix", "members")
