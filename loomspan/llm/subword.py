@@ -18,7 +18,7 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -267,10 +267,10 @@ def decode(df: DataFrame, model_path: str, ids_column: str = "ids", text_column:
 
     def run(batches):
         model = pieces(model_path)
-        for batch in batches:
+        for batch in text_slices(batches, ids_column):
             lists = batch.column(ids_column)
             flat = lists.flatten().to_numpy(zero_copy_only=False)
-            offsets = np.concatenate(([0], np.cumsum(pa.compute.fill_null(pa.compute.list_value_length(lists), 0).to_numpy(zero_copy_only=False))))
+            offsets = np.concatenate(([0], np.cumsum(pc.fill_null(pc.list_value_length(lists), 0).to_numpy(zero_copy_only=False))))
             texts = decode_ids(model, flat, offsets)
             yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in rest), pa.array(texts, pa.string())], [*rest, text_column])
 

@@ -15,7 +15,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 
 #: Bytes of text that a kernel handles at once; a longer text is a slice of its own.
-SLICE_BYTES = 4 << 20
+SLICE_BYTES = 2 << 20
 #: Bytes hashed per step, small enough for the arrays to stay in a core's cache.
 _STEP = 1 << 17
 
@@ -47,9 +47,14 @@ _PLACES = _of_place(4096)
 
 
 def text_slices(batches: Iterable[pa.RecordBatch], column: str, limit: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
-    """Cuts batches so that each piece holds about ``limit`` bytes of ``column`` (or one row)."""
+    """Cuts batches so that each piece holds about ``limit`` bytes of ``column`` (or one row).
+
+    ``column`` holds texts, or lists, whose items count as eight bytes.
+    """
     for batch in batches:
-        lengths = pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False)
+        values = batch.column(column)
+        sizes = pc.multiply(pc.list_value_length(values), 8) if pa.types.is_list(values.type) else pc.binary_length(values)
+        lengths = pc.fill_null(sizes, 0).to_numpy(zero_copy_only=False)
         ends = np.cumsum(lengths, dtype=np.int64)
         start = 0
         while start < batch.num_rows:
@@ -133,7 +138,7 @@ class UnitCache:
     number of each. What is remembered is bounded; forgetting costs time only.
     """
 
-    MOST_UNITS, MOST_TOKENS = 700_000, 8_000_000
+    MOST_UNITS, MOST_TOKENS = 400_000, 4_000_000
 
     def __init__(self, encode: Callable[[list[bytes]], tuple[np.ndarray, np.ndarray]]) -> None:
         self.encode = encode
