@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from . import chat, minhash, mixing, simhash, subword, tokenfile, toxicity
+from . import chat, embedding, minhash, mixing, simhash, subword, tokenfile, toxicity, wrapper
 from .common import Stage
 
 
@@ -21,6 +21,11 @@ def op9_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash.near_duplicates(table(spark, sf_dir, "documents"), config=minhash.MinHash(width=4))
 
 
+def op1_subspace_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Embeddings of one label at cosine 0.93 or more: links and components."""
+    return embedding.near_duplicates(table(spark, sf_dir, "embeddings"))
+
+
 def op2_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Fingerprints of every document and of its text with the last half replaced from the next document.
 
@@ -42,6 +47,11 @@ def op2_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.when(F.col("id") % 100 == 0, F.coalesce("near", F.lit(0))).alias("n_near"))
 
 
+def op3_html_wrapper(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Main text of every page by its host's wrapper."""
+    return wrapper.main_text(table(spark, sf_dir, "pages")).withColumn("n_chars", F.char_length("text").cast("long"))
+
+
 def op4_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What a mix of 150% of all words takes from each document, sources weighted 5, 2, 1 in turn."""
     return mixing.plan(table(spark, sf_dir, "documents"))
@@ -88,7 +98,9 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_subspace_join": op1_subspace_join,
     "op2_simhash": op2_simhash,
+    "op3_html_wrapper": op3_html_wrapper,
     "op4_mixing": op4_mixing,
     "op5_chat": op5_chat,
     "op6_token_file": op6_token_file,
