@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from . import chat, embedding, minhash, mixing, simhash, subword, tokenfile, toxicity, wrapper
+from . import chat, embedding, minhash, mixing, simhash, subword, tokenfile, toxicity, urlfilter, wrapper
 from .common import Stage
 
 
@@ -83,6 +83,30 @@ def op6_token_file(spark: SparkSession, sf_dir: str) -> DataFrame:
     return back.select(F.col("id").alias("doc_id"), "start", "n_tokens", F.crc32("ids").alias("ids_crc32"))
 
 
+#: Stand-in dates, as the tables have none: a page is fetched on a day of 2024 that its id gives.
+_FETCHED = "CAST(page_id % 360 AS INT)"
+
+
+def op7_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every page's URL against a dated list derived from all pages' hosts and paths, as of its fetch day.
+
+    Days count from 2024-01-01. Per host, the lists hold its domain with every
+    digit-ending page path, added and removed on days taken from page ids.
+    """
+    pages = table(spark, sf_dir, "pages").select("page_id", "url", F.expr(_FETCHED).alias("fetched"))
+    url = F.col("url")
+    host, path = urlfilter.url_host(url), urlfilter.url_path(url)
+    day = F.col("page_id") % 300
+    listed = pages.where(host != "").select("page_id", host.alias("host"), F.regexp_extract(path, "^(/[^/]+)", 1).alias("step"), day.cast("int").alias("day"))
+    hosts = listed.groupBy("host").agg(F.min("page_id").alias("first"), F.count("*").alias("n"))
+    fixed = lambda name, pattern, action, at: (F.lit(name).alias("list"), pattern.alias("pattern"), F.lit(action).alias("action"), at.cast("int").alias("at"))
+    entries = hosts.where("first % 2 = 0").select(*fixed("block", F.concat(F.lit("."), "host"), "add", F.col("first") % 100))
+    entries = entries.union(hosts.where("first % 4 = 0").select(*fixed("block", F.concat(F.lit("."), "host"), "remove", F.col("first") % 100 + 120)))
+    entries = entries.union(listed.where("page_id % 5 = 0 AND step <> ''").select(*fixed("allow", F.concat("host", "step"), "add", F.col("day"))))
+    entries = entries.union(listed.where("page_id % 15 = 0 AND step <> ''").select(*fixed("allow", F.concat("host", "step"), "remove", F.col("day") + 40)))
+    return urlfilter.decide(pages, entries)
+
+
 def op8_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents encoded and decoded with the 32k piece model, as counts and digests."""
     model = public_tokenizers.path("piece_bpe_32k.model")
@@ -104,9 +128,39 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_mixing": op4_mixing,
     "op5_chat": op5_chat,
     "op6_token_file": op6_token_file,
+    "op7_url_filters": op7_url_filters,
     "op8_sentencepiece": op8_sentencepiece,
     "op9_minhash_near_dedup": op9_minhash_near_dedup,
     "op10_toxicity": op10_toxicity,
 }
 
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {
+    "op7_url_filters": r"""
+WITH parts AS (
+  SELECT page_id, CAST(page_id % 360 AS INT) AS fetched,
+    lower(regexp_extract(coalesce(url, ''), '^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]*)(?::[0-9]*)?([^?#]*)', 1)) AS host,
+    regexp_extract(coalesce(url, ''), '^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]*)(?::[0-9]*)?([^?#]*)', 2) AS path
+  FROM pages),
+steps AS (SELECT *, list_filter(string_split(path, '/'), lambda s: s <> '')[1:4] AS seg, string_split(host, '.') AS labels FROM parts),
+listed AS (SELECT page_id, host, regexp_extract(path, '^(/[^/]+)', 1) AS step, CAST(page_id % 300 AS INT) AS day FROM parts WHERE host <> ''),
+hosts AS (SELECT host, min(page_id) AS first FROM listed GROUP BY host),
+entries AS (
+  SELECT 'block' AS list, '.' || host AS pattern, 'add' AS action, CAST(first % 100 AS INT) AS d FROM hosts WHERE first % 2 = 0
+  UNION SELECT 'block', '.' || host, 'remove', CAST(first % 100 + 120 AS INT) FROM hosts WHERE first % 4 = 0
+  UNION SELECT 'allow', host || step, 'add', day FROM listed WHERE page_id % 5 = 0 AND step <> ''
+  UNION SELECT 'allow', host || step, 'remove', day + 40 FROM listed WHERE page_id % 15 = 0 AND step <> ''),
+spans AS (SELECT *, lead(d) OVER (PARTITION BY list, pattern ORDER BY d, action) AS valid_to FROM entries),
+active AS (SELECT list, pattern, d AS valid_from, valid_to FROM spans WHERE action = 'add' AND (valid_to IS NULL OR d < valid_to)),
+tried AS (
+  SELECT page_id, fetched, unnest(list_distinct(list_concat(
+    list_transform(range(1, len(seg) + 1), lambda k: host || '/' || array_to_string(seg[1:k], '/')), [host],
+    list_transform(range(1, len(labels) + 1), lambda k: '.' || array_to_string(labels[k:], '.'))))) AS pattern
+  FROM steps WHERE host <> ''),
+hits AS (
+  SELECT page_id, list, t.pattern, valid_from,
+    row_number() OVER (PARTITION BY page_id ORDER BY starts_with(t.pattern, '.'), length(t.pattern) DESC, list, valid_from, t.pattern) AS nth
+  FROM tried t JOIN active a ON t.pattern = a.pattern AND a.valid_from <= fetched AND (a.valid_to IS NULL OR fetched < a.valid_to))
+SELECT p.page_id, coalesce(h.list, 'none') AS decision, h.pattern, h.valid_from AS listed_from
+FROM pages p LEFT JOIN hits h ON h.page_id = p.page_id AND h.nth = 1
+""",
+}
