@@ -2,7 +2,7 @@
 
 from importlib import import_module
 
-TOPICS = ("retrieval",)
+TOPICS = ("retrieval", "answers")
 
 
 def _modules():
