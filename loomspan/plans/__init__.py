@@ -2,7 +2,7 @@
 
 from importlib import import_module
 
-TOPICS = ("retrieval", "answers")
+TOPICS = ("retrieval", "answers", "files")
 
 
 def _modules():
