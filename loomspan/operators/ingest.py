@@ -18,9 +18,7 @@ ARCHIVES = (".docx", ".pptx", ".xlsx")
 SAMPLE, NULL_SHARE = 16_384, 0.20
 
 
-@F.pandas_udf("string")
-def archive_fault(content: pd.Series) -> pd.Series:
-    """What is wrong with a zip archive; null if nothing."""
+def _archive_faults(content: pd.Series) -> pd.Series:
     def fault(data: bytes) -> str | None:
         try:
             with zipfile.ZipFile(io.BytesIO(data)) as z:
@@ -34,6 +32,11 @@ def archive_fault(content: pd.Series) -> pd.Series:
     return content.map(fault)
 
 
+def archive_fault(content: str) -> Column:
+    """What is wrong with a zip archive; null if nothing."""
+    return F.pandas_udf(_archive_faults, "string")(content)
+
+
 def _latin(content: Column) -> Column:
     return F.decode(content, "ISO-8859-1")
 
