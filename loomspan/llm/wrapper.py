@@ -8,7 +8,7 @@
    parallel on shares of its streams, are merged by the same alignment.
 3. A wrapper's text slots are content or not: by the elements around them, and
    on hosts without an article element also by whether a slot holds the same
-   text on every page.
+   text on every page (of three or more).
 4. Each page is aligned with its host's wrapper and the content slots are read out.
 """
 
@@ -23,6 +23,7 @@ from difflib import SequenceMatcher
 
 import pandas as pd
 import pyarrow as pa
+import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -266,10 +267,19 @@ def _read_slots(page: str, wrapper: list[tuple]) -> Iterator[tuple[int | None, b
                 yield at, flag if single is None else single[p], blocks[p].text()
 
 
+def _key(place: int, text: str) -> str:
+    return f"{place}:{xxhash.xxh3_64_hexdigest(text)}"
+
+
 def _slots(batches):
+    """Once for each page: an empty key, and a key for each text in a content slot."""
     for batch in text_slices(batches, "html"):
-        rows = [(h, at, text) for h, page, w in zip(*(batch.column(c).to_pylist() for c in ("host", "html", "wrapper")), strict=True) for at, flag, text in _read_slots(page or "", load(w)) if flag and at is not None]
-        yield pa.RecordBatch.from_pydict({"host": [r[0] for r in rows], "place": pa.array([r[1] for r in rows], pa.int32()), "text": [r[2] for r in rows]}, pa.schema([("host", pa.string()), ("place", pa.int32()), ("text", pa.string())]))
+        hosts, keys = [], []
+        for name, page, w in zip(*(batch.column(c).to_pylist() for c in ("host", "html", "wrapper")), strict=True):
+            found = {""} | {_key(at, text) for at, flag, text in _read_slots(page or "", load(w)) if flag and at is not None}
+            hosts += [name] * len(found)
+            keys += sorted(found)
+        yield pa.RecordBatch.from_arrays([pa.array(hosts, pa.string()), pa.array(keys, pa.string())], ["host", "key"])
 
 
 def _extract(batches):
@@ -277,7 +287,7 @@ def _extract(batches):
         texts = []
         for page, wrapper, fixed in zip(*(batch.column(c).to_pylist() for c in ("html", "wrapper", "fixed")), strict=True):
             fixed = set(fixed or ())
-            texts.append("\n\n".join(t for at, flag, t in _read_slots(page or "", load(wrapper)) if flag and t and at not in fixed))
+            texts.append("\n\n".join(t for at, flag, t in _read_slots(page or "", load(wrapper)) if flag and t and not (fixed and at is not None and _key(at, t) in fixed)))
         yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("id", "url")), pa.array(texts, pa.string())], ["id", "url", "text"])
 
 
@@ -294,8 +304,8 @@ def wrappers(pages: DataFrame, stage: Stage, shares: int = 64) -> DataFrame:
 def main_text(pages: DataFrame, id_column: str = "page_id", url_column: str = "url", html_column: str = "html", seen: int = 3) -> DataFrame:
     """One row per page: ``id_column``, ``url_column``, ``text``: the article's blocks in page order, two line ends between.
 
-    On hosts whose pages have no article or main element, a slot that holds one
-    text on all of at least ``seen`` pages is template text and left out.
+    On hosts whose pages have no article or main element, what a slot holds as one
+    text on every page, of at least ``seen``, is template text there and left out.
 
     * null or empty html, and pages without content, give an empty text;
     * a null or odd URL belongs to the empty host;
@@ -305,9 +315,10 @@ def main_text(pages: DataFrame, id_column: str = "page_id", url_column: str = "u
     rows = clash_free(pages, id=id_column, url=url_column, html=html_column).withColumn("host", host(F.col("url")))
     found = wrappers(rows, stage)
     plain = found.where(~F.col("wrapper").rlike('"(article|main)"'))
-    slots = rows.join(stage.small(plain, "wrappers"), "host").select("host", "html", "wrapper").mapInArrow(_slots, "host string, place int, text string")
-    counts = slots.groupBy("host", "place").agg(F.count("*").alias("n"), F.min("text").alias("a"), F.max("text").alias("b")).where(f"n >= {seen} AND a = b")
-    fixed = counts.groupBy("host").agg(F.collect_list("place").alias("fixed"))
+    slots = rows.join(stage.small(plain, "wrappers"), "host").select("host", "html", "wrapper").mapInArrow(_slots, "host string, key string")
+    counts = stage.put(slots.groupBy("host", "key").agg(F.count("*").alias("n")), "counts")
+    every = counts.where(f"key = '' AND n >= {seen}").select("host", "n")
+    fixed = counts.where("key <> ''").join(every.hint("merge"), ["host", "n"]).groupBy("host").agg(F.collect_list("key").alias("fixed"))
     known = stage.put(found.join(fixed.hint("merge"), "host", "left"), "known")
     full = rows.join(stage.small(known, "known"), "host").select("id", "url", "html", "wrapper", "fixed")
     kind = rows.schema["id"].dataType.simpleString()
