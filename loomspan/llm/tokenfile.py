@@ -22,13 +22,12 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import Stage, clash_free
-from .words import BLANKS, UnitCache, find_words, text_slices, utf8
+from .words import BLANKS, UnitCache, text_slices, utf8
 
 #: A block is closed once it holds this many ids; a longer document is a block of its own.
 BLOCK_IDS = 1 << 16
@@ -59,11 +58,17 @@ def unpack(control: bytes, data: bytes, n: int) -> np.ndarray:
     return ranks
 
 
+_LETTER = np.array([chr(b).isalpha() and b < 128 for b in range(256)])
+_MARK = np.array([b < 128 and not chr(b).isalpha() and b > 32 and chr(b) != "|" for b in range(256)])
+
+
 class Tokenizer:
-    """The tokenizers library over whole texts, each word between ASCII blanks encoded once.
+    """The tokenizers library over whole texts, each distinct stretch encoded once.
 
-    Holds for tokenizers that split at white space and drop it: there no token
-    and no normalisation reaches across a blank.
+    Texts are cut at ASCII blanks and, inside words, between an ASCII letter
+    and a following digit or mark (but for ``|``, which special tokens hold).
+    Holds for tokenizers that lower-case, drop white space and split letters
+    from marks: there no token and no normalisation reaches across a cut.
     """
 
     def __init__(self, path: str) -> None:
@@ -71,33 +76,34 @@ class Tokenizer:
 
         self.library = Library.from_file(path)
         self.size = self.library.get_vocab_size(with_added_tokens=True)
-        trial = [[e.ids for e in self.library.encode_batch([a + b + c, a, c], add_special_tokens=False)] for a, b, c in (("Ab,", " ", "'s é"), ("x", "\n", "́y"), ("1", "\t ", "2"))]
+        trial = [[e.ids for e in self.library.encode_batch([a + b + c, a, c], add_special_tokens=False)] for a, b, c in (("Ab,", " ", "'s é"), ("x", "\n", "́y"), ("1", "\t ", "2"), ("it", "", "'sa"), ("x", "", "<|endoftext|>"), ("Abc", "", ",.D"), ("a", "", "1b"))]
         if any(whole != left + right for whole, left, right in trial):
             raise ValueError("only tokenizers that drop white space are supported")
         self.cache = UnitCache(self._encode)
+        self.cache.MOST_UNITS, self.cache.MOST_TOKENS = 1_200_000, 5_000_000
 
     def _encode(self, units: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
         found = [e.ids for e in self.library.encode_batch([u.decode() for u in units], add_special_tokens=False)]
         sizes = np.fromiter(map(len, found), np.int64, len(found))
         return np.fromiter((i for ids in found for i in ids), np.int32, int(sizes.sum())), sizes
 
-    def _find(self, texts: list[bytes]):
-        blob = np.frombuffer(b" ".join(texts), np.uint8)
-        starts, ends = find_words(blob, BLANKS)
-        begins = np.cumsum([0] + [len(t) + 1 for t in texts])
-        return (*self.cache.find(blob, starts, ends), np.searchsorted(starts, begins))
-
     def encode(self, texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all texts end to end and ``len(texts) + 1`` offsets."""
-        rows, which, words = self._find(texts)
+        whole = b" ".join(texts)
+        blob = np.frombuffer(whole if b"<|" in whole else whole.lower(), np.uint8)
+        begins = np.cumsum([0] + [len(t) + 1 for t in texts])
+        first = np.zeros(len(blob) + 1, bool)
+        blank = np.concatenate(([True], BLANKS[blob], [True]))
+        first[:-1] = blank[:-2] & ~blank[1:-1]
+        first[1:-1] |= _LETTER[blob[:-1]] & _MARK[blob[1:]]
+        last = first.copy()
+        last[:] = False
+        last[:-1] = first[:-1] & ~blank[:-2]  # a stretch also ends where the next begins inside a word
+        last[1:] |= ~blank[1:-1] & blank[2:]
+        starts, ends = np.flatnonzero(first), np.flatnonzero(last)
+        rows, which = self.cache.find(blob, starts, ends)
         ids, sizes = self.cache.tokens(rows[which])
-        return ids, np.concatenate(([0], np.cumsum(sizes)))[words]
-
-    def count(self, texts: list[bytes], counts: np.ndarray) -> None:
-        """Adds the occurrences of each id to ``counts``."""
-        rows, which, _ = self._find(texts)
-        ids, sizes = self.cache.tokens(rows)
-        counts += np.bincount(ids, weights=np.repeat(np.bincount(which, minlength=len(rows)), sizes), minlength=len(counts)).astype(np.int64)
+        return ids, np.concatenate(([0], np.cumsum(sizes)))[np.searchsorted(starts, begins)]
 
 
 @lru_cache(maxsize=1)
@@ -105,58 +111,83 @@ def tokenizer(path: str) -> Tokenizer:
     return Tokenizer(path)
 
 
-def _count(path: str, end_id: int):
+def _encode(path: str, end_id: int):
     def run(batches):
-        counts = np.zeros(max(tokenizer(path).size, end_id + 1), np.int64)
         for batch in text_slices(batches, "text"):
-            tokenizer(path).count(utf8(batch.column("text")), counts)
-            counts[end_id] += batch.num_rows
-        at = np.flatnonzero(counts)
-        yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(counts[at])], ["token", "n"])
+            ids, offsets = tokenizer(path).encode(utf8(batch.column("text")))
+            ids = np.insert(ids, offsets[1:], end_id).astype("<u4")
+            ends = np.cumsum(np.diff(offsets) + 1)
+            wide = ids if tokenizer(path).size > 1 << 16 or end_id >> 16 else ids.astype("<u2")
+            lists = [wide[a:b].tobytes() for a, b in zip(np.concatenate(([0], ends[:-1])).tolist(), ends.tolist(), strict=True)]
+            yield pa.RecordBatch.from_arrays([batch.column("id"), batch.column("nth"), pa.array(np.diff(offsets) + 1), pa.array(lists, pa.binary())], ["id", "nth", "size", "ids"])
     return run
 
 
-def _write(path: str, end_id: int, shared):
-    def run(batches) -> Iterator[pa.RecordBatch]:
-        rank = shared.value
-        shard, block, before = TaskContext.get().partitionId(), 0, 0
-        docs, sizes, ranks = [], [], []
+def _ids(data: bytes, n: int) -> np.ndarray:
+    return np.frombuffer(data, "<u2" if len(data) == 2 * n else "<u4")
 
-        def close():
-            nonlocal block, before, docs, sizes, ranks
-            control, data = pack(np.concatenate(ranks))
-            row = pa.RecordBatch.from_arrays([pa.array([shard]), pa.array([block]), pa.array([before]), pa.array([docs]).cast(pa.list_(kind)), pa.array([sizes], pa.list_(pa.int64())), pa.array([control]), pa.array([data])], ["shard", "block", "before", "doc_ids", "sizes", "control", "data"])
-            block, before, docs, sizes, ranks = block + 1, before + sum(sizes), [], [], []
-            return row
 
-        for batch in text_slices(batches, "text"):
-            kind = batch.column("id").type
-            ids, offsets = tokenizer(path).encode(utf8(batch.column("text")))
-            at, ids = np.diff(offsets), np.insert(ids, offsets[1:], end_id)
-            ends = np.cumsum(at + 1)
-            coded = rank[ids]
-            for doc, n, end in zip(batch.column("id").to_pylist(), (at + 1).tolist(), ends.tolist(), strict=True):
-                docs.append(doc), sizes.append(n), ranks.append(coded[end - n : end])
-                if sum(sizes[-1:]) >= BLOCK_IDS or len(sizes) % 16 == 0 and sum(sizes) >= BLOCK_IDS:
-                    yield close()
-        if docs:
-            yield close()
+def _count(batches):
+    counts = np.zeros(0, np.int64)
+    for batch in batches:
+        for data, n in zip(batch.column("ids").to_pylist(), batch.column("size").to_pylist(), strict=True):
+            found = np.bincount(_ids(data, n))
+            if len(found) > len(counts):
+                counts = np.concatenate((counts, np.zeros(len(found) - len(counts), np.int64)))
+            counts[: len(found)] += found
+    at = np.flatnonzero(counts)
+    yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(counts[at])], ["token", "n"])
+
+
+def _pack(shared):
+    """Ranks of each document, filled up to whole control bytes with rank 0."""
+    def run(batches):
+        for batch in batches:
+            both = []
+            for data, n in zip(batch.column("ids").to_pylist(), batch.column("size").to_pylist(), strict=True):
+                ranks = np.zeros(n + -n % 4, np.int64)
+                ranks[:n] = shared.value[_ids(data, n)]
+                both.append(pack(ranks))
+            yield pa.RecordBatch.from_arrays([batch.column("id"), batch.column("nth"), batch.column("size"), pa.array([c for c, _ in both], pa.binary()), pa.array([d for _, d in both], pa.binary())], ["id", "nth", "size", "control", "data"])
     return run
 
 
+def _gather(batches) -> Iterator[pa.RecordBatch]:
+    """Blocks of the documents of one sorted partition."""
+    shard, block, before = TaskContext.get().partitionId(), 0, 0
+    docs, sizes, controls, data, held = [], [], [], [], 0
+    kind = None
+
+    def close() -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array([shard]), pa.array([block]), pa.array([before]), pa.array([docs], pa.list_(kind)), pa.array([sizes], pa.list_(pa.int64())), pa.array([b"".join(controls)], pa.binary()), pa.array([b"".join(data)], pa.binary())], ["shard", "block", "before", "doc_ids", "sizes", "control", "data"])
+
+    for batch in batches:
+        kind = batch.column("id").type
+        for doc, n, c, d in zip(*(batch.column(x).to_pylist() for x in ("id", "size", "control", "data")), strict=True):
+            docs.append(doc), sizes.append(n), controls.append(c), data.append(d)
+            held += n
+            if held >= BLOCK_IDS:
+                yield close()
+                block, before = block + 1, before + held
+                docs, sizes, controls, data, held = [], [], [], [], 0
+    if docs:
+        yield close()
+
+
 def _read(shared):
     def run(batches):
         ids_of = shared.value
         for batch in batches:
             for row in batch.to_pylist():
                 sizes = np.array(row["sizes"], np.int64)
-                ids = ids_of[unpack(row["control"], row["data"], int(sizes.sum()))].astype("<u4")
-                ends = np.cumsum(sizes)
+                stored = sizes + -sizes % 4
+                ids = ids_of[unpack(row["control"], row["data"], int(stored.sum()))].astype("<u4")
+                ends, at = np.cumsum(sizes), np.cumsum(stored) - stored
                 yield pa.RecordBatch.from_arrays([
                     pa.array(row["doc_ids"], batch.schema.field("doc_ids").type.value_type),
                     pa.array(ends - sizes + row["before"] + row["shard_before"]),
                     pa.array(sizes),
-                    pa.array([ids[e - n : e].tobytes() for n, e in zip(sizes, ends, strict=True)], pa.binary()),
+                    pa.array([ids[k : k + n].tobytes() for k, n in zip(at, sizes, strict=True)], pa.binary()),
                 ], ["id", "start", "n_tokens", "ids"])
     return run
 
@@ -165,22 +196,26 @@ def write(docs: DataFrame, tokenizer_path: str, folder: str, end_id: int = 1, id
     """Encodes every whole text, appends ``end_id`` to each, and writes the folder in ascending id order.
 
     * a null or empty text is its end id alone; a null id comes first;
-    * rows with one id stay apart, in the order of their texts;
+    * rows with one id stay apart, in the order of their texts' hashes;
     * other columns are ignored; an empty table gives a folder without blocks.
     """
     spark = docs.sparkSession
-    ids = clash_free(docs, id=id_column, text=text_column)
-    counts = ids.select("text").mapInArrow(_count(tokenizer_path, end_id), "token long, n long").groupBy("token").agg(F.sum("n").alias("count"))
+    stage = Stage(spark, "encoded")
+    ids = clash_free(docs, id=id_column, text=text_column).withColumn("nth", F.xxhash64("text"))
+    kind = ids.schema["id"].dataType.simpleString()
+    encoded = ids.mapInArrow(_encode(tokenizer_path, end_id), f"id {kind}, nth long, size long, ids binary")
+    encoded = stage.put(encoded, "encoded", compression="zstd")
+    counts = encoded.select("size", "ids").mapInArrow(_count, "token long, n long").groupBy("token").agg(F.sum("n").alias("count"))
     found = counts.orderBy(F.desc("count"), "token").toPandas()  # at most one row for each id of the vocabulary
     rank = np.zeros(int(found.token.max()) + 1 if len(found) else 1, np.int64)
     rank[found.token.to_numpy(np.int64)] = np.arange(len(found))
     vocabulary = spark.createDataFrame(found.assign(rank=range(len(found)))[["rank", "token", "count"]].astype("int64"), "rank long, id long, count long")
     vocabulary.coalesce(1).write.mode("overwrite").parquet(f"{folder}/vocabulary")
-    kind = ids.schema["id"].dataType.simpleString()
-    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    ordered = ids.repartitionByRange(parts, "id").sortWithinPartitions("id", "text")
-    blocks = ordered.mapInArrow(_write(tokenizer_path, end_id, spark.sparkContext.broadcast(rank)), f"shard long, block long, before long, doc_ids array<{kind}>, sizes array<bigint>, control binary, data binary")
+    packed = encoded.mapInArrow(_pack(spark.sparkContext.broadcast(rank)), f"id {kind}, nth long, size long, control binary, data binary")
+    ordered = packed.repartitionByRange(int(spark.conf.get("spark.sql.shuffle.partitions")), "id").sortWithinPartitions("id", "nth")
+    blocks = ordered.mapInArrow(_gather, f"shard long, block long, before long, doc_ids array<{kind}>, sizes array<bigint>, control binary, data binary")
     blocks.write.mode("overwrite").parquet(f"{folder}/blocks")
+    stage.drop("encoded")
     sums = spark.read.parquet(f"{folder}/blocks").groupBy("shard").agg(F.sum(F.aggregate("sizes", F.lit(0).cast("long"), lambda x, n: x + n)).alias("n_ids"))
     earlier = Window.orderBy("shard").rowsBetween(Window.unboundedPreceding, -1)  # one row for each shard
     sums.select("shard", F.coalesce(F.sum("n_ids").over(earlier), F.lit(0)).alias("before"), "n_ids").coalesce(1).write.mode("overwrite").parquet(f"{folder}/shards")
