@@ -93,7 +93,7 @@ def top_values(df: DataFrame, dims: Sequence[str], k: int = 10) -> DataFrame:
     """The ``k`` most common values of each dimension, ties by value."""
     long = df.select(F.explode(F.array(*(F.struct(F.lit(d).alias("dim"), F.col(d).cast("string").alias("value")) for d in dims))).alias("x")).select("x.*")
     counts = long.groupBy("dim", "value").agg(F.count("*").alias("n"))
-    rank = F.row_number().over(Window.partitionBy("dim").orderBy(F.desc("n"), "value"))
+    rank = F.row_number().over(Window.partitionBy("dim").orderBy(F.desc("n"), "value")).cast("long")
     return counts.withColumn("rank", rank).where(F.col("rank") <= k)
 
 
@@ -136,7 +136,7 @@ def ema(events: DataFrame, key: str, alpha: float = 0.25) -> DataFrame:
 
 def last_n(events: DataFrame, key: str, n: int) -> DataFrame:
     """The last ``n`` events of each key, newest first."""
-    rank = F.row_number().over(Window.partitionBy(key).orderBy(F.desc("second"), F.desc("event_id")))
+    rank = F.row_number().over(Window.partitionBy(key).orderBy(F.desc("second"), F.desc("event_id"))).cast("long")
     return events.withColumn("rank", rank).where(F.col("rank") <= n)
 
 

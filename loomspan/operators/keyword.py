@@ -47,5 +47,5 @@ def bm25_topk(index: KeywordIndex, queries: DataFrame, k: int = 20, k1: float =
         .crossJoin(F.broadcast(totals))  # one row
         .groupBy("query_id", "id").agg(F.round(F.sum(part), 9).alias("score"))
     )
-    rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "id"))
+    rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "id")).cast("long")
     return scored.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", "rank", "id", "score", squash(F.col("score")).alias("shown"))

@@ -26,7 +26,7 @@ class SearchConfig:
 
 def ranked(hits: DataFrame, k: int, by: str = "score") -> DataFrame:
     """The best ``k`` hits of each query, ranked from 1; ties go to the lesser id."""
-    rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc(by), "id"))
+    rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc(by), "id")).cast("long")
     return hits.withColumn("rank", rank).where(F.col("rank") <= k)
 
 
@@ -57,7 +57,7 @@ def boosted(by_vector: DataFrame, queries: DataFrame, texts: DataFrame) -> DataF
     """Vector hits with the lexical boost, ranked again; texts are joined to the winners only."""
     full = by_vector.join(F.broadcast(queries), "query_id").join(texts, "id")
     gain = full.withColumn("score", F.round(F.col("score") + lexical_boost(F.col("query"), F.col("text")), 9)).drop("rank")
-    return gain.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "id"))).select("query_id", "rank", "id", "score")
+    return gain.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "id")).cast("long")).select("query_id", "rank", "id", "score")
 
 
 def rerank(hits: DataFrame, scorer: Callable[[Column, Column], Column] = overlap_scorer) -> DataFrame:
@@ -67,7 +67,7 @@ def rerank(hits: DataFrame, scorer: Callable[[Column, Column], Column] = overlap
     """
     scored = hits.withColumn("score", F.round(sigmoid(scorer(F.col("query"), F.col("text")).cast("double")), 9)).drop("rank")
     order = Window.partitionBy("query_id").orderBy(F.col("score").desc_nulls_last(), "id")
-    return scored.withColumn("rank", F.row_number().over(order))
+    return scored.withColumn("rank", F.row_number().over(order).cast("long"))
 
 
 def search(queries: DataFrame, corpus: DataFrame, index: keyword.KeywordIndex, config: SearchConfig = SearchConfig()) -> DataFrame:

@@ -89,7 +89,7 @@ def vector_topk(corpus: DataFrame, queries: DataFrame, k: int = 8) -> DataFrame:
     unit = corpus.select("id", l2_normalise(F.col("vector")).alias("v"))
     asked = queries.select("query_id", l2_normalise(F.col("vector")).alias("q"))
     scored = unit.crossJoin(F.broadcast(asked)).where(F.col("id") != F.col("query_id")).select("query_id", "id", F.round(dot(F.col("v"), F.col("q")), 9).alias("score"))
-    rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "id"))
+    rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "id")).cast("long")
     return scored.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", "rank", "id", "score")
 
 
@@ -122,5 +122,5 @@ def vector_topk_kernel(corpus: DataFrame, queries: DataFrame, k: int = 8, block:
 
     kind = corpus.schema["id"].dataType.simpleString()
     found = corpus.select("id", "vector").mapInArrow(run, f"query_id {kind}, id {kind}, score double")
-    rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "id"))
+    rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "id")).cast("long")
     return found.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", "rank", "id", "score")
