@@ -83,9 +83,13 @@ class Tokenizer:
         self.cache.MOST_UNITS, self.cache.MOST_TOKENS = 1_200_000, 5_000_000
 
     def _encode(self, units: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-        found = [e.ids for e in self.library.encode_batch([u.decode() for u in units], add_special_tokens=False)]
-        sizes = np.fromiter(map(len, found), np.int64, len(found))
-        return np.fromiter((i for ids in found for i in ids), np.int32, int(sizes.sum())), sizes
+        ids: list[int] = []
+        sizes: list[int] = []
+        for k in range(0, len(units), 4096):  # the library's results are large
+            for e in self.library.encode_batch([u.decode() for u in units[k : k + 4096]], add_special_tokens=False):
+                ids += e.ids
+                sizes.append(len(e))
+        return np.array(ids, np.int32), np.array(sizes, np.int64)
 
     def encode(self, texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all texts end to end and ``len(texts) + 1`` offsets."""
