@@ -197,6 +197,7 @@ class Encoder:
     def __init__(self, model: Pieces) -> None:
         self.model = model
         self.cache = UnitCache(lambda units: model.encode_units([u.decode().replace(" ", SPACE) for u in units]))
+        self.cache.MOST_UNITS, self.cache.MOST_TOKENS = 120_000, 1_200_000  # idle workers keep it
 
     def __call__(self, texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
         """Token ids of all texts one after another, and ``len(texts) + 1`` offsets."""
