@@ -70,8 +70,9 @@ def paths(messages: DataFrame, stage: Stage, config: Branches = Branches()) -> D
     while pending:
         now = jumps[-1]
         there = now.select(F.col("node").alias("up"), F.col("up").alias("next"), F.col("sum").alias("more"), F.col("steps").alias("far"))
-        ahead = now.join(there.hint("merge"), "up", "left")
-        doubled = ahead.select("node", F.col("next").alias("up"), (F.col("sum") + F.coalesce("more", F.lit(0.0))).alias("sum"), (F.col("steps") + F.coalesce("far", F.lit(0))).alias("steps"))
+        ahead = now.where("up IS NOT NULL").join(there.hint("merge"), "up")
+        moved = ahead.select("node", F.col("next").alias("up"), (F.col("sum") + F.col("more")).alias("sum"), (F.col("steps") + F.col("far")).alias("steps"))
+        doubled = moved.union(now.where("up IS NULL").select("node", "up", "sum", "steps"))
         jumps.append(stage.put(doubled, f"jump-{len(jumps)}"))
         before, pending = pending, jumps[-1].where("up IS NOT NULL").count()
         if pending == before:  # only circles are left
