@@ -8,7 +8,7 @@
    parallel on shares of its streams, are merged by the same alignment.
 3. A wrapper's text slots are content or not: by the elements around them, and
    on hosts without an article element also by whether a slot holds the same
-   text on every page (of three or more).
+   text on every distinct page (of three or more).
 4. Each page is aligned with its host's wrapper and the content slots are read out.
 """
 
@@ -272,14 +272,14 @@ def _key(place: int, text: str) -> str:
 
 
 def _slots(batches):
-    """Once for each page: an empty key, and a key for each text in a content slot."""
+    """For each page: a digest of its content texts, and an empty key and one for each text in a content slot."""
     for batch in text_slices(batches, "html"):
-        hosts, keys = [], []
-        for name, page, w in zip(*(batch.column(c).to_pylist() for c in ("host", "html", "wrapper")), strict=True):
-            found = {""} | {_key(at, text) for at, flag, text in _read_slots(page or "", load(w)) if flag and at is not None}
-            hosts += [name] * len(found)
-            keys += sorted(found)
-        yield pa.RecordBatch.from_arrays([pa.array(hosts, pa.string()), pa.array(keys, pa.string())], ["host", "key"])
+        pages, keys = [], []
+        for page, w in zip(*(batch.column(c).to_pylist() for c in ("html", "wrapper")), strict=True):
+            found = [(at, text) for at, flag, text in _read_slots(page or "", load(w)) if flag and text]
+            pages.append(xxhash.xxh3_128_hexdigest("\0".join(text for _, text in found)))
+            keys.append(sorted({""} | {_key(at, text) for at, text in found if at is not None}))
+        yield pa.RecordBatch.from_arrays([batch.column("host"), pa.array(pages, pa.string()), pa.array(keys, pa.list_(pa.string()))], ["host", "page", "keys"])
 
 
 def _extract(batches):
@@ -287,7 +287,9 @@ def _extract(batches):
         texts = []
         for page, wrapper, fixed in zip(*(batch.column(c).to_pylist() for c in ("html", "wrapper", "fixed")), strict=True):
             fixed = set(fixed or ())
-            texts.append("\n\n".join(t for at, flag, t in _read_slots(page or "", load(wrapper)) if flag and t and not (fixed and at is not None and _key(at, t) in fixed)))
+            found = [(at, t) for at, flag, t in _read_slots(page or "", load(wrapper)) if flag and t]
+            told = [t for at, t in found if not (fixed and at is not None and _key(at, t) in fixed)]
+            texts.append("\n\n".join(told or [t for _, t in found]))
         yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("id", "url")), pa.array(texts, pa.string())], ["id", "url", "text"])
 
 
@@ -305,7 +307,8 @@ def main_text(pages: DataFrame, id_column: str = "page_id", url_column: str = "u
     """One row per page: ``id_column``, ``url_column``, ``text``: the article's blocks in page order, two line ends between.
 
     On hosts whose pages have no article or main element, what a slot holds as one
-    text on every page, of at least ``seen``, is template text there and left out.
+    text on every page, of at least ``seen`` that differ in their content texts, is
+    template text there and left out. A page that holds nothing else keeps it.
 
     * null or empty html, and pages without content, give an empty text;
     * a null or odd URL belongs to the empty host;
@@ -315,7 +318,8 @@ def main_text(pages: DataFrame, id_column: str = "page_id", url_column: str = "u
     rows = clash_free(pages, id=id_column, url=url_column, html=html_column).withColumn("host", host(F.col("url")))
     found = wrappers(rows, stage)
     plain = found.where(~F.col("wrapper").rlike('"(article|main)"'))
-    slots = rows.join(stage.small(plain, "wrappers"), "host").select("host", "html", "wrapper").mapInArrow(_slots, "host string, key string")
+    slots = rows.join(stage.small(plain, "wrappers"), "host").select("host", "html", "wrapper").mapInArrow(_slots, "host string, page string, keys array<string>")
+    slots = slots.dropDuplicates(["host", "page"]).select("host", F.explode("keys").alias("key"))
     counts = stage.put(slots.groupBy("host", "key").agg(F.count("*").alias("n")), "counts")
     every = counts.where(f"key = '' AND n >= {seen}").select("host", "n")
     fixed = counts.where("key <> ''").join(every.hint("merge"), ["host", "n"]).groupBy("host").agg(F.collect_list("key").alias("fixed"))

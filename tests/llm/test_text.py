@@ -141,6 +141,16 @@ def test_pages(spark):
     assert wrapper.main_text(df.limit(0)).count() == 0
 
 
+def test_copies_of_a_page_keep_their_text(spark):
+    same = PAGE % "<div class='wrap'><p>Story told</p><p>And more</p></div>"
+    plain = [PAGE % f"<div class='wrap'><p>Always the same</p>{more}</div>" for more in ("<p>One</p>", "<p>Two</p>", "<p>Three</p>", "")]
+    rows = [(k, "http://s.org/", same) for k in range(3)] + [(10 + k, "http://p.org/", p) for k, p in enumerate(plain)]
+    df = spark.createDataFrame(rows, "page_id long, url string, html string")
+    got = {r.page_id: r.text for r in wrapper.main_text(df).collect()}
+    assert [got[k] for k in range(3)] == ["Story told\n\nAnd more"] * 3
+    assert [got[10 + k] for k in range(4)] == ["One", "Two", "Three", "Always the same"]
+
+
 def test_wrappers_generalise():
     def seq(html):
         return [(n, False) for n in wrapper.fold(wrapper.tokens(html)[0])[0]]
