@@ -79,14 +79,6 @@ class Model:
             out = np.where(n >= SEEN, odds, out)
         return out
 
-    def firsts(self, scores: np.ndarray, tokens: Tokens) -> np.ndarray:
-        """Scores in which a word of positive score counts once per text, as in the counts; its repeats only drift."""
-        spots = np.flatnonzero(scores > 0)
-        first = np.unique(tokens.owner[spots] << BITS | tokens.slots[-1][spots], return_index=True)[1]
-        repeats = np.delete(spots, first)
-        scores[repeats] = -DRIFT
-        return scores
-
 
 def maximal_segments(scores: np.ndarray) -> list[tuple[int, int, float]]:
     """All maximal-scoring segments ``(first, end, score)`` of a sequence, in one linear scan."""
@@ -136,7 +128,6 @@ def _scan(shared, leave_out: bool):
             tokens = Tokens(texts)
             label = batch.column("label").to_numpy(zero_copy_only=False).astype(float)[tokens.owner] if leave_out else None
             scores = model.scores(tokens.slots, np.ones(len(tokens.owner)) if leave_out else None, label)
-            scores = model.firsts(scores, tokens)
             found: list[list[tuple]] = [[] for _ in texts]
             for k in np.unique(tokens.owner[scores > 0]).tolist():
                 a, begin = tokens.offsets[k], tokens.begins[k]

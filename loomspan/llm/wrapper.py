@@ -7,8 +7,7 @@
    and any other stretch becomes optional. Partial wrappers of a host, made in
    parallel on shares of its streams, are merged by the same alignment.
 3. A wrapper's text slots are content or not: by the elements around them, and
-   on hosts without an article element also by whether a slot holds the same
-   text on every distinct page (of three or more).
+   by whether a slot holds the same text on every distinct page (of three or more).
 4. Each page is aligned with its host's wrapper and the content slots are read out.
 """
 
@@ -20,6 +19,7 @@ import re
 from collections.abc import Iterable, Iterator
 from dataclasses import dataclass, field
 from difflib import SequenceMatcher
+from functools import lru_cache
 
 import pandas as pd
 import pyarrow as pa
@@ -195,31 +195,56 @@ def _symbols(node) -> Iterator[str]:
             yield from _symbols(n)
 
 
+def _layouts(nodes: list) -> frozenset[int]:
+    """Serial numbers of the opened elements that hold every article and main element of the page."""
+    stack, held, total = [], {}, 0
+    for serial, s in enumerate(x for n in nodes for x in _symbols(n)):
+        if s == SLOT:
+            continue
+        if s in MAIN:
+            total += 1
+            for _, k in stack:
+                held[k] = held.get(k, 0) + 1
+        _step(stack, s, serial)
+    return frozenset(k for k, n in held.items() if n == total)
+
+
+def _step(stack: list[tuple[str, int]], s: str, serial: int) -> None:
+    """Opens or closes an element."""
+    if s.startswith("/"):
+        for at in range(len(stack) - 1, -1, -1):
+            if stack[at][0].rstrip("!") == s[1:]:
+                del stack[at:]
+                break
+    elif (name := s.rstrip("!")) not in VOID:
+        if name in ("p", "li") and stack and stack[-1][0].rstrip("!") == name:
+            stack.pop()
+        stack.append((s, serial))
+
+
 def content(nodes: list, region: bool | None = None) -> list[bool]:
     """Whether the text of each node is content, by the elements open around it.
 
     With an article or main element anywhere only their inside counts
     (``region`` says so beforehand). Unclosed elements end with their parents.
+    Class words on an element that holds all articles of the page say nothing.
     """
+    symbols = {s for n in nodes for s in _symbols(n)}
     if region is None:
-        region = any(s in MAIN for n in nodes for s in _symbols(n))
-    flags, stack = [], []
+        region = not MAIN.isdisjoint(symbols)
+    layouts = _layouts(nodes) if region and any(s.endswith("!") for s in symbols) else frozenset()
+    flags, stack, serial = [], [], 0
     for n in nodes:
         flag = False
         for s in _symbols(n):
             if s == SLOT:
-                inside = any(x in MAIN for x in stack)
-                hidden = any(x.endswith("!") or (x in ASIDE and not (x == "header" and "article" in stack[: stack.index(x)])) for x in stack)
+                names = [x.rstrip("!") if k in layouts else x for x, k in stack]
+                inside = any(x in MAIN for x in names)
+                hidden = any(x.endswith("!") or (x in ASIDE and not (x == "header" and "article" in names[: names.index(x)])) for x in names)
                 flag |= (inside or not region) and not hidden
-            elif s.startswith("/"):
-                names = [x.rstrip("!") for x in stack]
-                if s[1:] in names:
-                    at = len(names) - 1 - names[::-1].index(s[1:])
-                    del stack[at:]
-            elif s.rstrip("!") not in VOID:
-                if s.rstrip("!") in ("p", "li") and stack and stack[-1].rstrip("!") == s.rstrip("!"):
-                    stack.pop()
-                stack.append(s)
+            else:
+                _step(stack, s, serial)
+            serial += 1
         flags.append(flag)
     return flags
 
@@ -249,13 +274,21 @@ def _infer(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         yield pd.DataFrame({"host": [now], "stream": [dump(wrapper)]})
 
 
-def _read_slots(page: str, wrapper: list[tuple]) -> Iterator[tuple[int | None, bool, str]]:
+@lru_cache(maxsize=64)
+def _known(text: str) -> tuple[list[tuple], set, bool, list[bool]]:
+    """A written wrapper, its groups, whether it has an article or main element, and which nodes are content."""
+    wrapper = load(text)
+    nodes = [n for n, _ in wrapper]
+    return wrapper, _groups(nodes), any(s in MAIN for n in nodes for s in _symbols(n)), content(nodes)
+
+
+def _read_slots(page: str, written: str) -> Iterator[tuple[int | None, bool, str]]:
     """``(wrapper place or None, content by structure, text)`` of each block of a page."""
     symbols, blocks = tokens(page)
-    groups = _groups(n for n, _ in wrapper)
+    wrapper, groups, regions, shared = _known(written)
     nodes, covers = absorb(*fold(symbols), groups)
     region = any(s in MAIN for s in symbols)
-    shared = content([n for n, _ in wrapper]) if region == any(s in MAIN for n, _ in wrapper for s in _symbols(n)) else None
+    shared = shared if region == regions else None
     own = content(nodes, region)
     place = {b: a for a, b in align(wrapper, nodes) if b is not None}
     for k, cover in enumerate(covers):
@@ -276,7 +309,7 @@ def _slots(batches):
     for batch in text_slices(batches, "html"):
         pages, keys = [], []
         for page, w in zip(*(batch.column(c).to_pylist() for c in ("html", "wrapper")), strict=True):
-            found = [(at, text) for at, flag, text in _read_slots(page or "", load(w)) if flag and text]
+            found = [(at, text) for at, flag, text in _read_slots(page or "", w) if flag and text]
             pages.append(xxhash.xxh3_128_hexdigest("\0".join(text for _, text in found)))
             keys.append(sorted({""} | {_key(at, text) for at, text in found if at is not None}))
         yield pa.RecordBatch.from_arrays([batch.column("host"), pa.array(pages, pa.string()), pa.array(keys, pa.list_(pa.string()))], ["host", "page", "keys"])
@@ -287,7 +320,7 @@ def _extract(batches):
         texts = []
         for page, wrapper, fixed in zip(*(batch.column(c).to_pylist() for c in ("html", "wrapper", "fixed")), strict=True):
             fixed = set(fixed or ())
-            found = [(at, t) for at, flag, t in _read_slots(page or "", load(wrapper)) if flag and t]
+            found = [(at, t) for at, flag, t in _read_slots(page or "", wrapper) if flag and t]
             told = [t for at, t in found if not (fixed and at is not None and _key(at, t) in fixed)]
             texts.append("\n\n".join(told or [t for _, t in found]))
         yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("id", "url")), pa.array(texts, pa.string())], ["id", "url", "text"])
@@ -306,9 +339,9 @@ def wrappers(pages: DataFrame, stage: Stage, shares: int = 64) -> DataFrame:
 def main_text(pages: DataFrame, id_column: str = "page_id", url_column: str = "url", html_column: str = "html", seen: int = 3) -> DataFrame:
     """One row per page: ``id_column``, ``url_column``, ``text``: the article's blocks in page order, two line ends between.
 
-    On hosts whose pages have no article or main element, what a slot holds as one
-    text on every page, of at least ``seen`` that differ in their content texts, is
-    template text there and left out. A page that holds nothing else keeps it.
+    What a slot holds as one text on every page of a host, of at least ``seen`` that
+    differ in their content texts, is template text there and left out, inside
+    articles too. A page that holds nothing else keeps it.
 
     * null or empty html, and pages without content, give an empty text;
     * a null or odd URL belongs to the empty host;
@@ -317,11 +350,10 @@ def main_text(pages: DataFrame, id_column: str = "page_id", url_column: str = "u
     stage = Stage(pages.sparkSession, "wrapper")
     rows = clash_free(pages, id=id_column, url=url_column, html=html_column).withColumn("host", host(F.col("url")))
     found = wrappers(rows, stage)
-    plain = found.where(~F.col("wrapper").rlike('"(article|main)"'))
-    slots = rows.join(stage.small(plain, "wrappers"), "host").select("host", "html", "wrapper").mapInArrow(_slots, "host string, page string, keys array<string>")
+    slots = rows.join(stage.small(found, "wrappers"), "host").select("host", "html", "wrapper").mapInArrow(_slots, "host string, page string, keys array<string>")
     slots = slots.dropDuplicates(["host", "page"]).select("host", F.explode("keys").alias("key"))
-    counts = stage.put(slots.groupBy("host", "key").agg(F.count("*").alias("n")), "counts")
-    every = counts.where(f"key = '' AND n >= {seen}").select("host", "n")
+    counts = stage.put(slots.groupBy("host", "key").agg(F.count("*").alias("n")).where(f"n >= {seen}"), "counts")
+    every = counts.where("key = ''").select("host", "n")
     fixed = counts.where("key <> ''").join(every.hint("merge"), ["host", "n"]).groupBy("host").agg(F.collect_list("key").alias("fixed"))
     known = stage.put(found.join(fixed.hint("merge"), "host", "left"), "known")
     full = rows.join(stage.small(known, "known"), "host").select("id", "url", "html", "wrapper", "fixed")

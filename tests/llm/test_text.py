@@ -151,6 +151,15 @@ def test_copies_of_a_page_keep_their_text(spark):
     assert [got[10 + k] for k in range(4)] == ["One", "Two", "Three", "Always the same"]
 
 
+def test_hosts_decide_inside_articles(spark):
+    made = [f"<body><div class='layout has-sidebar'><div class='menu-open'><article><p>Follow our channel</p><p>Story {k}</p></article></div></div><div class='comments'><p>Said</p></div></body>" for k in range(4)]
+    talk = "<main><div class='layout has-sidebar'><article><p>Body</p></article></div><div class='comments'><article><p>A reader</p></article></div></main>"
+    rows = [(k, "http://a.org/", p) for k, p in enumerate(made)] + [(9, "http://b.org/", talk)]
+    df = spark.createDataFrame(rows, "page_id long, url string, html string")
+    got = {r.page_id: r.text for r in wrapper.main_text(df).collect()}
+    assert [got[k] for k in range(4)] == [f"Story {k}" for k in range(4)]
+
+
 def test_wrappers_generalise():
     def seq(html):
         return [(n, False) for n in wrapper.fold(wrapper.tokens(html)[0])[0]]
