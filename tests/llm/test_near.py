@@ -185,3 +185,18 @@ def test_toxicity_learns_and_handles_odd_rows(spark):
 
 def test_edited_digest(spark):
     assert spark.range(1).select(F.sha2(F.lit("é"), 256).alias("x")).first().x == hashlib.sha256("é".encode()).hexdigest()
+
+
+def test_each_copy_of_a_toxic_passage_is_found(spark):
+    r = random.Random(4)
+    rows, labels = [], []
+    clean = lambda n: " ".join(f"w{r.randrange(300)}" for _ in range(n))
+    for k in range(600):
+        bad = k % 6 == 0
+        rows.append((k, clean(20) + (" vilea vileb vilec " if bad else " ") + clean(20)))
+        labels.append((k, int(bad)))
+    text = clean(3000) + " vilea vileb vilec " + clean(3000) + " vilea vileb vilec " + clean(3000)
+    docs = spark.createDataFrame([*rows, (1000, text)], "doc_id long, text string")
+    found = toxicity.toxicity(docs, spark.createDataFrame(labels, "doc_id long, toxic int")).where("doc_id = 1000").first().passages
+    for m in re.finditer("vilea vileb vilec", text):
+        assert any(p.start <= m.start() and m.end() <= p.start + p.length for p in found), found
