@@ -1,8 +1,9 @@
 """Toxic passages as maximum-scoring segments over token log-odds.
 
 * Learning: every training document counts once for each of its words and for
-  their first four and five bytes. Counts live in hashed slots, so a model has
-  one fixed size however large the vocabulary grows. A token's score is the
+  their first four and five bytes. Forms are told apart by 62 bits of their
+  hash, and those seen too seldom to be used are left out of the model, which
+  grows with the others by 16 bytes each. A token's score is the
   log-odds of toxic documents given its longest form that was seen often
   enough, under a Dirichlet prior at the base rate, less one standard error and
   a drift that makes ordinary text score below zero.
@@ -21,15 +22,16 @@ from collections.abc import Iterator, Sequence
 from dataclasses import dataclass
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import Stage, clash_free
-from .words import NOT_ALNUM, find_words, hash_words, text_slices, utf8
+from .words import NOT_ALNUM, find_words, hash_words, mix, text_slices, utf8
 
-#: Each of the three forms of a token has 2^BITS slots: 24 MB of counts in all.
-BITS = 20
+#: Forms that a task counts before it gives them out.
+WAITING = 1 << 20
 #: Bytes of the prefixes, from general to special; the whole word comes last.
 PREFIXES = (4, 5)
 #: Documents in which a form must occur to be used.
@@ -41,7 +43,7 @@ MOST_EVIDENCE = 60.0
 
 
 class Tokens:
-    """Tokens of a batch of texts: places, owners and slots."""
+    """Tokens of a batch of texts: places, owners and the key of each form."""
 
     def __init__(self, texts: Sequence[bytes]) -> None:
         blob = np.frombuffer(b" ".join(texts), np.uint8)
@@ -52,14 +54,15 @@ class Tokens:
         self.owner = np.repeat(np.arange(len(texts)), self.counts)
         forms = [hash_words(blob, self.starts, np.minimum(self.ends, self.starts + p)) for p in PREFIXES]
         forms.append(hash_words(blob, self.starts, self.ends))
-        self.slots = np.stack([(h >> np.uint64(64 - BITS)).astype(np.int64) for h in forms])
+        self.keys = np.stack([(h & ~np.uint64(3) | np.uint64(form)).view(np.int64) for form, h in enumerate(forms)])
 
 
 @dataclass
 class Model:
-    """Counts of documents by slot, and what the calibration found."""
+    """Counts of documents by form, and what the calibration found."""
 
-    seen: np.ndarray  # documents, by form and slot
+    keys: np.ndarray  # of all forms, ascending
+    seen: np.ndarray  # documents
     toxic: np.ndarray  # toxic ones
     base: float  # share of toxic documents
     rate: float = 1.0
@@ -67,11 +70,20 @@ class Model:
     slope: float = 1.0
     level: float = 0.0
 
-    def scores(self, slots: np.ndarray, without: np.ndarray | None = None, label: np.ndarray | None = None) -> np.ndarray:
+    def counts(self, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Documents and toxic documents of each key; 0 for one that the model lacks."""
+        if not len(self.keys):
+            return np.zeros(len(keys)), np.zeros(len(keys))
+        which, listed = pd.factorize(keys)
+        at = np.minimum(np.searchsorted(self.keys, listed), len(self.keys) - 1)
+        known = self.keys[at] == listed
+        return np.where(known, self.seen[at], 0).astype(float)[which], np.where(known, self.toxic[at], 0).astype(float)[which]
+
+    def scores(self, keys: np.ndarray, without: np.ndarray | None = None, label: np.ndarray | None = None) -> np.ndarray:
         """Token scores. ``without`` marks tokens whose own document (of ``label``) is left out of the counts."""
-        out = np.full(slots.shape[1], -DRIFT)
-        for form in range(len(slots)):
-            n, t = self.seen[form][slots[form]].astype(float), self.toxic[form][slots[form]].astype(float)
+        out = np.full(keys.shape[1], -DRIFT)
+        for form in keys:
+            n, t = self.counts(form)
             if without is not None:
                 n, t = n - without, t - without * label
             a, b = t + PRIOR * self.base, n - t + PRIOR * (1 - self.base)
@@ -103,21 +115,35 @@ def held_out(id_column: Column) -> Column:
     return F.coalesce(F.crc32(id_column.cast("string").cast("binary")) % 4 == 2, F.lit(False))
 
 
+def _added(parts: list[tuple]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Counts of several lists as one, by ascending key."""
+    keys, seen, toxic = (np.concatenate(x) for x in zip(*parts, strict=True))
+    keys, which = np.unique(keys, return_inverse=True)
+    return keys, np.bincount(which, seen, len(keys)).astype(np.int64), np.bincount(which, toxic, len(keys)).astype(np.int64)
+
+
 def _count(batches) -> Iterator[pa.RecordBatch]:
-    forms, size = len(PREFIXES) + 1, 1 << BITS
-    seen, toxic = np.zeros(forms << BITS, np.int64), np.zeros(forms << BITS, np.int64)
+    """Partial ``(key, seen, toxic)``; a key may come more than once."""
+    def told(counts):
+        for k in range(0, len(counts[0]), 100_000):
+            yield pa.RecordBatch.from_arrays([pa.array(x[k : k + 100_000]) for x in counts], ["key", "seen", "toxic"])
+
+    held, fresh = [], 0
     for batch in text_slices(batches, "text"):
         tokens = Tokens(utf8(batch.column("text")))
-        label = batch.column("label").to_numpy(zero_copy_only=False).astype(bool)
-        for form in range(forms):
-            once = np.unique(tokens.owner << BITS | tokens.slots[form])
-            at = (once & (size - 1)) + (form << BITS)
-            np.add.at(seen, at, 1)
-            np.add.at(toxic, at[label[once >> BITS]], 1)
-    slot = np.flatnonzero(seen)
-    for k in range(0, len(slot), 100_000):
-        s = slot[k : k + 100_000]
-        yield pa.RecordBatch.from_arrays([pa.array(s), pa.array(seen[s]), pa.array(toxic[s])], ["slot", "seen", "toxic"])
+        label = batch.column("label").to_numpy(zero_copy_only=False).astype(np.int64)[tokens.owner]
+        apart = mix(tokens.owner.astype(np.uint64) + np.uint64(1))
+        for keys in tokens.keys:
+            once = ~pd.Series(mix(keys.view(np.uint64) ^ apart)).duplicated().to_numpy()
+            held.append(_added([(keys[once], np.ones(once.sum(), np.int64), label[once])]))
+            fresh += len(held[-1][0])
+        if fresh > WAITING:
+            held = [_added(held)]
+            fresh = 0
+            if len(held[0][0]) > WAITING:
+                yield from told(held.pop())
+    if held:
+        yield from told(_added(held))
 
 
 def _scan(shared, leave_out: bool):
@@ -127,7 +153,7 @@ def _scan(shared, leave_out: bool):
             texts = utf8(batch.column("text"))
             tokens = Tokens(texts)
             label = batch.column("label").to_numpy(zero_copy_only=False).astype(float)[tokens.owner] if leave_out else None
-            scores = model.scores(tokens.slots, np.ones(len(tokens.owner)) if leave_out else None, label)
+            scores = model.scores(tokens.keys, np.ones(len(tokens.owner)) if leave_out else None, label)
             found: list[list[tuple]] = [[] for _ in texts]
             for k in np.unique(tokens.owner[scores > 0]).tolist():
                 a, begin = tokens.offsets[k], tokens.begins[k]
@@ -174,14 +200,11 @@ def train(docs: DataFrame, labels: DataFrame, stage: Stage) -> Model:
     known = labels.where("label IS NOT NULL AND id IS NOT NULL").where(~held_out(F.col("id"))).groupBy("id").agg((F.max("label") == 1).alias("label"))
     known = stage.put(known, "known")
     rows = docs.join(stage.small(known, "known"), "id").select("id", "text", "label")
-    counts = rows.select("text", "label").mapInArrow(_count, "slot long, seen long, toxic long").groupBy("slot").agg(F.sum("seen").alias("seen"), F.sum("toxic").alias("toxic"))
-    table = counts.toArrow()  # at most three forms of 2^BITS slots
-    seen, toxic = (np.zeros((len(PREFIXES) + 1) << BITS, np.int32) for _ in range(2))
-    slot = table["slot"].to_numpy()
-    seen[slot], toxic[slot] = table["seen"].to_numpy(), table["toxic"].to_numpy()
+    counts = rows.select("text", "label").mapInArrow(_count, "key long, seen long, toxic long").groupBy("key").agg(F.sum("seen").alias("seen"), F.sum("toxic").alias("toxic"))
+    table = counts.where(F.col("seen") >= SEEN).toArrow().sort_by("key")  # others are never used
+    keys, seen, toxic = table["key"].to_numpy(), table["seen"].to_numpy().astype(np.int32), table["toxic"].to_numpy().astype(np.int32)
     n, t = known.agg(F.count("*"), F.count_if("label")).first()
-    shape = (len(PREFIXES) + 1, 1 << BITS)
-    model = Model(seen.reshape(shape), toxic.reshape(shape), (t + 0.5) / (n + 1) if n else 0.05)
+    model = Model(keys, seen, toxic, (t + 0.5) / (n + 1) if n else 0.05)
     kind = docs.schema["id"].dataType.simpleString()
     scanned = rows.mapInArrow(_scan(spark.sparkContext.broadcast(model), True), f"id {kind}, label boolean, n_tokens long, {_PASSAGES}")
     scanned = stage.put(scanned.select("label", "n_tokens", "passages"), "scanned")

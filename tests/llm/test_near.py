@@ -200,3 +200,13 @@ def test_each_copy_of_a_toxic_passage_is_found(spark):
     found = toxicity.toxicity(docs, spark.createDataFrame(labels, "doc_id long, toxic int")).where("doc_id = 1000").first().passages
     for m in re.finditer("vilea vileb vilec", text):
         assert any(p.start <= m.start() and m.end() <= p.start + p.length for p in found), found
+
+
+def test_rare_toxic_words_stay_apart_in_a_large_vocabulary(spark):
+    texts = [(k, " ".join(f"{k * 9000 + j:x}q" for j in range(9000))) for k in range(150)] * 3  # 1.35 million words, three times each
+    rows = [(k, text, 0) for k, (_, text) in enumerate(texts)] + [(1000 + k, f"vilea{k % 10} vileb{k % 10}", 1) for k in range(100)]
+    docs = spark.createDataFrame(rows, "id long, text string, label int").repartition(4)
+    model = toxicity.train(docs.select("id", "text"), docs.select("id", "label"), Stage(spark, "t"))
+    words = [f"vile{x}{k}" for x in "ab" for k in range(10)]
+    seen, bad = model.counts(toxicity.Tokens([" ".join(words).encode()]).keys[-1])
+    assert (seen == bad).all() and seen.min() >= 3
