@@ -11,20 +11,35 @@ from loomspan.llm.common import Stage
 from loomspan.session import attach
 
 
+def numbered(docs: DataFrame, stage: Stage) -> DataFrame:
+    """The written rows with a key of their own, as ids may be null or stand for several rows."""
+    return stage.put(docs.withColumn("__row", F.monotonically_increasing_id()), "rows")
+
+
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the toxicity model, learnt from the labels table, does not reject."""
-    marks = toxicity.toxicity(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
     stage = Stage(spark, "toxic")
-    bad = stage.put(marks.where("predicted = 1 AND doc_id IS NOT NULL").select("doc_id").distinct(), "bad")
-    return docs.join(stage.small(bad, "bad"), "doc_id", "left_anti").select(docs.columns)
+    rows = numbered(docs, stage)
+    marks = toxicity.toxicity(rows, spark.read.parquet(f"{sf_dir}/labels.parquet"), row_column="__row")
+    bad = stage.put(marks.where("predicted = 1").select("__row"), "bad")
+    return rows.join(stage.small(bad, "bad"), "__row", "left_anti").select(docs.columns)
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each near-duplicate group (five-word shingles, similarity 0.8): the least id."""
-    marks = minhash.near_duplicates(docs)
+    """One row of each near-duplicate group (five-word shingles, similarity 0.8): the least id, null last.
+
+    Rows are compared by their texts alone, so rows that share an id stay if their texts differ.
+    """
     stage = Stage(spark, "near")
-    gone = stage.put(marks.where("NOT kept").select("doc_id").distinct(), "gone")
-    return docs.join(stage.small(gone, "gone"), "doc_id", "left_anti").select(docs.columns)
+    rows = numbered(docs, stage)
+    marks = minhash.near_duplicates(rows, id_column="__row").select("__row", "component_id", "kept")
+    marks = stage.put(marks.join(rows.select("__row", "doc_id").hint("merge"), "__row"), "marks")
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", F.col("__row").alias("row")))
+    best = marks.groupBy("component_id").agg(first.alias("first")).select("component_id", F.col("first.row").alias("row"))
+    best = stage.put(best.where("row <> component_id"), "best")  # where the least row hasn't the least id
+    gone = marks.where("NOT kept").select("__row").join(stage.small(best.select(F.col("row").alias("__row")), "best"), "__row", "left_anti")
+    gone = stage.put(gone.union(best.select("component_id")), "gone")
+    return rows.join(stage.small(gone, "gone"), "__row", "left_anti").select(docs.columns)
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

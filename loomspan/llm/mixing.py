@@ -75,8 +75,8 @@ def _round(queue: DataFrame, sources: DataFrame, config: Mix, slots: int) -> Dat
 
 
 def _run(docs: DataFrame, config: Mix, stage: Stage) -> tuple[DataFrame, DataFrame]:
-    """The queue ``(row, id, place, size, u, epoch, finish)`` after all rounds, and the sources."""
-    sizes = docs.select("id", "source", F.coalesce(F.regexp_count("text", F.lit(WORDS)), F.lit(0)).cast("long").alias("size"), F.monotonically_increasing_id().alias("row"))
+    """The queue ``(row, id, place, size, u, epoch, finish)`` after all rounds, and the sources; rows are numbered if ``docs`` has no ``row``."""
+    sizes = docs.select("id", "source", F.coalesce(F.regexp_count("text", F.lit(WORDS)), F.lit(0)).cast("long").alias("size"), F.col("row") if "row" in docs.columns else F.monotonically_increasing_id().alias("row"))
     sizes = stage.put(sizes, "sizes")
     sources = stage.put(targets(sizes, config), "sources")
     named = sizes.join(stage.small(sources.select("source", "place"), "sources"), sizes["source"].eqNullSafe(sources["source"])).select("row", "id", "place", "size")
@@ -111,12 +111,13 @@ def plan(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text",
 def mixed(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text", source_column: str = "source", config: Mix = Mix()) -> DataFrame:
     """The mix itself: ``docs`` rows, each as often as it is taken, range-sorted by virtual finish time.
 
-    Ids should be unique: a row is matched to the queue by its id, and where
-    rows share one, each comes as often as the copies of them all. Null ids are matched too.
+    Rows are written with a key of their own, by which the queue's copies are
+    matched, so ids may be null or stand for several rows.
     """
     stage = Stage(docs.sparkSession, "mixing")
-    queue, _ = _run(clash_free(docs, id=id_column, text=text_column, source=source_column), config, stage)
-    order = queue.where("finish IS NOT NULL").groupBy(F.col("id").alias("__id")).agg(F.collect_list("finish").alias("__finish"))
-    rows = docs.join(order.hint("merge"), F.col(f"`{id_column}`").eqNullSafe(F.col("__id"))).drop("__id")
+    rows = stage.put(docs.withColumn("__row", F.monotonically_increasing_id()), "rows")
+    queue, _ = _run(clash_free(rows, id=id_column, text=text_column, source=source_column, row="__row"), config, stage)
+    order = queue.where("finish IS NOT NULL").groupBy(F.col("row").alias("__row")).agg(F.collect_list("finish").alias("__finish"))
+    rows = rows.join(order.hint("merge"), "__row").drop("__row")
     rows = rows.withColumn("__finish", F.explode("__finish"))
     return rows.repartitionByRange("__finish", f"`{id_column}`").sortWithinPartitions("__finish", f"`{id_column}`").drop("__finish")

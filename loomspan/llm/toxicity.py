@@ -232,19 +232,21 @@ def evidence(model: Model) -> Column:
 
 
 def score(docs: DataFrame, model: Model) -> DataFrame:
-    """``docs(id, text)`` as ``(id, n_tokens, passages, score)``; passages are the significant segments, by code points."""
-    kind = docs.schema["id"].dataType.simpleString()
+    """``docs(id, text)``, and ``row`` if there, as ``(id, row, n_tokens, passages, score)``; passages are the significant segments, by code points."""
+    told = [c for c in docs.columns if c != "text"]
+    kinds = ", ".join(f"{c} {docs.schema[c].dataType.simpleString()}" for c in told)
     shared = docs.sparkSession.sparkContext.broadcast(model)
-    scanned = docs.select("id", "text").mapInArrow(_scan(shared, False), f"id {kind}, n_tokens long, {_PASSAGES}")
+    scanned = docs.select(*told, "text").mapInArrow(_scan(shared, False), f"{kinds}, n_tokens long, {_PASSAGES}")
     curve = F.lit(1.0) / (F.lit(1.0) + F.exp(-(F.lit(model.slope) * evidence(model) + F.lit(model.level))))
     return scanned.withColumn("score", curve)
 
 
-def toxicity(docs: DataFrame, labels: DataFrame, id_column: str = "doc_id", text_column: str = "text", label_column: str = "toxic", threshold: float = 0.3) -> DataFrame:
+def toxicity(docs: DataFrame, labels: DataFrame, id_column: str = "doc_id", text_column: str = "text", label_column: str = "toxic", threshold: float = 0.3, row_column: str | None = None) -> DataFrame:
     """One row per input row: ``id_column``, ``held_out``, ``score`` (0 to 1), ``predicted``, ``passages``.
 
     Only the text enters a score. ``passages`` lists the significant segments
-    as start and length in code points, with their segment score.
+    as start and length in code points, with their segment score. A
+    ``row_column`` comes along, as rows may share an id.
 
     * a null, empty or wordless text has no passage and the lowest score;
     * a null id is scored and is not held out; equal texts score alike;
@@ -252,7 +254,8 @@ def toxicity(docs: DataFrame, labels: DataFrame, id_column: str = "doc_id", text
     * an empty table gives no rows; without labels all rows score alike.
     """
     stage = Stage(docs.sparkSession, "toxicity")
-    ids = clash_free(docs, id=id_column, text=text_column)
+    ids = clash_free(docs, id=id_column, text=text_column, **({"row": row_column} if row_column else {}))
     model = train(ids, clash_free(labels, id=id_column, label=label_column), stage)
     out = score(ids, model)
-    return out.select(F.col("id").alias(id_column), held_out(F.col("id")).alias("held_out"), "score", (F.col("score") >= threshold).cast("int").alias("predicted"), "passages", "n_tokens")
+    row = [F.col("row").alias(row_column)] if row_column else []
+    return out.select(*row, F.col("id").alias(id_column), held_out(F.col("id")).alias("held_out"), "score", (F.col("score") >= threshold).cast("int").alias("predicted"), "passages", "n_tokens")

@@ -194,6 +194,32 @@ def test_pipeline_stages(spark):
     assert last.count() == kept.count() > 0
 
 
+def test_pipeline_decides_by_row(spark, tmp_path):
+    import corpus_pipeline
+
+    r = random.Random(8)
+    clean = lambda n=40: " ".join(f"w{r.randrange(300)}" for _ in range(n))
+    bad = lambda: f"{clean(20)} vilea vileb vilec {clean(20)}"
+    learnt = [(k, bad() if k % 6 == 0 else clean(), "a") for k in range(600)]
+    spark.createDataFrame([(k, int(k % 6 == 0)) for k in range(600)], "doc_id long, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    odd = [(None, bad(), "a"), (None, clean(), "a"), (700, bad(), "a"), (700, "fine " + clean(), "a")]
+    docs = spark.createDataFrame(learnt + odd, "doc_id long, text string, source string")
+    left = {x.text for x in corpus_pipeline.drop_toxic(spark, docs, str(tmp_path)).collect()}
+    assert [x[1] in left for x in odd] == [False, True, False, True]
+
+    one, two = clean(), clean()
+    rows = [(None, one, "a"), (9, one, "a"), (5, one, "a"), (5, one, "a"), (5, two, "a"), (6, "", "a"), (6, None, "a")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    kept = sorted(((x.doc_id, x.text or "") for x in corpus_pipeline.near_dedup(spark, docs, "").collect()))
+    assert kept == sorted([(5, one), (5, two), (6, ""), (6, "")])
+
+    rows = [(1, f"{k} " + "w " * 9, "a") for k in range(6)] + [(None, f"n{k} " + "w " * 9, "b") for k in range(6)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    mix = mixing.mixed(docs).groupBy("text").count().collect()
+    assert max(x["count"] for x in mix) <= 2
+    assert sum(x["count"] for x in mix) == mixing.plan(docs).agg(F.sum("copies")).first()[0]
+
+
 @pytest.mark.parametrize("name", sorted(queries.QUERIES))
 def test_query_runs(spark, name):
     table = "embeddings" if name.startswith("op1_") else "pages" if re.match("op[37]_", name) else "conversations" if name.startswith("op5_") else "documents"
