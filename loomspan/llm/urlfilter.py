@@ -14,8 +14,6 @@ from pyspark.sql import functions as F
 
 from .common import Stage, clash_free
 
-#: Leading path segments that a pattern may have.
-PATH_DEPTH = 4
 _URL = r"^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]*)(?::[0-9]*)?([^?#]*)"
 
 
@@ -27,12 +25,12 @@ def url_path(url: Column) -> Column:
     return F.regexp_extract(F.coalesce(url, F.lit("")), _URL, 2)
 
 
-def patterns(url: Column) -> Column:
-    """Patterns that could match a URL: ``host/a/b``, shorter paths, the host, and ``.domain`` for it and each parent."""
+def patterns(url: Column, depth: int) -> Column:
+    """Patterns of up to ``depth`` path segments that could match a URL: ``host/a/b``, shorter paths, the host, and ``.domain`` for it and each parent."""
     host = url_host(url)
     labels = F.split(host, r"\.")
-    steps = F.slice(F.filter(F.split(url_path(url), "/"), lambda s: s != ""), 1, PATH_DEPTH)
-    paths = F.transform(F.filter(F.sequence(F.lit(0), F.lit(PATH_DEPTH)), lambda k: (k > 0) & (k <= F.size(steps))), lambda k: F.concat(host, F.lit("/"), F.array_join(F.slice(steps, F.lit(1), k), "/")))
+    steps = F.slice(F.filter(F.split(url_path(url), "/"), lambda s: s != ""), 1, depth)
+    paths = F.transform(F.filter(F.sequence(F.lit(0), F.size(steps)), lambda k: k > 0), lambda k: F.concat(host, F.lit("/"), F.array_join(F.slice(steps, F.lit(1), k), "/")))
     parents = F.transform(F.sequence(F.lit(1), F.size(labels)), lambda k: F.concat(F.lit("."), F.array_join(F.slice(labels, k, F.size(labels)), ".")))
     return F.when(host != "", F.array_distinct(F.concat(paths, F.array(host), parents))).otherwise(F.array().cast("array<string>"))
 
@@ -64,8 +62,9 @@ def decide(captures: DataFrame, entries: DataFrame, id_column: str = "page_id",
     """
     stage = Stage(captures.sparkSession, "urls")
     active = stage.put(intervals(clash_free(entries, list="list", pattern="pattern", action="action", at="at")), "intervals")
+    depth = active.agg(F.max(F.regexp_count("pattern", F.lit("/")))).first()[0] or 0  # of the deepest entry
     asked = clash_free(captures, id=id_column, url=url_column, at=time_column).withColumn("row", F.monotonically_increasing_id())
-    asked = stage.put(asked.select("row", "id", "at", patterns(F.col("url")).alias("patterns")), "asked")
+    asked = stage.put(asked.select("row", "id", "at", patterns(F.col("url"), depth).alias("patterns")), "asked")
     tried = asked.select("row", "at", F.explode("patterns").alias("pattern"))
     holds = (F.col("valid_from") <= F.col("at")) & (F.col("valid_to").isNull() | (F.col("at") < F.col("valid_to")))
     if stage.size("intervals") <= 32 << 20:

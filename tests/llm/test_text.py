@@ -180,6 +180,13 @@ def test_url_filters_as_of(spark):
     assert urlfilter.decide(c, e.limit(0)).where("decision <> 'none'").count() == 0
 
 
+def test_url_filters_match_paths_of_any_depth(spark):
+    e = spark.createDataFrame([("block", "x.org/a/b/c/d/e", "add", 1), ("allow", "x.org/a/b/c/d/e/f/g", "add", 1), ("allow", "x.org", "add", 1)], "list string, pattern string, action string, at int")
+    c = spark.createDataFrame([(1, "http://x.org/a/b/c/d/e", 2), (2, "http://x.org/a/b/c/d/e/f/g/h", 2), (3, "http://x.org/a/b/c/d", 2), (4, "http://x.org", 2)], "page_id long, url string, fetched int")
+    got = sorted((r.page_id, r.decision, r.pattern) for r in urlfilter.decide(c, e).collect())
+    assert got == [(1, "block", "x.org/a/b/c/d/e"), (2, "allow", "x.org/a/b/c/d/e/f/g"), (3, "allow", "x.org"), (4, "allow", "x.org")]
+
+
 def test_pipeline_stages(spark):
     import corpus_pipeline
 
