@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -93,6 +94,13 @@ def vector_topk(corpus: DataFrame, queries: DataFrame, k: int = 8) -> DataFrame:
     return scored.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", "rank", "id", "score")
 
 
+def vector_topk_blocks(corpus: DataFrame, queries: DataFrame, k: int = 8, block: int = 4096) -> DataFrame:
+    """The rows of ``vector_topk_kernel`` for any number of queries of distinct ids, one block after another."""
+    ids = sorted(r.query_id for r in queries.select("query_id").where("query_id IS NOT NULL").collect())
+    parts = [vector_topk_kernel(corpus, queries.where(F.col("query_id").between(ids[a], ids[min(a + block, len(ids)) - 1])), k, block) for a in range(0, len(ids), block)]
+    return reduce(DataFrame.union, parts or [vector_topk_kernel(corpus, queries.limit(0), k, block)])
+
+
 def vector_topk_kernel(corpus: DataFrame, queries: DataFrame, k: int = 8, block: int = 4096) -> DataFrame:
     """The same rows as ``vector_topk`` by matrix products over Arrow batches.
 

@@ -117,6 +117,13 @@ def j8(spark, sf_dir):
     return ev.traces(e.select("event_id", "second"), faults, 60)
 
 
+@query("J8_traces_all", ORACLE["J8_traces"].replace(" AND f.event_id % 10 = 0", ""))
+def j8_all(spark, sf_dir):
+    """Events within a minute of every fault."""
+    e = events(spark, sf_dir)
+    return ev.traces(e.select("event_id", "second"), e.where("event_type = 'error'").select(F.col("event_id").alias("fault_id"), F.col("second").alias("fault_second")), 60)
+
+
 @query("W4_rolling_speed", f"WITH {E} SELECT event_id, round(sum(value) OVER w / greatest((second - min(second) OVER w)::DOUBLE, 0.1), 6) AS speed FROM e WINDOW w AS (PARTITION BY user_id ORDER BY second RANGE BETWEEN 30 PRECEDING AND CURRENT ROW)")
 def w4(spark, sf_dir):
     """Rolling speed of each run."""

@@ -82,6 +82,13 @@ def _kernel(spark, sf_dir):
     return vector.vector_topk_kernel(corpus, corpus.where("id < 20").withColumnRenamed("id", "query_id")).withColumn("score", F.round("score", 6))
 
 
+@query("T1_vector_topk_all", ORACLE["T1_vector_topk"].replace("q.vec_id < 20", "q.vec_id % 100 = 0"))
+def t1_all(spark, sf_dir):
+    """The eight nearest vectors of every hundredth row, asked in blocks of the kernel's size."""
+    corpus = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("id"), F.col("embedding").alias("vector"))
+    return vector.vector_topk_blocks(corpus, corpus.where("id % 100 = 0").withColumnRenamed("id", "query_id")).withColumn("score", F.round("score", 6))
+
+
 @query("E5_l2_normalise", f"WITH e AS ({UNIT}) SELECT vec_id, round(sqrt(list_sum(list_transform(v, lambda x: x * x))), 6) AS norm, round(v[1] / sqrt(list_sum(list_transform(v, lambda x: x * x))), 6) AS first FROM e")
 def e5(spark, sf_dir):
     """Norm and first normalised component of every vector."""

@@ -95,6 +95,19 @@ def st9(spark, sf_dir):
     return _drained(spark, sf_dir, lambda s: jobs.traced(s, s.where("event_type = 'error' AND event_id % 10 = 0"), late="60 days"), "append").select("fault_id", "event_id")
 
 
+@query("ST9_traces_all", ORACLE["ST9_traces"].replace(" AND f.event_id % 10 = 0", ""))
+def st9_all(spark, sf_dir):
+    """Events within a minute of every fault, by a stream-stream join."""
+    return _drained(spark, sf_dir, lambda s: jobs.traced(s, s.where("event_type = 'error'"), late="60 days"), "append").select("fault_id", "event_id")
+
+
+@query("ST7_faults_all")
+def st7_all(spark, sf_dir):
+    """Every error event classified and joined with a playbook."""
+    playbook = spark.createDataFrame([("INTERNAL_ERROR", "look at the log"), ("AUTH_ERROR", "check the key"), ("API_ERROR", "try again later")], "error_class string, advice string")
+    return _drained(spark, sf_dir, lambda s: jobs.faults(s, playbook), "append").select("event_id", "error_class", "severity", "advice")
+
+
 @query("S3_extract_html")
 def s3(spark, sf_dir):
     """Visible text, title and sizes of every page."""

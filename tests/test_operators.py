@@ -141,3 +141,23 @@ def test_corpus_scan_and_extractors(spark, tmp_path):
     found = files.scan_corpus(spark, str(tmp_path), [".txt", ".html", ".xyz"], [".git"], content=True)
     got = {r.path.rsplit("/", 1)[1]: r for r in files.extract(found).collect()}
     assert set(got) == {"a.txt", "b.HTML", "d.xyz"} and got["b.HTML"].text == "hi" and got["a.txt"].text == "good � text" and got["d.xyz"].error == "no extractor"
+
+
+def test_all_faults_are_classified_and_traced(spark, tmp_path):
+    from loomspan.plans import all_queries
+
+    props = ["401 Unauthorized", "code 429", "HTTP 503", "odd"]
+    rows = [(k, 1_700_000_040 + 60 * k, 1, "error" if k % 2 else "view", 1.0, props[k // 2 % 4]) for k in range(16)]
+    made = spark.createDataFrame(rows, "event_id long, s long, user_id long, event_type string, value double, props string")
+    made.select("event_id", F.timestamp_seconds("s").cast("timestamp_ntz").alias("ts"), "user_id", "event_type", "value", "props").write.parquet(f"{tmp_path}/events.parquet")
+    got = {r.event_id: r.error_class for r in all_queries()["ST7_faults_all"](spark, str(tmp_path)).collect()}
+    assert got == {k: ("AUTH_ERROR", "API_ERROR", "API_ERROR", "INTERNAL_ERROR")[k // 2 % 4] for k in range(1, 16, 2)}
+    near = {(f, e) for f in range(1, 16, 2) for e in (f - 1, f, f + 1) if e < 16}
+    for name in ("J8_traces_all", "ST9_traces_all"):
+        assert {(r.fault_id, r.event_id) for r in all_queries()[name](spark, str(tmp_path)).collect()} == near
+
+
+def test_vector_blocks_equal_one_block(spark):
+    corpus = spark.createDataFrame([(k, [float(k % 7), float(k % 5), 1.0]) for k in range(40)], "id long, vector array<double>")
+    asked = corpus.where("id % 3 = 0").withColumnRenamed("id", "query_id")
+    assert sorted(vector.vector_topk_blocks(corpus, asked, 4, 5).collect()) == sorted(vector.vector_topk_kernel(corpus, asked, 4).collect())
