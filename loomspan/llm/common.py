@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
@@ -10,20 +11,37 @@ from pyspark.sql import functions as F
 
 #: Largest table, in bytes as stored, that an operator sends to every executor.
 BROADCAST_BYTES = 32 << 20
+#: Most bytes of an Arrow batch on its way to Python, unless the session sets fewer.
+BATCH_BYTES = 4 << 20
 
 
 def shared_folder(spark: SparkSession) -> str:
     """The folder that driver and executors share: ``spark.checkpoint.dir``.
 
-    Only where a session names none (local tests) is a temporary folder made.
+    Only a local master may go without: it gets a temporary folder. Elsewhere
+    executors could not see it, so a session that names none is refused.
     """
     folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not folder:
+        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         spark.sparkContext.setCheckpointDir("file://" + tempfile.mkdtemp(prefix="loomspan-"))
         folder = spark.sparkContext.getCheckpointDir()
     return folder.rstrip("/")
 
 
+def bounded_batches(spark: SparkSession) -> SparkSession:
+    """Lowers the session's bound on bytes of an Arrow batch to ``BATCH_BYTES``; returns ``spark``.
+
+    Rows of long texts or lists would else fill batches of many times that, once in the JVM and once in the worker.
+    """
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    now = spark._jvm.org.apache.spark.network.util.JavaUtils.byteStringAsBytes(spark.conf.get(key))
+    if now <= 0 or now > BATCH_BYTES:
+        spark.conf.set(key, str(BATCH_BYTES))
+    return spark
+
+
 class Stage:
     """Written tables that cut lineage: each is Parquet in the shared folder.
 
@@ -32,7 +50,7 @@ class Stage:
     """
 
     def __init__(self, spark: SparkSession, name: str) -> None:
-        self.spark = spark
+        self.spark = bounded_batches(spark)
         self.root = f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
         self._fs(self.root).deleteOnExit(self._path(self.root))
 
