@@ -111,7 +111,7 @@ def op8_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents encoded and decoded with the 32k piece model, as counts and digests."""
     model = public_tokenizers.path("piece_bpe_32k.model")
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    both = subword.decode(subword.encode(docs, model).drop("text"), model)
+    both = subword.encode(docs, model, decoded_column="decoded")
     listed = F.array_join(F.col("ids").cast("array<string>"), ",")
     return both.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), F.sha2(listed, 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
 

@@ -4,16 +4,20 @@ Texts are cut where no merge can cross: before a space that follows another
 character, around line ends, and inside a word between characters that stand
 side by side in no piece. Each distinct stretch of a batch is encoded once, all
 of them together: flat arrays hold the symbols of every stretch, each round
-finds the least pair rank of every segment, merges its leftmost pair of that
-rank in all segments at once, and drops segments without a pair. That is the
-order in which the library pops its queue. Characters without a piece become
-byte pieces. Decoding gathers piece bytes by table lookup.
+finds the least pair rank of every segment, merges its pairs of that rank from
+the left in all segments at once, and drops segments without a pair. Characters
+without a piece become byte pieces. Decoding gathers piece bytes by table lookup.
+
+The library pops the least rank, leftmost first. A round may merge all pairs of
+the least rank if no pair with the merged piece has a lesser rank, else only the
+leftmost. In a segment longer than ``reach`` symbols a pair need only be least
+among the pairs within ``reach`` of it: no piece has more than half as many
+characters, so nothing that is merged before it can come so far.
 """
 
 from __future__ import annotations
 
 import codecs
-import heapq
 from functools import lru_cache
 
 import numpy as np
@@ -22,12 +26,11 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import bounded_batches
 from .words import UnitCache, text_slices, utf8
 
 SPACE = "▁"
 NO_PAIR = np.int64(1 << 40)
-#: Segments of more symbols go through a queue one by one: rounds over them would cost the square.
-LONG = 256
 
 
 class Pieces:
@@ -68,6 +71,14 @@ class Pieces:
                     pairs.append((left * self.base + right, order[model.pieces[i].score], i))
         pairs.sort()
         self.pair_key, self.pair_rank, self.pair_piece = (np.array(x, np.int64) for x in zip(*pairs, strict=True))
+        # ranks of one piece, whose pairs with others all rank behind it
+        rank_of = np.full(self.base, NO_PAIR)
+        rank_of[self.pair_piece] = self.pair_rank
+        self.apart = np.bincount(np.array([order[model.pieces[i].score] for i in normal.values()])) == 1
+        for part in (self.pair_key // self.base, self.pair_key % self.base):
+            early = self.pair_rank <= rank_of[part]
+            self.apart[rank_of[part[early & (rank_of[part] < NO_PAIR)]]] = False
+        self.reach = 2 * max(map(len, normal))
         self.beside = np.sort(np.array([ord(a) << 21 | ord(b) for a, b in beside], np.int64))
         # where a text may always be cut
         if any(b == SPACE and a != SPACE for a, b in beside):
@@ -113,14 +124,19 @@ class Pieces:
     def _merge(self, symbols: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Merges every segment to the end; gives first places and symbols in text order."""
         size = np.diff(bounds)
-        done = []
-        for k in np.flatnonzero(size > LONG):
-            done.append(self._merge_long(symbols[bounds[k] : bounds[k + 1]], int(bounds[k])))
         single = bounds[:-1][size == 1]
-        done.append((single, symbols[single]))
-        work = np.flatnonzero((size > 1) & (size <= LONG))
-        size = size[work]
-        place = np.repeat(bounds[work] - (np.cumsum(size) - size), size) + np.arange(int(size.sum()))
+        done = [(single, symbols[single])]
+        for work, wide in (((size > 1) & (size <= self.reach), False), (size > self.reach, True)):
+            if work.any():
+                done += self._rounds(symbols, bounds[:-1][work], size[work], wide)
+        places, values = (np.concatenate(x) for x in zip(*done, strict=True))
+        order = np.argsort(places)
+        return places[order], values[order]
+
+    def _rounds(self, symbols: np.ndarray, begin: np.ndarray, size: np.ndarray, wide: bool) -> list[tuple[np.ndarray, np.ndarray]]:
+        """Rounds over segments of ``size`` symbols from ``begin``; ``wide`` compares pairs within reach only."""
+        done = []
+        place = np.repeat(begin - (np.cumsum(size) - size), size) + np.arange(int(size.sum()))
         current = symbols[place]
         at, hit = self._find(self.pair_key, current[:-1] * self.base + current[1:])
         rank, piece = np.full(len(current), NO_PAIR), np.zeros(len(current), np.int64)
@@ -130,15 +146,17 @@ class Pieces:
             start = np.cumsum(size) - size
             least = np.minimum.reduceat(rank, start)
             alive = least < NO_PAIR
-            spot = np.flatnonzero((rank == np.repeat(least, size)) & (rank < NO_PAIR))
+            near = _least_within(rank, np.repeat(np.arange(len(size)), size), self.reach) if wide else np.repeat(least, size)
+            spot = np.flatnonzero((rank == near) & (rank < NO_PAIR))
             owner = np.searchsorted(start, spot, side="right") - 1
-            spot = spot[np.concatenate(([True], owner[1:] != owner[:-1]))] if len(spot) else spot
+            spot, owner = self._together(spot, owner, rank, least)
             current[spot] = piece[spot]
             keep = np.repeat(alive, size)
             done.append((place[~keep], current[~keep]))
             keep[spot + 1] = False
             moved = np.cumsum(keep) - 1
-            place, current, rank, piece, size = place[keep], current[keep], rank[keep], piece[keep], (size - 1)[alive]
+            size = (size - np.bincount(owner, minlength=len(size)))[alive]
+            place, current, rank, piece = place[keep], current[keep], rank[keep], piece[keep]
             # only pairs beside a merge have changed
             last = np.zeros(len(current) + 1, bool)
             last[np.cumsum(size) - 1] = True
@@ -148,36 +166,36 @@ class Pieces:
             rank[fresh] = NO_PAIR
             at, hit = self._find(self.pair_key, current[inner] * self.base + current[inner + 1])
             rank[inner[hit]], piece[inner[hit]] = self.pair_rank[at[hit]], self.pair_piece[at[hit]]
-        places, values = (np.concatenate(x) for x in zip(*done, strict=True))
-        order = np.argsort(places)
-        return places[order], values[order]
-
-    def _merge_long(self, symbols: np.ndarray, offset: int) -> tuple[np.ndarray, np.ndarray]:
-        """The same order of merges for one long segment, by a queue over a linked list."""
-        n, value = len(symbols), symbols.tolist()
-        before, after = list(range(-1, n - 1)), [*range(1, n), -1]
-        queue: list[tuple[int, int, int, int, int]] = []
-
-        def offer(lefts: list[int]) -> None:
-            lefts = [i for i in lefts if i >= 0 and after[i] >= 0]
-            if lefts:
-                at, hit = self._find(self.pair_key, np.array([value[i] * self.base + value[after[i]] for i in lefts]))
-                for i, k, ok in zip(lefts, at.tolist(), hit.tolist(), strict=True):
-                    if ok:
-                        heapq.heappush(queue, (int(self.pair_rank[k]), i, int(self.pair_piece[k]), value[i], value[after[i]]))
-
-        offer(list(range(n)))
-        while queue:
-            _, i, piece, left, right = heapq.heappop(queue)
-            j = after[i]
-            if value[i] != left or j < 0 or value[j] != right:
-                continue
-            value[i], value[j], after[i] = piece, -1, after[j]
-            if after[j] >= 0:
-                before[after[j]] = i
-            offer([before[i], i])
-        kept = np.flatnonzero(np.array(value) >= 0)
-        return kept + offset, np.array(value, np.int64)[kept]
+        return done
+
+    def _together(self, spot: np.ndarray, owner: np.ndarray, rank: np.ndarray, least: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Of the least pairs of each segment those that one round may merge: they don't overlap, and the rest would follow anyway."""
+        first = np.ones(len(spot), bool)  # the leftmost least pair of a segment
+        lowest = np.flatnonzero(rank[spot] == least[owner])
+        first[lowest[1:]] = owner[lowest[1:]] != owner[lowest[:-1]]
+        first[rank[spot] > least[owner]] = False
+        same = rank[spot - 1] == rank[spot]
+        same[spot == 0] = False
+        follows = np.zeros(len(spot), bool)
+        follows[1:] = same[1:] & (spot[1:] == spot[:-1] + 1)
+        head = np.flatnonzero(~follows)
+        run = np.repeat(np.arange(len(head)), np.diff(np.append(head, len(spot))))
+        cut = (same & ~follows)[head]  # an overlapping pair before the run has to wait
+        even = ((np.arange(len(spot)) - head[run]) % 2 == 0) & ~cut[run]
+        pick = first | (even & self.apart[rank[spot]])
+        return spot[pick], owner[pick]
+
+
+def _least_within(rank: np.ndarray, segment: np.ndarray, reach: int) -> np.ndarray:
+    """Least rank among the pairs up to ``reach`` places before or after, of the same segment."""
+    left, right, wide = rank.copy(), rank.copy(), 1
+    while wide <= reach:  # each step doubles the width that is seen
+        same = segment[wide:] == segment[:-wide]
+        ahead, behind = right[wide:].copy(), left[:-wide].copy()
+        right[:-wide][same] = np.minimum(right[:-wide][same], ahead[same])
+        left[wide:][same] = np.minimum(left[wide:][same], behind[same])
+        wide *= 2
+    return np.minimum(left, right)
 
 
 @lru_cache(maxsize=2)
@@ -196,8 +214,7 @@ class Encoder:
 
     def __init__(self, model: Pieces) -> None:
         self.model = model
-        self.cache = UnitCache(lambda units: model.encode_units([u.decode().replace(" ", SPACE) for u in units]))
-        self.cache.MOST_UNITS, self.cache.MOST_TOKENS = 120_000, 1_200_000  # idle workers keep it
+        self.cache = UnitCache(lambda units: model.encode_units([u.decode().replace(" ", SPACE) for u in units]), most_units=240_000)  # idle workers keep it
 
     def __call__(self, texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
         """Token ids of all texts one after another, and ``len(texts) + 1`` offsets."""
@@ -213,8 +230,8 @@ class Encoder:
             first[:-1] |= line
             first[1:] |= line
         starts = np.flatnonzero(first)
-        starts, ends = starts[:-1], starts[1:]
-        rows, which = self.cache.find(blob, starts, ends)
+        rows, which = self.cache.find(blob, np.diff(starts))
+        starts = starts[:-1]
         ids, size = self.cache.tokens(rows[which])
         upto = np.concatenate(([0], np.cumsum(size)))
         return ids, upto[np.searchsorted(starts, begins)]
@@ -240,22 +257,31 @@ def decode_ids(model: Pieces, ids: np.ndarray, offsets: np.ndarray) -> list[str]
     return texts
 
 
-def encode(docs: DataFrame, model_path: str, text_column: str = "text", ids_column: str = "ids") -> DataFrame:
+def encode(docs: DataFrame, model_path: str, text_column: str = "text", ids_column: str = "ids", decoded_column: str | None = None) -> DataFrame:
     """Adds ``ids_column`` (array<int>): the whole text encoded, without begin or end ids or sampling.
 
-    Null and empty texts have no ids. Other columns pass through; one that is
-    already called ``ids_column`` is replaced. Rows, ties and repeats stay.
+    ``decoded_column``, if named, is what the ids decode to, without a second
+    pass through Python. Null and empty texts have no ids. Other columns pass
+    through; one that is already called like a new column is replaced, and the
+    text too if ``decoded_column`` has its name. Rows, ties and repeats stay; an
+    empty table gives no rows.
     """
-    rest = [c for c in docs.columns if c != ids_column]
-    schema = docs.select(*(F.col(f"`{c}`") for c in rest)).withColumn(ids_column, F.lit(None).cast("array<int>")).schema
+    added = [ids_column] + ([decoded_column] if decoded_column else [])
+    rest = [c for c in docs.columns if c not in added]
+    needed = docs.select(*(F.col(f"`{c}`") for c in dict.fromkeys([*rest, text_column])))
+    schema = docs.select(*(F.col(f"`{c}`") for c in rest)).withColumn(ids_column, F.lit(None).cast("array<int>"))
+    schema = (schema.withColumn(decoded_column, F.lit(None).cast("string")) if decoded_column else schema).schema
 
     def run(batches):
         for batch in text_slices(batches, text_column):
             ids, offsets = encoder(model_path)(utf8(batch.column(text_column)))
-            column = pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(ids, pa.int32()))
-            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in rest), column], [*rest, ids_column])
+            columns = [pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(ids, pa.int32()))]
+            if decoded_column:
+                columns.append(pa.array(decode_ids(pieces(model_path), ids, offsets), pa.string()))
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in rest), *columns], [*rest, *added])
 
-    return docs.select(*(F.col(f"`{c}`") for c in rest)).mapInArrow(run, schema)
+    bounded_batches(docs.sparkSession)
+    return needed.mapInArrow(run, schema)
 
 
 def decode(df: DataFrame, model_path: str, ids_column: str = "ids", text_column: str = "decoded") -> DataFrame:
@@ -275,4 +301,5 @@ def decode(df: DataFrame, model_path: str, ids_column: str = "ids", text_column:
             texts = decode_ids(model, flat, offsets)
             yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in rest), pa.array(texts, pa.string())], [*rest, text_column])
 
+    bounded_batches(df.sparkSession)
     return df.select(*(F.col(f"`{c}`") for c in rest)).mapInArrow(run, schema)

@@ -17,7 +17,8 @@ keep and which task retries can't damage:
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import os
+from collections.abc import Callable, Iterable, Iterator
 from functools import lru_cache
 
 import numpy as np
@@ -72,6 +73,7 @@ class Tokenizer:
     """
 
     def __init__(self, path: str) -> None:
+        os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # a task has one core
         from tokenizers import Tokenizer as Library
 
         self.library = Library.from_file(path)
@@ -79,14 +81,13 @@ class Tokenizer:
         trial = [[e.ids for e in self.library.encode_batch([a + b + c, a, c], add_special_tokens=False)] for a, b, c in (("Ab,", " ", "'s é"), ("x", "\n", "́y"), ("1", "\t ", "2"), ("it", "", "'sa"), ("x", "", "<|endoftext|>"), ("Abc", "", ",.D"), ("a", "", "1b"))]
         if any(whole != left + right for whole, left, right in trial):
             raise ValueError("only tokenizers that drop white space are supported")
-        self.cache = UnitCache(self._encode)
-        self.cache.MOST_UNITS, self.cache.MOST_TOKENS = 1_200_000, 5_000_000
+        self.cache = UnitCache(self._encode, most_units=1_000_000)
 
     def _encode(self, units: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
         ids: list[int] = []
         sizes: list[int] = []
         for k in range(0, len(units), 4096):  # the library's results are large
-            for e in self.library.encode_batch([u.decode() for u in units[k : k + 4096]], add_special_tokens=False):
+            for e in self.library.encode_batch_fast([u.decode() for u in units[k : k + 4096]], add_special_tokens=False):
                 ids += e.ids
                 sizes.append(len(e))
         return np.array(ids, np.int32), np.array(sizes, np.int64)
@@ -105,7 +106,7 @@ class Tokenizer:
         last[:-1] = first[:-1] & ~blank[:-2]  # a stretch also ends where the next begins inside a word
         last[1:] |= ~blank[1:-1] & blank[2:]
         starts, ends = np.flatnonzero(first), np.flatnonzero(last)
-        rows, which = self.cache.find(blob, starts, ends)
+        rows, which = self.cache.find(blob[~blank[1:-1]], ends - starts)
         ids, sizes = self.cache.tokens(rows[which])
         return ids, np.concatenate(([0], np.cumsum(sizes)))[np.searchsorted(starts, begins)]
 
@@ -143,39 +144,34 @@ def _count(batches):
     yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(counts[at])], ["token", "n"])
 
 
-def _pack(shared):
-    """Ranks of each document, filled up to whole control bytes with rank 0."""
+def _blocks(shared) -> Callable[[Iterable[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """Blocks of the documents of one sorted partition; each document's ranks are filled up to whole control bytes with rank 0."""
     def run(batches):
-        for batch in batches:
-            both = []
-            for data, n in zip(batch.column("ids").to_pylist(), batch.column("size").to_pylist(), strict=True):
-                ranks = np.zeros(n + -n % 4, np.int64)
-                ranks[:n] = shared.value[_ids(data, n)]
-                both.append(pack(ranks))
-            yield pa.RecordBatch.from_arrays([batch.column("id"), batch.column("nth"), batch.column("size"), pa.array([c for c, _ in both], pa.binary()), pa.array([d for _, d in both], pa.binary())], ["id", "nth", "size", "control", "data"])
-    return run
-
-
-def _gather(batches) -> Iterator[pa.RecordBatch]:
-    """Blocks of the documents of one sorted partition."""
-    shard, block, before = TaskContext.get().partitionId(), 0, 0
-    docs, sizes, controls, data, held = [], [], [], [], 0
-    kind = None
+        rank_of, shard, block, before = shared.value, TaskContext.get().partitionId(), 0, 0
+        docs, sizes, lists, held, kind = [], [], [], 0, None
+
+        def close() -> pa.RecordBatch:
+            stored = np.array(sizes, np.int64)
+            filled = stored + -stored % 4
+            ranks = np.zeros(int(filled.sum()), np.int64)
+            spare = np.repeat(np.cumsum(filled) - filled - (np.cumsum(stored) - stored), stored)
+            ranks[spare + np.arange(len(spare))] = rank_of[np.concatenate(lists)]
+            control, data = pack(ranks)
+            return pa.RecordBatch.from_arrays([pa.array([shard]), pa.array([block]), pa.array([before]), pa.array([docs], pa.list_(kind)), pa.array([sizes], pa.list_(pa.int64())), pa.array([control], pa.binary()), pa.array([data], pa.binary())], ["shard", "block", "before", "doc_ids", "sizes", "control", "data"])
 
-    def close() -> pa.RecordBatch:
-        return pa.RecordBatch.from_arrays([pa.array([shard]), pa.array([block]), pa.array([before]), pa.array([docs], pa.list_(kind)), pa.array([sizes], pa.list_(pa.int64())), pa.array([b"".join(controls)], pa.binary()), pa.array([b"".join(data)], pa.binary())], ["shard", "block", "before", "doc_ids", "sizes", "control", "data"])
+        for batch in batches:
+            kind = batch.column("id").type
+            for doc, n, data in zip(*(batch.column(x).to_pylist() for x in ("id", "size", "ids")), strict=True):
+                docs.append(doc), sizes.append(n), lists.append(_ids(data, n))
+                held += n
+                if held >= BLOCK_IDS:
+                    yield close()
+                    block, before = block + 1, before + held
+                    docs, sizes, lists, held = [], [], [], 0
+        if docs:
+            yield close()
 
-    for batch in batches:
-        kind = batch.column("id").type
-        for doc, n, c, d in zip(*(batch.column(x).to_pylist() for x in ("id", "size", "control", "data")), strict=True):
-            docs.append(doc), sizes.append(n), controls.append(c), data.append(d)
-            held += n
-            if held >= BLOCK_IDS:
-                yield close()
-                block, before = block + 1, before + held
-                docs, sizes, controls, data, held = [], [], [], [], 0
-    if docs:
-        yield close()
+    return run
 
 
 def _read(shared):
@@ -215,9 +211,8 @@ def write(docs: DataFrame, tokenizer_path: str, folder: str, end_id: int = 1, id
     rank[found.token.to_numpy(np.int64)] = np.arange(len(found))
     vocabulary = spark.createDataFrame(found.assign(rank=range(len(found)))[["rank", "token", "count"]].astype("int64"), "rank long, id long, count long")
     vocabulary.coalesce(1).write.mode("overwrite").parquet(f"{folder}/vocabulary")
-    packed = encoded.mapInArrow(_pack(spark.sparkContext.broadcast(rank)), f"id {kind}, nth long, size long, control binary, data binary")
-    ordered = packed.repartitionByRange(int(spark.conf.get("spark.sql.shuffle.partitions")), "id").sortWithinPartitions("id", "nth")
-    blocks = ordered.mapInArrow(_gather, f"shard long, block long, before long, doc_ids array<{kind}>, sizes array<bigint>, control binary, data binary")
+    ordered = encoded.repartitionByRange(int(spark.conf.get("spark.sql.shuffle.partitions")), "id").sortWithinPartitions("id", "nth")
+    blocks = ordered.mapInArrow(_blocks(spark.sparkContext.broadcast(rank)), f"shard long, block long, before long, doc_ids array<{kind}>, sizes array<bigint>, control binary, data binary")
     blocks.write.mode("overwrite").parquet(f"{folder}/blocks")
     stage.drop("encoded")
     sums = spark.read.parquet(f"{folder}/blocks").groupBy("shard").agg(F.sum(F.aggregate("sizes", F.lit(0).cast("long"), lambda x, n: x + n)).alias("n_ids"))

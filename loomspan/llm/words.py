@@ -134,36 +134,35 @@ def shingle_hashes(words: np.ndarray, offsets: np.ndarray, width: int) -> tuple[
 class UnitCache:
     """Token ids of byte strings, each distinct one encoded once.
 
-    ``encode`` takes distinct strings and gives their ids end to end and the
-    number of each. What is remembered is bounded; forgetting costs time only.
+    Strings are told apart by their bytes. ``encode`` takes distinct strings
+    and gives their ids end to end and the number of each. What is remembered
+    is bounded; forgetting costs time only.
     """
 
-    MOST_UNITS, MOST_TOKENS = 400_000, 4_000_000
-
-    def __init__(self, encode: Callable[[list[bytes]], tuple[np.ndarray, np.ndarray]]) -> None:
-        self.encode = encode
+    def __init__(self, encode: Callable[[list[bytes]], tuple[np.ndarray, np.ndarray]], most_units: int = 400_000) -> None:
+        self.encode, self.most_units, self.most_tokens = encode, most_units, 10 * most_units
         self._forget()
 
     def _forget(self) -> None:
-        self.rows: dict[int, int] = {}
+        self.rows: dict[bytes, int] = {}
         self.ids, self.sizes, self.starts = np.empty(0, np.int32), np.empty(0, np.int64), np.empty(0, np.int64)
 
-    def find(self, blob: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """For stretches of ``blob``: the cache row of each distinct one, and which of these each is."""
-        which, keys = pd.factorize(hash_words(blob, starts, ends, lower=False))
-        first = np.empty(len(keys), np.int64)
-        first[which[::-1]] = np.arange(len(which) - 1, -1, -1)
-        if len(self.rows) > self.MOST_UNITS or len(self.ids) > self.MOST_TOKENS:
+    def find(self, data: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """For strings laid end to end: the cache row of each distinct one, and which of these each is."""
+        offsets = np.concatenate(([0], np.cumsum(sizes, dtype=np.int64)))
+        strings = pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(sizes), [None, pa.py_buffer(offsets), pa.py_buffer(np.ascontiguousarray(data))])
+        told = strings.dictionary_encode()
+        units, rows = told.dictionary.to_pylist(), self.rows
+        if len(rows) > self.most_units or len(self.ids) > self.most_tokens:
             self._forget()
-        rows, listed = self.rows, keys.tolist()
-        fresh = [k for k, key in enumerate(listed) if key not in rows]
+            rows = self.rows
+        fresh = [u for u in units if u not in rows]
         if fresh:
-            data = blob.data
-            ids, sizes = self.encode([bytes(data[a:b]) for a, b in zip(starts[first[fresh]].tolist(), ends[first[fresh]].tolist(), strict=True)])
-            rows.update(zip((listed[k] for k in fresh), range(len(rows), len(rows) + len(fresh)), strict=True))
-            self.starts = np.concatenate((self.starts, len(self.ids) + np.cumsum(sizes) - sizes))
-            self.ids, self.sizes = np.concatenate((self.ids, ids)), np.concatenate((self.sizes, sizes))
-        return np.fromiter(map(rows.__getitem__, listed), np.int64, len(listed)), which
+            ids, count = self.encode(fresh)
+            rows.update(zip(fresh, range(len(rows), len(rows) + len(fresh)), strict=True))
+            self.starts = np.concatenate((self.starts, len(self.ids) + np.cumsum(count) - count))
+            self.ids, self.sizes = np.concatenate((self.ids, ids)), np.concatenate((self.sizes, count))
+        return np.fromiter(map(rows.__getitem__, units), np.int64, len(units)), told.indices.to_numpy()
 
     def tokens(self, row: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Ids of the given rows end to end, and the number of each."""
