@@ -15,6 +15,7 @@ two tiles of it.
 from __future__ import annotations
 
 from dataclasses import dataclass
+from itertools import product
 
 import numpy as np
 import pyarrow as pa
@@ -24,6 +25,7 @@ from pyspark.sql import functions as F
 
 from .common import Stage, clash_free
 from .components import connected_components
+from .words import text_slices
 
 #: Members of a grid cell that are compared with as many others at once.
 TILE = 1024
@@ -35,7 +37,7 @@ class Subspace:
 
     cosine: float = 0.93
     blocks: int = 8
-    grid: int = 2
+    grid: int = 3
     seed: int = 11
 
     def rotation(self, dim: int) -> np.ndarray:
@@ -66,43 +68,57 @@ def _clean(batches):
         yield pa.RecordBatch.from_arrays([batch.column("id"), batch.column("label"), pa.array(data, pa.binary()), pa.array(keys, pa.binary())], ["id", "label", "vector", "vector_key"])
 
 
-def _unit(data: bytes) -> np.ndarray:
-    x = np.frombuffer(data)
-    x = x / np.abs(x).max()
-    return x / np.sqrt(x @ x)
+def _unit(vectors: list[bytes]) -> np.ndarray:
+    """Vectors of one length at unit length, one in each row; scaled first, so that no square over- or underflows."""
+    x = np.frombuffer(b"".join(vectors)).reshape(len(vectors), -1)
+    x = x / np.abs(x).max(axis=1, keepdims=True)
+    return x / np.sqrt((x * x).sum(axis=1, keepdims=True))
+
+
+def _by_length(vectors: list[bytes]) -> list[np.ndarray]:
+    """Places of the vectors of each length."""
+    length = np.array([len(v) for v in vectors], np.int64)
+    return [np.flatnonzero(length == n) for n in np.unique(length)]
+
+
+def _binary(rows: np.ndarray) -> pa.Array:
+    """Each row of a matrix as its bytes."""
+    rows = np.ascontiguousarray(rows)
+    width = rows.shape[1] * rows.itemsize
+    return pa.FixedSizeBinaryArray.from_buffers(pa.binary(width), len(rows), [None, pa.py_buffer(rows)]).cast(pa.binary())
 
 
 def _cells(config: Subspace):
     """For each vector and block: its home cell and the other cells its ball touches."""
     def run(batches):
         turn = {}
-        for batch in batches:
-            out = {c: [] for c in ("row", "block", "cell", "home", "part")}
-            for k, data in enumerate(batch.column("vector").to_pylist()):
-                x = _unit(data)
-                dim = len(x)
+        for batch in text_slices(batches, "vector", 1 << 19):
+            vectors = batch.column("vector").to_pylist()
+            for at in _by_length(vectors):
+                x = _unit([vectors[k] for k in at])
+                dim = x.shape[1]
                 if dim not in turn:
                     turn[dim] = config.rotation(dim)
-                x = turn[dim] @ x
+                x = x @ turn[dim].T
                 for b, s in enumerate(config.slices(dim)):
-                    y, r = x[s], config.radius(s.stop - s.start, dim)
-                    g = y[: config.grid]
-                    low, own, high = (np.floor(z / (2 * r)).astype(int) for z in (g - r, g, g + r))
-                    for cell in np.ndindex(*(high - low + 1)):
-                        at = low + np.array(cell)
-                        out["row"].append(k), out["block"].append(b), out["home"].append(bool((at == own).all()))
-                        out["cell"].append(f"{dim}:{','.join(map(str, at))}"), out["part"].append(y.astype(np.float32).tobytes())
-            rows = pa.array(out["row"], pa.int64())
-            yield pa.RecordBatch.from_arrays([batch.column("id").take(rows), batch.column("label").take(rows), pa.array(out["block"], pa.int32()), pa.array(out["cell"], pa.string()), pa.array(out["home"], pa.bool_()), pa.array(out["part"], pa.binary())], ["id", "label", "block", "cell", "home", "part"])
+                    y, r = x[:, s], config.radius(s.stop - s.start, dim)
+                    g = y[:, : config.grid]
+                    low, own, high = (np.floor(z / (2 * r)).astype(np.int32) for z in (g - r, g, g + r))
+                    for step in product((0, 1), repeat=g.shape[1]):  # a ball is as wide as a cell
+                        cell = low + np.array(step, np.int32)
+                        hit = np.flatnonzero((cell <= high).all(axis=1))
+                        rows, n = pa.array(at[hit]), len(hit)
+                        yield pa.RecordBatch.from_arrays([
+                            batch.column("node").take(rows), batch.column("label").take(rows), pa.array(np.full(n, dim, np.int32)), pa.array(np.full(n, b, np.int32)),
+                            _binary(cell[hit]), pa.array((cell == own).all(axis=1)[hit]), _binary(y[hit].astype(np.float32))], ["node", "label", "dim", "block", "cell", "home", "part"])
     return run
 
 
 def _near(config: Subspace):
     """Pairs of a home member and another within a block's share, for rows sorted by group."""
     def found(table):
-        ids = table.column("id").combine_chunks()
-        order, group = ids.to_numpy(), table.column("group").to_numpy()
-        side, dims = table.column("side").to_numpy(), [int(c.split(":")[0]) for c in table.column("cell").to_pylist()]
+        ids = table.column("node").combine_chunks()
+        order, group, side, dims = (table.column(c).to_numpy() for c in ("node", "group", "side", "dim"))
         parts = table.column("part").to_pylist()
         bounds = np.concatenate(([0], np.flatnonzero(group[1:] != group[:-1]) + 1, [len(group)]))
         first, second = [], []
@@ -139,31 +155,33 @@ def _near(config: Subspace):
 
 def _confirm(config: Subspace):
     def run(batches):
-        for batch in batches:
-            keep = []
-            for a, b in zip(batch.column("va").to_pylist(), batch.column("vb").to_pylist(), strict=True):
-                x, y = np.frombuffer(a), np.frombuffer(b)
-                if np.abs(x).max() > 1e150 or np.abs(y).max() > 1e150:
-                    x, y = _unit(a), _unit(b)
-                keep.append(bool(x @ y / np.sqrt((x @ x) * (y @ y)) >= config.cosine))
-            yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
+        for batch in text_slices(batches, "va"):
+            va, vb = batch.column("va").to_pylist(), batch.column("vb").to_pylist()
+            keep = np.zeros(batch.num_rows, bool)
+            for at in _by_length(va):
+                keep[at] = (_unit([va[k] for k in at]) * _unit([vb[k] for k in at])).sum(axis=1) >= config.cosine
+            yield batch.select(["a", "b"]).filter(pa.array(keep))
     return run
 
 
-def candidates(classes: DataFrame, config: Subspace) -> DataFrame:
-    """``(a, b)`` with a < b: classes ``(id, label, vector)`` of one label within the share of some block."""
-    ids, labels = (classes.schema[c].dataType.simpleString() for c in ("id", "label"))
+def candidates(classes: DataFrame, config: Subspace, stage: Stage) -> DataFrame:
+    """``(a, b)`` with a < b: classes ``(node, label, vector)`` of one label and length within the share of some block."""
+    labels = classes.schema["label"].dataType.simpleString()
     parts = 4 * int(classes.sparkSession.conf.get("spark.sql.shuffle.partitions"))  # the work is in the pairs, not in the bytes
-    cells = classes.mapInArrow(_cells(config), f"id {ids}, label {labels}, block int, cell string, home boolean, part binary")
-    group = ["label", "block", "cell"]
+    cells = classes.mapInArrow(_cells(config), f"node long, label {labels}, dim int, block int, cell binary, home boolean, part binary")
+    cells = stage.put(cells, "cells")
+    group = ["label", "dim", "block", "cell"]
     sizes = cells.groupBy(*group).agg(F.count("*").alias("n"), F.count_if("home").alias("homes")).where("n > 1 AND homes > 0")
     tiles = F.ceil(F.col("n") / TILE)
-    known = cells.join(sizes.hint("merge"), group).withColumn("tiles", tiles).withColumn("tile", F.pmod(F.xxhash64("id"), "tiles"))
+    known = cells.join(sizes.hint("merge"), group).withColumn("tiles", tiles).withColumn("tile", F.pmod(F.xxhash64("node"), "tiles"))
     every = F.sequence(F.lit(0).cast("long"), F.col("tiles") - 1)
-    home = known.where("home").withColumn("other", F.explode(every)).select(*group, F.col("tile").alias("x"), F.col("other").alias("y"), F.lit(0).alias("side"), "id", "part")
-    any_ = known.withColumn("other", F.explode(every)).select(*group, F.col("other").alias("x"), F.col("tile").alias("y"), F.lit(1).alias("side"), "id", "part")
-    dealt = home.union(any_).withColumn("group", F.xxhash64(*group, "x", "y")).repartition(parts, "group").sortWithinPartitions("group", "label", "block", "cell", "x", "y")
-    return dealt.select("id", "group", "side", "cell", "part").mapInArrow(_near(config), f"a {ids}, b {ids}").distinct()
+    # as a home member to all tiles of others, and as one of the others to all tiles of home members
+    sides = F.filter(F.array(F.struct(F.lit(0).alias("side"), F.col("home").alias("goes")), F.struct(F.lit(1).alias("side"), F.lit(True).alias("goes"))), lambda s: s["goes"])
+    dealt = known.withColumn("s", F.explode(sides)).withColumn("other", F.explode(every))
+    x, y = (F.when(F.col("s.side") == side, F.col("tile")).otherwise(F.col("other")) for side in (0, 1))
+    dealt = dealt.select(*group, x.alias("x"), y.alias("y"), F.col("s.side").alias("side"), "node", "part")
+    dealt = dealt.withColumn("group", F.xxhash64(*group, "x", "y")).repartition(parts, "group").sortWithinPartitions("group", *group, "x", "y")
+    return dealt.select("node", "group", "side", "dim", "part").mapInArrow(_near(config), "a long, b long").distinct()
 
 
 def near_duplicates(vectors: DataFrame, id_column: str = "vec_id", vector_column: str = "embedding", label_column: str = "label", config: Subspace = Subspace()) -> DataFrame:
@@ -178,6 +196,8 @@ def near_duplicates(vectors: DataFrame, id_column: str = "vec_id", vector_column
       own component (null for a null id) and kept;
     * vectors of different length never link;
     * repeated rows link with each other like any equal vectors;
+    * rows with one id are rows of their own: each has the links of its own
+      vector and label, and only those make it reachable;
     * other columns are ignored; an empty table gives no rows.
     """
     spark = vectors.sparkSession
@@ -186,15 +206,20 @@ def near_duplicates(vectors: DataFrame, id_column: str = "vec_id", vector_column
     ids, labels = (rows.schema[c].dataType.simpleString() for c in ("id", "label"))
     clean = stage.put(rows.select("id", "label", "embedding").mapInArrow(_clean, f"id {ids}, label {labels}, vector binary, vector_key binary"), "clean")
     good = clean.where("vector_key IS NOT NULL AND label IS NOT NULL AND id IS NOT NULL")
-    classes = stage.put(good.groupBy("label", "vector_key").agg(F.min("id").alias("id"), F.count("*").alias("copies"), F.min("vector").alias("vector")), "classes")
-    pairs = stage.put(candidates(classes.select("id", "label", "vector"), config), "pairs")
-    full = pairs.join(classes.select(F.col("id").alias("b"), F.col("vector").alias("vb")).hint("merge"), "b").join(classes.select(F.col("id").alias("a"), F.col("vector").alias("va")).hint("merge"), "a")
-    links = stage.put(full.select("a", "b", "va", "vb").mapInArrow(_confirm(config), f"a {ids}, b {ids}"), "links")
+    classes = good.groupBy("label", "vector_key").agg(F.min("id").alias("id"), F.count("*").alias("copies"), F.min("vector").alias("vector"))
+    classes = stage.put(classes.withColumn("node", F.monotonically_increasing_id()), "classes")
+    pairs = stage.put(candidates(classes.select("node", "label", "vector"), config, stage), "pairs")
+    stage.drop("cells")
+    full = pairs.join(classes.select(F.col("node").alias("b"), F.col("vector").alias("vb")).hint("merge"), "b").join(classes.select(F.col("node").alias("a"), F.col("vector").alias("va")).hint("merge"), "a")
+    links = stage.put(full.select("a", "b", "va", "vb").mapInArrow(_confirm(config), "a long, b long"), "links")
     both = links.union(links.select("b", "a"))
-    linked = both.join(classes.select(F.col("id").alias("b"), "copies").hint("merge"), "b").groupBy(F.col("a").alias("id")).agg(F.sum("copies").alias("others"))
-    components = connected_components(links, stage, "component").withColumnRenamed("node", "id")
-    facts = classes.select("label", "vector_key", "id", "copies").join(linked.hint("merge"), "id", "left").join(components.hint("merge"), "id", "left")
-    facts = facts.select("label", "vector_key", (F.col("copies") - 1 + F.coalesce("others", F.lit(0))).alias("n"), F.coalesce("component", "id").alias("component"))
+    linked = both.join(classes.select(F.col("node").alias("b"), "copies").hint("merge"), "b").groupBy(F.col("a").alias("node")).agg(F.sum("copies").alias("others"))
+    reached = connected_components(links, stage, "component")
+    told = classes.select("node", "id").join(reached.hint("merge"), "node")
+    least = told.groupBy("component").agg(F.min("id").alias("least"))
+    named = reached.join(least.hint("merge"), "component").select("node", "least")
+    facts = classes.select("label", "vector_key", "node", "id", "copies").join(linked.hint("merge"), "node", "left").join(named.hint("merge"), "node", "left")
+    facts = facts.select("label", "vector_key", (F.col("copies") - 1 + F.coalesce("others", F.lit(0))).alias("n"), F.coalesce("least", "id").alias("component"))
     usable = F.col("id").isNotNull()
     out = clean.select("id", "label", F.when(usable, F.col("vector_key")).alias("vector_key")).join(facts.hint("merge"), ["label", "vector_key"], "left")
     component = F.coalesce("component", "id")

@@ -65,6 +65,7 @@ def test_minhash_components(spark, width):
 
 def test_minhash_tiles_leave_no_pair_out(spark, monkeypatch):
     monkeypatch.setattr(minhash, "TILE", 3)
+    monkeypatch.setattr(minhash, "SHARE", 2)
     texts = near_texts(9, 60)
     df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
     got = {r.doc_id: r.component_id for r in minhash.near_duplicates(df).collect()}
@@ -101,6 +102,18 @@ def test_embedding_links(spark):
     assert embedding.near_duplicates(df.limit(0)).count() == 0
 
 
+def test_embedding_rows_with_one_id_keep_their_own_links(spark):
+    rows = [(5, [1.0, 0.0], 1), (5, [0.0, 1.0], 2), (7, [1.0, 0.0], 1), (8, [0.0, 1.0], 2), (9, [0.1, 1.0], 2)]
+    got = embedding.near_duplicates(spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int")).collect()
+    assert sorted((r.vec_id, r.n_links, r.component_id) for r in got) == [(5, 1, 5), (5, 2, 5), (7, 1, 5), (8, 2, 5), (9, 2, 5)]
+
+
+def test_embedding_links_of_very_small_and_large_components(spark):
+    rows = [(1, [1e-200, 2e-200], 1), (2, [1e-200, 2.1e-200], 1), (3, [1e200, 2e200], 1), (4, [-1e-200, 2e-200], 1)]
+    got = embedding.near_duplicates(spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int")).collect()
+    assert sorted((r.vec_id, r.n_links, r.component_id) for r in got) == [(1, 2, 1), (2, 2, 1), (3, 2, 1), (4, 0, 4)]
+
+
 def test_embedding_tiles(spark, monkeypatch):
     monkeypatch.setattr(embedding, "TILE", 8)
     r = np.random.default_rng(5)
