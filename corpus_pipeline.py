@@ -3,7 +3,8 @@
 from __future__ import annotations
 
 import public_tokenizers
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.errors import AnalysisException
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from loomspan.llm import minhash, mixing, subword, toxicity
@@ -12,8 +13,18 @@ from loomspan.session import attach
 
 
 def numbered(docs: DataFrame, stage: Stage) -> DataFrame:
-    """The written rows with a key of their own, as ids may be null or stand for several rows."""
-    return stage.put(docs.withColumn("__row", F.monotonically_increasing_id()), "rows")
+    """The rows with ``__row``, a key of their own that every reading repeats, as ids may be null or stand for several rows.
+
+    Rows read from files are named by file and place in it; other rows are written first.
+    """
+    try:
+        at = docs.metadataColumn("_metadata")
+        placed = docs.select("*", at["file_path"].alias("__file"), at["row_index"].alias("__at"))
+    except AnalysisException:
+        return numbered(stage.put(docs, "rows"), stage)
+    number = (F.row_number().over(Window.orderBy("__file")) - 1).cast("long")  # one row for each file
+    files = stage.put(placed.select("__file").distinct().withColumn("__number", number), "files")
+    return placed.join(stage.small(files, "files"), "__file").withColumn("__row", F.col("__number") * F.lit(1 << 36) + F.col("__at")).drop("__file", "__at", "__number")
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -44,13 +55,13 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents as often as the mix takes them: sources weighted 5, 2, 1 in turn, 150% of all words."""
-    return mixing.mixed(docs).select(docs.columns)
+    return mixing.mixed(numbered(docs, Stage(spark, "mix")), row_column="__row").select(docs.columns)
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token ids of every document of the mix, and the text they decode to."""
     model = public_tokenizers.path("piece_bpe_32k.model")
-    both = subword.decode(subword.encode(docs.select("doc_id", "source", "text"), model).drop("text"), model, text_column="text")
+    both = subword.encode(docs.select("doc_id", "source", "text"), model, decoded_column="text")
     return both.select("doc_id", "source", F.size("ids").cast("long").alias("n_tokens"), "ids", "text")
 
 
