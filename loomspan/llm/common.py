@@ -80,7 +80,7 @@ class Stage:
             self._fs(path).delete(self._path(path), True)
 
     def small(self, df: DataFrame, name: str, limit: int = BROADCAST_BYTES) -> DataFrame:
-        """A written table with the join hint its size allows: broadcast up to ``limit`` bytes, else merge."""
+        """A written table, or one with as many rows made from it, with the join hint its size allows: broadcast up to ``limit`` bytes, else merge."""
         return df.hint("broadcast" if self.size(name) <= limit else "merge")
 
 

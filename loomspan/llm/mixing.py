@@ -33,7 +33,7 @@ class Mix:
     epochs: int = 2
     rounds: int = 3
     seed: int = 17
-    slot_rows: int = 20_000
+    slot_rows: int = 2_000
 
 
 def targets(sizes: DataFrame, config: Mix) -> DataFrame:
@@ -56,11 +56,11 @@ def targets(sizes: DataFrame, config: Mix) -> DataFrame:
     return leveled.select("source", "place", "source_size", F.least("most", F.coalesce(F.col("weight") * found, F.col("most"))).alias("target"))
 
 
-def _round(queue: DataFrame, sources: DataFrame, config: Mix, slots: int) -> DataFrame:
+def _round(queue: DataFrame, sources: DataFrame, config: Mix, slots: int, stage: Stage) -> DataFrame:
     """Gives finish times to the copies that this round takes."""
     spent = queue.where("finish IS NOT NULL").groupBy("place").agg(F.sum("size").alias("spent"))
-    left = sources.select("place", "target").join(spent, "place", "left").select("place", "target", F.coalesce("spent", F.lit(0)).alias("spent"))
-    open_ = queue.join(left.hint("broadcast"), "place").withColumn("fits", F.col("finish").isNull() & (F.col("size") > 0) & (F.col("size") <= F.col("target") - F.col("spent")))
+    left = sources.select("place", "target").join(spent.hint("merge"), "place", "left").select("place", "target", F.coalesce("spent", F.lit(0)).alias("spent"))
+    open_ = queue.join(stage.small(left, "sources"), "place").withColumn("fits", F.col("finish").isNull() & (F.col("size") > 0) & (F.col("size") <= F.col("target") - F.col("spent")))
     slot = F.col("epoch") * slots + (F.col("u") / F.lit(float(1 << 62)) * slots).cast("long")
     waiting = open_.where("fits").withColumn("slot", slot)
     sums = waiting.groupBy("place", "slot").agg(F.sum("size").alias("words"))
@@ -84,7 +84,7 @@ def _run(docs: DataFrame, config: Mix, stage: Stage) -> tuple[DataFrame, DataFra
     queue = copies.withColumn("u", uniform_key("id", "epoch", seed=config.seed)).withColumn("finish", F.lit(None).cast("double"))
     slots = max(1, sizes.count() // config.slot_rows)
     for k in range(config.rounds):
-        queue = stage.put(_round(queue, sources, config, slots), f"queue-{k}")
+        queue = stage.put(_round(queue, sources, config, slots, stage), f"queue-{k}")
         if k:
             stage.drop(f"queue-{k - 1}")
     return queue, sources
@@ -108,14 +108,15 @@ def plan(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text",
     return each.join(stage.small(sources, "sources"), "place").select(F.col("id").alias(id_column), "size", "source_size", "target", (F.col("copies") * F.col("size")).alias("taken"), F.col("copies").cast("int").alias("copies"))
 
 
-def mixed(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text", source_column: str = "source", config: Mix = Mix()) -> DataFrame:
+def mixed(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text", source_column: str = "source", config: Mix = Mix(), row_column: str | None = None) -> DataFrame:
     """The mix itself: ``docs`` rows, each as often as it is taken, range-sorted by virtual finish time.
 
-    Rows are written with a key of their own, by which the queue's copies are
-    matched, so ids may be null or stand for several rows.
+    The queue's copies are matched by a key of each row, so ids may be null or
+    stand for several rows: ``row_column`` if there is one that every reading
+    of ``docs`` repeats, else rows are written with a new one.
     """
     stage = Stage(docs.sparkSession, "mixing")
-    rows = stage.put(docs.withColumn("__row", F.monotonically_increasing_id()), "rows")
+    rows = docs.withColumnRenamed(row_column, "__row") if row_column else stage.put(docs.withColumn("__row", F.monotonically_increasing_id()), "rows")
     queue, _ = _run(clash_free(rows, id=id_column, text=text_column, source=source_column, row="__row"), config, stage)
     order = queue.where("finish IS NOT NULL").groupBy(F.col("row").alias("__row")).agg(F.collect_list("finish").alias("__finish"))
     rows = rows.join(order.hint("merge"), "__row").drop("__row")
