@@ -4,11 +4,14 @@
    of equal groups are folded into one repeated group.
 2. The distinct streams of a host are aligned one after another with the host's
    wrapper. Where they differ, a stretch that repeats a group is absorbed by it
-   and any other stretch becomes optional. Partial wrappers of a host, made in
-   parallel on shares of its streams, are merged by the same alignment.
-3. A wrapper's text slots are content or not: by the elements around them, and
-   by whether a slot holds the same text on every distinct page (of three or more).
-4. Each page is aligned with its host's wrapper and the content slots are read out.
+   and any other stretch becomes optional. Partial wrappers, made in parallel on
+   shares of a host's streams, are merged by the same alignment, level by level.
+3. All distinct pages of the host say what its wrapper's slots hold. The element
+   that holds four fifths of their own text (no links, no asides) is the host's
+   article, whatever its tag. A slot that holds the same text on every page, of
+   three or more, and a repeated group of links are template inside it too.
+4. Each page is aligned with its host's wrapper and what stands in the article's
+   slots is read out, without elements that are asides by tag or class.
 """
 
 from __future__ import annotations
@@ -30,24 +33,42 @@ from pyspark.sql import functions as F
 from .common import Stage, clash_free
 from .words import text_slices
 
-#: Elements whose inside is no markup, and never content.
-RAW = ("script", "style", "noscript", "template", "iframe", "svg", "canvas", "object", "textarea", "math")
 #: Elements that hold no content.
-ASIDE = frozenset("head nav footer aside form select button dialog menu header".split())
+ASIDE = frozenset("head title nav footer aside form select button dialog menu header".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark q rp rt ruby s samp small span strike strong sub sup time tt u var wbr img br".split())
 MAIN = frozenset(("article", "main"))
-#: Words in class, id or role that mark an element as no content.
-HINT = re.compile(r"(?:^|[\s_-])(?:ad|ads|advert\w*|sponsor\w*|promo\w*|banner|nav\w*|menu\w*|breadcrumbs?|side-?bar\w*|footer|header|masthead|comments?|respond|disqus|repl(?:y|ies)|share|sharing|social|related|recommend\w*|newsletter|subscribe|cookies?|consent|notices?|popup|modal|toolbar|pagination|pager|widget)(?:$|[\s_-])", re.I)
-NO_HINT = re.compile(r"(?:article|post|entry|story|page|content)[\s_-]?(?:header|title|body|content)", re.I)
+#: Elements that may be a host's article.
+BOXES = frozenset("html body div article main section td center".split())
+#: Elements that may stand in a head; any other ends it.
+IN_HEAD = frozenset("head title base link meta".split())
+#: Words in class, id or role that mark an element as no content, in the languages of the web's templates.
+_WORD = (
+    r"ads?|advert\w*|sponsor\w*|promo\w*|banner|nav\w*|menu\w*|breadcrumbs?|side-?bar\w*|footer|header|masthead|comments?|respond|disqus|repl(?:y|ies)|shar(?:e|ing)|related|recommend\w*"
+    r"|newsletter|subscribe|cookies?|consent|notices?|popup|modal|toolbar|pagination|pager|widget|kommentar\w*|commentaires?|comentarios?|werbung|anzeigen?|publicit\w*|publicidad")
+HINT = re.compile(rf"(?:^|[_-])(?:{_WORD})(?:$|[_-])|^social[_-]?(?:links?|media|icons?|bar|buttons?)$", re.I)
+NO_HINT = re.compile(r"(?:article|post|entry|story|page|content)[_-]?(?:header|title|body|content)", re.I)
+#: Ids are often made from headings, so every part must be such a word or one of layout.
+HINT_ID = re.compile(rf"(?:(?:{_WORD}|social|site|page|main|top|bottom|left|right|inner|outer|list|section|box|bar|buttons?|links?|area|block|wrap(?:per)?|container|form|\d+)(?:[_-]|$))+", re.I)
 
 _TOKEN = re.compile(
     r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*>?"
-    r"|<(?P<raw>" + "|".join(RAW) + r")\b[^>]*>.*?(?:</(?P=raw)\s*>|\Z)"
+    r"|<(?P<raw>script|style|noscript|iframe|textarea)\b[^>]*>.*?(?:</(?P=raw)\s*>|\Z)"
+    r"|<(?P<drawn>svg|math|template|canvas|object)\b(?:[^>]*/>|[^>]*>(?:.*?</(?P=drawn)\s*>)?)"
     r"|<(?P<close>/?)(?P<name>[a-z][^\s/>]*)(?P<rest>(?:[^>\"']|\"[^\"]*\"|'[^']*')*+)>"
     r"|<(?P<close2>/?)(?P<name2>[a-z][^\s/>]*)(?P<rest2>[^>]*)>"
     r"|(?P<text>[^<]+|<)", re.I | re.S)
-_HINTED = re.compile(r"\b(?:class|id|role)\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s>]+)", re.I)
+_HINTED = re.compile(r"\b(class|id|role)\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s>]+)", re.I)
+
+
+def marked(attributes: str) -> bool:
+    """Whether class, role or id of an element say that it is no content."""
+    for key, value in _HINTED.findall(attributes):
+        for word in value.strip("\"'").split():
+            if HINT.search(word) and not NO_HINT.search(word) and (key.lower() != "id" or HINT_ID.fullmatch(word)):
+                return True
+    return False
+
 
 SLOT = "#"
 #: Longest group that is looked for when runs are folded.
@@ -59,6 +80,7 @@ class Block:
     """The text between two structural tags."""
 
     pieces: list[str] = field(default_factory=list)
+    linked: int = 0  # characters inside links
 
     def text(self) -> str:
         return " ".join(html.unescape("".join(self.pieces)).split())
@@ -72,7 +94,7 @@ def tokens(page: str) -> tuple[list[str], list[Block | None]]:
     """
     symbols: list[str] = []
     blocks: list[Block | None] = []
-    block = Block()
+    block, link = Block(), False
 
     def end_block() -> None:
         nonlocal block
@@ -83,11 +105,14 @@ def tokens(page: str) -> tuple[list[str], list[Block | None]]:
     for m in _TOKEN.finditer(page):
         if (text := m["text"]) is not None:
             block.pieces.append(text)
+            block.linked += len(text) if link else 0
             continue
         name = (m["name"] or m["name2"] or "").lower()
         if not name:
-            block.pieces.append(" " if m["raw"] else "")
+            block.pieces.append(" " if m["raw"] or m["drawn"] else "")
         elif name in INLINE:
+            if name == "a":
+                link = not (m["close"] or m["close2"])
             if name in ("br", "img", "wbr"):
                 block.pieces.append(" " if name == "br" else "")
         else:
@@ -95,9 +120,8 @@ def tokens(page: str) -> tuple[list[str], list[Block | None]]:
             if m["close"] or m["close2"]:
                 symbol = f"/{name}"
             else:
-                hints = " ".join(h.strip("\"'") for h in _HINTED.findall(m["rest"] or m["rest2"] or ""))
-                marked = name not in MAIN and name not in ("body", "html") and HINT.search(hints) and not NO_HINT.search(hints)
-                symbol = f"{name}!" if marked else name
+                aside = name not in MAIN and name not in ("body", "html") and marked(m["rest"] or m["rest2"] or "")
+                symbol = f"{name}!" if aside else name
             symbols.append(symbol), blocks.append(None)
     end_block()
     return symbols, blocks
@@ -216,39 +240,81 @@ def _step(stack: list[tuple[str, int]], s: str, serial: int) -> None:
             if stack[at][0].rstrip("!") == s[1:]:
                 del stack[at:]
                 break
-    elif (name := s.rstrip("!")) not in VOID:
+        return
+    name = s.rstrip("!")
+    if name not in IN_HEAD:
+        for at, (x, _) in enumerate(stack):
+            if x.rstrip("!") == "head":  # its end tag may be left out
+                del stack[at:]
+                break
+    if name not in VOID:
         if name in ("p", "li") and stack and stack[-1][0].rstrip("!") == name:
             stack.pop()
         stack.append((s, serial))
 
 
-def content(nodes: list, region: bool | None = None) -> list[bool]:
+def _hidden(names: list[str]) -> bool:
+    """Whether one of the open elements is an aside; the header of an article is none."""
+    return any(x.endswith("!") or (x in ASIDE and not (x == "header" and "article" in names[:k])) for k, x in enumerate(names))
+
+
+def content(nodes: list, box: int | None = None, regions: bool = True) -> list[bool]:
     """Whether the text of each node is content, by the elements open around it.
 
-    With an article or main element anywhere only their inside counts
-    (``region`` says so beforehand). Unclosed elements end with their parents.
-    Class words on an element that holds all articles of the page say nothing.
+    ``box`` is the place of the element that is the article: only what stands
+    inside it counts, and elements around it say nothing. Without one the whole
+    page counts, or, with ``regions``, the inside of its article and main
+    elements if it has any; class words on an element that holds all of them say
+    nothing. Unclosed elements end with their parents.
     """
     symbols = {s for n in nodes for s in _symbols(n)}
-    if region is None:
-        region = not MAIN.isdisjoint(symbols)
+    region = box is None and regions and not MAIN.isdisjoint(symbols)
     layouts = _layouts(nodes) if region and any(s.endswith("!") for s in symbols) else frozenset()
-    flags, stack, serial = [], [], 0
-    for n in nodes:
+    flags, stack, serial, opened = [], [], 0, -1
+    for k, n in enumerate(nodes):
         flag = False
         for s in _symbols(n):
-            if s == SLOT:
-                names = [x.rstrip("!") if k in layouts else x for x, k in stack]
-                inside = any(x in MAIN for x in names)
-                hidden = any(x.endswith("!") or (x in ASIDE and not (x == "header" and "article" in names[: names.index(x)])) for x in names)
-                flag |= (inside or not region) and not hidden
-            else:
+            if s != SLOT:
                 _step(stack, s, serial)
+                opened = serial if k == box else opened
+            elif box is None:
+                names = [x.rstrip("!") if at in layouts else x for x, at in stack]
+                flag |= (not region or any(x in MAIN for x in names)) and not _hidden(names)
+            else:
+                around = [at for at, (_, number) in enumerate(stack) if number == opened]
+                flag |= bool(around) and not _hidden(["article", *(x for x, _ in stack[around[0] + 1 :])])
             serial += 1
         flags.append(flag)
     return flags
 
 
+def article_of(nodes: list, mass: dict[int, tuple[int, int]], share: float = 0.8) -> int | None:
+    """Place of the innermost element that holds ``share`` of the text that is neither linked nor in an aside; None if only the page does.
+
+    ``mass`` has the characters and linked characters of a wrapper's places, over
+    all pages. Nothing inside an article or main element, nor in a repeated
+    group, is chosen.
+    """
+    own = {k: chars - linked for k, (chars, linked) in mass.items()}
+    plain = content(nodes, regions=False)
+    if any(plain[k] and n for k, n in own.items()):
+        own = {k: n for k, n in own.items() if plain[k]}
+    total, held, stack, best = sum(own.values()), {}, [], None
+    for k, n in enumerate(nodes):
+        if isinstance(n, str) and n != SLOT:
+            _step(stack, n, k)
+        for at in range(len(stack) if own.get(k) else 0):
+            held[stack[at][1]] = held.get(stack[at][1], 0) + own[k]
+    stack = []
+    for k, n in enumerate(nodes):
+        if isinstance(n, str) and n != SLOT:
+            inside = any(x in MAIN for x, _ in stack)
+            _step(stack, n, k)
+            if not inside and total and n.rstrip("!") in BOXES and held.get(k, 0) >= share * total:
+                best = k
+    return best
+
+
 def host(url: Column) -> Column:
     """Lower-case host of a URL; empty if there is none."""
     return F.lower(F.regexp_extract(F.coalesce(url, F.lit("")), r"^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]*)", 1))
@@ -261,102 +327,143 @@ def _streams(batches):
 
 
 def _infer(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """One wrapper for each host of rows sorted by host; holds one wrapper at a time."""
-    now, wrapper = None, None
+    """One wrapper for each group of rows sorted by group; holds one wrapper at a time."""
+    now, name, wrapper = None, None, None
     for frame in frames:
-        for name, stream in zip(frame.host, frame.stream, strict=True):
-            if name != now:
+        for group, host_, stream in zip(frame.group, frame.host, frame.stream, strict=True):
+            if group != now:
                 if wrapper is not None:
-                    yield pd.DataFrame({"host": [now], "stream": [dump(wrapper)]})
-                now, wrapper = name, None
+                    yield pd.DataFrame({"host": [name], "stream": [dump(wrapper)]})
+                now, name, wrapper = group, host_, None
             wrapper = generalise(wrapper, load(stream))
     if wrapper is not None:
-        yield pd.DataFrame({"host": [now], "stream": [dump(wrapper)]})
+        yield pd.DataFrame({"host": [name], "stream": [dump(wrapper)]})
+
 
+@dataclass(frozen=True)
+class Reader:
+    """A host's wrapper with its groups, the place of its article, whether it has article or main elements, and its groups of links."""
 
-@lru_cache(maxsize=64)
-def _known(text: str) -> tuple[list[tuple], set, bool, list[bool]]:
-    """A written wrapper, its groups, whether it has an article or main element, and which nodes are content."""
-    wrapper = load(text)
+    nodes: list[tuple]
+    groups: set
+    box: int | None
+    regions: bool
+    links: frozenset[int]
+
+
+@lru_cache(maxsize=256)
+def reader(written: str, mass: tuple[tuple[int, int, int], ...], pages: int = 0, seen: int = 3) -> Reader:
+    """``mass`` lists place, characters and linked characters of all slots over the host's ``pages`` distinct pages."""
+    wrapper = load(written)
     nodes = [n for n, _ in wrapper]
-    return wrapper, _groups(nodes), any(s in MAIN for n in nodes for s in _symbols(n)), content(nodes)
+    links = frozenset(k for k, chars, linked in mass if pages >= seen and isinstance(nodes[k], tuple) and linked >= 0.9 * chars)
+    return Reader(wrapper, _groups(nodes), article_of(nodes, {k: (c, x) for k, c, x in mass}), any(s in MAIN for n in nodes for s in _symbols(n)), links)
 
 
-def _read_slots(page: str, written: str) -> Iterator[tuple[int | None, bool, str]]:
-    """``(wrapper place or None, content by structure, text)`` of each block of a page."""
+def _read_slots(page: str, known: Reader) -> Iterator[tuple[int | None, bool, Block]]:
+    """``(wrapper place or None, content, block)`` of each block of a page."""
     symbols, blocks = tokens(page)
-    wrapper, groups, regions, shared = _known(written)
-    nodes, covers = absorb(*fold(symbols), groups)
-    region = any(s in MAIN for s in symbols)
-    shared = shared if region == regions else None
-    own = content(nodes, region)
-    place = {b: a for a, b in align(wrapper, nodes) if b is not None}
+    nodes, covers = absorb(*fold(symbols), known.groups)
+    pairs = [(a, b) for a, b in align(known.nodes, nodes) if b is not None]
+    place = {b: a for a, b in pairs if a is not None}
+    box = next((b for a, b in pairs if a == known.box), None) if known.box is not None else None
+    flags = content(nodes, box, known.regions)
+    single = None
     for k, cover in enumerate(covers):
         at = place.get(k)
-        flag = own[k] if at is None or shared is None else shared[at] or own[k]
-        single = content(symbols, region) if isinstance(nodes[k], tuple) and flag else None
+        flag = flags[k] and at not in known.links
+        if flag and isinstance(nodes[k], tuple) and single is None:
+            single = content(symbols, None if box is None else covers[box][0], known.regions)
         for p in cover:
             if blocks[p] is not None:
-                yield at, flag if single is None else single[p], blocks[p].text()
+                yield at, flag and (single is None or not isinstance(nodes[k], tuple) or single[p]), blocks[p]
 
 
 def _key(place: int, text: str) -> str:
     return f"{place}:{xxhash.xxh3_64_hexdigest(text)}"
 
 
-def _slots(batches):
-    """For each page: a digest of its content texts, and an empty key and one for each text in a content slot."""
-    for batch in text_slices(batches, "html"):
-        pages, keys = [], []
-        for page, w in zip(*(batch.column(c).to_pylist() for c in ("html", "wrapper")), strict=True):
-            found = [(at, text) for at, flag, text in _read_slots(page or "", w) if flag and text]
-            pages.append(xxhash.xxh3_128_hexdigest("\0".join(text for _, text in found)))
-            keys.append(sorted({""} | {_key(at, text) for at, text in found if at is not None}))
-        yield pa.RecordBatch.from_arrays([batch.column("host"), pa.array(pages, pa.string()), pa.array(keys, pa.list_(pa.string()))], ["host", "page", "keys"])
+_MASS = pa.list_(pa.struct([("place", pa.int32()), ("chars", pa.int64()), ("linked", pa.int64())]))
 
 
-def _extract(batches):
+def _slots(batches):
+    """For each page: a digest of its slots' texts, one key for each, an empty one, and how much text the wrapper's places hold."""
     for batch in text_slices(batches, "html"):
-        texts = []
-        for page, wrapper, fixed in zip(*(batch.column(c).to_pylist() for c in ("html", "wrapper", "fixed")), strict=True):
-            fixed = set(fixed or ())
-            found = [(at, t) for at, flag, t in _read_slots(page or "", wrapper) if flag and t]
-            told = [t for at, t in found if not (fixed and at is not None and _key(at, t) in fixed)]
-            texts.append("\n\n".join(told or [t for _, t in found]))
-        yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("id", "url")), pa.array(texts, pa.string())], ["id", "url", "text"])
-
-
-def wrappers(pages: DataFrame, stage: Stage, shares: int = 64) -> DataFrame:
-    """``(host, wrapper)`` inferred from all ``pages(host, html)``."""
-    streams = pages.select("host", "html").mapInArrow(_streams, "host string, stream string").distinct()
+        pages, keys, masses = [], [], []
+        for page, w in zip(*(batch.column(c).to_pylist() for c in ("html", "wrapper")), strict=True):
+            found = [(at, block.text(), block.linked) for at, _, block in _read_slots(page or "", reader(w, ()))]
+            pages.append(xxhash.xxh3_128_hexdigest("\0".join(text for _, text, _ in found)))
+            keys.append(sorted({""} | {_key(at, text) for at, text, _ in found if at is not None and text}))
+            mass: dict[int, list[int]] = {}
+            for at, text, linked in found:
+                if at is not None:
+                    held = mass.setdefault(at, [0, 0])
+                    held[0] += len(text)
+                    held[1] += min(linked, len(text))
+            masses.append([{"place": k, "chars": c, "linked": x} for k, (c, x) in mass.items()])
+        yield pa.RecordBatch.from_arrays([batch.column("host"), pa.array(pages, pa.string()), pa.array(keys, pa.list_(pa.string())), pa.array(masses, _MASS)], ["host", "page", "keys", "mass"])
+
+
+def _extract(seen: int):
+    def run(batches):
+        for batch in text_slices(batches, "html"):
+            texts = []
+            for page, wrapper, fixed, mass, n in zip(*(batch.column(c).to_pylist() for c in ("html", "wrapper", "fixed", "mass", "n")), strict=True):
+                fixed = set(fixed or ())
+                known = reader(wrapper, tuple((m["place"], m["chars"], m["linked"]) for m in mass or ()), n or 0, seen)
+                found = [(at, t) for at, flag, block in _read_slots(page or "", known) if flag and (t := block.text())]
+                told = [t for at, t in found if not (fixed and at is not None and _key(at, t) in fixed)]
+                texts.append("\n\n".join(told or [t for _, t in found]))
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("id", "url")), pa.array(texts, pa.string())], ["id", "url", "text"])
+    return run
+
+
+def wrappers(pages: DataFrame, stage: Stage, fan: int = 32) -> DataFrame:
+    """``(host, wrapper)`` inferred from all ``pages(host, html)``.
+
+    A host's distinct streams are dealt in shares of about ``fan``, each of which
+    becomes one partial wrapper; partial wrappers are dealt likewise until one is left.
+    """
     parts = int(pages.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    dealt = streams.withColumn("share", F.pmod(F.xxhash64("stream"), F.lit(shares))).repartition(parts, "host", "share").sortWithinPartitions("host", "share", "stream").select("host", "stream")
-    partial = dealt.mapInPandas(_infer, "host string, stream string")
-    whole = partial.repartition(parts, "host").sortWithinPartitions("host", "stream").mapInPandas(_infer, "host string, stream string")
-    return stage.put(whole.withColumnRenamed("stream", "wrapper"), "wrappers")
+    level = 0
+    now = stage.put(pages.select("host", "html").mapInArrow(_streams, "host string, stream string").distinct(), "level-0")
+    while True:
+        counts = now.groupBy("host").agg(F.count("*").alias("n"))
+        if level and not counts.where("n > 1").head(1):
+            break
+        dealt = now.join(counts.hint("merge"), "host").withColumn("share", F.pmod(F.xxhash64("stream", F.lit(level)), F.ceil(F.col("n") / fan)))
+        dealt = dealt.repartition(parts, "host", "share").sortWithinPartitions("host", "share", "stream").select(F.concat_ws(" ", "share", "host").alias("group"), "host", "stream")
+        level += 1
+        now = stage.put(dealt.mapInPandas(_infer, "host string, stream string"), f"level-{level}")
+        stage.drop(f"level-{level - 1}")
+    return stage.put(now.withColumnRenamed("stream", "wrapper"), "wrappers")
 
 
 def main_text(pages: DataFrame, id_column: str = "page_id", url_column: str = "url", html_column: str = "html", seen: int = 3) -> DataFrame:
     """One row per page: ``id_column``, ``url_column``, ``text``: the article's blocks in page order, two line ends between.
 
     What a slot holds as one text on every page of a host, of at least ``seen`` that
-    differ in their content texts, is template text there and left out, inside
-    articles too. A page that holds nothing else keeps it.
+    differ, and groups of links on such hosts, are template text there and left
+    out, inside articles too. A page that holds nothing else keeps it.
 
     * null or empty html, and pages without content, give an empty text;
     * a null or odd URL belongs to the empty host;
-    * repeated rows stay; other columns are ignored; an empty table gives no rows.
+    * repeated rows stay and are read alike; of equal pages one speaks for the host;
+    * other columns are ignored; an empty table gives no rows.
     """
     stage = Stage(pages.sparkSession, "wrapper")
     rows = clash_free(pages, id=id_column, url=url_column, html=html_column).withColumn("host", host(F.col("url")))
     found = wrappers(rows, stage)
-    slots = rows.join(stage.small(found, "wrappers"), "host").select("host", "html", "wrapper").mapInArrow(_slots, "host string, page string, keys array<string>")
-    slots = slots.dropDuplicates(["host", "page"]).select("host", F.explode("keys").alias("key"))
-    counts = stage.put(slots.groupBy("host", "key").agg(F.count("*").alias("n")).where(f"n >= {seen}"), "counts")
+    slots = rows.join(stage.small(found, "wrappers"), "host").select("host", "html", "wrapper").mapInArrow(_slots, "host string, page string, keys array<string>, mass array<struct<place:int,chars:bigint,linked:bigint>>")
+    slots = stage.put(slots.dropDuplicates(["host", "page"]), "slots")
+    counts = stage.put(slots.select("host", F.explode("keys").alias("key")).groupBy("host", "key").agg(F.count("*").alias("n")), "counts")
     every = counts.where("key = ''").select("host", "n")
-    fixed = counts.where("key <> ''").join(every.hint("merge"), ["host", "n"]).groupBy("host").agg(F.collect_list("key").alias("fixed"))
-    known = stage.put(found.join(fixed.hint("merge"), "host", "left"), "known")
-    full = rows.join(stage.small(known, "known"), "host").select("id", "url", "html", "wrapper", "fixed")
+    fixed = counts.where(f"key <> '' AND n >= {seen}").join(every.hint("merge"), ["host", "n"]).groupBy("host").agg(F.collect_list("key").alias("fixed"))  # slots of one wrapper
+    mass = slots.select("host", F.explode("mass").alias("m")).groupBy("host", "m.place").agg(F.sum("m.chars").alias("chars"), F.sum("m.linked").alias("linked"))
+    mass = mass.groupBy("host").agg(F.array_sort(F.collect_list(F.struct("place", "chars", "linked"))).alias("mass"))  # places of one wrapper
+    known = found.join(every.hint("merge"), "host", "left").join(fixed.hint("merge"), "host", "left").join(mass.hint("merge"), "host", "left")
+    known = stage.put(known, "known")
+    full = rows.join(stage.small(known, "known"), "host").select("id", "url", "html", "wrapper", "fixed", "mass", "n")
     kind = rows.schema["id"].dataType.simpleString()
-    out = full.mapInArrow(_extract, f"id {kind}, url string, text string")
+    out = full.mapInArrow(_extract(seen), f"id {kind}, url string, text string")
     return out.select(F.col("id").alias(id_column), F.col("url").alias(url_column), "text")

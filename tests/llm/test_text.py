@@ -160,6 +160,69 @@ def test_hosts_decide_inside_articles(spark):
     assert [got[k] for k in range(4)] == [f"Story {k}" for k in range(4)]
 
 
+def test_the_wrapper_decides_where_no_tag_names_the_article(spark):
+    def page(k):
+        texts = "".join(f"<p>Own words {k}-{j} of a longer text that no other page has.</p>" for j in range(3))
+        offer = f"<div><p>Offer {k} of the day</p></div>" if k % 2 else ""
+        return f"<div><span>Start</span> <b>page {k}</b></div>{offer}<div><h1>Head {k}</h1>{texts}<p>Read on our site.</p><ul><li><a href=1>More {k}</a></li><li><a href=2>Most {k}</a></li></ul></div><div>End {k}</div>"
+
+    rows = [(k, "http://plain.example/x", page(k)) for k in range(6)]
+    got = {r.page_id: r.text for r in wrapper.main_text(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    for k in range(6):
+        assert got[k] == "\n\n".join([f"Head {k}", *(f"Own words {k}-{j} of a longer text that no other page has." for j in range(3))])
+    empty = [block.text() for _, flag, block in wrapper._read_slots(page(1), wrapper.reader("[]", ())) if flag]
+    assert {"Start page 1", "Offer 1 of the day", "End 1", "Read on our site."} <= set(empty)
+
+
+def test_the_wrapper_finds_the_article_of_a_page_that_names_it():
+    page = "<body><div>Buy now</div><article><h1>Title</h1><p>A long text of its own that fills the page with many words.</p></article><div>End</div></body>"
+    stream = wrapper.dump([(n, False) for n in wrapper.fold(wrapper.tokens(page)[0])[0]])
+    nodes = [n for n, _ in wrapper.load(stream)]
+    mass = tuple((k, n, 0) for k, n in zip([k for k, s in enumerate(nodes) if s == wrapper.SLOT], (7, 5, 60, 3), strict=True))
+    known = wrapper.reader(stream, mass, 1)
+    assert nodes[known.box] == "article"
+    assert [b.text() for _, flag, b in wrapper._read_slots(page, known) if flag] == ["Title", "A long text of its own that fills the page with many words."]
+    assert [b.text() for _, flag, b in wrapper._read_slots(page, wrapper.reader("[]", ())) if flag] == ["Buy now", "Title", "A long text of its own that fills the page with many words.", "End"]
+
+
+def test_alignment_is_a_longest_common_subsequence_of_each_stretch():
+    """Every page's stream is taken by the wrapper of all: its nodes come in order, and what it lacks is optional."""
+    r = random.Random(4)
+    pages = [["html", *(x for _ in range(r.randrange(1, 5)) for x in r.choice([("p", "#", "/p"), ("h2", "#", "/h2"), ("div", "#", "/div"), ("ul", "li", "#", "/li", "/ul")])), "/html"] for _ in range(30)]
+    whole = None
+    for p in pages:
+        whole = wrapper.generalise(whole, [(n, False) for n in wrapper.fold(p)[0]])
+    groups = {n for n, _ in whole if isinstance(n, tuple)}
+    for p in pages:
+        nodes, covers = wrapper.absorb(*wrapper.fold(p), groups)
+        assert sorted(k for c in covers for k in c) == list(range(len(p)))
+        pairs = list(wrapper.align([*whole], nodes))
+        both = [(a, b) for a, b in pairs if a is not None and b is not None]
+        assert both == sorted(both) and all(whole[a][0] == nodes[b] for a, b in both)
+        assert len(both) <= brute_common([n for n, _ in whole], nodes)
+        assert all(whole[a][1] for a, b in pairs if b is None) and len(both) >= len(nodes) - 2
+
+
+def brute_common(a, b):
+    table = [[0] * (len(b) + 1) for _ in range(len(a) + 1)]
+    for i in range(len(a)):
+        for j in range(len(b)):
+            table[i + 1][j + 1] = table[i][j] + 1 if a[i] == b[j] else max(table[i][j + 1], table[i + 1][j])
+    return table[-1][-1]
+
+
+@pytest.mark.parametrize(("page", "text"), [
+    ("<html><head><title>T</title><body><article><p>In</p></article>", "In"),
+    ("<article><svg/><p>After</p></article>", "After"),
+    ("<article><svg viewBox=1><text>no</text></svg><p>After</p></article>", "After"),
+    ("<article><p>In</p><div class='comment content-body'>Me too</div><div class=kommentare>Ich auch</div></article>", "In"),
+    ("<article><h2 id='share-of-income'>Share</h2><div class=social>Work</div><div id=share-buttons>Tell</div></article>", "Share\n\nWork"),
+])
+def test_odd_markup(spark, page, text):
+    df = spark.createDataFrame([(1, "http://a.example", page), (1, "http://a.example", page)], "page_id long, url string, html string")
+    assert [r.text for r in wrapper.main_text(df).collect()] == [text, text]
+
+
 def test_wrappers_generalise():
     def seq(html):
         return [(n, False) for n in wrapper.fold(wrapper.tokens(html)[0])[0]]
