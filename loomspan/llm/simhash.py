@@ -16,6 +16,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import NumericType
 
 from .common import Stage, clash_free
 from .words import flat_words, mix, shingle_hashes, text_slices, utf8
@@ -121,8 +122,11 @@ def with_next(docs: DataFrame, stage: Stage, config: SimHash = SimHash(), rows:
     their names. Ids are cut into ranges, at most two for each shuffle
     partition. The first row of each range is also sent to the range before,
     so a range is a window of its own. Rows with one id follow each other in
-    the order of their texts; null ids come first.
+    the order of their texts; null ids come first. Ids are numbers. An empty
+    table gives no rows; a single row is its own next.
     """
+    if not isinstance(docs.schema["id"].dataType, NumericType):
+        raise TypeError("ids must be numbers")
     ids = docs.select("id")
     parts = max(1, min(ids.count() // rows, 2 * int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))))
     cuts = sorted(set(ids.agg(F.percentile_approx("id", [k / parts for k in range(1, parts)], 10 * parts)).first()[0] or [])) if parts > 1 else []

@@ -79,6 +79,44 @@ def test_minhash_repeated_rows_and_empty_table(spark):
     assert minhash.near_duplicates(df.limit(0)).count() == 0
 
 
+def test_fingerprints_are_votes_of_weighted_shingles(spark):
+    texts = ["a b c d e f g a b c d e f g", "a b c", "one two three four five six seven eight", "", None, "A B C D E F G a b c d e f g", "x " * 3000]
+    df = spark.createDataFrame(list(enumerate(texts)), "id long, text string")
+    got = {r.id: (r.text_hi, r.text_lo) for r in simhash.fingerprints(df, ["text"]).collect()}
+    for k, text in enumerate(texts):
+        values, _ = shingle_hashes(*flat_words([(text or "").encode()]), 5)
+        votes = [0.0] * 128
+        for v in set(values.tolist()):
+            weight = np.float32(1 + np.log(values.tolist().count(v)))
+            spread = np.array([v], np.uint64)
+            pair = np.concatenate((spread, simhash.mix(spread + np.uint64(0x9E3779B97F4A7C15))))
+            for place, byte in enumerate(pair.view(np.uint8).tolist()):
+                for bit in range(8):
+                    votes[8 * place + bit] += weight if byte >> (7 - bit) & 1 else -weight
+        want = np.packbits(np.array(votes) > 0).view(np.int64).tolist()
+        assert list(got[k]) == want, text
+    assert got[0] == got[5] and got[3] == got[4] == (0, 0)
+
+
+def test_fingerprints_within_the_radius(spark):
+    r = random.Random(6)
+    base = [r.getrandbits(128) for _ in range(30)]
+    prints = [b ^ sum(1 << r.randrange(128) for _ in range(r.choice([0, 1, 3, 6, 9]))) for b in base * 5]
+    signed = lambda x: x - (1 << 64) if x >> 63 else x
+    df = spark.createDataFrame([(k, signed(p >> 64), signed(p & (1 << 64) - 1)) for k, p in enumerate(prints)], "id long, hi long, lo long")
+    got = {(x.query, x.id, x.bits) for x in simhash.within_radius(df.where("id % 3 = 0"), df).collect()}
+    assert got == {(a, b, (prints[a] ^ prints[b]).bit_count()) for a in range(0, 150, 3) for b in range(150) if a != b and (prints[a] ^ prints[b]).bit_count() <= 6}
+    assert simhash.within_radius(df.limit(0), df).count() == simhash.within_radius(df, df.limit(0)).count() == 0
+
+
+def test_next_of_few_rows(spark):
+    df = spark.createDataFrame([(5, "b"), (1, None), (1, "a")], "id long, text string")
+    assert [(r.id, r.text, r.next_text) for r in simhash.with_next(df, Stage(spark, "t")).orderBy("id", "text").collect()] == [(1, None, "a"), (1, "a", "b"), (5, "b", None)]
+    assert simhash.with_next(df.limit(0), Stage(spark, "t")).count() == 0
+    with pytest.raises(TypeError):
+        simhash.with_next(df.withColumn("id", F.col("id").cast("string")), Stage(spark, "t"))
+
+
 def test_embedding_links(spark):
     r = np.random.default_rng(3)
     base = r.standard_normal((12, 16))
