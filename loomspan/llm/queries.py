@@ -90,20 +90,22 @@ _FETCHED = "CAST(page_id % 360 AS INT)"
 def op7_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every page's URL against a dated list derived from all pages' hosts and paths, as of its fetch day.
 
-    Days count from 2024-01-01. Per host, the lists hold its domain with every
-    digit-ending page path, added and removed on days taken from page ids.
+    Days count from 2024-01-01. The lists hold domains of hosts, first path
+    segments and whole paths of pages, added and removed on days taken from page ids.
     """
     pages = table(spark, sf_dir, "pages").select("page_id", "url", F.expr(_FETCHED).alias("fetched"))
     url = F.col("url")
     host, path = urlfilter.url_host(url), urlfilter.url_path(url)
     day = F.col("page_id") % 300
-    listed = pages.where(host != "").select("page_id", host.alias("host"), F.regexp_extract(path, "^(/[^/]+)", 1).alias("step"), day.cast("int").alias("day"))
+    whole = F.array_join(F.filter(F.split(path, "/"), lambda s: s != ""), "/")
+    listed = pages.where(host != "").select("page_id", host.alias("host"), F.regexp_extract(path, "^(/[^/]+)", 1).alias("step"), whole.alias("whole"), day.cast("int").alias("day"))
     hosts = listed.groupBy("host").agg(F.min("page_id").alias("first"), F.count("*").alias("n"))
     fixed = lambda name, pattern, action, at: (F.lit(name).alias("list"), pattern.alias("pattern"), F.lit(action).alias("action"), at.cast("int").alias("at"))
     entries = hosts.where("first % 2 = 0").select(*fixed("block", F.concat(F.lit("."), "host"), "add", F.col("first") % 100))
     entries = entries.union(hosts.where("first % 4 = 0").select(*fixed("block", F.concat(F.lit("."), "host"), "remove", F.col("first") % 100 + 120)))
     entries = entries.union(listed.where("page_id % 5 = 0 AND step <> ''").select(*fixed("allow", F.concat("host", "step"), "add", F.col("day"))))
     entries = entries.union(listed.where("page_id % 15 = 0 AND step <> ''").select(*fixed("allow", F.concat("host", "step"), "remove", F.col("day") + 40)))
+    entries = entries.union(listed.where("page_id % 7 = 0 AND whole <> ''").select(*fixed("block", F.concat("host", F.lit("/"), "whole"), "add", F.col("day"))))
     return urlfilter.decide(pages, entries)
 
 
@@ -179,14 +181,15 @@ WITH parts AS (
     lower(regexp_extract(coalesce(url, ''), '^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]*)(?::[0-9]*)?([^?#]*)', 1)) AS host,
     regexp_extract(coalesce(url, ''), '^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]*)(?::[0-9]*)?([^?#]*)', 2) AS path
   FROM pages),
-steps AS (SELECT *, list_filter(string_split(path, '/'), lambda s: s <> '')[1:4] AS seg, string_split(host, '.') AS labels FROM parts),
-listed AS (SELECT page_id, host, regexp_extract(path, '^(/[^/]+)', 1) AS step, CAST(page_id % 300 AS INT) AS day FROM parts WHERE host <> ''),
+steps AS (SELECT *, list_filter(string_split(path, '/'), lambda s: s <> '') AS seg, string_split(host, '.') AS labels FROM parts),
+listed AS (SELECT page_id, host, regexp_extract(path, '^(/[^/]+)', 1) AS step, array_to_string(seg, '/') AS whole, CAST(page_id % 300 AS INT) AS day FROM steps WHERE host <> ''),
 hosts AS (SELECT host, min(page_id) AS first FROM listed GROUP BY host),
 entries AS (
   SELECT 'block' AS list, '.' || host AS pattern, 'add' AS action, CAST(first % 100 AS INT) AS d FROM hosts WHERE first % 2 = 0
   UNION SELECT 'block', '.' || host, 'remove', CAST(first % 100 + 120 AS INT) FROM hosts WHERE first % 4 = 0
   UNION SELECT 'allow', host || step, 'add', day FROM listed WHERE page_id % 5 = 0 AND step <> ''
-  UNION SELECT 'allow', host || step, 'remove', day + 40 FROM listed WHERE page_id % 15 = 0 AND step <> ''),
+  UNION SELECT 'allow', host || step, 'remove', day + 40 FROM listed WHERE page_id % 15 = 0 AND step <> ''
+  UNION SELECT 'block', host || '/' || whole, 'add', day FROM listed WHERE page_id % 7 = 0 AND whole <> ''),
 spans AS (SELECT *, lead(d) OVER (PARTITION BY list, pattern ORDER BY d, action) AS valid_to FROM entries),
 active AS (SELECT list, pattern, d AS valid_from, valid_to FROM spans WHERE action = 'add' AND (valid_to IS NULL OR d < valid_to)),
 tried AS (
