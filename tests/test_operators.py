@@ -2,6 +2,7 @@
 
 import io
 import mailbox
+import time
 import zipfile
 
 from hypothesis import given, settings
@@ -65,6 +66,14 @@ def test_chunk_rows(spark):
     assert all(r.text_length <= 1200 + 200 for r in got)
 
 
+def test_a_long_text_is_cut_in_little_time(spark):
+    text = "A sentence of some words that goes on and on. " * 22_000
+    docs = spark.createDataFrame([("long", 0, text)], "source_path string, mtime_ns long, text string")
+    began = time.time()
+    got = chunking.chunks(docs).agg(F.count("*").alias("n"), F.max("end").alias("end")).first()
+    assert got.n > 500 and got.end == len(text) and time.time() - began < 10
+
+
 def test_readable(spark):
     for text, want in (("A plain sentence that is long enough.", True), ("\x00\x89PNG\r\n\x1a\x00" * 100, False), ("Hi", False), ("", False), (None, False)):
         assert one(spark, fn.is_readable(F.col("t")), t=text) is want
