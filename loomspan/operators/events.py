@@ -3,52 +3,55 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
+from operator import and_, or_
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-#: Severity of each class of fault where a rule names none. Fixed values.
-DEFAULT_SEVERITY = {"NETWORK_ERROR": 2, "AUTH_ERROR": 2, "API_ERROR": 2, "INDEX_ERROR": 1, "EMBEDDING_ERROR": 1, "PARSE_ERROR": 3, "CONFIG_ERROR": 2, "RESOURCE_ERROR": 2, "SECURITY_ERROR": 1, "RETRIEVAL_ERROR": 3, "INTERNAL_ERROR": 2}
+#: Class and severity of a fault, by the first rule of which one alternative holds. An alternative maps the error's type ("kind"), its
+#: message ("text") or the message in one case ("lower", "upper") to a pattern, and all its patterns must be found. Fixed values, in this order.
+FAULT_RULES = (
+    ("SECURITY_ERROR", 1, ({"upper": "PII"}, {"lower": "credential|exposure"})),
+    ("SECURITY_ERROR", 1, ({"lower": "unauthorized access"}, {"lower": "audit.*tamper|tamper.*audit"})),
+    ("AUTH_ERROR", 2, ({"text": "401|Unauthorized"}, {"kind": "AuthenticationError"})),
+    ("AUTH_ERROR", 2, ({"text": "403|Forbidden"}, {"kind": "PermissionError", "lower": "api"})),
+    ("NETWORK_ERROR", 2, ({"kind": "ConnectionRefused|ConnectionError"}, {"lower": "connection refused"})),
+    ("NETWORK_ERROR", 2, ({"upper": "DNS"}, {"lower": "resolve"}, {"kind": "NameResolutionError"})),
+    ("NETWORK_ERROR", 2, ({"text": "SSL"}, {"lower": "certificate"}, {"kind": "SSLError"})),
+    ("NETWORK_ERROR", 3, ({"kind": "TimeoutError|Timeout"}, {"lower": "timed out"})),
+    ("API_ERROR", 3, ({"text": "429|RateLimit"}, {"lower": "rate limit"})),
+    ("API_ERROR", 2, ({"text": "404", "lower": "api|deployment|model"},)),
+    ("API_ERROR", 2, ({"text": "500|502|503"}, {"kind": "InternalServerError"})),
+    ("API_ERROR", 3, ({"kind": "BadRequest"}, {"text": "400", "lower": "api"})),
+    ("INDEX_ERROR", 1, ({"lower": "sqlite|database"}, {"kind": "OperationalError"})),
+    ("INDEX_ERROR", 2, ({"lower": "memmap|mmap"}, {"lower": "numpy.*error|error.*numpy"})),
+    ("EMBEDDING_ERROR", 1, ({"text": "SentenceTransformer"}, {"lower": "embedding.*model|model.*embedding"})),
+    ("RESOURCE_ERROR", 2, ({"text": "CUDA|OutOfMemory"}, {"lower": "out of memory"})),
+    ("PARSE_ERROR", 3, ({"kind": "PDFSyntaxError"}, {"lower": "pdf.*(corrupt|parse)|(corrupt|parse).*pdf"})),
+    ("PARSE_ERROR", 4, ({"kind": "UnicodeDecodeError"}, {"lower": "encoding"})),
+    ("CONFIG_ERROR", 2, ({"kind": "YAMLError"}, {"lower": "yaml.*(parse|syntax)|(parse|syntax).*yaml"})),
+    ("CONFIG_ERROR", 2, ({"lower": "config.*(missing|not found)|(missing|not found).*config"},)),
+    ("RESOURCE_ERROR", 2, ({"kind": "MemoryError"}, {"lower": "memory.*error|error.*memory"})),
+    ("RESOURCE_ERROR", 1, ({"lower": "disk.*full|full.*disk"}, {"text": "No space left"})),
+    ("RETRIEVAL_ERROR", 3, ({"lower": "retriev.*(zero|empty|no results)|(zero|empty|no results).*retriev"},)),
+)
+OTHER_FAULT = ("INTERNAL_ERROR", 2)
 
 
 def classify_fault(kind: Column, message: Column) -> Column:
     """Struct (error_class, severity) of an error by its type and message with context; the first rule that holds."""
     t, m = F.coalesce(kind, F.lit("")), F.coalesce(message, F.lit(""))
-    low = F.lower(m)
-
-    def any_of(c: Column, *words: str) -> Column:
-        return c.rlike("|".join(words))
-
-    rules = (
-        (F.contains(F.upper(m), F.lit("PII")) | any_of(low, "credential", "exposure"), "SECURITY_ERROR", 1),
-        (any_of(low, "unauthorized access") | (any_of(low, "audit") & any_of(low, "tamper")), "SECURITY_ERROR", 1),
-        (any_of(m, "401", "Unauthorized") | any_of(t, "AuthenticationError"), "AUTH_ERROR", 2),
-        (any_of(m, "403", "Forbidden") | (any_of(t, "PermissionError") & any_of(low, "api")), "AUTH_ERROR", 2),
-        (any_of(t, "ConnectionRefused", "ConnectionError") | any_of(low, "connection refused"), "NETWORK_ERROR", None),
-        (F.contains(F.upper(m), F.lit("DNS")) | any_of(low, "resolve") | any_of(t, "NameResolutionError"), "NETWORK_ERROR", None),
-        (any_of(m, "SSL") | any_of(low, "certificate") | any_of(t, "SSLError"), "NETWORK_ERROR", 2),
-        (any_of(t, "TimeoutError", "Timeout") | any_of(low, "timed out"), "NETWORK_ERROR", 3),
-        (any_of(m, "429", "RateLimit") | any_of(low, "rate limit"), "API_ERROR", 3),
-        (any_of(m, "404") & any_of(low, "api", "deployment", "model"), "API_ERROR", 2),
-        (any_of(m, "500", "502", "503") | any_of(t, "InternalServerError"), "API_ERROR", 2),
-        (any_of(t, "BadRequest") | (any_of(m, "400") & any_of(low, "api")), "API_ERROR", 3),
-        (any_of(low, "sqlite", "database") | any_of(t, "OperationalError"), "INDEX_ERROR", 1),
-        (any_of(low, "memmap", "mmap") | (any_of(low, "numpy") & any_of(low, "error")), "INDEX_ERROR", 2),
-        (any_of(m, "SentenceTransformer") | (any_of(low, "embedding") & any_of(low, "model")), "EMBEDDING_ERROR", 1),
-        (any_of(m, "CUDA", "OutOfMemory") | any_of(low, "out of memory"), "RESOURCE_ERROR", 2),
-        (any_of(t, "PDFSyntaxError") | (any_of(low, "pdf") & any_of(low, "corrupt", "parse")), "PARSE_ERROR", 3),
-        (any_of(t, "UnicodeDecodeError") | any_of(low, "encoding"), "PARSE_ERROR", 4),
-        (any_of(t, "YAMLError") | (any_of(low, "yaml") & any_of(low, "parse", "syntax")), "CONFIG_ERROR", 2),
-        (any_of(low, "config") & any_of(low, "missing", "not found"), "CONFIG_ERROR", 2),
-        (any_of(t, "MemoryError") | (any_of(low, "memory") & any_of(low, "error")), "RESOURCE_ERROR", 2),
-        ((any_of(low, "disk") & any_of(low, "full")) | any_of(m, "No space left"), "RESOURCE_ERROR", 1),
-        (any_of(low, "retriev") & any_of(low, "zero", "empty", "no results"), "RETRIEVAL_ERROR", 3),
-    )
-    found = None
-    for holds, name, severity in rules:
-        value = F.struct(F.lit(name).alias("error_class"), F.lit(severity or DEFAULT_SEVERITY[name]).alias("severity"))
-        found = F.when(holds, value) if found is None else found.when(holds, value)
-    return found.otherwise(F.struct(F.lit("INTERNAL_ERROR").alias("error_class"), F.lit(2).alias("severity")))
+    fields = {"kind": t, "text": m, "lower": F.lower(m), "upper": F.upper(m)}
+
+    def result(name: str, severity: int) -> Column:
+        return F.struct(F.lit(name).alias("error_class"), F.lit(severity).alias("severity"))
+
+    found = F
+    for name, severity, alternatives in FAULT_RULES:
+        either = [reduce(and_, (fields[f].rlike(f"(?s){pattern}") for f, pattern in parts.items())) for parts in alternatives]
+        found = found.when(reduce(or_, either), result(name, severity))
+    return found.otherwise(result(*OTHER_FAULT))
 
 
 def http_error(status: Column, body: Column) -> Column:

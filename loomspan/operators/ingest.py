@@ -92,7 +92,7 @@ def changes(files: DataFrame, stored: DataFrame) -> DataFrame:
 
 def new_chunks(new: DataFrame, table: DataFrame) -> DataFrame:
     """Rows of ``new`` to append: one for each chunk id that the table lacks."""
-    return new.dropDuplicates(["chunk_id"]).join(table.select("chunk_id"), "chunk_id", "left_anti")
+    return new.dropDuplicates(["chunk_id"]).join(table.select("chunk_id").hint("merge"), "chunk_id", "left_anti")
 
 
 def replace_sources(table: DataFrame, new: DataFrame) -> DataFrame:

@@ -4,19 +4,25 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import query_terms, squash
 
+#: Folders of a stored index.
+BUCKETS = 64
+#: Most distinct query terms that are sent to the scan of the postings.
+SENT_TERMS = 5000
+
 
 @dataclass(frozen=True)
 class KeywordIndex:
-    """``postings(term, id, tf)``, ``doc_stats(id, dl)`` and ``term_stats(term, df)``."""
+    """``postings(term, id, tf)``, ``doc_stats(id, dl)`` and ``term_stats(term, df)``; stored postings have their ``bucket`` too."""
 
     postings: DataFrame
     doc_stats: DataFrame
     term_stats: DataFrame
+    buckets: int = BUCKETS
 
 
 def words(text: Column) -> Column:
@@ -32,18 +38,77 @@ def build_index(docs: DataFrame) -> KeywordIndex:
     return KeywordIndex(postings, lengths, postings.groupBy("term").agg(F.count("*").alias("df")))
 
 
+def _bucket(term: str, buckets: int) -> Column:
+    return F.pmod(F.xxhash64(term), F.lit(buckets)).cast("int")
+
+
+def write_index(docs: DataFrame, path: str, buckets: int = BUCKETS) -> KeywordIndex:
+    """Writes the index of ``docs(id, text)`` as Parquet and returns the written one.
+
+    Postings lie in folders by a hash of the term and are sorted by term, so a
+    search reads the parts of its terms only. Texts are parsed once: lengths
+    are sums over the postings.
+    """
+    tokens = docs.select("id", F.explode(words(F.col("text"))).alias("term"))
+    postings = tokens.groupBy("term", "id").agg(F.count("*").alias("tf")).withColumn("bucket", _bucket("term", buckets))
+    postings.repartition("bucket", F.pmod(F.xxhash64("id"), F.lit(4))).sortWithinPartitions("bucket", "term", "id").write.mode("overwrite").partitionBy("bucket").parquet(f"{path}/postings")
+    docs.select("id").write.mode("overwrite").parquet(f"{path}/ids")
+    return _summed(docs.sparkSession, path, buckets)
+
+
+def _summed(spark: SparkSession, path: str, buckets: int) -> KeywordIndex:
+    """Writes what follows from the postings and the ids."""
+    postings = spark.read.parquet(f"{path}/postings")
+    postings.groupBy("bucket", "term").agg(F.count("*").alias("df")).sortWithinPartitions("term").write.mode("overwrite").parquet(f"{path}/terms")
+    sums = postings.groupBy("id").agg(F.sum("tf").alias("dl"))
+    ids = spark.read.parquet(f"{path}/ids").join(sums.hint("merge"), "id", "left").select("id", F.coalesce("dl", F.lit(0)).alias("dl"))
+    ids.write.mode("overwrite").parquet(f"{path}/documents")
+    return load_index(spark, path, buckets)
+
+
+def load_index(spark: SparkSession, path: str, buckets: int = BUCKETS) -> KeywordIndex:
+    """The index that ``write_index`` or ``update_index`` wrote."""
+    return KeywordIndex(spark.read.parquet(f"{path}/postings"), spark.read.parquet(f"{path}/documents"), spark.read.parquet(f"{path}/terms").drop("bucket"), buckets)
+
+
+def update_index(spark: SparkSession, path: str, target: str, docs: DataFrame, gone: DataFrame, buckets: int = BUCKETS) -> KeywordIndex:
+    """Writes to ``target`` the index of ``path`` without the ids of ``gone(id)`` and with ``docs(id, text)``; ids of ``docs`` replace older ones.
+
+    Goes with appends (nothing gone) and replaced sources (their old ids gone).
+    Only new texts are parsed. The old index stays until the caller drops it.
+    """
+    if path.rstrip("/") == target.rstrip("/"):
+        raise ValueError("an index is not overwritten while it is read")
+    left = gone.select("id").union(docs.select("id")).distinct()
+    fresh = docs.select("id", F.explode(words(F.col("text"))).alias("term")).groupBy("term", "id").agg(F.count("*").alias("tf")).withColumn("bucket", _bucket("term", buckets))
+    old = spark.read.parquet(f"{path}/postings").join(left.hint("merge"), "id", "left_anti").select("term", "id", "tf", "bucket")
+    whole = old.union(fresh).repartition("bucket", F.pmod(F.xxhash64("id"), F.lit(4))).sortWithinPartitions("bucket", "term", "id")
+    whole.write.mode("overwrite").partitionBy("bucket").parquet(f"{target}/postings")
+    spark.read.parquet(f"{path}/ids").join(left.hint("merge"), "id", "left_anti").union(docs.select("id")).write.mode("overwrite").parquet(f"{target}/ids")
+    return _summed(spark, target, buckets)
+
+
 def bm25_topk(index: KeywordIndex, queries: DataFrame, k: int = 20, k1: float = 1.2, b: float = 0.75) -> DataFrame:
     """``(query_id, rank, id, score, shown)`` for ``queries(query_id, query)``: any term may match, repeats count.
 
     A query without terms of three characters gives no rows. Ties go to the
-    lesser id, after rounding the score to nine places.
+    lesser id, after rounding the score to nine places. The distinct terms of up
+    to ``SENT_TERMS`` are sent to the postings, which are filtered by them as
+    they are read; more are joined by a merge.
     """
     asked = queries.select("query_id", F.explode(query_terms(F.col("query"))).alias("term")).groupBy("query_id", "term").agg(F.count("*").alias("m"))
+    terms = sorted({r.term for r in asked.select("term").distinct().limit(SENT_TERMS + 1).collect()})
+    postings = index.postings
+    if len(terms) <= SENT_TERMS:
+        postings = postings.where(F.col("term").isin(terms))
+        if "bucket" in postings.columns:  # of a stored index
+            buckets = postings.sparkSession.createDataFrame([(t,) for t in terms], "term string").select(_bucket("term", index.buckets).alias("b")).distinct()
+            postings = postings.where(F.col("bucket").isin([r.b for r in buckets.collect()]))
     totals = index.doc_stats.agg(F.count("*").alias("n"), F.avg("dl").alias("avgdl"))
     idf = F.greatest(F.lit(1e-6), F.log((F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5)))
     part = F.col("m") * idf * F.col("tf") * F.lit(k1 + 1) / (F.col("tf") + F.lit(k1) * (F.lit(1 - b) + F.lit(b) * F.col("dl") / F.col("avgdl")))
     scored = (
-        index.postings.join(asked.join(index.term_stats, "term"), "term").join(index.doc_stats, "id")
+        postings.join(asked.join(index.term_stats.hint("merge"), "term").hint("merge"), "term").join(index.doc_stats.hint("merge"), "id")
         .crossJoin(F.broadcast(totals))  # one row
         .groupBy("query_id", "id").agg(F.round(F.sum(part), 9).alias("score"))
     )

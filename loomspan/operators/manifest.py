@@ -58,9 +58,10 @@ def delta(previous: DataFrame, current: DataFrame) -> DataFrame:
 
 def first_copies(files: DataFrame) -> DataFrame:
     """Adds ``outcome`` to ``(source_path, content_hash)``: the first path of a hash is copied, later ones name it as ``copy_of``."""
-    w = Window.partitionBy("content_hash").orderBy("source_path")
-    first = F.row_number().over(w) == 1
-    return files.withColumn("outcome", F.when(first, "copied").otherwise("skipped_duplicate")).withColumn("copy_of", F.when(~first, F.first("source_path").over(w)))
+    first = files.groupBy("content_hash").agg(F.min("source_path").alias("__first"))
+    df = files.join(first.withColumnRenamed("content_hash", "__hash").hint("merge"), F.col("content_hash").eqNullSafe(F.col("__hash")))
+    own = F.col("source_path") == F.col("__first")
+    return df.withColumn("outcome", F.when(own, "copied").otherwise("skipped_duplicate")).withColumn("copy_of", F.when(~own, F.col("__first"))).drop("__first", "__hash")
 
 
 def known_content(files: DataFrame, transfers: DataFrame) -> DataFrame:
@@ -70,10 +71,23 @@ def known_content(files: DataFrame, transfers: DataFrame) -> DataFrame:
 
 
 def safe_names(files: DataFrame, column: str = "target") -> DataFrame:
-    """Adds ``name``: repeated targets get _1, _2 and so on before the extension, in path order."""
+    """Adds ``name``: repeated targets get _1, _2 and so on before the extension, in path order; no two names are equal.
+
+    The first file of a target keeps it. A number is left out where some
+    target has that name itself. Case counts. A null target keeps a null name.
+    """
     nth = F.row_number().over(Window.partitionBy(column).orderBy("source_path")) - 1
     stem, ext = F.regexp_extract(column, r"^(.*?)(\.[^./]*)?$", 1), F.regexp_extract(column, r"^(.*?)(\.[^./]*)?$", 2)
-    return files.withColumn("name", F.when(nth == 0, F.col(column)).otherwise(F.concat(stem, F.lit("_"), nth.cast("string"), ext)))
+    asked = files.withColumn("__nth", nth).withColumn("__stem", stem).withColumn("__ext", ext)
+    # numbers that targets already have, as "stem_number.ext"
+    number = F.regexp_extract("__stem", r"^(.*)_([1-9][0-9]{0,8})$", 2).try_cast("int")
+    taken = asked.where("__nth = 0").select(F.regexp_extract("__stem", r"^(.*)_([1-9][0-9]{0,8})$", 1).alias("__stem"), "__ext", number.alias("taken")).where("taken IS NOT NULL")
+    taken = taken.groupBy("__stem", "__ext").agg(F.array_sort(F.collect_set("taken")).alias("__taken"))
+    # the n-th free number, found by stepping over each taken one that is not beyond it
+    free = F.aggregate(F.coalesce("__taken", F.array().cast("array<int>")), F.col("__nth").cast("int"), lambda n, t: F.when(t <= n, n + 1).otherwise(n))
+    named = asked.join(taken.hint("merge"), ["__stem", "__ext"], "left").withColumn("__free", free)
+    name = F.when(F.col("__nth") == 0, F.col(column)).otherwise(F.concat("__stem", F.lit("_"), F.col("__free").cast("string"), "__ext"))
+    return named.select(*files.columns, name.alias("name"))
 
 
 def verify(source: DataFrame, destination: DataFrame) -> DataFrame:
@@ -95,7 +109,9 @@ def reconcile(files: DataFrame, transfers: DataFrame, skips: DataFrame, samples:
     total = files.agg(F.lit("manifest").alias("section"), F.lit("all").alias("key"), F.count("*").alias("n"), F.sum("size").alias("bytes"), none.alias("samples"))
     sent = transfers.groupBy(F.col("result").alias("key")).agg(F.count("*").alias("n"), F.sum("size").alias("bytes"))
     rank = F.row_number().over(Window.partitionBy("reason").orderBy("source_path"))
-    left = skips.withColumn("rank", rank).groupBy(F.col("reason").alias("key")).agg(F.count("*").alias("n"), F.sum("size").alias("bytes"), F.array_sort(F.collect_list(F.when(F.col("rank") <= samples, F.col("source_path")))).alias("samples"))
+    shown = skips.select("reason", "source_path").withColumn("rank", rank).where(F.col("rank") <= samples)  # each task passes on so many of a reason
+    shown = shown.groupBy(F.col("reason").alias("key")).agg(F.array_sort(F.collect_list("source_path")).alias("samples"))
+    left = skips.groupBy(F.col("reason").alias("key")).agg(F.count("*").alias("n"), F.sum("size").alias("bytes")).join(shown, "key", "left")
     gap = files.agg(F.count("*").alias("a")).crossJoin(transfers.agg(F.count("*").alias("b"))).crossJoin(skips.agg(F.count("*").alias("c")))
     return (
         total.union(sent.select(F.lit("transfer"), "key", "n", "bytes", none)).union(left.select(F.lit("skip"), "key", "n", "bytes", "samples"))

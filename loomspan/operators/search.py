@@ -55,7 +55,7 @@ def overlap_scorer(query: Column, text: Column) -> Column:
 
 def boosted(by_vector: DataFrame, queries: DataFrame, texts: DataFrame) -> DataFrame:
     """Vector hits with the lexical boost, ranked again; texts are joined to the winners only."""
-    full = by_vector.join(F.broadcast(queries), "query_id").join(texts, "id")
+    full = by_vector.join(queries.hint("merge"), "query_id").join(texts.hint("merge"), "id")
     gain = full.withColumn("score", F.round(F.col("score") + lexical_boost(F.col("query"), F.col("text")), 9)).drop("rank")
     return gain.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "id")).cast("long")).select("query_id", "rank", "id", "score")
 
@@ -73,7 +73,7 @@ def rerank(hits: DataFrame, scorer: Callable[[Column, Column], Column] = overlap
 def search(queries: DataFrame, corpus: DataFrame, index: keyword.KeywordIndex, config: SearchConfig = SearchConfig()) -> DataFrame:
     """``(query_id, rank, id, score)`` for ``queries(query_id, query, vector)`` on ``corpus(id, text, vector)``."""
     k = config.candidates if config.rerank else config.top_k
-    near = vector.vector_topk(corpus.select("id", "vector"), queries.select("query_id", "vector"), k)
+    near = vector.vector_topk_blocks(corpus.select("id", "vector"), queries.select("query_id", "vector"), k)
     texts = corpus.select("id", "text")
     if config.hybrid:
         found = fuse(near, keyword.bm25_topk(index, queries.select("query_id", "query"), 20), config.rrf_k)
@@ -81,7 +81,7 @@ def search(queries: DataFrame, corpus: DataFrame, index: keyword.KeywordIndex, c
     else:
         found = boosted(near, queries.select("query_id", "query"), texts)
     if config.rerank:
-        found = rerank(found.join(F.broadcast(queries.select("query_id", "query")), "query_id").join(texts, "id"))
+        found = rerank(found.join(queries.select("query_id", "query").hint("merge"), "query_id").join(texts.hint("merge"), "id"))
     kept = found.where(F.col("score") >= config.min_score).withColumn("place", -F.col("rank")).drop("rank")
     return ranked(kept, config.top_k, "place").select("query_id", "rank", "id", "score")
 

@@ -15,12 +15,15 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions.text import collapse, extension
+from ..functions.text import collapse, extension, strip_tags
 from ..operators.ingest import discover
 
-#: Elements without visible text, and elements that start a line. Fixed values.
-SKIPPED = frozenset("script style noscript head svg iframe object applet template meta link".split())
-BREAKS = frozenset("p div br li tr h1 h2 h3 h4 h5 h6 table ul ol section article header footer blockquote pre hr dt dd".split())
+#: Elements without visible text. Fixed values.
+SKIPPED = frozenset("script style noscript svg math template head iframe object embed".split())
+#: Elements that break lines. Fixed values.
+BREAKS = frozenset((
+    "p div section article main aside header footer nav h1 h2 h3 h4 h5 h6 blockquote pre ul ol li table tr td th caption"
+    " dl dt dd figure figcaption details summary form fieldset hr br").split())
 VOID = frozenset("meta link br hr img input embed source track wbr area base col param".split())
 
 
@@ -80,20 +83,23 @@ def _visible(html: pd.Series) -> pd.DataFrame:
             parser.feed(page or "")
             parser.close()
             rows.append(("".join(parser.parts), "".join(parser.title).strip(), None))
-        except Exception as e:  # a broken page becomes an error row
-            rows.append((None, None, f"{type(e).__name__}: {e}"))
+        except Exception as e:  # a broken page becomes an error row, its text by the plainer way
+            rows.append((" ".join(re.sub(r"<[^>]+>", " ", page).split()), None, f"{type(e).__name__}: {e}"))
     return pd.DataFrame(rows, columns=["raw", "title", "error"])
 
 
 def extract_html(pages: DataFrame, column: str = "html") -> DataFrame:
-    """Adds ``text``, ``title``, ``html_length``, ``text_length``, ``compression_ratio`` and ``error``."""
+    """Adds ``text``, ``title``, ``html_length``, ``text_length``, ``compression_ratio`` and ``error``.
+
+    A page that can't be parsed has an ``error`` and its text without tags.
+    """
     df = pages.withColumn("__v", F.pandas_udf(_visible, "struct<raw:string,title:string,error:string>")(column)).withColumn("text", collapse(F.coalesce("__v.raw", F.lit(""))))
     n = F.char_length(F.coalesce(F.col(column), F.lit("")))
     return df.select(*pages.columns, "text", F.col("__v.title").alias("title"), n.alias("html_length"), F.char_length("text").alias("text_length"), F.when(n > 0, F.char_length("text") / n).otherwise(0.0).alias("compression_ratio"), F.col("__v.error").alias("error"))
 
 
 def _mail_row(data: bytes) -> dict:
-    out = {"subject": None, "sender": None, "recipients": None, "date": None, "body": "", "attachments": 0, "sha1": hashlib.sha1(data).hexdigest(), "status": "ok"}
+    out = {"subject": None, "sender": None, "recipients": None, "date": None, "body": "", "html": False, "attachments": 0, "sha1": hashlib.sha1(data).hexdigest(), "status": "ok"}
     try:
         m = email.message_from_bytes(data, policy=email.policy.default)
         out |= {"subject": m["subject"], "sender": m["from"], "recipients": m["to"], "date": m["date"], "attachments": sum(1 for _ in m.iter_attachments())}
@@ -102,13 +108,18 @@ def _mail_row(data: bytes) -> dict:
             out["status"] = "no_body"
         else:
             text = part.get_content()
-            out["body"] = text if part.get_content_type() == "text/plain" else re.sub(r"<[^>]+>", " ", re.sub(r"(?is)<(script|style)\b.*?</\1>", "", text))
+            out["body"], out["html"] = text, part.get_content_type() == "text/html"
     except Exception as e:
         out["status"] = f"error: {type(e).__name__}"
-    return {k: str(v) if v is not None and k != "attachments" else v for k, v in out.items()}
+    return {k: str(v) if v is not None and k not in ("attachments", "html") else v for k, v in out.items()}
+
+
+MAIL = "subject string, sender string, recipients string, date string, body string, html boolean, attachments int, sha1 string, status string"
 
 
-MAIL = "subject string, sender string, recipients string, date string, body string, attachments int, sha1 string, status string"
+def _plain_body(mails: DataFrame) -> DataFrame:
+    """HTML bodies as their visible text."""
+    return mails.withColumn("body", F.when(F.col("html"), strip_tags(F.col("body"))).otherwise(F.col("body"))).drop("html")
 
 
 def parse_mail(files: DataFrame) -> DataFrame:
@@ -116,7 +127,7 @@ def parse_mail(files: DataFrame) -> DataFrame:
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
             yield pd.DataFrame([{"path": p} | _mail_row(c) for p, c in zip(frame.path, frame.content, strict=True)], columns=["path", *(x.split()[0] for x in MAIL.split(", "))])
-    return files.select("path", "content").mapInPandas(run, f"path string, {MAIL}")
+    return _plain_body(files.select("path", "content").mapInPandas(run, f"path string, {MAIL}"))
 
 
 def explode_mbox(files: DataFrame, most: int = 200, body: int = 5000) -> DataFrame:
@@ -131,11 +142,9 @@ def explode_mbox(files: DataFrame, most: int = 200, body: int = 5000) -> DataFra
                     f.flush()
                     box = mailbox.mbox(f.name)
                     rows = [{"path": path, "message": k} | _mail_row(bytes(box.get_bytes(key))) for k, key in enumerate(box.keys()) if k < most]
-                for r in rows:
-                    r["body"] = r["body"][:body]
                 yield pd.DataFrame(rows, columns=names)
 
-    return files.select("path", "content").mapInPandas(run, f"path string, message int, {MAIL}")
+    return _plain_body(files.select("path", "content").mapInPandas(run, f"path string, message int, {MAIL}")).withColumn("body", F.left("body", F.lit(body)))
 
 
 def read_golden(spark: SparkSession, path: str, limit: int | None = None) -> DataFrame:
@@ -145,9 +154,14 @@ def read_golden(spark: SparkSession, path: str, limit: int | None = None) -> Dat
     return df.limit(limit) if limit else df
 
 
-def write_records(df: DataFrame, path: str) -> None:
-    """JSON lines."""
-    df.write.mode("append").json(path)
+def write_records(df: DataFrame, path: str, checkpoint: str | None = None):
+    """Appends JSON lines; a stream, which needs a ``checkpoint``, is drained and its finished query returned."""
+    if not df.isStreaming:
+        df.write.mode("append").json(path)
+        return None
+    query = df.writeStream.format("json").option("path", path).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+    query.awaitTermination()
+    return query
 
 
 Extractor = Callable[[DataFrame], DataFrame]
