@@ -73,10 +73,14 @@ def is_readable(text: Column, least: int = 20, nulls: float = 0.01, ratio: float
     return F.coalesce((F.char_length(text) >= least) & (zero / F.char_length(head) <= nulls) & (readable_ratio(text) >= ratio), F.lit(False))
 
 
+def window_places(text: Column) -> Column:
+    """Starts of windows at 0, 25, 50 and 75 % of a text."""
+    return F.array(*(F.floor(F.char_length(text) * F.lit(p)).cast("int") for p in (0.0, 0.25, 0.5, 0.75)))
+
+
 def deep_check(text: Column, window: int = 2000, least: int = 50, ratio: float = 0.30) -> Column:
     """Struct (severity, windows): how many windows at 0, 25, 50 and 75 % of a text are unreadable."""
-    starts = F.array(*(F.floor(F.char_length(text) * F.lit(p)).cast("int") for p in (0.0, 0.25, 0.5, 0.75)))
-    parts = F.filter(F.transform(starts, lambda s: F.substring(text, s + 1, F.lit(window))), lambda w: F.char_length(w) >= least)
+    parts = F.filter(F.transform(window_places(text), lambda s: F.substring(text, s + 1, F.lit(window))), lambda w: F.char_length(w) >= least)
     bad = F.size(F.filter(parts, lambda w: readable_ratio(w) < ratio))
     short = F.char_length(F.trim(text)) < 20
     return F.struct(F.when(text.isNull() | short, "WARNING").when(bad > 0, "WARNING").otherwise("OK").alias("severity"), F.when(short, 0).otherwise(bad).alias("windows"))
@@ -97,3 +101,13 @@ def sigmoid(x: Column) -> Column:
 
 def squash(x: Column) -> Column:
     return x / (x + F.lit(1.0))
+
+
+def megabytes_per_second(size: Column, seconds: Column) -> Column:
+    """Throughput over at least one second."""
+    return size / F.lit(1024.0**2) / F.greatest(seconds, F.lit(1.0))
+
+
+def mean_of(total: Column, n: Column) -> Column:
+    """Total over a count that is taken as one if it is none."""
+    return total / F.greatest(n, F.lit(1))

@@ -2,7 +2,7 @@
 
 from importlib import import_module
 
-TOPICS = ("retrieval", "answers", "files", "operations", "streams", "pieces")
+TOPICS = ("retrieval", "answers", "files", "operations", "streams", "pieces", "plugins")
 
 
 def _modules():

@@ -62,17 +62,26 @@ def t4(spark, sf_dir):
     return hits(spark, sf_dir).withColumn("score", F.round("score", 6))
 
 
-@query("T3_boosted_vector_search")
+@query("T3_boosted_vector_search", f"""WITH {HYBRID}, gained AS (SELECT near.query_id, near.id, round(near.score + least(0.06::DOUBLE, 0.02::DOUBLE * len(list_filter(list_distinct(list_filter(regexp_extract_all(lower(query), '[a-z0-9]+'), lambda t: length(t) >= 3)), lambda t: contains(lower(left(c.text, 250)), t)))), 9) AS score
+  FROM near JOIN q USING (query_id) JOIN c USING (id))
+SELECT query_id, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) AS rank, id, round(score, 6) AS score FROM gained""")
 def t3(spark, sf_dir):
     """Vector search with the lexical boost."""
     corpus, asked = _corpus(spark, sf_dir), _asked(spark, sf_dir)
-    return search.boosted(vector.vector_topk(corpus.select("id", "vector"), asked.select("query_id", "vector")), asked.select("query_id", "query"), corpus.select("id", "text"))
+    near = vector.vector_topk_blocks(corpus.select("id", "vector"), asked.select("query_id", "vector"))
+    return search.boosted(near, asked.select("query_id", "query"), corpus.select("id", "text")).withColumn("score", F.round("score", 6))
 
 
-@query("T5_rerank")
+_WIDE = HYBRID.replace("WHERE rank <= 8)", "WHERE rank <= 20)").replace("rank <= 8 AND score", "rank <= 20 AND score")
+
+
+@query("T5_rerank", f"""WITH {_WIDE}, wanted AS (SELECT query_id, list_distinct(list_filter(regexp_extract_all(lower(query), '[a-z0-9]+'), lambda t: length(t) >= 3)) AS ts FROM q),
+judged AS (SELECT hits.query_id, hits.id, round(1 / (1 + exp(-(len(list_filter(ts, lambda t: contains(lower(c.text), t))) - len(ts) / 2.0::DOUBLE))), 9) AS score FROM hits JOIN wanted USING (query_id) JOIN c USING (id) WHERE rank <= 20),
+again AS (SELECT query_id, id, score, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) AS rank FROM judged WHERE score >= 0.2)
+SELECT query_id, rank, id, round(score, 6) AS score FROM again WHERE rank <= 8""")
 def t5(spark, sf_dir):
     """Twenty candidates ranked again by term overlap."""
-    return search.search(_asked(spark, sf_dir), _corpus(spark, sf_dir), docs_index(spark, sf_dir), search.SearchConfig(rerank=True))
+    return search.search(_asked(spark, sf_dir), _corpus(spark, sf_dir), docs_index(spark, sf_dir), search.SearchConfig(rerank=True)).withColumn("score", F.round("score", 6))
 
 
 @query("A4_source_summary", f"WITH {HYBRID} SELECT query_id, source AS source_path, count(*) AS chunks, round(avg(round(score, 9)), 6) AS avg_relevance FROM best JOIN documents ON id = doc_id GROUP BY ALL")
@@ -88,14 +97,24 @@ def a20(spark, sf_dir):
     return search.context(hits(spark, sf_dir).join(_corpus(spark, sf_dir).select("id", "text", "source_path"), "id"))
 
 
-@query("T8_prompts")
+_CONTEXT = "string_agg('[Source ' || rank || '] ' || source_path || chr(10) || text, chr(10) || chr(10) || '---' || chr(10) || chr(10) ORDER BY rank)"
+_PROMPT = "'" + search.TEMPLATE.replace("\n", "' || chr(10) || '").replace("%s", "' || {} || '") + "'"
+
+
+@query("T8_prompts", f"""WITH {HYBRID}, told AS (SELECT query_id, {_CONTEXT} AS context FROM best JOIN c USING (id) GROUP BY query_id)
+SELECT query_id, sha256({_PROMPT.format("coalesce(context, '')", "coalesce(query, '')")}) AS prompt_sha256 FROM q LEFT JOIN told USING (query_id)""")
 def t8(spark, sf_dir):
     """Prompts of all queries, as digests."""
     asked = benchmark_queries(spark, sf_dir).withColumn("query_id", -1 - F.col("query_id"))
     return search.build_prompts(asked.join(a20(spark, sf_dir), "query_id", "left")).select("query_id", F.sha2("prompt", 256).alias("prompt_sha256"))
 
 
-@query("T9_answers")
+@query("T9_answers", f"""WITH {HYBRID}, top AS (SELECT query_id, text FROM best JOIN c USING (id) WHERE rank = 1),
+parts AS (SELECT q.query_id, text, list_filter(regexp_extract_all(lower(query), '[a-z0-9]+'), lambda t: length(t) >= 3) AS ts, string_split(regexp_replace(text, '([.!?])\\s+', '\\1' || chr(1), 'g'), chr(1)) AS sentences FROM q LEFT JOIN top USING (query_id)),
+each AS (SELECT query_id, text, unnest(list_zip(sentences, range(len(sentences)), list_transform(sentences, lambda s: len(list_filter(list_distinct(ts), lambda t: contains(lower(s), t)))))) AS s FROM parts),
+chosen AS (SELECT query_id, s[1] AS answer FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY s[3] DESC, s[2]) AS k FROM each) WHERE k = 1)
+SELECT query_id, answer, CASE WHEN text IS NULL THEN 'no_results' WHEN trim(text, ' ') = '' THEN 'empty_context' END AS error,
+  CASE WHEN text IS NULL THEN 'No relevant information was found.' WHEN trim(text, ' ') = '' THEN 'The documents found hold no text.' ELSE answer END AS message FROM parts LEFT JOIN chosen USING (query_id)""")
 def t9(spark, sf_dir):
     """Best sentence of every query's best hit, with its outcome."""
     top = hits(spark, sf_dir).where("rank = 1").join(_corpus(spark, sf_dir).select("id", F.col("text").alias("top_text")), "id")
@@ -173,9 +192,9 @@ def p15(spark, sf_dir):
 @query("A12_domain_report", f"WITH {TURNS} SELECT conv_id % 5 AS domain, count(*) AS answers, round(avg(length(coalesce(answer, ''))), 6) AS avg_chars, list_sort(list(length(query)))[len(list(length(query))) // 2 + 1] AS upper_median FROM facts GROUP BY 1")
 def a12(spark, sf_dir):
     """Averages and the upper median per domain."""
-    t = _turns(spark, sf_dir)
-    lengths = F.array_sort(F.collect_list(F.char_length("query").cast("long")))
-    return t.groupBy((F.col("conv_id") % 5).alias("domain")).agg(F.count("*").alias("answers"), F.round(F.avg(F.char_length(F.coalesce("answer", F.lit("")))), 6).alias("avg_chars"), F.try_element_at(lengths, F.floor(F.size(lengths) / 2).cast("int") + 1).alias("upper_median"))
+    t = _turns(spark, sf_dir).select((F.col("conv_id") % 5).alias("domain"), F.char_length("query").cast("long").alias("chars"), F.char_length(F.coalesce("answer", F.lit(""))).alias("answered"))
+    upper = F.expr("percentile_disc(0.5) WITHIN GROUP (ORDER BY chars DESC)")  # kept as counts of distinct lengths
+    return t.groupBy("domain").agg(F.count("*").alias("answers"), F.round(F.avg("answered"), 6).alias("avg_chars"), upper.cast("long").alias("upper_median"))
 
 
 @query("P16_cost", f"WITH {TURNS} SELECT conv_id, turn, round(CASE WHEN conv_id % 2 = 0 THEN 0 ELSE ceil(length(query) / 4.0) / 1000 * 0.0015::DOUBLE + ceil(length(coalesce(answer, '')) / 4.0) / 1000 * 0.002::DOUBLE END, 9) AS cost_usd FROM facts")

@@ -68,15 +68,31 @@ def a10(spark, sf_dir):
     return ev.audit_summary(_policy(spark, sf_dir))
 
 
-_MESSAGES = ("Request failed with 429", "memory error while loading", "the yaml syntax is odd", "disk is full", "DNS lookup", "a model for embedding", "nothing known", "audit log tamper", "api says 404", "could not parse pdf")
-_CLASSES = (("API_ERROR", 3), ("RESOURCE_ERROR", 2), ("CONFIG_ERROR", 2), ("RESOURCE_ERROR", 1), ("NETWORK_ERROR", 2), ("EMBEDDING_ERROR", 1), ("INTERNAL_ERROR", 2), ("SECURITY_ERROR", 1), ("API_ERROR", 2), ("PARSE_ERROR", 3))
+#: Parts of messages; every error event takes two, so that most rules are met, some by two parts together.
+_PARTS = ("Request failed", "429", "memory", "error while loading", "yaml", "syntax is odd", "disk", "is full", "DNS lookup", "embedding", "a model", "nothing known", "audit log", "tamper", "api says 404", "could not parse", "pdf", "PII found", "credential", "401",
+          "Forbidden", "connection refused", "SSL", "timed out", "503", "400 api", "sqlite", "mmap", "numpy", "SentenceTransformer", "CUDA", "encoding", "config", "missing", "No space left", "retrieval", "zero hits", "unauthorized access", "page two")
+_KINDS = ("error", "TimeoutError", "PermissionError", "BadRequest", "OperationalError", "MemoryError", "error", "error", "error", "error", "error")
 
 
-@query("P8_classify", "SELECT event_id, CASE event_id % 10 " + " ".join(f"WHEN {k} THEN '{c}'" for k, (c, _) in enumerate(_CLASSES)) + " END AS error_class, CASE event_id % 10 " + " ".join(f"WHEN {k} THEN {s}" for k, (_, s) in enumerate(_CLASSES)) + " END AS severity FROM events WHERE event_type = 'error'")
+def fault_case(kind: str, message: str, what: int) -> str:
+    """SQL of a fault's class (``what`` 0) or severity (1)."""
+    fields = {"kind": kind, "text": message, "lower": f"lower({message})", "upper": f"upper({message})"}
+    quoted = lambda x: "'" + x + "'" if isinstance(x, str) else str(x)
+    when = lambda parts: " AND ".join(f"regexp_matches({fields[f]}, '(?s){pattern}')" for f, pattern in parts.items())
+    cases = " ".join(f"WHEN {' OR '.join(f'({when(parts)})' for parts in rule[2])} THEN {quoted(rule[what])}" for rule in ev.FAULT_RULES)
+    return f"CASE {cases} ELSE {quoted(ev.OTHER_FAULT[what])} END"
+
+
+_FAULT_INPUT = f"""SELECT event_id, {list(_KINDS)}[event_id % {len(_KINDS)} + 1] AS kind, {list(_PARTS)}[event_id % {len(_PARTS)} + 1] || ' ' || {list(_PARTS)}[event_id * 7 // 3 % {len(_PARTS)} + 1] AS message FROM events WHERE event_type = 'error'"""
+
+
+@query("P8_classify", f"WITH f AS ({_FAULT_INPUT}) SELECT event_id, {fault_case('kind', 'message', 0)} AS error_class, {fault_case('kind', 'message', 1)} AS severity FROM f")
 def p8(spark, sf_dir):
-    """Class and severity of every error event."""
-    message = F.get(F.array(*(F.lit(m) for m in _MESSAGES)), (F.col("event_id") % 10).cast("int"))
-    return events(spark, sf_dir).where("event_type = 'error'").select("event_id", ev.classify_fault(F.col("event_type"), message).alias("f")).select("event_id", "f.*")
+    """Class and severity of every error event, with a type and a message made from its id."""
+    pick = lambda names, k: F.get(F.array(*(F.lit(x) for x in names)), (k % len(names)).cast("int"))
+    i = F.col("event_id")
+    message = F.concat(pick(_PARTS, i), F.lit(" "), pick(_PARTS, F.floor(i * 7 / 3)))
+    return events(spark, sf_dir).where("event_type = 'error'").select("event_id", ev.classify_fault(pick(_KINDS, i), message).alias("f")).select("event_id", "f.*")
 
 
 @query("P9_http_error", "SELECT event_id, CASE s WHEN 401 THEN 'AuthRejected' WHEN 403 THEN 'Forbidden' WHEN 404 THEN 'DeploymentNotFound' WHEN 429 THEN 'RateLimited' ELSE CASE WHEN s BETWEEN 500 AND 599 THEN 'ServerError' ELSE 'API-' || s END END AS code, 'HTTP ' || s || ': ' || left(props, 300) AS message FROM (SELECT *, 400 + event_id % 120 AS s FROM events)")

@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import functions as F
 
 from ..functions import text as fn
@@ -12,10 +10,12 @@ from ..sources import files
 from ..streaming import jobs
 from .answers import HYBRID, _asked, _corpus
 from .files import _BINARY, _RULES, SNAPSHOTS, _binary, snapshots
-from .retrieval import BM25, WORDS, benchmark_queries, docs_index, table
+from .retrieval import BM25, WORDS, benchmark_queries, docs_index, shared_path, table
+from .retrieval import ORACLE as CHUNK_ROWS
 
 QUERIES: dict = {}
 ORACLE: dict[str, str] = {}
+ORACLE_CHUNKS = CHUNK_ROWS["C4_chunk_rows"]
 
 
 def query(name: str, sql: str | None = None):
@@ -53,7 +53,7 @@ def j2(spark, sf_dir):
     """Distinct query terms that each document holds."""
     index = docs_index(spark, sf_dir)
     asked = benchmark_queries(spark, sf_dir).select("query_id", F.explode(fn.query_terms(F.col("query"))).alias("term")).distinct()
-    return index.postings.join(asked, "term").join(index.doc_stats, "id").groupBy("query_id", "id").agg(F.count("*").alias("terms"))
+    return index.postings.join(asked.hint("merge"), "term").join(index.doc_stats.hint("merge"), "id").groupBy("query_id", "id").agg(F.count("*").alias("terms"))
 
 
 @query("J3_fusion", f"WITH {HYBRID} SELECT query_id, id, round(fused, 9) AS fused, round(score, 6) AS score FROM shown")
@@ -150,11 +150,10 @@ def u5(spark, sf_dir):
     return p.agg(F.count_distinct("term").alias("words"), F.count_distinct("id").alias("documents"))
 
 
-@query("ST1_incremental_index")
+@query("ST1_incremental_index", ORACLE_CHUNKS.replace("SELECT source_path, block,", "SELECT source_path,").replace("(offset_ + chunk_index * 1000)::INT AS approx_start, heading, length(chunk)::INT AS text_length,", ""))
 def st1(spark, sf_dir):
     """Chunks of documents that arrive as a stream, with every file delivered twice."""
-    base = spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("spark.sql.warehouse.dir")
-    root = f"{base.rstrip('/')}/index-{uuid.uuid4().hex}"
+    root = shared_path(spark, "index")
     d = table(spark, sf_dir, "documents").select(F.concat_ws("/", "source", "doc_id").alias("source_path"), F.lit(0).cast("long").alias("mtime_ns"), "text")
     for _ in range(2):
         d.write.mode("append").parquet(f"{root}/in")

@@ -2,13 +2,12 @@
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import functions as F
 
 from ..sources import files
 from ..streaming import jobs
-from .retrieval import table
+from .operations import fault_case
+from .retrieval import shared_path, table
 
 QUERIES: dict = {}
 ORACLE: dict[str, str] = {}
@@ -23,21 +22,21 @@ def query(name: str, sql: str | None = None):
     return add
 
 
-def _folder(spark) -> str:
-    base = spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("spark.sql.warehouse.dir")
-    return f"{base.rstrip('/')}/stream-{uuid.uuid4().hex}"
-
+def _drained(spark, sf_dir, job, mode):
+    """Feeds the events in time order, a quarter a batch, and returns all that the job gave out, from a table in the shared folder.
 
-def _drained(spark, sf_dir, job, mode, keep=("event_id", "ts", "user_id", "event_type", "value", "props")):
-    """Feeds the events in time order and returns all that the job gave out, from a table in the shared folder."""
-    root = _folder(spark)
+    Events without a time come first. Each quarter is written by as many tasks as its scan has.
+    """
+    root = shared_path(spark, "stream")
     told = table(spark, sf_dir, "events").withColumn("at", F.unix_micros(F.col("ts").cast("timestamp")))
     cuts = told.agg(F.percentile_approx("at", [0.25, 0.5, 0.75], 1000)).first()[0] or []
-    for k in range(len(cuts) + 1):  # files one after another, as a stream reads them by age
-        low, high = (F.col("at") > cuts[k - 1]) if k else F.lit(True), (F.col("at") <= cuts[k]) if k < len(cuts) else F.lit(True)
-        told.where(low & high).drop("at").coalesce(1).write.mode("append").parquet(f"{root}/in")
-    out = job(jobs.event_stream(spark, f"{root}/in"))
-    jobs.drain(out, "", f"{root}/checkpoint", mode, lambda batch, k: batch.withColumn("batch", F.lit(k)).write.mode("append").parquet(f"{root}/out"))
+    for k in range(len(cuts) + 1):
+        low = F.col("at") > cuts[k - 1] if k else F.lit(True)
+        high = (F.col("at") <= cuts[k]) if k < len(cuts) else F.lit(True)
+        now = (low & high) | F.col("at").isNull() if not k else low & high
+        told.where(now).drop("at").write.mode("append").parquet(f"{root}/in")
+        out = job(jobs.event_stream(spark, f"{root}/in", files_per_batch=1 << 30))
+        jobs.drain(out, "", f"{root}/checkpoint", mode, lambda batch, n: batch.withColumn("batch", F.lit(n)).write.mode("append").parquet(f"{root}/out"))
     return spark.read.parquet(f"{root}/out")
 
 
@@ -81,12 +80,19 @@ def st5(spark, sf_dir):
     return df.select("user_id", F.array_join(F.col("events").cast("array<string>"), ",").alias("events"))
 
 
-@query("ST7_faults", "SELECT event_id, 'INTERNAL_ERROR' AS error_class, 2 AS severity, 'look at the log' AS advice FROM events WHERE event_type = 'error' AND NOT regexp_matches(props, '401|403|429|404|500|502|503')")
+PLAYBOOK = (("INTERNAL_ERROR", "look at the log"), ("AUTH_ERROR", "check the key"), ("API_ERROR", "try again later"))
+
+
+@query("ST7_faults", f"""WITH f AS (SELECT event_id, event_type AS kind, props AS message FROM events WHERE event_type = 'error'),
+k AS (SELECT event_id, {fault_case('kind', 'message', 0)} AS error_class, {fault_case('kind', 'message', 1)} AS severity FROM f)
+SELECT event_id, error_class, severity, advice FROM k LEFT JOIN (VALUES {", ".join(f"('{c}', '{a}')" for c, a in PLAYBOOK)}) p(error_class, advice) USING (error_class)""")
 def st7(spark, sf_dir):
-    """Error events classified and joined with a playbook; those whose details hold no status code."""
-    playbook = spark.createDataFrame([("INTERNAL_ERROR", "look at the log")], "error_class string, advice string")
-    df = _drained(spark, sf_dir, lambda s: jobs.faults(s.where(~F.col("props").rlike("401|403|429|404|500|502|503")), playbook), "append")
-    return df.select("event_id", "error_class", "severity", "advice")
+    """Every error event classified and joined with a playbook."""
+    playbook = spark.createDataFrame(PLAYBOOK, "error_class string, advice string")
+    return _drained(spark, sf_dir, lambda s: jobs.faults(s, playbook), "append").select("event_id", "error_class", "severity", "advice")
+
+
+QUERIES["ST7_faults_all"], ORACLE["ST7_faults_all"] = st7, ORACLE["ST7_faults"]
 
 
 @query("ST9_traces", "SELECT f.event_id AS fault_id, e.event_id FROM events f JOIN events e ON e.ts BETWEEN f.ts - INTERVAL 60 SECOND AND f.ts + INTERVAL 60 SECOND WHERE f.event_type = 'error' AND f.event_id % 10 = 0")
@@ -101,22 +107,57 @@ def st9_all(spark, sf_dir):
     return _drained(spark, sf_dir, lambda s: jobs.traced(s, s.where("event_type = 'error'"), late="60 days"), "append").select("fault_id", "event_id")
 
 
-@query("ST7_faults_all")
-def st7_all(spark, sf_dir):
-    """Every error event classified and joined with a playbook."""
-    playbook = spark.createDataFrame([("INTERNAL_ERROR", "look at the log"), ("AUTH_ERROR", "check the key"), ("API_ERROR", "try again later")], "error_class string, advice string")
-    return _drained(spark, sf_dir, lambda s: jobs.faults(s, playbook), "append").select("event_id", "error_class", "severity", "advice")
-
-
 @query("S3_extract_html")
 def s3(spark, sf_dir):
     """Visible text, title and sizes of every page."""
     return files.extract_html(table(spark, sf_dir, "pages")).select("page_id", "text", "title", "html_length", "text_length", F.round("compression_ratio", 6).alias("compression_ratio"), "error")
 
 
-@query("S5_parse_mail")
+@query("S5_parse_mail", """WITH m AS (SELECT doc_id, source, text, 'From: a@example.org' || chr(10) || 'Subject: ' || source || chr(10) || 'Content-Type: text/plain; charset=utf-8' || chr(10) || 'Content-Transfer-Encoding: 8bit' || chr(10) || chr(10) || text AS mail FROM documents)
+SELECT doc_id::VARCHAR AS path, source AS subject, length(text)::INT AS chars, 0 AS attachments, sha1(mail) AS sha1, 'ok' AS status FROM m""")
 def s5(spark, sf_dir):
     """Every document wrapped as a mail message and parsed."""
     d = table(spark, sf_dir, "documents")
     content = F.concat(F.lit("From: a@example.org\nSubject: "), "source", F.lit("\nContent-Type: text/plain; charset=utf-8\nContent-Transfer-Encoding: 8bit\n\n"), "text").cast("binary")
     return files.parse_mail(d.select(F.col("doc_id").cast("string").alias("path"), content.alias("content"))).select("path", "subject", F.char_length("body").alias("chars"), "attachments", "sha1", "status")
+
+
+@query("ST8_progress", "SELECT count(*) AS rows, count(*) FILTER (event_type = 'error') AS errors, count(*) AS listened FROM events")
+def st8(spark, sf_dir):
+    """Live counters of a batch job, and the rows that a listener saw a stream read, against the table's."""
+    counted, watch = jobs.observed(table(spark, sf_dir, "events"), "progress", rows=F.count("*"), errors=F.count_if(F.col("event_type") == "error"))
+    root = shared_path(spark, "progress")
+    counted.write.parquet(f"{root}/in")
+    heard = jobs.Progress()
+    spark.streams.addListener(heard)
+    try:
+        query = jobs.drain(jobs.event_stream(spark, f"{root}/in"), "", f"{root}/checkpoint", sink=lambda batch, n: batch.write.mode("append").parquet(f"{root}/out"))
+        heard.wait(str(query.runId))
+    finally:
+        spark.streams.removeListener(heard)
+    return spark.createDataFrame([(watch.get["rows"], watch.get["errors"], heard.rows)], "rows long, errors long, listened long")
+
+
+@query("ST10_late_rows", "WITH t AS (SELECT max(ts) AS last FROM events) SELECT count(*) FILTER (e.ts < last - INTERVAL 10 DAY) AS dropped FROM events e, t")
+def st10(spark, sf_dir):
+    """Events that come again after the watermark has passed them, as the stream's own metric counts them."""
+    root = shared_path(spark, "late")
+    told = table(spark, sf_dir, "events")
+    query = None
+    for _ in range(2):  # the second time every event that is older than the watermark is dropped
+        told.write.mode("append").parquet(f"{root}/in")
+        stream = jobs.event_stream(spark, f"{root}/in", files_per_batch=1 << 30).withWatermark("ts", "10 days").dropDuplicates(["event_id", "ts"])
+        query = jobs.drain(stream, "", f"{root}/checkpoint", sink=lambda batch, n: batch.write.mode("append").parquet(f"{root}/out"))
+    return spark.createDataFrame([(jobs.late_rows(query),)], "dropped long")
+
+
+@query("S11_json_sinks", "SELECT 'batch' AS sink, event_id, event_type FROM events UNION ALL SELECT 'stream', event_id, event_type FROM events")
+def s11(spark, sf_dir):
+    """Events read back from a batch and a streaming sink of JSON lines."""
+    root = shared_path(spark, "json")
+    told = table(spark, sf_dir, "events")
+    files.write_records(told.select("event_id", "event_type"), f"{root}/batch")
+    told.write.parquet(f"{root}/in")
+    files.write_records(jobs.event_stream(spark, f"{root}/in").select("event_id", "event_type"), f"{root}/stream", f"{root}/checkpoint")
+    read = lambda name: spark.read.schema("event_id long, event_type string").json(f"{root}/{name}").select(F.lit(name).alias("sink"), "event_id", "event_type")
+    return read("batch").union(read("stream"))

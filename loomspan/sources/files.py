@@ -196,11 +196,42 @@ register_extractor(".html", _html_extractor)
 register_extractor(".eml", _mail_extractor)
 
 
-def extract(files: DataFrame) -> DataFrame:
+def with_extractors(extractors: dict[str, Extractor]) -> dict[str, Extractor]:
+    """The registered extractors and the given ones, without registering those."""
+    return _EXTRACTORS | {ext.lower(): f for ext, f in extractors.items()}
+
+
+def each_file(read: Callable[[bytes], tuple[str, dict]]) -> Extractor:
+    """An extractor from a function of one file's content; a file on which it fails becomes an error row."""
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for frame in frames:
+            rows = []
+            for path, content in zip(frame.path, frame.content, strict=True):
+                try:
+                    text, details = read(content)
+                    rows.append((path, text, {k: str(v) for k, v in details.items()}, None))
+                except Exception as e:
+                    rows.append((path, None, None, f"{type(e).__name__}: {e}"))
+            yield pd.DataFrame(rows, columns=["path", "text", "details", "error"])
+
+    return lambda files: files.select("path", "content").mapInPandas(run, "path string, text string, details map<string,string>, error string")
+
+
+def extract(files: DataFrame, extractors: dict[str, Extractor] | None = None) -> DataFrame:
     """``(path, text, details, error)`` of all files, each extension by its extractor, unknown ones as error rows."""
-    ext = extension(F.col("path"))
-    known = [f(files.where(ext == e).select("path", "content")) for e, f in sorted(_EXTRACTORS.items())]
-    other = files.where(~ext.isin(*_EXTRACTORS)).select("path", F.lit(None).cast("string").alias("text"), F.lit(None).cast("map<string,string>").alias("details"), F.lit("no extractor").alias("error"))
+    ext, extractors = extension(F.col("path")), extractors or _EXTRACTORS
+    known = [f(files.where(ext == e).select("path", "content")) for e, f in sorted(extractors.items())]
+    other = files.where(~ext.isin(*extractors)).select("path", F.lit(None).cast("string").alias("text"), F.lit(None).cast("map<string,string>").alias("details"), F.lit("no extractor").alias("error"))
     for part in known:
         other = other.unionByName(part)
     return other
+
+
+def register_lines(spark: SparkSession, name: str = "loomspan_lines") -> None:
+    """A table function for lateral joins in SQL: the lines of a text as ``(nth, line)``."""
+    class Lines:
+        def eval(self, text: str):
+            if text is not None:
+                yield from enumerate(text.split("\n"))
+
+    spark.udtf.register(name, F.udtf(Lines, returnType="nth long, line string"))

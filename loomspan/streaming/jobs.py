@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+import threading
 from collections.abc import Callable, Iterator
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.streaming import StreamingQueryListener
 from pyspark.sql.streaming.state import GroupState
 
 from ..operators.chunking import chunks
@@ -80,7 +82,7 @@ def ema_rate(stream: DataFrame, alpha: float = 0.25) -> DataFrame:
 def faults(stream: DataFrame, playbook: DataFrame) -> DataFrame:
     """Error events classified and joined with a static playbook ``(error_class, advice)``."""
     found = stream.where("event_type = 'error'").withColumn("f", classify_fault(F.col("event_type"), F.col("props"))).select("event_id", "ts", "f.*")
-    return found.join(F.broadcast(playbook), "error_class", "left")  # one row for each class
+    return found.join(F.broadcast(playbook), "error_class", "left")  # at most one row for each class of fault
 
 
 def traced(events: DataFrame, found: DataFrame, seconds: int = 60, late: str = LATE) -> DataFrame:
@@ -98,6 +100,30 @@ def observed(df: DataFrame, name: str, **metrics: Column) -> tuple[DataFrame, Ob
     return df.observe(watch, *(c.alias(k) for k, c in metrics.items())), watch
 
 
+class Progress(StreamingQueryListener):
+    """Counts the rows that streams have read, by the progress they report."""
+
+    def __init__(self) -> None:
+        self.rows, self.ended = 0, set()
+        self._told = threading.Condition()
+
+    def onQueryStarted(self, event) -> None:  # noqa: N802
+        pass
+
+    def onQueryProgress(self, event) -> None:  # noqa: N802
+        self.rows += event.progress.numInputRows
+
+    def onQueryTerminated(self, event) -> None:  # noqa: N802
+        with self._told:
+            self.ended.add(str(event.runId))
+            self._told.notify_all()
+
+    def wait(self, run_id: str, seconds: float = 60) -> bool:
+        """Waits until the end of a run was reported, which follows all its progress."""
+        with self._told:
+            return self._told.wait_for(lambda: run_id in self.ended, seconds)
+
+
 def late_rows(query) -> int:
     """Rows that a query's watermarks have dropped so far."""
     return sum(int(s.get("numRowsDroppedByWatermark", 0)) for p in query.recentProgress for s in p["stateOperators"])
