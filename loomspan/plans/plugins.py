@@ -33,7 +33,7 @@ def s6(spark, sf_dir):
     boxes = d.groupBy("box").agg(F.array_sort(F.collect_list(F.struct("doc_id", "mail"))).alias("m"))  # ten rows in each
     boxes = boxes.select(F.concat(F.lit("box"), "box", F.lit(".mbox")).alias("path"), F.array_join(F.transform("m", lambda x: x["mail"]), "").cast("binary").alias("content"))
     read = files.explode_mbox(boxes)
-    return read.select("path", "message", "subject", F.sha2(F.left(F.rtrim(F.lit("\n"), F.col("body")), F.lit(5000)), 256).alias("body_sha256"))
+    return read.select("path", "message", "subject", F.sha2(F.left(F.rtrim(F.col("body"), F.lit("\n")), F.lit(5000)), 256).alias("body_sha256"))
 
 
 @query("S10_golden_set", "SELECT lpad(item_id::VARCHAR, 6, '0') AS id, 'answerable' AS type, text AS query, [left(text, 10)] AS expected_key_facts FROM benchmark ORDER BY item_id LIMIT 25")
