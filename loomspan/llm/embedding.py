@@ -207,7 +207,8 @@ def near_duplicates(vectors: DataFrame, id_column: str = "vec_id", vector_column
     clean = stage.put(rows.select("id", "label", "embedding").mapInArrow(_clean, f"id {ids}, label {labels}, vector binary, vector_key binary"), "clean")
     good = clean.where("vector_key IS NOT NULL AND label IS NOT NULL AND id IS NOT NULL")
     classes = good.groupBy("label", "vector_key").agg(F.min("id").alias("id"), F.count("*").alias("copies"), F.min("vector").alias("vector"))
-    classes = stage.put(classes.withColumn("node", F.monotonically_increasing_id()), "classes")
+    # numbered in the order of their ids, so the least node of a component has its least id
+    classes = stage.put(classes.orderBy("id").withColumn("node", F.monotonically_increasing_id()), "classes")
     pairs = stage.put(candidates(classes.select("node", "label", "vector"), config, stage), "pairs")
     stage.drop("cells")
     full = pairs.join(classes.select(F.col("node").alias("b"), F.col("vector").alias("vb")).hint("merge"), "b").join(classes.select(F.col("node").alias("a"), F.col("vector").alias("va")).hint("merge"), "a")
@@ -215,9 +216,7 @@ def near_duplicates(vectors: DataFrame, id_column: str = "vec_id", vector_column
     both = links.union(links.select("b", "a"))
     linked = both.join(classes.select(F.col("node").alias("b"), "copies").hint("merge"), "b").groupBy(F.col("a").alias("node")).agg(F.sum("copies").alias("others"))
     reached = connected_components(links, stage, "component")
-    told = classes.select("node", "id").join(reached.hint("merge"), "node")
-    least = told.groupBy("component").agg(F.min("id").alias("least"))
-    named = reached.join(least.hint("merge"), "component").select("node", "least")
+    named = reached.join(classes.select(F.col("node").alias("component"), F.col("id").alias("least")).hint("merge"), "component").select("node", "least")
     facts = classes.select("label", "vector_key", "node", "id", "copies").join(linked.hint("merge"), "node", "left").join(named.hint("merge"), "node", "left")
     facts = facts.select("label", "vector_key", (F.col("copies") - 1 + F.coalesce("others", F.lit(0))).alias("n"), F.coalesce("least", "id").alias("component"))
     usable = F.col("id").isNotNull()
