@@ -11,8 +11,8 @@ from ..functions.text import query_terms, squash
 
 #: Folders of a stored index.
 BUCKETS = 64
-#: Most distinct query terms that are sent to the scan of the postings.
-SENT_TERMS = 5000
+#: Most terms of queries that are sent to the scan of the postings.
+SENT_ROWS = 100_000
 
 
 @dataclass(frozen=True)
@@ -92,23 +92,21 @@ def bm25_topk(index: KeywordIndex, queries: DataFrame, k: int = 20, k1: float =
     """``(query_id, rank, id, score, shown)`` for ``queries(query_id, query)``: any term may match, repeats count.
 
     A query without terms of three characters gives no rows. Ties go to the
-    lesser id, after rounding the score to nine places. The distinct terms of up
-    to ``SENT_TERMS`` are sent to the postings, which are filtered by them as
-    they are read; more are joined by a merge.
+    lesser id, after rounding the score to nine places. Up to ``SENT_ROWS``
+    terms of all queries are sent to the postings, of which a stored index reads
+    their folders only; more are joined by a merge.
     """
     asked = queries.select("query_id", F.explode(query_terms(F.col("query"))).alias("term")).groupBy("query_id", "term").agg(F.count("*").alias("m"))
-    terms = sorted({r.term for r in asked.select("term").distinct().limit(SENT_TERMS + 1).collect()})
+    told = asked.limit(SENT_ROWS + 1).agg(F.count("*").alias("n"), F.collect_set(_bucket("term", index.buckets)).alias("buckets")).first()
+    how = "broadcast" if told.n <= SENT_ROWS else "merge"
     postings = index.postings
-    if len(terms) <= SENT_TERMS:
-        postings = postings.where(F.col("term").isin(terms))
-        if "bucket" in postings.columns:  # of a stored index
-            buckets = postings.sparkSession.createDataFrame([(t,) for t in terms], "term string").select(_bucket("term", index.buckets).alias("b")).distinct()
-            postings = postings.where(F.col("bucket").isin([r.b for r in buckets.collect()]))
+    if how == "broadcast" and "bucket" in postings.columns:  # of a stored index
+        postings = postings.where(F.col("bucket").isin(sorted(told.buckets)))
     totals = index.doc_stats.agg(F.count("*").alias("n"), F.avg("dl").alias("avgdl"))
     idf = F.greatest(F.lit(1e-6), F.log((F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5)))
     part = F.col("m") * idf * F.col("tf") * F.lit(k1 + 1) / (F.col("tf") + F.lit(k1) * (F.lit(1 - b) + F.lit(b) * F.col("dl") / F.col("avgdl")))
     scored = (
-        postings.join(asked.join(index.term_stats.hint("merge"), "term").hint("merge"), "term").join(index.doc_stats.hint("merge"), "id")
+        postings.join(index.term_stats.join(asked.hint(how), "term").hint(how), "term").join(index.doc_stats.hint("merge"), "id")
         .crossJoin(F.broadcast(totals))  # one row
         .groupBy("query_id", "id").agg(F.round(F.sum(part), 9).alias("score"))
     )
