@@ -10,7 +10,7 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from loomspan.functions import text as fn
-from loomspan.operators import chunking, evaluate, events, ingest, manifest, search, vector
+from loomspan.operators import chunking, evaluate, events, ingest, keyword, manifest, search, vector
 from loomspan.sources import files
 
 
@@ -170,3 +170,37 @@ def test_vector_blocks_equal_one_block(spark):
     corpus = spark.createDataFrame([(k, [float(k % 7), float(k % 5), 1.0]) for k in range(40)], "id long, vector array<double>")
     asked = corpus.where("id % 3 = 0").withColumnRenamed("id", "query_id")
     assert sorted(vector.vector_topk_blocks(corpus, asked, 4, 5).collect()) == sorted(vector.vector_topk_kernel(corpus, asked, 4).collect())
+
+
+def test_safe_names_never_clash(spark):
+    rows = [("a", "f.txt"), ("b", "f.txt"), ("c", "f_1.txt"), ("d", "f.txt"), ("e", "f_3.txt"), ("g", "f_1.txt"), ("h", None), ("i", "plain"), ("j", "plain")]
+    got = {r.source_path: r.name for r in manifest.safe_names(spark.createDataFrame(rows, "source_path string, target string")).collect()}
+    assert got == {"a": "f.txt", "b": "f_2.txt", "c": "f_1.txt", "d": "f_4.txt", "e": "f_3.txt", "g": "f_1_1.txt", "h": None, "i": "plain", "j": "plain_1"}
+
+
+def test_elements_of_html_text(spark):
+    page = "<nav>Menu</nav><main><table><tr><td>a</td><td>b</td></tr></table><math><mi>x</mi></math><aside>note</aside></main>"
+    got = files.extract_html(spark.createDataFrame([(1, page)], "page_id int, html string")).first()
+    assert got.text == "Menu\na\nb\nnote"
+
+
+def test_stored_index_follows_its_documents(spark, tmp_path):
+    docs = spark.createDataFrame([(1, "red apple"), (2, "green apple tree"), (3, None), (4, "")], "id long, text string")
+    keyword.write_index(docs, f"{tmp_path}/1")
+    new = spark.createDataFrame([(2, "blue sky"), (5, "apple pie")], "id long, text string")
+    index = keyword.update_index(spark, f"{tmp_path}/1", f"{tmp_path}/2", new, spark.createDataFrame([(1,)], "id long"))
+    want = keyword.build_index(new.union(docs.where("id > 2")))
+    for part in ("postings", "doc_stats", "term_stats"):
+        columns = getattr(want, part).columns
+        assert sorted(getattr(index, part).select(columns).collect()) == sorted(getattr(want, part).collect())
+    asked = spark.createDataFrame([(1, "the apple"), (2, "of")], "query_id long, query string")
+    assert [r.id for r in keyword.bm25_topk(index, asked).collect()] == [5]
+
+
+def test_one_failing_file_is_an_error_row(spark):
+    def read(data):
+        return data.decode("ascii"), {"size": len(data)}
+
+    df = spark.createDataFrame([("a.x", b"good"), ("b.x", "é".encode()), ("c.y", b"")], "path string, content binary")
+    got = {r.path: (r.text, r.error and r.error.split(":")[0]) for r in files.extract(df, files.with_extractors({".X": files.each_file(read)})).collect()}
+    assert got == {"a.x": ("good", None), "b.x": (None, "UnicodeDecodeError"), "c.y": (None, "no extractor")}
