@@ -296,3 +296,24 @@ def test_query_runs(spark, name):
     rows = spark.read.parquet(f"{DATA}/sf0.001/{table}.parquet")
     want = rows.select("conv_id").distinct().count() + 1 if table == "conversations" else rows.count()
     assert queries.QUERIES[name](spark, f"{DATA}/sf0.001").count() == want
+
+
+def test_pipeline_stages_on_odd_rows(spark):
+    """Nulls in every column, repeated rows, ids of several rows, an empty text, clashing column names, and an empty table."""
+    import corpus_pipeline
+
+    text = "ten plain words that say little about anything at all now"
+    rows = [(None, text, None, None, None, 1, "a"), (1, text, "en", "s", 5, 2, "b"), (1, text, "en", "s", 5, 2, "b"), (2, None, "en", "s", 0, 3, "c"), (2, "", "en", "s", 0, 4, "d"), (3, "other words of its own here", "en", None, 1, None, None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long, component_id int, row string")
+    kept = {}
+    for name, stage in corpus_pipeline.STAGES:
+        out = stage(spark, docs, f"{DATA}/sf0.001")
+        kept[name] = [r.doc_id for r in out.collect()]
+        if name != "sentencepiece":
+            assert out.columns == docs.columns
+        assert stage(spark, docs.limit(0), f"{DATA}/sf0.001").count() == 0
+    key = lambda x: (x is None, x or 0)
+    assert sorted(kept["toxicity"], key=key) == [1, 1, 2, 2, 3, None]
+    assert sorted(kept["minhash_near_dedup"], key=key) == [1, 2, 2, 3]
+    assert set(kept["mixing"]) <= {1, 3, None} and all(kept["mixing"].count(k) <= n for k, n in ((1, 4), (3, 2), (None, 2)))
+    assert len(kept["sentencepiece"]) == len(rows)
