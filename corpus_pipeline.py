@@ -1,4 +1,9 @@
-"""A corpus pipeline: each stage works on all its predecessor kept and returns a table."""
+"""A corpus pipeline: each stage works on all its predecessor kept and returns a table.
+
+Stages decide by row, so ids may be null, repeated or stand for different texts.
+Other columns of any name but ``__row``, ``__file``, ``__at`` and ``__number`` pass
+through; an empty table gives no rows.
+"""
 
 from __future__ import annotations
 
@@ -28,7 +33,10 @@ def numbered(docs: DataFrame, stage: Stage) -> DataFrame:
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the toxicity model, learnt from the labels table, does not reject."""
+    """Documents that the toxicity model, learnt from the labels table, does not reject.
+
+    Null and empty texts have the lowest score and stay; repeated rows share their fate.
+    """
     stage = Stage(spark, "toxic")
     rows = numbered(docs, stage)
     marks = toxicity.toxicity(rows, spark.read.parquet(f"{sf_dir}/labels.parquet"), row_column="__row")
@@ -39,7 +47,8 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One row of each near-duplicate group (five-word shingles, similarity 0.8): the least id, null last.
 
-    Rows are compared by their texts alone, so rows that share an id stay if their texts differ.
+    Rows are compared by their texts alone, so rows that share an id stay if their texts differ, and of
+    repeated rows one stays. Null and empty texts are like nothing and all stay.
     """
     stage = Stage(spark, "near")
     rows = numbered(docs, stage)
@@ -54,12 +63,15 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents as often as the mix takes them: sources weighted 5, 2, 1 in turn, 150% of all words."""
+    """Documents as often as the mix takes them: sources weighted 5, 2, 1 in turn, 150% of all words.
+
+    A null source is a source; texts without words are never taken; repeated rows are taken for themselves.
+    """
     return mixing.mixed(numbered(docs, Stage(spark, "mix")), row_column="__row").select(docs.columns)
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Token ids of every document of the mix, and the text they decode to."""
+    """Token ids of every document of the mix, and the text they decode to; a null or empty text has none and decodes to an empty one."""
     model = public_tokenizers.path("piece_bpe_32k.model")
     both = subword.encode(docs.select("doc_id", "source", "text"), model, decoded_column="text")
     return both.select("doc_id", "source", F.size("ids").cast("long").alias("n_tokens"), "ids", "text")
