@@ -104,11 +104,12 @@ def bm25_topk(index: KeywordIndex, queries: DataFrame, k: int = 20, k1: float =
         postings = postings.where(F.col("bucket").isin(sorted(told.buckets)))
     totals = index.doc_stats.agg(F.count("*").alias("n"), F.avg("dl").alias("avgdl"))
     idf = F.greatest(F.lit(1e-6), F.log((F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5)))
-    part = F.col("m") * idf * F.col("tf") * F.lit(k1 + 1) / (F.col("tf") + F.lit(k1) * (F.lit(1 - b) + F.lit(b) * F.col("dl") / F.col("avgdl")))
-    scored = (
-        postings.join(index.term_stats.join(asked.hint(how), "term").hint(how), "term").join(index.doc_stats.hint("merge"), "id")
-        .crossJoin(F.broadcast(totals))  # one row
-        .groupBy("query_id", "id").agg(F.round(F.sum(part), 9).alias("score"))
-    )
+    found = index.term_stats.join(asked.hint(how), "term").crossJoin(F.broadcast(totals)).select("query_id", "term", (F.col("m") * idf).alias("idf"), "avgdl")  # totals have one row
+    if how == "broadcast":  # postings meet their lengths before they are multiplied by the queries that ask for them
+        postings = postings.join(F.broadcast(asked.select("term").distinct()), "term", "left_semi").join(index.doc_stats.hint("merge"), "id").join(F.broadcast(found), "term")
+    else:
+        postings = postings.join(found.hint("merge"), "term").join(index.doc_stats.hint("merge"), "id")
+    part = F.col("idf") * F.col("tf") * F.lit(k1 + 1) / (F.col("tf") + F.lit(k1) * (F.lit(1 - b) + F.lit(b) * F.col("dl") / F.col("avgdl")))
+    scored = postings.groupBy("query_id", "id").agg(F.round(F.sum(part), 9).alias("score"))
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "id")).cast("long")
     return scored.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", "rank", "id", "score", squash(F.col("score")).alias("shown"))

@@ -87,34 +87,23 @@ def rebuild(chunks: DataFrame, path: str, key: str = "chunk_id", text_column: st
     return chunks.sparkSession.read.parquet(path)
 
 
-def vector_topk(corpus: DataFrame, queries: DataFrame, k: int = 8) -> DataFrame:
-    """``(query_id, rank, id, score)``: exact cosine search of ``corpus(id, vector)`` for ``queries(query_id, vector)``.
+def vector_topk(corpus: DataFrame, queries: DataFrame, k: int = 8, block: int = 4096) -> DataFrame:
+    """``(query_id, rank, id, score)``: exact cosine search of ``corpus(id, vector)`` for ``queries(query_id, vector)`` of distinct ids.
 
-    The queries are the small side and are sent to every partition of the
-    corpus; each partition keeps its best ``k`` before the merge. A query does
-    not find its own id. Ties go to the lesser id, after rounding to nine places.
+    Any number of queries is asked, one block after another (``vector_topk_kernel``). A query does not find its
+    own id. Null vectors, and scores that aren't finite, are not found. Ties go to the lesser id, after rounding to nine places.
     """
-    unit = corpus.select("id", l2_normalise(F.col("vector")).alias("v"))
-    asked = queries.select("query_id", l2_normalise(F.col("vector")).alias("q"))
-    scored = unit.crossJoin(F.broadcast(asked)).where(F.col("id") != F.col("query_id")).select("query_id", "id", F.round(dot(F.col("v"), F.col("q")), 9).alias("score"))
-    rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "id")).cast("long")
-    return scored.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", "rank", "id", "score")
-
-
-def vector_topk_blocks(corpus: DataFrame, queries: DataFrame, k: int = 8, block: int = 4096) -> DataFrame:
-    """The rows of ``vector_topk_kernel`` for any number of queries of distinct ids, one block after another."""
     ids = sorted(r.query_id for r in queries.select("query_id").where("query_id IS NOT NULL").collect())
     parts = [vector_topk_kernel(corpus, queries.where(F.col("query_id").between(ids[a], ids[min(a + block, len(ids)) - 1])), k, block) for a in range(0, len(ids), block)]
     return reduce(DataFrame.union, parts or [vector_topk_kernel(corpus, queries.limit(0), k, block)])
 
 
 def vector_topk_kernel(corpus: DataFrame, queries: DataFrame, k: int = 8, block: int = 4096) -> DataFrame:
-    """The same rows as ``vector_topk`` by matrix products over Arrow batches.
+    """The rows of ``vector_topk`` for one block of a stated query set, by matrix products over Arrow batches.
 
-    ``queries`` is one block of a stated query set that the driver can hold;
-    larger sets are asked block by block.
+    Each batch of the corpus gives the best ``k`` of each query, which are merged by rank.
     """
-    asked = queries.select("query_id", "vector").limit(block + 1).toPandas()
+    asked = queries.select("query_id", "vector").where("vector IS NOT NULL").limit(block + 1).toPandas()
     if len(asked) > block:
         raise ValueError(f"ask at most {block} queries at once")
     ids = asked.query_id.to_numpy()
@@ -124,18 +113,21 @@ def vector_topk_kernel(corpus: DataFrame, queries: DataFrame, k: int = 8, block:
 
     def run(batches):
         ids, q = shared.value
-        for batch in batches:
+        for batch in batches if len(ids) else ():
             rows = batch.column("id").to_numpy(zero_copy_only=False)
             v = np.stack([np.asarray(x, np.float64) for x in batch.column("vector").to_numpy(zero_copy_only=False)])
             length = np.linalg.norm(v, axis=1, keepdims=True)
             score = np.round(q @ (v / np.where(length == 0, 1, length)).T, 9)
-            score[ids[:, None] == rows[None, :]] = -np.inf
-            best = np.lexsort((np.broadcast_to(rows, score.shape), -score), axis=1)[:, :k]
-            picked = np.take_along_axis(score, best, 1).ravel()
-            keep = np.isfinite(picked)
-            yield pa.RecordBatch.from_arrays([pa.array(np.repeat(ids, best.shape[1])[keep]), pa.array(rows[best].ravel()[keep]), pa.array(picked[keep])], ["query_id", "id", "score"])
+            score[~np.isfinite(score) | (ids[:, None] == rows[None, :])] = -np.inf
+            least = np.partition(score, -k, axis=1)[:, -k, None] if score.shape[1] > k else -np.inf
+            asks, at = np.nonzero((score >= least) & (score > -np.inf))
+            order = np.lexsort((rows[at], -score[asks, at], asks))
+            asks, at = asks[order], at[order]
+            best = np.arange(len(asks)) - np.searchsorted(asks, asks) < k
+            asks, at = asks[best], at[best]
+            yield pa.RecordBatch.from_arrays([pa.array(ids[asks]), pa.array(rows[at]), pa.array(score[asks, at])], ["query_id", "id", "score"])
 
     kind = corpus.schema["id"].dataType.simpleString()
-    found = corpus.select("id", "vector").mapInArrow(run, f"query_id {kind}, id {kind}, score double")
+    found = corpus.select("id", "vector").where("vector IS NOT NULL").mapInArrow(run, f"query_id {kind}, id {kind}, score double")
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "id")).cast("long")
     return found.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", "rank", "id", "score")

@@ -169,7 +169,16 @@ def test_all_faults_are_classified_and_traced(spark, tmp_path):
 def test_vector_blocks_equal_one_block(spark):
     corpus = spark.createDataFrame([(k, [float(k % 7), float(k % 5), 1.0]) for k in range(40)], "id long, vector array<double>")
     asked = corpus.where("id % 3 = 0").withColumnRenamed("id", "query_id")
-    assert sorted(vector.vector_topk_blocks(corpus, asked, 4, 5).collect()) == sorted(vector.vector_topk_kernel(corpus, asked, 4).collect())
+    assert sorted(vector.vector_topk(corpus, asked, 4, 5).collect()) == sorted(vector.vector_topk_kernel(corpus, asked, 4).collect())
+
+
+def test_vector_ties_nulls_and_no_queries(spark):
+    rows = [(k, [1.0, 1.0]) for k in range(20)] + [(20, None), (21, [float("nan"), 1.0]), (22, [0.0, 1.0])]
+    corpus = spark.createDataFrame(rows, "id long, vector array<double>").coalesce(1)
+    asked = corpus.where("id IN (3, 20, 22)").withColumnRenamed("id", "query_id")
+    got = sorted((r.query_id, r["rank"], r.id) for r in vector.vector_topk(corpus, asked, 3).collect())
+    assert got == [(3, 1, 0), (3, 2, 1), (3, 3, 2), (22, 1, 0), (22, 2, 1), (22, 3, 2)]
+    assert vector.vector_topk(corpus, asked.limit(0), 3).isEmpty()
 
 
 def test_safe_names_never_clash(spark):
