@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from . import chat, embedding, minhash, mixing, runs, simhash, subword, tokencount, tokenfile, toxicity, urlfilter, wrapper
+from . import chat, embedding, minhash, mixing, runs, simhash, subword, tokencount, tokenfile, toxicity, urlfilter, whitening, wrapper
 from .common import Stage
 
 
@@ -142,6 +142,11 @@ def op11_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shown.select("doc_id", "n_runs", "best.start", "best.length", "best.period", exponent.alias("exponent_milli"), "runs_sha256", "collapsed_sha256")
 
 
+def op12_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Embeddings whitened onto their first 32 principal components."""
+    return whitening.whiten(table(spark, sf_dir, "embeddings"))
+
+
 def op13_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Tokens of every document by the 50k byte-level model, and whether they are more than 1024."""
     return tokencount.token_counts(table(spark, sf_dir, "documents").select("doc_id", "text"), public_tokenizers.path("byte_bpe_50k.json"))
@@ -159,6 +164,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_minhash_near_dedup": op9_minhash_near_dedup,
     "op10_toxicity": op10_toxicity,
     "op11_periodic_runs": op11_periodic_runs,
+    "op12_whitening": op12_whitening,
     "op13_token_counts": op13_token_counts,
 }
 
