@@ -9,6 +9,8 @@ from operator import and_, or_
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from . import scan
+
 #: Class and severity of a fault, by the first rule of which one alternative holds. An alternative maps the error's type ("kind"), its
 #: message ("text") or the message in one case ("lower", "upper") to a pattern, and all its patterns must be found. Fixed values, in this order.
 FAULT_RULES = (
@@ -131,10 +133,42 @@ def running_eta(events: DataFrame, key: str, total: Column) -> DataFrame:
 
 
 def ema(events: DataFrame, key: str, alpha: float = 0.25) -> DataFrame:
-    """``(key, ema)``: exponential moving average of ``value`` in time order, seeded by the first; ties by event id."""
-    ordered = F.array_sort(F.collect_list(F.struct("second", "event_id", "value")))
-    fold = F.aggregate("e", F.lit(None).cast("double"), lambda s, e: F.when(s.isNull(), e["value"]).otherwise(F.lit(alpha) * e["value"] + F.lit(1 - alpha) * s))
-    return events.groupBy(key).agg(ordered.alias("e")).select(key, F.round(fold, 6).alias("ema"))
+    """``(key, ema)``: exponential moving average of ``value`` in time order, seeded by the first; ties by event id.
+
+    Each value is a step ``(1 - alpha) s + alpha value``; steps are composed by
+    ranges of a run (``scan.affine``), so a long run is many tasks' work.
+    """
+    order = ["second", "event_id"]
+    dealt = scan.deal(events.select(key, *order, "value"), [key], order)
+    done = scan.affine(dealt, [key], order, "ema", F.lit(1 - alpha), F.lit(alpha) * F.col("value"), F.col("value"))
+    return done.groupBy(key).agg(F.round(F.max_by("ema", F.struct(*order)), 6).alias("ema"))
+
+
+#: Least time between two samples, and least rate for which a time is told. Fixed values.
+LEAST_SECONDS, LEAST_RATE = 0.001, 1e-6
+
+
+def smoothed_eta(events: DataFrame, key: str, total: Column, alpha: float = 0.25) -> DataFrame:
+    """Adds ``done``, ``rate`` and ``eta`` to ``events(key, second, event_id, value)``: the time left at the smoothed rate.
+
+    A sample's rate is its value (0 if null or negative) over the seconds since
+    the run's sample before, 0.001 at least; ``rate`` is the moving average of
+    these. A run's first sample starts the clock and has no rate. ``eta`` is what is
+    left of ``total`` over the rate, null where total isn't positive or the rate
+    not above 0.000001. Ties by event id; every run is scanned by ranges.
+    """
+    order = ["second", "event_id"]
+    dealt = scan.deal(events, [key], order)
+    timed = scan.last_before(dealt, [key], order, __before=F.col("second"))
+    value = F.greatest(F.coalesce("value", F.lit(0.0)), F.lit(0.0))
+    timed = scan.running(timed, [key], order, done=value)
+    now = value / F.greatest(F.col("second") - F.col("__before"), F.lit(LEAST_SECONDS))
+    # the first sample leaves the state as it is; the seed is the second one's rate
+    later = scan.affine(timed.where("__before IS NOT NULL"), [key], order, "rate", F.lit(1 - alpha), F.lit(alpha) * now, now)
+    first = timed.where("__before IS NULL").withColumn("rate", F.lit(None).cast("double"))
+    left = F.greatest(total - F.col("done"), F.lit(0.0))
+    eta = F.when((total > 0) & (F.col("rate") > LEAST_RATE), left / F.col("rate"))
+    return later.unionByName(first).withColumn("eta", eta).drop("__before", scan.RANGE)
 
 
 def last_n(events: DataFrame, key: str, n: int) -> DataFrame:

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import extension
+from . import scan
 
 #: Size limits in bytes and the longest path. Fixed values.
 MIN_SIZE, MAX_SIZE, LONGEST_PATH = 100, 500_000_000, 260
@@ -134,6 +135,10 @@ def run_log(events: DataFrame) -> DataFrame:
 
 
 def previous_completed(runs: DataFrame) -> DataFrame:
-    """Adds ``previous``: the latest completed run before each run, by start."""
-    w = Window.orderBy("started", "run_id").rowsBetween(Window.unboundedPreceding, -1)  # one row for each run
-    return runs.withColumn("previous", F.last(F.when(F.col("status") == "completed", F.col("run_id")), ignorenulls=True).over(w))
+    """Adds ``previous``: the latest completed run before each run, by start; ties by id.
+
+    Runs are dealt into ranges of their start; each range looks back in itself,
+    and from one range to the next goes its last completed run.
+    """
+    dealt = scan.deal(runs, [], ["started", "run_id"])
+    return scan.last_before(dealt, [], ["started", "run_id"], previous=F.when(F.col("status") == "completed", F.col("run_id"))).drop(scan.RANGE)

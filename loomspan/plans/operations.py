@@ -160,6 +160,16 @@ def w6(spark, sf_dir):
     return ev.ema(events(spark, sf_dir), "user_id")
 
 
+@query("W6_eta", f"""WITH RECURSIVE {E}, o AS (SELECT *, row_number() OVER w AS k, second - lag(second) OVER w AS dt, sum(value) OVER (PARTITION BY user_id ORDER BY second, event_id ROWS UNBOUNDED PRECEDING) AS done FROM e WINDOW w AS (PARTITION BY user_id ORDER BY second, event_id)),
+i AS (SELECT *, value / greatest(dt, 0.001::DOUBLE) AS now FROM o),
+w AS (SELECT user_id, k, event_id, done, NULL::DOUBLE AS rate FROM i WHERE k = 1 UNION ALL SELECT i.user_id, i.k, i.event_id, i.done, CASE WHEN w.rate IS NULL THEN i.now ELSE 0.25::DOUBLE * i.now + 0.75::DOUBLE * w.rate END FROM w JOIN i ON i.user_id = w.user_id AND i.k = w.k + 1)
+SELECT event_id, round(done, 4) AS done, round(rate, 6) AS rate, round(CASE WHEN rate > 1e-6 THEN greatest(10000 - done, 0) / rate END, 4) AS eta FROM w""")
+def w6_eta(spark, sf_dir):
+    """Time left of each run at every sample, at the smoothed rate."""
+    e = events(spark, sf_dir).select("user_id", "second", "event_id", "value")
+    return ev.smoothed_eta(e, "user_id", F.lit(10000.0)).select("event_id", F.round("done", 4).alias("done"), F.round("rate", 6).alias("rate"), F.round("eta", 4).alias("eta"))
+
+
 @query("W7_last_events", f"WITH {E} SELECT user_id, event_id, rank FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY second DESC, event_id DESC) AS rank FROM e) WHERE rank <= 15")
 def w7(spark, sf_dir):
     """The last 15 events of each run."""

@@ -2,13 +2,12 @@
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import text as fn
 from ..operators import chunking, keyword, vector
+from ..session import shared_path
 
 QUERIES: dict = {}
 ORACLE: dict[str, str] = {}
@@ -41,12 +40,6 @@ scored AS (
 bm25 AS (SELECT query_id, rank, id, score, score / (score + 1) AS shown FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) AS rank FROM scored) WHERE rank <= 20)"""
 
 
-def shared_path(spark: SparkSession, name: str) -> str:
-    """A new path in the folder that driver and executors share."""
-    base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir() or spark.conf.get("spark.sql.warehouse.dir")
-    return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
-
-
 _STORED: dict[tuple, str] = {}
 
 

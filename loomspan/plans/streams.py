@@ -22,12 +22,12 @@ def query(name: str, sql: str | None = None):
     return add
 
 
-def _drained(spark, sf_dir, job, mode):
-    """Feeds the events in time order, a quarter a batch, and returns all that the job gave out, from a table in the shared folder.
+def _fed(spark, sf_dir, root, closing=False):
+    """Writes the events to ``root/in`` in time order, a quarter at a time, and yields after each.
 
-    Events without a time come first. Each quarter is written by as many tasks as its scan has.
+    Events without a time come first. Each quarter is written by as many tasks as
+    its scan has. ``closing`` adds a last event of user -1, long after all others.
     """
-    root = shared_path(spark, "stream")
     told = table(spark, sf_dir, "events").withColumn("at", F.unix_micros(F.col("ts").cast("timestamp")))
     cuts = told.agg(F.percentile_approx("at", [0.25, 0.5, 0.75], 1000)).first()[0] or []
     for k in range(len(cuts) + 1):
@@ -35,6 +35,17 @@ def _drained(spark, sf_dir, job, mode):
         high = (F.col("at") <= cuts[k]) if k < len(cuts) else F.lit(True)
         now = (low & high) | F.col("at").isNull() if not k else low & high
         told.where(now).drop("at").write.mode("append").parquet(f"{root}/in")
+        yield
+    if closing:
+        end = spark.sql("SELECT -1L AS event_id, timestamp_ntz'2200-01-01' AS ts, -1L AS user_id, 'end' AS event_type, 0D AS value, '' AS props")
+        end.write.mode("append").parquet(f"{root}/in")
+        yield
+
+
+def _drained(spark, sf_dir, job, mode, closing=False):
+    """Feeds the events (``_fed``), each time to a query that goes on from the last one's checkpoint, and returns all that the job gave out, from a table in the shared folder."""
+    root = shared_path(spark, "stream")
+    for _ in _fed(spark, sf_dir, root, closing):
         out = job(jobs.event_stream(spark, f"{root}/in", files_per_batch=1 << 30))
         jobs.drain(out, "", f"{root}/checkpoint", mode, lambda batch, n: batch.withColumn("batch", F.lit(n)).write.mode("append").parquet(f"{root}/out"))
     return spark.read.parquet(f"{root}/out")
@@ -69,10 +80,45 @@ w AS (SELECT user_id, k, value::DOUBLE AS ema FROM o WHERE k = 1 UNION ALL SELEC
 SELECT user_id, round(arg_max(ema, k), 6) AS ema FROM w GROUP BY user_id""")
 def st6(spark, sf_dir):
     """Stateful moving average of each run, after the drain."""
-    df = _latest(_drained(spark, sf_dir, jobs.ema_rate, "update"), ["user_id"], "ema")
+    df = _latest(_drained(spark, sf_dir, lambda s: jobs.ema_rate(s, late="60 days"), "update"), ["user_id"], "ema")
     return df.withColumn("ema", F.round("ema", 6))
 
 
+@query("ST6_eta", """WITH RECURSIVE o AS (SELECT user_id, value, floor(epoch(ts)) - lag(floor(epoch(ts))) OVER w AS dt, row_number() OVER w AS k FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id)),
+w AS (SELECT user_id, k, value::DOUBLE AS done, NULL::DOUBLE AS rate FROM o WHERE k = 1 UNION ALL
+  SELECT o.user_id, o.k, w.done + o.value, CASE WHEN w.rate IS NULL THEN o.value / greatest(o.dt, 0.001::DOUBLE) ELSE 0.25::DOUBLE * o.value / greatest(o.dt, 0.001::DOUBLE) + 0.75::DOUBLE * w.rate END FROM w JOIN o ON o.user_id = w.user_id AND o.k = w.k + 1),
+l AS (SELECT user_id, arg_max(done, k) AS done, arg_max(struct_pack(r := rate), k).r AS rate FROM w GROUP BY user_id)
+SELECT user_id, round(done, 4) AS done, round(rate, 6) AS rate, round(CASE WHEN rate > 1e-6 THEN greatest(10000 - done, 0) / rate END, 4) AS eta FROM l""")
+def st6_eta(spark, sf_dir):
+    """Progress and time left of each run, given out when its state has expired."""
+    df = _drained(spark, sf_dir, lambda s: jobs.ema_rate(s, total=10000.0, late="60 days"), "update", closing=True)
+    return df.where("ended").select("user_id", F.round("done", 4).alias("done"), F.round("rate", 6).alias("rate"), F.round("eta", 4).alias("eta"))
+
+
+@query("ST5_flight_log", "SELECT user_id, event_id, event_type, ceil(count(*) OVER (PARTITION BY user_id) / 100.0)::BIGINT AS least_blocks FROM events")
+def st5_log(spark, sf_dir):
+    """Every event once from the append-only log, over restarts, and in how many blocks a user's events fit."""
+    root = shared_path(spark, "flight")
+    with jobs.state_store(spark):
+        for _ in _fed(spark, sf_dir, root, closing=True):
+            log = jobs.flight_log(jobs.event_stream(spark, f"{root}/in", files_per_batch=1 << 30), late="60 days")
+            files.write_records(log, f"{root}/log", f"{root}/checkpoint")
+    log = spark.read.schema(log.schema).json(f"{root}/log").where("user_id <> -1")
+    blocks = log.groupBy("user_id").agg((F.max("block") + 1).alias("least_blocks"))  # no more than needed: only the last is short
+    return log.join(blocks.hint("merge"), "user_id").select("user_id", "event_id", "event_type", "least_blocks")
+
+
+@query("ST5_recent_state", "SELECT user_id, event_id FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) AS k FROM events) WHERE k <= 50")
+def st5_state(spark, sf_dir):
+    """The last 50 events of each user, read from the state that the log's stream keeps."""
+    root = shared_path(spark, "flight")
+    with jobs.state_store(spark):
+        for _ in _fed(spark, sf_dir, root):
+            log = jobs.flight_log(jobs.event_stream(spark, f"{root}/in", files_per_batch=1 << 30), n=50, late="60 days")
+            files.write_records(log, f"{root}/log", f"{root}/checkpoint")
+        return jobs.kept_state(spark, f"{root}/checkpoint", "recent").select("user_id", "event_id")
+
+
 @query("ST5_last_events", "WITH r AS (SELECT user_id, event_id, ts, row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) AS k FROM events) SELECT user_id, string_agg(event_id::VARCHAR, ',' ORDER BY ts, event_id) AS events FROM r WHERE k <= 20 GROUP BY user_id")
 def st5(spark, sf_dir):
     """The last 20 events of each run, kept in state."""

@@ -3,6 +3,9 @@
 from __future__ import annotations
 
 import os
+import re
+import tempfile
+import uuid
 from pathlib import Path
 
 from pyspark.sql import SparkSession
@@ -23,6 +26,24 @@ def attach(spark: SparkSession) -> SparkSession:
     return spark
 
 
+def shared_path(spark: SparkSession, name: str) -> str:
+    """A new path in the folder that driver and executors share, ``spark.checkpoint.dir``; removed when the application ends.
+
+    Only a local master may go without that setting: it gets a temporary folder.
+    Elsewhere executors could not see it, so a session that names none is refused.
+    """
+    base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if not base:
+        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        spark.sparkContext.setCheckpointDir("file://" + tempfile.mkdtemp(prefix="loomspan-"))
+        base = spark.sparkContext.getCheckpointDir()
+    path = f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    place.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(place)
+    return path
+
+
 def local_session(name: str = "loomspan", cpus: int = 8, partitions: int = 8, memory: str = "8g") -> SparkSession:
     """A local session with UTC times and adaptive execution, for tests and the bench."""
     spark = (

@@ -4,15 +4,16 @@ from __future__ import annotations
 
 import threading
 from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.streaming import StreamingQueryListener
+from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle, StreamingQueryListener
 from pyspark.sql.streaming.state import GroupState
 
 from ..operators.chunking import chunks
-from ..operators.events import classify_fault
+from ..operators.events import LEAST_RATE, LEAST_SECONDS, classify_fault
 from ..operators.ingest import new_chunks
 
 LATE = "10 minutes"
@@ -54,29 +55,155 @@ def sliding_speed(stream: DataFrame, width: str = "30 seconds", step: str = "10
     return stream.withWatermark("ts", late).groupBy(F.window("ts", width, step).alias("w")).agg(F.round(F.sum("value"), 6).alias("total")).select(F.col("w.start").alias("start"), "total")
 
 
+_EVENT = "event_id long, ts timestamp, event_type string"
+
+
+def _latest_of(held: list[tuple], frame: pd.DataFrame, n: int) -> list[tuple]:
+    """The last ``n`` of held and new events by time and id, oldest first; an event without a time is older than all."""
+    new = [(int(i), None if pd.isna(t) else t.to_pydatetime(), k) for i, t, k in zip(frame.event_id, frame.ts, frame.event_type, strict=True)]
+    return sorted(held + new, key=lambda e: (e[1] is not None, e[1], e[0]))[-n:] if n else []
+
+
 def last_events(stream: DataFrame, n: int = 1000) -> DataFrame:
-    """After each batch, the last ``n`` event ids of each user that it touched, oldest first."""
+    """After each batch, the last ``n`` event ids of each user that it touched, oldest first.
+
+    Of a key's rows no more than ``n`` and one Arrow batch are held at a time.
+    """
     def keep(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        rows = pd.concat(frames).sort_values(["ts", "event_id"])
-        held = list(state.get[0]) if state.exists else []
-        held = (held + rows.event_id.tolist())[-n:]
-        state.update((held,))
-        yield pd.DataFrame({"user_id": [key[0]], "events": [held]})
+        held = [(i, None if t is None else pd.Timestamp(t, unit="us").to_pydatetime(), "") for i, t in zip(*state.get, strict=True)] if state.exists else []
+        for frame in frames:
+            held = _latest_of(held, frame.assign(event_type=""), n)
+        ids = [e[0] for e in held]
+        state.update((ids, [None if e[1] is None else pd.Timestamp(e[1]).value // 1000 for e in held]))
+        yield pd.DataFrame({"user_id": [key[0]], "events": [ids]})
+
+    return stream.groupBy("user_id").applyInPandasWithState(keep, "user_id long, events array<long>", "events array<long>, at array<long>", "update", "NoTimeout")
+
+
+class FlightRecorder(StatefulProcessor):
+    """Keeps a user's last ``n`` events in list state and gives out all events once, in blocks of ``block``.
+
+    Events of an unfinished block wait in state of their own until they are
+    ``block``, or until the watermark is ``idle`` beyond the user's last event.
+    """
+
+    def __init__(self, n: int, block: int, idle: pd.Timedelta) -> None:
+        self.n, self.block, self.idle = n, block, idle
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.recent = handle.getListState("recent", _EVENT)
+        self.pending = handle.getListState("pending", _EVENT)
+        self.given = handle.getValueState("given", "blocks long, timer long")
+
+    def _give(self, key: tuple, rows: list[tuple]) -> Iterator[pd.DataFrame]:
+        """The rows as finished blocks; the last one may be short."""
+        if rows:
+            first = self.blocks
+            self.blocks += -(-len(rows) // self.block)
+            ids, times, kinds = zip(*rows, strict=True)
+            yield pd.DataFrame({"user_id": key[0], "block": [first + k // self.block for k in range(len(rows))], "event_id": ids, "ts": pd.Series(pd.to_datetime(list(times))), "event_type": kinds})
+
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
+        recent, waiting = list(self.recent.get()), list(self.pending.get())
+        self.blocks, timer = self.given.get() if self.given.exists() else (0, None)
+        for frame in rows:
+            recent = _latest_of(recent, frame, self.n)
+            waiting += _latest_of([], frame, len(frame))
+            whole = len(waiting) - len(waiting) % self.block
+            yield from self._give(key, waiting[:whole])
+            waiting = waiting[whole:]
+        self.recent.put(recent)
+        self.pending.clear()
+        if timer is not None:
+            self.handle.deleteTimer(timer)
+            timer = None
+        if waiting:
+            self.pending.put(waiting)
+            base = 0 if waiting[-1][1] is None else pd.Timestamp(waiting[-1][1]).value // 1_000_000
+            timer = max(base + self.idle // pd.Timedelta(milliseconds=1), timerValues.getCurrentWatermarkInMs() + 1)
+            self.handle.registerTimer(timer)
+        self.given.update((self.blocks, timer))
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
+        waiting, (self.blocks, _) = list(self.pending.get()), self.given.get()
+        self.pending.clear()
+        yield from self._give(key, waiting)
+        self.given.update((self.blocks, None))
+
+    def close(self) -> None:
+        pass
+
+
+def flight_log(stream: DataFrame, n: int = 1000, block: int = 100, idle: str = "1 hour", late: str = LATE) -> DataFrame:
+    """Append-only log ``(user_id, block, event_id, ts, event_type)``: every event once, each hundred of a user's events as one block.
 
-    return stream.groupBy("user_id").applyInPandasWithState(keep, "user_id long, events array<long>", "events array<long>", "update", "NoTimeout")
+    The last ``n`` events of each user stay in the list state ``recent``. A
+    block that isn't full is given out once the watermark is ``idle`` beyond the
+    user's last event. Written by a file sink with a checkpoint, the log holds
+    every event once, restarts included. Needs a RocksDB state store (``state_store``).
+    """
+    told = stream.withWatermark("ts", late).select("user_id", "event_id", "ts", "event_type")
+    return told.groupBy("user_id").transformWithStateInPandas(
+        FlightRecorder(n, block, pd.Timedelta(idle)), "user_id long, block long, event_id long, ts timestamp, event_type string", "Append", "EventTime")
 
 
-def ema_rate(stream: DataFrame, alpha: float = 0.25) -> DataFrame:
-    """Per user, the exponential moving average of values in time order within and across batches."""
+@contextmanager
+def state_store(spark: SparkSession, provider: str = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider") -> Iterator[None]:
+    """Streams that start inside use this state store; the session's setting is put back after."""
+    key = "spark.sql.streaming.stateStore.providerClass"
+    before = spark.conf.get(key)
+    spark.conf.set(key, provider)
+    try:
+        yield
+    finally:
+        spark.conf.set(key, before)
+
+
+def kept_state(spark: SparkSession, checkpoint: str, name: str, operator: int = 0) -> DataFrame:
+    """Rows ``(user_id, ...)`` of a list that a stream of ``flight_log`` keeps in its state."""
+    rows = spark.read.format("statestore").option("path", checkpoint).option("operatorId", operator).option("stateVarName", name).load()
+    return rows.select(F.col("key.user_id").alias("user_id"), "list_element.*")
+
+
+def ema_rate(stream: DataFrame, total: float = 0.0, alpha: float = 0.25, idle: str = "1 hour", late: str = LATE) -> DataFrame:
+    """Per user ``(ema, done, rate, eta, ended)`` after each batch that touches it, and once more when it has been idle.
+
+    ``ema`` is the moving average of values, ``rate`` that of their rates and
+    ``eta`` the time left of ``total`` (``operators.events.smoothed_eta``), in time
+    order within a batch and across batches. Once the watermark is ``idle`` beyond
+    a user's last event, a row with ``ended`` is given out and the state is gone. A
+    user's rows of one micro-batch are sorted together, so batches must be bounded.
+    """
+    wait = int(pd.Timedelta(idle) / pd.Timedelta(milliseconds=1))
+
+    def row(key, ema, done, rate, ended) -> pd.DataFrame:
+        eta = max(total - done, 0.0) / rate if total > 0 and rate is not None and rate > LEAST_RATE else None
+        return pd.DataFrame({"user_id": [key[0]], "ema": [ema], "done": [done], "rate": pd.Series([rate], dtype="float64"), "eta": pd.Series([eta], dtype="float64"), "ended": [ended]})
+
     def fold(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        if state.hasTimedOut:
+            ema, done, rate, _ = state.get
+            state.remove()
+            yield row(key, ema, done, rate, True)
+            return
         rows = pd.concat(frames).sort_values(["ts", "event_id"])
-        now = state.get[0] if state.exists else None
-        for v in rows.value:
-            now = v if now is None else alpha * v + (1 - alpha) * now
-        state.update((float(now),))
-        yield pd.DataFrame({"user_id": [key[0]], "ema": [float(now)]})
-
-    return stream.groupBy("user_id").applyInPandasWithState(fold, "user_id long, ema double", "ema double", "update", "NoTimeout")
+        ema, done, rate, last = state.get if state.exists else (None, 0.0, None, None)
+        for second, v in zip((rows.ts.astype("int64") // 10**9).tolist() if rows.ts.dtype == "datetime64[ns]" else rows.ts.map(lambda t: pd.Timestamp(t).value // 10**9), rows.value, strict=True):
+            v = 0.0 if pd.isna(v) else float(v)
+            ema = v if ema is None else alpha * v + (1 - alpha) * ema
+            done += max(v, 0.0)
+            if last is not None:
+                now = max(v, 0.0) / max(second - last, LEAST_SECONDS)
+                rate = now if rate is None else alpha * now + (1 - alpha) * rate
+            last = int(second)
+        state.update((ema, done, rate, last))
+        state.setTimeoutTimestamp(max(last * 1000 + wait, state.getCurrentWatermarkMs() + 1))
+        yield row(key, ema, done, rate, False)
+
+    told = stream.withWatermark("ts", late).select("user_id", "ts", "event_id", "value")
+    return told.groupBy("user_id").applyInPandasWithState(
+        fold, "user_id long, ema double, done double, rate double, eta double, ended boolean", "ema double, done double, rate double, last long", "update", "EventTimeTimeout")
 
 
 def faults(stream: DataFrame, playbook: DataFrame) -> DataFrame:
