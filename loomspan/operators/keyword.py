@@ -1,115 +1,245 @@
-"""Keyword index and BM25 ranking for tables of queries."""
+"""Keyword index with bounds by term, and BM25 ranking for tables of queries.
+
+Documents are dealt into ranges by a hash of their id, about ``DOCS`` in each, and
+postings lie by bucket of the term and group of ranges, so common words are in
+many files. Each term knows the greatest count and the least length among its
+postings, which bound what a document can gain from it.
+
+Where many postings are asked for, queries with selective terms are pruned: their
+weightiest terms are scored first, alone. The k-th best of these partial scores is
+a threshold. Terms that can't reach it even together bring in no document; they
+are read only in the ranges of documents that still can.
+"""
 
 from __future__ import annotations
 
 from dataclasses import dataclass
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import query_terms, squash
+from ..session import shared_path, written_bytes
 
 #: Folders of a stored index.
-BUCKETS = 64
+BUCKETS = 16
+#: Documents of a range, and ranges of a file.
+DOCS, RANGES_A_FILE = 1024, 32
 #: Most terms of queries that are sent to the scan of the postings.
 SENT_ROWS = 100_000
+#: Largest written table, in bytes, that is sent to all executors.
+SENT_BYTES = 32 << 20
+#: Share of a query's greatest possible score that its weightiest terms make up, and shares of its postings: what these may have for them to be
+#: scored first, and what may be left to read after that for the query to be pruned.
+HEAD, SELECTIVE, WORTH = 0.5, 0.02, 0.1
+#: Postings of all asked terms below which one pass over them takes less than the steps of pruning.
+PRUNE_FROM = 20_000_000
 
 
 @dataclass(frozen=True)
 class KeywordIndex:
-    """``postings(term, id, tf)``, ``doc_stats(id, dl)`` and ``term_stats(term, df)``; stored postings have their ``bucket`` too."""
+    """``postings(term, id, tf, dl, range, first)``, ``term_stats(term, df, cf, max_tf, min_dl)`` and ``totals(n, words, ranges)``.
+
+    Stored postings have their ``bucket`` and ``part`` too.
+    """
 
     postings: DataFrame
-    doc_stats: DataFrame
     term_stats: DataFrame
+    totals: DataFrame
     buckets: int = BUCKETS
 
+    @property
+    def doc_stats(self) -> DataFrame:
+        """``(id, dl)`` of every document, those without words included."""
+        return self.postings.where("first").select("id", "dl")
+
 
 def words(text: Column) -> Column:
     """Lower-case runs of letters and digits, by Unicode."""
     return F.regexp_extract_all(F.lower(text), F.lit(r"([\p{L}\p{N}]+)"), 1)
 
 
-def build_index(docs: DataFrame) -> KeywordIndex:
-    """Index of ``docs(id, text)``; word counts are combined before the shuffle."""
-    tokens = docs.select("id", F.explode(words(F.col("text"))).alias("term"))
-    postings = tokens.groupBy("term", "id").agg(F.count("*").alias("tf"))
-    lengths = docs.select("id", F.size(words(F.coalesce("text", F.lit("")))).cast("long").alias("dl"))
-    return KeywordIndex(postings, lengths, postings.groupBy("term").agg(F.count("*").alias("df")))
-
-
 def _bucket(term: str, buckets: int) -> Column:
     return F.pmod(F.xxhash64(term), F.lit(buckets)).cast("int")
 
 
-def write_index(docs: DataFrame, path: str, buckets: int = BUCKETS) -> KeywordIndex:
-    """Writes the index of ``docs(id, text)`` as Parquet and returns the written one.
+def _parts(ranges: int, buckets: int) -> int:
+    return buckets * -(-ranges // RANGES_A_FILE)
+
+
+def _postings(docs: DataFrame, ranges: int, buckets: int) -> DataFrame:
+    """``(bucket, range, term, id, tf, dl, first)`` of ``docs(id, text)``, one shuffle; a document without words has one row of null term.
 
-    Postings lie in folders by a hash of the term and are sorted by term, so a
-    search reads the parts of its terms only. Texts are parsed once: lengths
-    are sums over the postings.
+    ``first`` marks one row of each document.
     """
-    tokens = docs.select("id", F.explode(words(F.col("text"))).alias("term"))
-    postings = tokens.groupBy("term", "id").agg(F.count("*").alias("tf")).withColumn("bucket", _bucket("term", buckets))
-    postings.repartition("bucket", F.pmod(F.xxhash64("id"), F.lit(4))).sortWithinPartitions("bucket", "term", "id").write.mode("overwrite").partitionBy("bucket").parquet(f"{path}/postings")
-    docs.select("id").write.mode("overwrite").parquet(f"{path}/ids")
-    return _summed(docs.sparkSession, path, buckets)
-
-
-def _summed(spark: SparkSession, path: str, buckets: int) -> KeywordIndex:
-    """Writes what follows from the postings and the ids."""
-    postings = spark.read.parquet(f"{path}/postings")
-    postings.groupBy("bucket", "term").agg(F.count("*").alias("df")).sortWithinPartitions("term").write.mode("overwrite").parquet(f"{path}/terms")
-    sums = postings.groupBy("id").agg(F.sum("tf").alias("dl"))
-    ids = spark.read.parquet(f"{path}/ids").join(sums.hint("merge"), "id", "left").select("id", F.coalesce("dl", F.lit(0)).alias("dl"))
-    ids.write.mode("overwrite").parquet(f"{path}/documents")
+    told = docs.select("id", words(F.coalesce("text", F.lit(""))).alias("w")).select("id", F.size("w").alias("dl"), F.posexplode_outer("w").alias("at", "term"))
+    told = told.withColumn("range", F.pmod(F.xxhash64("id"), F.lit(ranges)).cast("int")).withColumn("bucket", _bucket("term", buckets))
+    dealt = told.withColumn("part", F.floor(F.col("range") / RANGES_A_FILE)).repartition(_parts(ranges, buckets), "bucket", "part")
+    counted = dealt.groupBy("bucket", "part", "range", "term", "id", "dl").agg(F.count("*").alias("tf"), F.coalesce(F.min("at") == 0, F.lit(True)).alias("first"))
+    return counted.select("bucket", "part", "range", "term", "id", F.when(F.col("term").isNull(), 0).otherwise(F.col("tf")).cast("int").alias("tf"), "dl", "first")
+
+
+def _ranges(docs: DataFrame, docs_a_range: int) -> int:
+    return max(1, -(-docs.count() // docs_a_range))
+
+
+def _terms(postings: DataFrame) -> DataFrame:
+    return postings.where("term IS NOT NULL").groupBy("bucket", "term").agg(F.count("*").alias("df"), F.sum("tf").alias("cf"), F.max("tf").alias("max_tf"), F.min("dl").alias("min_dl"))
+
+
+def _totals(postings: DataFrame, ranges: int) -> DataFrame:
+    return postings.agg(F.count_if("first").alias("n"), F.coalesce(F.sum("tf"), F.lit(0)).alias("words"), F.lit(ranges).alias("ranges"))
+
+
+def build_index(docs: DataFrame, docs_a_range: int = DOCS) -> KeywordIndex:
+    """Index of ``docs(id, text)``, ids distinct, that isn't stored."""
+    ranges = _ranges(docs, docs_a_range)
+    postings = _postings(docs, ranges, BUCKETS)
+    return KeywordIndex(postings, _terms(postings).drop("bucket"), _totals(postings, ranges))
+
+
+def write_index(docs: DataFrame, path: str, buckets: int = BUCKETS, docs_a_range: int = DOCS) -> KeywordIndex:
+    """Writes the index of ``docs(id, text)``, ids distinct, as Parquet and returns the written one.
+
+    Texts are parsed and shuffled once. Postings lie in folders by a hash of the
+    term, in files of ``RANGES_A_FILE`` ranges each, sorted by term and range, so
+    tasks and files grow with the documents, common words lie in many files, and
+    a search reads the parts of its terms only.
+    """
+    ranges = _ranges(docs, docs_a_range)
+    _store(_postings(docs, ranges, buckets), path)
+    return _summed(docs.sparkSession, path, ranges, buckets)
+
+
+def _store(postings: DataFrame, path: str) -> None:
+    postings.limit(0).write.mode("overwrite").parquet(f"{path}/columns")  # which no folder tells if there are no postings
+    postings.sortWithinPartitions("bucket", "term", "range", "id").write.mode("overwrite").partitionBy("bucket").parquet(f"{path}/postings")
+
+
+def _summed(spark: SparkSession, path: str, ranges: int, buckets: int) -> KeywordIndex:
+    """Writes what follows from the postings."""
+    postings = load_index(spark, path, buckets, whole=False).postings
+    _terms(postings).sortWithinPartitions("term").write.mode("overwrite").parquet(f"{path}/terms")
+    _totals(postings, ranges).write.mode("overwrite").parquet(f"{path}/totals")
     return load_index(spark, path, buckets)
 
 
-def load_index(spark: SparkSession, path: str, buckets: int = BUCKETS) -> KeywordIndex:
-    """The index that ``write_index`` or ``update_index`` wrote."""
-    return KeywordIndex(spark.read.parquet(f"{path}/postings"), spark.read.parquet(f"{path}/documents"), spark.read.parquet(f"{path}/terms").drop("bucket"), buckets)
+def load_index(spark: SparkSession, path: str, buckets: int = BUCKETS, whole: bool = True) -> KeywordIndex:
+    """The index that ``write_index`` or ``update_index`` wrote; its postings alone if not ``whole``."""
+    postings = spark.read.schema(spark.read.parquet(f"{path}/columns").schema).parquet(f"{path}/postings")
+    read = lambda name: spark.read.parquet(f"{path}/{name}") if whole else None
+    return KeywordIndex(postings, read("terms").drop("bucket") if whole else None, read("totals"), buckets)
 
 
 def update_index(spark: SparkSession, path: str, target: str, docs: DataFrame, gone: DataFrame, buckets: int = BUCKETS) -> KeywordIndex:
     """Writes to ``target`` the index of ``path`` without the ids of ``gone(id)`` and with ``docs(id, text)``; ids of ``docs`` replace older ones.
 
     Goes with appends (nothing gone) and replaced sources (their old ids gone).
-    Only new texts are parsed. The old index stays until the caller drops it.
+    Only new texts are parsed. The number of ranges stays, so an index that has
+    grown manyfold is better written anew. The old one stays until the caller drops it.
     """
     if path.rstrip("/") == target.rstrip("/"):
         raise ValueError("an index is not overwritten while it is read")
+    old = load_index(spark, path, buckets)
+    ranges = old.totals.first().ranges
     left = gone.select("id").union(docs.select("id")).distinct()
-    fresh = docs.select("id", F.explode(words(F.col("text"))).alias("term")).groupBy("term", "id").agg(F.count("*").alias("tf")).withColumn("bucket", _bucket("term", buckets))
-    old = spark.read.parquet(f"{path}/postings").join(left.hint("merge"), "id", "left_anti").select("term", "id", "tf", "bucket")
-    whole = old.union(fresh).repartition("bucket", F.pmod(F.xxhash64("id"), F.lit(4))).sortWithinPartitions("bucket", "term", "id")
-    whole.write.mode("overwrite").partitionBy("bucket").parquet(f"{target}/postings")
-    spark.read.parquet(f"{path}/ids").join(left.hint("merge"), "id", "left_anti").union(docs.select("id")).write.mode("overwrite").parquet(f"{target}/ids")
-    return _summed(spark, target, buckets)
+    fresh = _postings(docs, ranges, buckets)
+    kept = old.postings.join(left.hint("merge"), "id", "left_anti").select(fresh.columns)
+    _store(kept.union(fresh).repartition(_parts(ranges, buckets), "bucket", "part"), target)
+    return _summed(spark, target, ranges, buckets)
 
 
-def bm25_topk(index: KeywordIndex, queries: DataFrame, k: int = 20, k1: float = 1.2, b: float = 0.75) -> DataFrame:
+def _part(tf: Column, dl: Column, k1: float, b: float) -> Column:
+    """What a count adds to a score, but for the term's weight; grows with ``tf`` and falls with ``dl``."""
+    return tf * F.lit(k1 + 1) / (tf + F.lit(k1) * (F.lit(1 - b) + F.lit(b) * dl / F.col("avgdl")))
+
+
+def _small(spark: SparkSession, df: DataFrame, name: str) -> tuple[DataFrame, DataFrame]:
+    """``df`` written to the shared folder: the written table, and the same with the join hint its size allows."""
+    path = shared_path(spark, name)
+    df.write.parquet(path)
+    back = spark.read.schema(df.schema).parquet(path)
+    return back, back.hint("broadcast" if written_bytes(spark, path) <= SENT_BYTES else "merge")
+
+
+def _weights(index: KeywordIndex, asked: DataFrame, how: str, k1: float, b: float) -> DataFrame:
+    """``(query_id, term, weight, avgdl, ranges, df, cap, before, after, head)``: a term's weight in a query, the most it can add to a score, and the caps of the query's weightier terms and of it and all lesser ones; ``head`` marks the weightiest."""
+    idf = F.greatest(F.lit(1e-6), F.log((F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5)))
+    totals = index.totals.select("n", "ranges", (F.col("words") / F.nullif("n", F.lit(0))).alias("avgdl"))
+    found = index.term_stats.join(asked.hint(how), "term").crossJoin(F.broadcast(totals)).withColumn("weight", F.col("m") * idf)  # totals have one row
+    capped = found.withColumn("cap", F.col("weight") * _part(F.col("max_tf"), F.col("min_dl"), k1, b))
+    order = Window.partitionBy("query_id").orderBy(F.desc("cap"), "term")  # the terms of one query
+    before = F.coalesce(F.sum("cap").over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0.0))
+    after = F.sum("cap").over(order.rowsBetween(0, Window.unboundedFollowing))
+    return capped.select("query_id", "term", "weight", "avgdl", "ranges", "df", "cap", before.alias("before"), after.alias("after")).withColumn("head", F.col("before") < F.lit(HEAD) * (F.col("before") + F.col("after")))
+
+
+def bm25_topk(index: KeywordIndex, queries: DataFrame, k: int = 20, k1: float = 1.2, b: float = 0.75, prune_from: int = PRUNE_FROM, report: list | None = None) -> DataFrame:
     """``(query_id, rank, id, score, shown)`` for ``queries(query_id, query)``: any term may match, repeats count.
 
     A query without terms of three characters gives no rows. Ties go to the
-    lesser id, after rounding the score to nine places. Up to ``SENT_ROWS``
-    terms of all queries are sent to the postings, of which a stored index reads
-    their folders only; more are joined by a merge.
+    lesser id, after rounding the score to nine places. Up to ``SENT_ROWS`` terms
+    of all queries are sent to the postings, of which a stored index reads their
+    folders only, and what can't be among the k best is left out unread if these
+    are ``prune_from`` or more; more terms are joined by a merge. The rows are the
+    same either way. ``report`` gets a
+    row for the queries with selective terms, if there are any: ``postings`` of their
+    terms, and ``read`` of these after the first step.
     """
+    spark = queries.sparkSession
     asked = queries.select("query_id", F.explode(query_terms(F.col("query"))).alias("term")).groupBy("query_id", "term").agg(F.count("*").alias("m"))
     told = asked.limit(SENT_ROWS + 1).agg(F.count("*").alias("n"), F.collect_set(_bucket("term", index.buckets)).alias("buckets")).first()
-    how = "broadcast" if told.n <= SENT_ROWS else "merge"
-    postings = index.postings
-    if how == "broadcast" and "bucket" in postings.columns:  # of a stored index
+    sent = told.n <= SENT_ROWS
+    postings = index.postings.where("term IS NOT NULL")
+    if sent:
         postings = postings.where(F.col("bucket").isin(sorted(told.buckets)))
-    totals = index.doc_stats.agg(F.count("*").alias("n"), F.avg("dl").alias("avgdl"))
-    idf = F.greatest(F.lit(1e-6), F.log((F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5)))
-    found = index.term_stats.join(asked.hint(how), "term").crossJoin(F.broadcast(totals)).select("query_id", "term", (F.col("m") * idf).alias("idf"), "avgdl")  # totals have one row
-    if how == "broadcast":  # postings meet their lengths before they are multiplied by the queries that ask for them
-        postings = postings.join(F.broadcast(asked.select("term").distinct()), "term", "left_semi").join(index.doc_stats.hint("merge"), "id").join(F.broadcast(found), "term")
-    else:
-        postings = postings.join(found.hint("merge"), "term").join(index.doc_stats.hint("merge"), "id")
-    part = F.col("idf") * F.col("tf") * F.lit(k1 + 1) / (F.col("tf") + F.lit(k1) * (F.lit(1 - b) + F.lit(b) * F.col("dl") / F.col("avgdl")))
-    scored = postings.groupBy("query_id", "id").agg(F.round(F.sum(part), 9).alias("score"))
-    rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "id")).cast("long")
-    return scored.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", "rank", "id", "score", squash(F.col("score")).alias("shown"))
+    plain, weights = _small(spark, _weights(index, asked, "broadcast" if sent else "merge", k1, b), "weights")
+    def gains(found: DataFrame) -> DataFrame:
+        """Sums of what postings add to scores; of postings joined with weights."""
+        return found.groupBy("query_id", "id").agg(F.sum(F.col("weight") * _part(F.col("tf"), F.col("dl"), k1, b)).alias("gain"))
+
+    def best(df: DataFrame) -> DataFrame:
+        rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "id")).cast("long")
+        return df.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", "rank", "id", "score")
+
+    rest, found = weights, []
+    much = sent and (plain.agg(F.sum("df").alias("n")).first().n or 0) >= prune_from
+    marked = _thresholds(spark, postings, plain, gains, best, k) if much else None
+    if marked is not None:
+        worth = marked.groupBy("query_id").agg((F.sum(F.when(F.col("leads"), F.col("df")).otherwise(0)) <= WORTH * F.sum("df")).alias("worth")).where("worth").select("query_id")
+        if worth.head(1):
+            found.append(_pruned(spark, postings, marked.join(worth.hint("broadcast"), "query_id", "left_semi"), gains, best, k1, b, report))  # one row for each query that was sent
+            rest = weights.join(worth.hint("broadcast"), "query_id", "left_anti")
+    found.append(best(gains(postings.join(rest, "term")).select("query_id", "id", F.round("gain", 9).alias("score"))))
+    top = reduce(DataFrame.union, found)
+    return top.select("query_id", "rank", "id", "score", squash(F.col("score")).alias("shown"))
+
+
+def _thresholds(spark: SparkSession, postings: DataFrame, weights: DataFrame, gains, best, k: int) -> DataFrame | None:
+    """The weights of queries with selective terms, with the k-th best score by these alone (``least``) and the terms that lead to a document that can reach it (``leads``); None if there is no such query."""
+    selective = weights.groupBy("query_id").agg((F.sum(F.when(F.col("head"), F.col("df")).otherwise(0)) <= SELECTIVE * F.sum("df")).alias("selective")).where("selective").select("query_id")
+    if not selective.head(1):
+        return None
+    mine = weights.join(selective.hint("broadcast"), "query_id", "left_semi")  # one row for each query that was sent
+    early = gains(postings.join(mine.where("head").hint("broadcast"), "term")).select("query_id", "id", F.col("gain").alias("score"))  # up to SENT_ROWS
+    _, least = _small(spark, best(early).where(F.col("rank") == k).select("query_id", (F.col("score") * (1 - 1e-9)).alias("least")), "least")  # sums differ by rounding
+    marked = mine.join(least, "query_id", "left").withColumn("least", F.coalesce("least", F.lit(0.0)))
+    marked = marked.withColumn("leads", F.col("after") >= F.col("least"))
+    return _small(spark, marked, "marked")[0]
+
+
+def _pruned(spark: SparkSession, postings: DataFrame, marked: DataFrame, gains, best, k1: float, b: float, report: list | None) -> DataFrame:
+    """The k best of the queries of ``marked``; what can't be among them is left out unread."""
+    plain, marked = marked, marked.hint("broadcast")  # up to SENT_ROWS
+    lesser = plain.groupBy("query_id").agg(F.first("least").alias("least"), F.first("ranges").alias("ranges"), F.sum(F.when(~F.col("leads"), F.col("cap")).otherwise(0.0)).alias("lesser"))
+    able = gains(postings.join(marked.where("leads"), "term")).join(lesser.hint("broadcast"), "query_id")  # one row for each query that was sent
+    able, _ = _small(spark, able.where(F.col("gain") + F.col("lesser") >= F.col("least")).select("query_id", "id", "gain", "ranges"), "able")
+    ranges = able.withColumn("range", F.pmod(F.xxhash64("id"), "ranges").cast("int"))
+    _, near = _small(spark, ranges.select("query_id", "range").distinct(), "near")
+    trailing = postings.join(marked.where("NOT leads"), "term").join(near, ["query_id", "range"], "left_semi")
+    more = trailing.select("query_id", "id", (F.col("weight") * _part(F.col("tf"), F.col("dl"), k1, b)).alias("gain")).join(able.select("query_id", "id").hint("merge"), ["query_id", "id"], "left_semi")
+    if report is not None:
+        read = plain.where("leads").agg(F.sum("df").alias("x")).union(trailing.agg(F.count("*").alias("x"))).agg(F.sum("x").alias("read"))
+        report.append(plain.agg(F.sum("df").alias("postings")).crossJoin(read))  # one row each
+    return best(able.drop("ranges").union(more).groupBy("query_id", "id").agg(F.round(F.sum("gain"), 9).alias("score")))

@@ -53,7 +53,7 @@ def j2(spark, sf_dir):
     """Distinct query terms that each document holds."""
     index = docs_index(spark, sf_dir)
     asked = benchmark_queries(spark, sf_dir).select("query_id", F.explode(fn.query_terms(F.col("query"))).alias("term")).distinct()
-    return index.postings.join(asked.hint("merge"), "term").join(index.doc_stats.hint("merge"), "id").groupBy("query_id", "id").agg(F.count("*").alias("terms"))
+    return index.postings.join(asked.hint("merge"), "term").groupBy("query_id", "id").agg(F.count("*").alias("terms"))
 
 
 @query("J3_fusion", f"WITH {HYBRID} SELECT query_id, id, round(fused, 9) AS fused, round(score, 6) AS score FROM shown")

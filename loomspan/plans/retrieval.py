@@ -45,13 +45,17 @@ _STORED: dict[tuple, str] = {}
 
 def docs_index(spark: SparkSession, sf_dir: str) -> keyword.KeywordIndex:
     """The stored index of the documents; written once for each application and state of their files."""
-    path = spark._jvm.org.apache.hadoop.fs.Path(f"{sf_dir}/documents.parquet")
-    found = path.getFileSystem(spark._jsc.hadoopConfiguration()).getContentSummary(path)
-    changed = path.getFileSystem(spark._jsc.hadoopConfiguration()).getFileStatus(path).getModificationTime()
-    key = (spark.sparkContext.applicationId, sf_dir, found.getLength(), found.getFileCount(), changed)
+    docs = table(spark, sf_dir, "documents")
+    place = spark._jvm.org.apache.hadoop.fs.Path
+    states = []
+    for name in sorted(docs.inputFiles()):  # names, lengths and times of all files
+        path = place(name)
+        state = path.getFileSystem(spark._jsc.hadoopConfiguration()).getFileStatus(path)
+        states.append((name, state.getLen(), state.getModificationTime()))
+    key = (spark.sparkContext.applicationId, sf_dir, tuple(states))
     if key not in _STORED:
         target = shared_path(spark, "keywords")
-        keyword.write_index(table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), "text"), target)
+        keyword.write_index(docs.select(F.col("doc_id").alias("id"), "text"), target)
         _STORED[key] = target
     return keyword.load_index(spark, _STORED[key])
 
@@ -69,7 +73,7 @@ def t2(spark, sf_dir):
 @query("A17_keyword_stats", f"WITH t AS ({WORDS}), p AS (SELECT term, doc_id, count(*) AS tf FROM t GROUP BY ALL) SELECT term, count(*) AS df, sum(tf)::BIGINT AS cf FROM p GROUP BY term")
 def a17(spark, sf_dir):
     """Document and corpus frequency of every word."""
-    return docs_index(spark, sf_dir).postings.groupBy("term").agg(F.count("*").alias("df"), F.sum("tf").alias("cf"))
+    return docs_index(spark, sf_dir).term_stats.select("term", "df", "cf")
 
 
 UNIT = "SELECT vec_id, embedding::DOUBLE[] AS v, label FROM embeddings"

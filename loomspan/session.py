@@ -44,6 +44,12 @@ def shared_path(spark: SparkSession, name: str) -> str:
     return path
 
 
+def written_bytes(spark: SparkSession, path: str) -> int:
+    """Bytes of a written table."""
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return place.getFileSystem(spark._jsc.hadoopConfiguration()).getContentSummary(place).getLength()
+
+
 def local_session(name: str = "loomspan", cpus: int = 8, partitions: int = 8, memory: str = "8g") -> SparkSession:
     """A local session with UTC times and adaptive execution, for tests and the bench."""
     spark = (

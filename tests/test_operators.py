@@ -2,6 +2,9 @@
 
 import io
 import mailbox
+import math
+import random
+import re
 import time
 import zipfile
 
@@ -213,3 +216,43 @@ def test_one_failing_file_is_an_error_row(spark):
     df = spark.createDataFrame([("a.x", b"good"), ("b.x", "é".encode()), ("c.y", b"")], "path string, content binary")
     got = {r.path: (r.text, r.error and r.error.split(":")[0]) for r in files.extract(df, files.with_extractors({".X": files.each_file(read)})).collect()}
     assert got == {"a.x": ("good", None), "b.x": (None, "UnicodeDecodeError"), "c.y": (None, "no extractor")}
+
+
+def bm25_by_hand(docs, query, k):
+    """The formula, document by document."""
+    told = {i: re.findall(r"[^\W_]+", t.lower()) for i, t in docs}
+    mean = sum(map(len, told.values())) / len(told)
+    scores = {}
+    for term in [w for w in re.findall("[a-z0-9]+", query.lower()) if len(w) >= 3]:
+        df = sum(term in w for w in told.values())
+        for i, w in told.items():
+            if term in w:
+                tf = w.count(term)
+                idf = max(1e-6, math.log((len(told) - df + 0.5) / (df + 0.5)))
+                scores[i] = scores.get(i, 0) + idf * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * len(w) / mean))
+    return [(i, round(s, 6)) for i, s in sorted(((i, round(s, 9)) for i, s in scores.items()), key=lambda x: (-x[1], x[0]))[:k]]
+
+
+def test_pruned_search_finds_the_same(spark, tmp_path):
+    """Queries with rare and common words read few postings, and give the rows that the formula gives."""
+    r = random.Random(8)
+    docs = [(i, " ".join(r.choice(("common", "usual", "often")) if r.random() < 0.7 else f"word{int(r.paretovariate(0.4)) % 900}" for _ in range(r.randint(0, 60)))) for i in range(1500)]
+    docs += [(5000 + i, "needle " * (1 + i % 3) + "common usual " * (i % 5) + "filler " * r.randint(0, 30)) for i in range(20)]
+    queries = [(1, "the needle is common and usual"), (2, "common usual often"), (3, "needle"), (4, "word7 word11 common common often"), (5, "no such of it"), (6, "an"), (7, "needle filler word3 usual")]
+    index = keyword.write_index(spark.createDataFrame(docs, "id long, text string").repartition(3), f"{tmp_path}/index", docs_a_range=16)
+    asked, report = spark.createDataFrame(queries, "query_id long, query string"), []
+    got = {}
+    for row in keyword.bm25_topk(index, asked, k=5, prune_from=0, report=report).collect():
+        got.setdefault(row.query_id, []).append((row.rank, row.id, round(row.score, 6)))
+    want = {q: [(n, *x) for n, x in enumerate(bm25_by_hand(docs, text, 5), 1)] for q, text in queries}
+    assert {q: sorted(v) for q, v in got.items()} == {q: v for q, v in want.items() if v}
+    cost = report[0].first()
+    assert 0 < cost.read < cost.postings / 2
+    assert sorted(index.totals.first()) == sorted([len(docs), sum(len(t.split()) for _, t in docs), 95])
+
+
+def test_index_of_no_documents(spark, tmp_path):
+    none = spark.createDataFrame([], "id long, text string")
+    index = keyword.write_index(none, f"{tmp_path}/none")
+    asked = spark.createDataFrame([(1, "any word")], "query_id long, query string")
+    assert keyword.bm25_topk(index, asked).count() == 0 and index.doc_stats.count() == 0
