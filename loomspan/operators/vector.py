@@ -11,7 +11,9 @@ from pyspark.ml.feature import IDF, HashingTF, Normalizer
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
+from ..session import shared_path, written_bytes
 from .keyword import words
 
 
@@ -87,47 +89,113 @@ def rebuild(chunks: DataFrame, path: str, key: str = "chunk_id", text_column: st
     return chunks.sparkSession.read.parquet(path)
 
 
-def vector_topk(corpus: DataFrame, queries: DataFrame, k: int = 8, block: int = 4096) -> DataFrame:
-    """``(query_id, rank, id, score)``: exact cosine search of ``corpus(id, vector)`` for ``queries(query_id, vector)`` of distinct ids.
+#: Vectors of a packed row.
+PACK = 1024
+#: Largest written table of packed queries, in bytes, that is sent to all executors at once.
+SENT_BYTES = 32 << 20
 
-    Any number of queries is asked, one block after another (``vector_topk_kernel``). A query does not find its
-    own id. Null vectors, and scores that aren't finite, are not found. Ties go to the lesser id, after rounding to nine places.
-    """
-    ids = sorted(r.query_id for r in queries.select("query_id").where("query_id IS NOT NULL").collect())
-    parts = [vector_topk_kernel(corpus, queries.where(F.col("query_id").between(ids[a], ids[min(a + block, len(ids)) - 1])), k, block) for a in range(0, len(ids), block)]
-    return reduce(DataFrame.union, parts or [vector_topk_kernel(corpus, queries.limit(0), k, block)])
 
+def _packed(df: DataFrame, key: str, kind: str, pack: int) -> DataFrame:
+    """Rows ``(dim, keys, data)`` of up to ``pack`` vectors of one length laid end to end; null entries become NaN."""
+    def run(batches):
+        for batch in batches:
+            vectors = batch.column(1)
+            sizes = pa.compute.list_value_length(vectors).to_numpy(zero_copy_only=False)
+            for dim in np.unique(sizes):
+                at = np.flatnonzero(sizes == dim)
+                for k in range(0, len(at), pack):
+                    rows = pa.array(at[k : k + pack])
+                    data = vectors.take(rows).flatten().cast(pa.float64())
+                    keys = batch.column(0).take(rows)
+                    lists = [pa.ListArray.from_arrays(pa.array([0, len(x)], pa.int32()), x) for x in (keys, data)]
+                    yield pa.RecordBatch.from_arrays([pa.array([dim], pa.int32()), *lists], ["dim", "keys", "data"])
 
-def vector_topk_kernel(corpus: DataFrame, queries: DataFrame, k: int = 8, block: int = 4096) -> DataFrame:
-    """The rows of ``vector_topk`` for one block of a stated query set, by matrix products over Arrow batches.
+    told = df.select(key, "vector").where(F.col(key).isNotNull() & F.col("vector").isNotNull() & (F.size("vector") > 0))
+    return told.mapInArrow(run, f"dim int, keys array<{kind}>, data array<double>")
+
+
+class _Best:
+    """The best ``k`` of each query of one packed row, over all packed rows of the corpus that it meets."""
+
+    def __init__(self, keys: np.ndarray, k: int) -> None:
+        self.keys, self.k = keys, k
+        self.ask, self.id, self.score = np.zeros(0, np.int64), keys[:0], np.zeros(0)
+
+    def add(self, ids: np.ndarray, score: np.ndarray) -> None:
+        k = self.k
+        least = np.partition(score, -k, axis=1)[:, -k, None] if score.shape[1] > k else -np.inf
+        ask, at = np.nonzero((score >= least) & (score > -np.inf))
+        both = ids[at] if not len(self.id) else np.concatenate((self.id, ids[at]))
+        self.ask, self.score = np.concatenate((self.ask, ask)), np.concatenate((self.score, score[ask, at]))
+        order = np.lexsort((both, -self.score, self.ask))
+        self.ask, self.id, self.score = self.ask[order], both[order], self.score[order]
+        keep = np.arange(len(self.ask)) - np.searchsorted(self.ask, self.ask) < k
+        self.ask, self.id, self.score = self.ask[keep], self.id[keep], self.score[keep]
 
-    Each batch of the corpus gives the best ``k`` of each query, which are merged by rank.
-    """
-    asked = queries.select("query_id", "vector").where("vector IS NOT NULL").limit(block + 1).toPandas()
-    if len(asked) > block:
-        raise ValueError(f"ask at most {block} queries at once")
-    ids = asked.query_id.to_numpy()
-    matrix = np.stack(asked.vector.map(lambda v: np.asarray(v, np.float64)).to_list()) if len(asked) else np.zeros((0, 1))
-    norms = np.linalg.norm(matrix, axis=1, keepdims=True)
-    shared = corpus.sparkSession.sparkContext.broadcast((ids, matrix / np.where(norms == 0, 1, norms)))
 
+def _unit(data: pa.Array, dim: int) -> np.ndarray:
+    matrix = data.to_numpy(zero_copy_only=False).astype(np.float64).reshape(-1, dim)
+    length = np.linalg.norm(matrix, axis=1, keepdims=True)
+    return matrix / np.where(length == 0, 1, length)
+
+
+def _keys(values: pa.Array) -> np.ndarray:
+    found = values.to_numpy(zero_copy_only=False)
+    return found.astype(str) if found.dtype == object else found
+
+
+def _multiplied(k: int, kinds: tuple[pa.DataType, pa.DataType]):
     def run(batches):
-        ids, q = shared.value
-        for batch in batches if len(ids) else ():
-            rows = batch.column("id").to_numpy(zero_copy_only=False)
-            v = np.stack([np.asarray(x, np.float64) for x in batch.column("vector").to_numpy(zero_copy_only=False)])
-            length = np.linalg.norm(v, axis=1, keepdims=True)
-            score = np.round(q @ (v / np.where(length == 0, 1, length)).T, 9)
-            score[~np.isfinite(score) | (ids[:, None] == rows[None, :])] = -np.inf
-            least = np.partition(score, -k, axis=1)[:, -k, None] if score.shape[1] > k else -np.inf
-            asks, at = np.nonzero((score >= least) & (score > -np.inf))
-            order = np.lexsort((rows[at], -score[asks, at], asks))
-            asks, at = asks[order], at[order]
-            best = np.arange(len(asks)) - np.searchsorted(asks, asks) < k
-            asks, at = asks[best], at[best]
-            yield pa.RecordBatch.from_arrays([pa.array(ids[asks]), pa.array(rows[at]), pa.array(score[asks, at])], ["query_id", "id", "score"])
-
-    kind = corpus.schema["id"].dataType.simpleString()
-    found = corpus.select("id", "vector").where("vector IS NOT NULL").mapInArrow(run, f"query_id {kind}, id {kind}, score double")
+        best: dict[tuple, _Best] = {}
+        for batch in batches:
+            for row in range(batch.num_rows):
+                dim, number = batch.column("dim")[row].as_py(), (batch.column("dim")[row].as_py(), batch.column("number")[row].as_py())
+                asks, ids = _keys(batch.column("asks")[row].values), _keys(batch.column("keys")[row].values)
+                with np.errstate(invalid="ignore", over="ignore"):
+                    score = np.round(_unit(batch.column("asked")[row].values, dim) @ _unit(batch.column("data")[row].values, dim).T, 9)
+                own = asks[:, None] == ids[None, :] if asks.dtype.kind == ids.dtype.kind else asks.astype(str)[:, None] == ids.astype(str)[None, :]
+                score[~np.isfinite(score) | own] = -np.inf
+                if number not in best:
+                    best[number] = _Best(asks, k)
+                    best[number].id = ids[:0]
+                best[number].add(ids, score)
+        for found in best.values():
+            yield pa.RecordBatch.from_arrays([pa.array(found.keys[found.ask].tolist(), kinds[0]), pa.array(found.id.tolist(), kinds[1]), pa.array(found.score)], ["query_id", "id", "score"])
+
+    return run
+
+
+def vector_topk(corpus: DataFrame, queries: DataFrame, k: int = 8, block: int = PACK) -> DataFrame:
+    """``(query_id, rank, id, score)``: exact cosine search of ``corpus(id, vector)`` for ``queries(query_id, vector)``.
+
+    Vectors are packed ``block`` to a row; packed queries are sent to the corpus, in
+    so many rounds that each is of a checked size, and every task keeps the best
+    ``k`` of each query over all its rows. Nothing passes through the driver.
+
+    * a query meets vectors of its own length only, and does not find its own id
+      (ids of different types are compared as text);
+    * null ids, null or empty vectors, and scores that aren't finite are not found;
+    * ties go to the lesser id, after rounding to nine places;
+    * a query id that stands twice is refused, as its ranks would be mixed.
+    """
+    spark = corpus.sparkSession
+    twice = queries.where("query_id IS NOT NULL").groupBy("query_id").count().where("count > 1").select("query_id").head(1)
+    if twice:
+        raise ValueError(f"query_id {twice[0].query_id!r} stands twice")
+    ask_kind, id_kind = queries.schema["query_id"].dataType, corpus.schema["id"].dataType
+    path = shared_path(spark, "queries")
+    number = F.monotonically_increasing_id().alias("number")
+    _packed(queries, "query_id", ask_kind.simpleString(), block).select("dim", number, F.col("keys").alias("asks"), F.col("data").alias("asked")).write.parquet(path)
+    asked = spark.read.parquet(path)
+    rounds = -(-written_bytes(spark, path) // SENT_BYTES)
+    stored = _packed(corpus, "id", id_kind.simpleString(), block)
+    schema = f"query_id {ask_kind.simpleString()}, id {id_kind.simpleString()}, score double"
+    kinds = (to_arrow_type(ask_kind), to_arrow_type(id_kind))
+    parts = [asked.where(F.pmod(F.xxhash64("number"), F.lit(rounds)) == n) if rounds > 1 else asked for n in range(max(1, rounds))]
+    found = reduce(DataFrame.union, [stored.join(p.hint("broadcast"), "dim").mapInArrow(_multiplied(k, kinds), schema) for p in parts])
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "id")).cast("long")
     return found.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", "rank", "id", "score")
+
+
+#: Earlier name of the same search, when queries were asked in blocks.
+vector_topk_kernel = vector_topk

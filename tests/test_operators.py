@@ -8,6 +8,7 @@ import re
 import time
 import zipfile
 
+import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
@@ -256,3 +257,24 @@ def test_index_of_no_documents(spark, tmp_path):
     index = keyword.write_index(none, f"{tmp_path}/none")
     asked = spark.createDataFrame([(1, "any word")], "query_id long, query string")
     assert keyword.bm25_topk(index, asked).count() == 0 and index.doc_stats.count() == 0
+
+
+def test_vectors_of_other_lengths_types_and_repeats(spark):
+    nan = float("nan")
+    corpus = spark.createDataFrame([(1, [1.0, 0.0]), (2, [0.9, 0.1]), (3, [1.0, 0.0, 0.0]), (4, [nan, 1.0]), (5, None), (6, []), (7, [None, 1.0]), (None, [1.0, 0.0]), (8, [0.0, 0.0]), (9, [0.9, 0.1])], "id long, vector array<double>")
+    rows = [("1", [2.0, 0.0]), ("x", [0.0, 0.0, 3.0]), ("y", [1.0, 1.0, 1.0, 1.0]), (None, [1.0, 0.0]), ("z", None)]
+    got = sorted((r.query_id, r.rank, r.id, round(r.score, 3)) for r in vector.vector_topk(corpus, spark.createDataFrame(rows, "query_id string, vector array<float>"), k=3).collect())
+    assert got == [("1", 1, 2, 0.994), ("1", 2, 9, 0.994), ("1", 3, 8, 0.0), ("x", 1, 3, 0.0)]
+    with pytest.raises(ValueError, match="twice"):
+        vector.vector_topk(corpus, spark.createDataFrame([(1, [1.0, 0.0])] * 2, "query_id long, vector array<double>"))
+
+
+def test_vector_search_in_rounds(spark, monkeypatch):
+    """Many small packs and rounds give the rows of one product."""
+    r = random.Random(5)
+    corpus = spark.createDataFrame([(i, [r.randint(-3, 3) + 0.5 for _ in range(6)]) for i in range(400)], "id long, vector array<double>").repartition(3)
+    asked = corpus.where("id % 7 = 0").withColumnRenamed("id", "query_id")
+    want = sorted(map(tuple, vector.vector_topk(corpus, asked, 4).collect()))
+    monkeypatch.setattr(vector, "SENT_BYTES", 2000)
+    assert sorted(map(tuple, vector.vector_topk(corpus, asked, 4, block=5).collect())) == want
+    assert len(want) == 58 * 4
