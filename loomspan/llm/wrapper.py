@@ -6,12 +6,13 @@
    wrapper. Where they differ, a stretch that repeats a group is absorbed by it
    and any other stretch becomes optional. Partial wrappers, made in parallel on
    shares of a host's streams, are merged by the same alignment, level by level.
-3. All distinct pages of the host say what its wrapper's slots hold. The element
-   that holds four fifths of their own text (no links, no asides) is the host's
-   article, whatever its tag. A slot that holds the same text on every page, of
-   three or more, and a repeated group of links are template inside it too.
+3. All distinct pages of the host say what its wrapper's slots hold. The innermost
+   element with four fifths of their own text (no links, no asides) is the host's
+   article, whatever its tag; several article elements are all of them. Slots
+   outside it are content if they hold much text that differs from page to page.
 4. Each page is aligned with its host's wrapper and what stands in the article's
-   slots is read out, without elements that are asides by tag or class.
+   slots is read out, without elements that are asides by tag or class. A page of
+   another layout is read by its own elements.
 """
 
 from __future__ import annotations
@@ -19,6 +20,7 @@ from __future__ import annotations
 import html
 import json
 import re
+from collections import Counter
 from collections.abc import Iterable, Iterator
 from dataclasses import dataclass, field
 from difflib import SequenceMatcher
@@ -51,13 +53,83 @@ NO_HINT = re.compile(r"(?:article|post|entry|story|page|content)[_-]?(?:header|t
 #: Ids are often made from headings, so every part must be such a word or one of layout.
 HINT_ID = re.compile(rf"(?:(?:{_WORD}|social|site|page|main|top|bottom|left|right|inner|outer|list|section|box|bar|buttons?|links?|area|block|wrap(?:per)?|container|form|\d+)(?:[_-]|$))+", re.I)
 
-_TOKEN = re.compile(
-    r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*>?"
-    r"|<(?P<raw>script|style|noscript|iframe|textarea)\b[^>]*>.*?(?:</(?P=raw)\s*>|\Z)"
-    r"|<(?P<drawn>svg|math|template|canvas|object)\b(?:[^>]*/>|[^>]*>(?:.*?</(?P=drawn)\s*>)?)"
-    r"|<(?P<close>/?)(?P<name>[a-z][^\s/>]*)(?P<rest>(?:[^>\"']|\"[^\"]*\"|'[^']*')*+)>"
-    r"|<(?P<close2>/?)(?P<name2>[a-z][^\s/>]*)(?P<rest2>[^>]*)>"
-    r"|(?P<text>[^<]+|<)", re.I | re.S)
+#: Elements whose content is no markup, and those that are drawn.
+_RAW = re.compile(r"(script|style|noscript|iframe|textarea)\b", re.I)
+_DRAWN = re.compile(r"(svg|math|template|canvas|object)\b", re.I)
+_NAME = re.compile(r"(/?)([a-z][^\s/>]*)", re.I)
+_MARK = re.compile("[>\"']")
+
+
+def scan(page: str) -> Iterator[tuple[str, str, str]]:
+    """``(kind, name, rest)`` of a page's parts in order: text, open, close, raw (all of such an element) and nothing (comments).
+
+    A tag ends at the first ``>`` outside quotes or, if quotes are left open, at
+    the first one at all; a ``<`` without any is text. Whatever the page holds, no
+    character is looked at more than a few times.
+    """
+    at, n = 0, len(page)
+    ends: dict[str, re.Pattern] = {}
+    missing: set[str] = set()  # elements that have no end tag from here on
+    failed: set[int] = set()  # quotes from which no tag's end was found
+    last_close = page.rfind(">")
+
+    def tag_end(begin: int) -> int:
+        """Place after the tag's ``>``."""
+        seen, k = [], begin
+        while m := _MARK.search(page, k):
+            if m[0] == ">":
+                return m.end()
+            if m.start() in failed:
+                break
+            seen.append(m.start())
+            k = page.find(m[0], m.end()) + 1
+            if not k:
+                break
+        failed.update(seen)
+        return page.find(">", begin) + 1
+
+    def element_end(name: str, begin: int) -> int:
+        """Place after the end tag of a raw or drawn element; -1 if there is none."""
+        if name in missing:
+            return -1
+        found = ends.setdefault(name, re.compile(f"</{name}\\s*>", re.I)).search(page, begin)
+        if found is None:
+            missing.add(name)
+            return -1
+        return found.end()
+
+    while at < n:
+        begin = page.find("<", at)
+        begin = n if begin < 0 else begin
+        if begin > at:
+            yield "text", "", page[at:begin]
+            at = begin
+            continue
+        if page.startswith("<!--", at) or page.startswith("<![CDATA[", at):
+            end = page.find("-->", at + 4) if page[at + 2] == "-" else page.find("]]>", at + 9)
+            at = n if end < 0 else end + 3
+            yield "nothing", "", ""
+        elif page[at + 1 : at + 2] in ("!", "?"):
+            end = page.find(">", at + 2)
+            at = n if end < 0 else end + 1
+            yield "nothing", "", ""
+        elif last_close < at or not (m := _NAME.match(page, at + 1)):
+            yield "text", "", "<"
+            at += 1
+        elif not m[1] and (raw := _RAW.match(page, at + 1)):
+            end = element_end(raw[1].lower(), page.find(">", raw.end()) + 1)
+            at = n if end < 0 else end
+            yield "raw", "", ""
+        elif not m[1] and (drawn := _DRAWN.match(page, at + 1)):
+            at = page.find(">", drawn.end()) + 1
+            if page[at - 2] != "/":
+                at = max(at, element_end(drawn[1].lower(), at))
+            yield "raw", "", ""
+        else:
+            at = tag_end(m.end())
+            yield "close" if m[1] else "open", m[2].lower(), page[m.end() : at - 1]
+
+
 _HINTED = re.compile(r"\b(class|id|role)\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s>]+)", re.I)
 
 
@@ -102,25 +174,23 @@ def tokens(page: str) -> tuple[list[str], list[Block | None]]:
             symbols.append(SLOT), blocks.append(block)
         block = Block()
 
-    for m in _TOKEN.finditer(page):
-        if (text := m["text"]) is not None:
-            block.pieces.append(text)
-            block.linked += len(text) if link else 0
-            continue
-        name = (m["name"] or m["name2"] or "").lower()
-        if not name:
-            block.pieces.append(" " if m["raw"] or m["drawn"] else "")
+    for kind, name, rest in scan(page):
+        if kind == "text":
+            block.pieces.append(rest)
+            block.linked += len(rest) if link else 0
+        elif not name:
+            block.pieces.append(" " if kind == "raw" else "")
         elif name in INLINE:
             if name == "a":
-                link = not (m["close"] or m["close2"])
+                link = kind == "open"
             if name in ("br", "img", "wbr"):
                 block.pieces.append(" " if name == "br" else "")
         else:
             end_block()
-            if m["close"] or m["close2"]:
+            if kind == "close":
                 symbol = f"/{name}"
             else:
-                aside = name not in MAIN and name not in ("body", "html") and marked(m["rest"] or m["rest2"] or "")
+                aside = name not in MAIN and name not in ("body", "html") and marked(rest)
                 symbol = f"{name}!" if aside else name
             symbols.append(symbol), blocks.append(None)
     end_block()
@@ -219,100 +289,141 @@ def _symbols(node) -> Iterator[str]:
             yield from _symbols(n)
 
 
-def _layouts(nodes: list) -> frozenset[int]:
-    """Serial numbers of the opened elements that hold every article and main element of the page."""
-    stack, held, total = [], {}, 0
-    for serial, s in enumerate(x for n in nodes for x in _symbols(n)):
-        if s == SLOT:
-            continue
-        if s in MAIN:
-            total += 1
-            for _, k in stack:
-                held[k] = held.get(k, 0) + 1
-        _step(stack, s, serial)
-    return frozenset(k for k, n in held.items() if n == total)
-
-
-def _step(stack: list[tuple[str, int]], s: str, serial: int) -> None:
-    """Opens or closes an element."""
-    if s.startswith("/"):
-        for at in range(len(stack) - 1, -1, -1):
-            if stack[at][0].rstrip("!") == s[1:]:
-                del stack[at:]
-                break
-        return
-    name = s.rstrip("!")
-    if name not in IN_HEAD:
-        for at, (x, _) in enumerate(stack):
-            if x.rstrip("!") == "head":  # its end tag may be left out
-                del stack[at:]
-                break
-    if name not in VOID:
-        if name in ("p", "li") and stack and stack[-1][0].rstrip("!") == name:
-            stack.pop()
-        stack.append((s, serial))
+@dataclass
+class _Open:
+    """An open element, with what holds for the text inside it."""
+
+    name: str = ""
+    place: int = -1
+    serial: int = -1
+    hidden: bool = False  # in an aside of the page
+    article: bool = False
+    main: bool = False
+    inside: bool = False  # in a box
+    left_out: bool = False  # in an aside of the box
+    held: float = 0
+    mains: int = 0
 
 
-def _hidden(names: list[str]) -> bool:
-    """Whether one of the open elements is an aside; the header of an article is none."""
-    return any(x.endswith("!") or (x in ASIDE and not (x == "header" and "article" in names[:k])) for k, x in enumerate(names))
+@dataclass
+class Walked:
+    """For each node whether its text is plain, inside a box and in a main element; by serial number of each element what it held; by place what is told of elements that are nodes of their own."""
 
+    plain: list[bool] = field(default_factory=list)
+    inside: list[bool] = field(default_factory=list)
+    main: list[bool] = field(default_factory=list)
+    forms: dict[int, float] = field(default_factory=dict)
+    mains: dict[int, int] = field(default_factory=dict)
+    held: dict[int, float] = field(default_factory=dict)
+    around: dict[int, tuple[bool, bool]] = field(default_factory=dict)  # hidden, in a main element
 
-def content(nodes: list, box: int | None = None, regions: bool = True) -> list[bool]:
-    """Whether the text of each node is content, by the elements open around it.
 
-    ``box`` is the place of the element that is the article: only what stands
-    inside it counts, and elements around it say nothing. Without one the whole
-    page counts, or, with ``regions``, the inside of its article and main
-    elements if it has any; class words on an element that holds all of them say
+def _walk(nodes: list, mass: dict[int, float], boxes: frozenset[int], loose: frozenset[int], layouts: frozenset[int]) -> Walked:
+    """One pass over the nodes with a stack of open elements; what holds for an element is handed down, and what it holds is handed up.
+
+    ``boxes`` are places of elements of which each counts as an article. Elements of
+    the serial numbers ``loose`` are no asides, and class words of ``layouts`` say
     nothing. Unclosed elements end with their parents.
     """
-    symbols = {s for n in nodes for s in _symbols(n)}
-    region = box is None and regions and not MAIN.isdisjoint(symbols)
-    layouts = _layouts(nodes) if region and any(s.endswith("!") for s in symbols) else frozenset()
-    flags, stack, serial, opened = [], [], 0, -1
+    out, stack, open_names, serial = Walked(), [_Open()], Counter(), 0
+
+    def pop() -> None:
+        x = stack.pop()
+        open_names[x.name] -= 1
+        stack[-1].held += x.held
+        stack[-1].mains += x.mains
+        out.mains[x.serial] = x.mains
+        if x.name == "form":
+            out.forms[x.serial] = x.held
+        if x.place >= 0:
+            out.held[x.place] = x.held
+
     for k, n in enumerate(nodes):
-        flag = False
+        plain = inside = main = False
         for s in _symbols(n):
-            if s != SLOT:
-                _step(stack, s, serial)
-                opened = serial if k == box else opened
-            elif box is None:
-                names = [x.rstrip("!") if at in layouts else x for x, at in stack]
-                flag |= (not region or any(x in MAIN for x in names)) and not _hidden(names)
+            if s == SLOT:
+                top = stack[-1]
+                plain, inside, main = plain or not top.hidden, inside or (top.inside and not top.left_out), main or top.main
+            elif s.startswith("/"):
+                while open_names[s[1:]]:
+                    last = stack[-1].name == s[1:]
+                    pop()
+                    if last:
+                        break
             else:
-                around = [at for at, (_, number) in enumerate(stack) if number == opened]
-                flag |= bool(around) and not _hidden(["article", *(x for x, _ in stack[around[0] + 1 :])])
+                name = s.rstrip("!")
+                while name not in IN_HEAD and open_names["head"]:  # its end tag may be left out
+                    pop()
+                if name not in VOID:
+                    if name in ("p", "li") and stack[-1].name == name:
+                        pop()
+                    up = stack[-1]
+                    word = s.endswith("!") and serial not in layouts
+                    aside = (word or (name in ASIDE and not (name == "header" and up.article))) and serial not in loose
+                    here = isinstance(n, str)
+                    box = here and k in boxes
+                    left_out = False if box or not up.inside else up.left_out or ((word or (name in ASIDE and name != "header")) and serial not in loose)
+                    if here:
+                        out.around[k] = (up.hidden or aside, up.main)
+                    stack.append(_Open(name, k if here else -1, serial, up.hidden or aside, up.article or name == "article", up.main or name in MAIN, up.inside or box, left_out, 0, int(name in MAIN)))
+                    open_names[name] += 1
             serial += 1
-        flags.append(flag)
-    return flags
+        if mass.get(k):
+            stack[-1].held += mass[k]
+        out.plain.append(plain), out.inside.append(inside), out.main.append(main)
+    while len(stack) > 1:
+        pop()
+    return out
+
+
+def walk(nodes: list, mass: dict[int, float], boxes: frozenset[int] = frozenset()) -> Walked:
+    """``_walk`` where a form with half of the text is no aside, and class words on elements that hold all main elements say nothing."""
+    symbols = {s for n in nodes for s in _symbols(n)}
+    loose = layouts = frozenset()
+    if "form" in symbols or (not MAIN.isdisjoint(symbols) and any(s.endswith("!") for s in symbols)):
+        first, total = _walk(nodes, mass, frozenset(), loose, layouts), sum(mass.values())
+        loose = frozenset(k for k, held in first.forms.items() if total and 2 * held >= total)
+        every = sum(s in MAIN for n in nodes for s in _symbols(n))
+        layouts = frozenset(k for k, held in first.mains.items() if every and held == every)
+    return _walk(nodes, mass, boxes, loose, layouts)
 
 
-def article_of(nodes: list, mass: dict[int, tuple[int, int]], share: float = 0.8) -> int | None:
-    """Place of the innermost element that holds ``share`` of the text that is neither linked nor in an aside; None if only the page does.
+def content(nodes: list, mass: dict[int, float] | None = None, boxes: frozenset[int] = frozenset(), regions: bool = True) -> list[bool]:
+    """Whether the text of each node is content, by the elements open around it.
 
-    ``mass`` has the characters and linked characters of a wrapper's places, over
-    all pages. Nothing inside an article or main element, nor in a repeated
-    group, is chosen.
+    With ``boxes``, places of elements that are articles, what stands inside one and
+    in no aside there. Without, the whole page or, with ``regions``, the inside of
+    its article and main elements if it has any, but no asides.
+    """
+    found = walk(nodes, mass or {}, boxes)
+    if boxes:
+        return found.inside
+    if regions and any(s in MAIN for n in nodes for s in _symbols(n)):
+        return [p and m for p, m in zip(found.plain, found.main, strict=True)]
+    return found.plain
+
+
+def articles_of(nodes: list, mass: dict[int, tuple[int, int]], share: float = 0.8) -> frozenset[int]:
+    """Places of the elements that are the article; empty if only the page is.
+
+    ``mass`` has the characters and linked characters of places. The article is the
+    innermost element that holds ``share`` of the text that is neither linked nor in
+    an aside; nothing inside an article or main element, nor in a repeated group, is
+    chosen. If it is an article or main element itself, all such count.
     """
     own = {k: chars - linked for k, (chars, linked) in mass.items()}
-    plain = content(nodes, regions=False)
+    plain = walk(nodes, own).plain
     if any(plain[k] and n for k, n in own.items()):
         own = {k: n for k, n in own.items() if plain[k]}
-    total, held, stack, best = sum(own.values()), {}, [], None
-    for k, n in enumerate(nodes):
-        if isinstance(n, str) and n != SLOT:
-            _step(stack, n, k)
-        for at in range(len(stack) if own.get(k) else 0):
-            held[stack[at][1]] = held.get(stack[at][1], 0) + own[k]
-    stack = []
-    for k, n in enumerate(nodes):
-        if isinstance(n, str) and n != SLOT:
-            inside = any(x in MAIN for x, _ in stack)
-            _step(stack, n, k)
-            if not inside and total and n.rstrip("!") in BOXES and held.get(k, 0) >= share * total:
-                best = k
-    return best
+    found, total, best = walk(nodes, own), sum(own.values()), None
+    for k, (_, in_main) in found.around.items():
+        if not in_main and total and nodes[k].rstrip("!") in BOXES and found.held.get(k, 0) >= share * total:
+            best = k
+    if best is None:
+        return frozenset()
+    if nodes[best] in MAIN:
+        return frozenset(k for k, (hidden, in_main) in found.around.items() if nodes[k] in MAIN and not hidden and not in_main)
+    return frozenset((best,))
 
 
 def host(url: Column) -> Column:
@@ -340,43 +451,78 @@ def _infer(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         yield pd.DataFrame({"host": [name], "stream": [dump(wrapper)]})
 
 
+#: Least share of a host's text, and characters a page, that a place outside the article holds if its text is content all the same.
+SIDE, SIDE_CHARS = 0.02, 40
+HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
+
+
 @dataclass(frozen=True)
 class Reader:
-    """A host's wrapper with its groups, the place of its article, whether it has article or main elements, and its groups of links."""
+    """A host's wrapper with its groups, the places of its articles, the places outside that hold much of its text, and its groups of links."""
 
     nodes: list[tuple]
     groups: set
-    box: int | None
-    regions: bool
+    boxes: frozenset[int]
+    large: frozenset[int]
     links: frozenset[int]
 
+    @property
+    def box(self) -> int | None:
+        return min(self.boxes, default=None)
+
 
 @lru_cache(maxsize=256)
 def reader(written: str, mass: tuple[tuple[int, int, int], ...], pages: int = 0, seen: int = 3) -> Reader:
     """``mass`` lists place, characters and linked characters of all slots over the host's ``pages`` distinct pages."""
     wrapper = load(written)
     nodes = [n for n, _ in wrapper]
+    total = sum(chars - linked for _, chars, linked in mass)
+    large = frozenset(k for k, chars, linked in mass if 2 * linked < chars and chars - linked >= max(SIDE * total, SIDE_CHARS * pages))
     links = frozenset(k for k, chars, linked in mass if pages >= seen and isinstance(nodes[k], tuple) and linked >= 0.9 * chars)
-    return Reader(wrapper, _groups(nodes), article_of(nodes, {k: (c, x) for k, c, x in mass}), any(s in MAIN for n in nodes for s in _symbols(n)), links)
+    return Reader(wrapper, _groups(nodes), articles_of(nodes, {k: (c, x) for k, c, x in mass}), large, links)
 
 
-def _read_slots(page: str, known: Reader) -> Iterator[tuple[int | None, bool, Block]]:
-    """``(wrapper place or None, content, block)`` of each block of a page."""
+def _placed(page: str, known: Reader) -> tuple[list[str], list[Block | None], dict[int, int]]:
+    """Symbols and blocks of a page, and the wrapper's place of each symbol that has one."""
     symbols, blocks = tokens(page)
     nodes, covers = absorb(*fold(symbols), known.groups)
-    pairs = [(a, b) for a, b in align(known.nodes, nodes) if b is not None]
-    place = {b: a for a, b in pairs if a is not None}
-    box = next((b for a, b in pairs if a == known.box), None) if known.box is not None else None
-    flags = content(nodes, box, known.regions)
-    single = None
-    for k, cover in enumerate(covers):
-        at = place.get(k)
-        flag = flags[k] and at not in known.links
-        if flag and isinstance(nodes[k], tuple) and single is None:
-            single = content(symbols, None if box is None else covers[box][0], known.regions)
-        for p in cover:
-            if blocks[p] is not None:
-                yield at, flag and (single is None or not isinstance(nodes[k], tuple) or single[p]), blocks[p]
+    return symbols, blocks, {p: a for a, b in align(known.nodes, nodes) if a is not None and b is not None for p in covers[b]}
+
+
+#: How a block stands to the article.
+HEADING, INSIDE, BESIDE = 3, 2, 1
+
+
+def _read_slots(page: str, known: Reader) -> Iterator[tuple[int | None, int, Block]]:
+    """``(wrapper place or None, flag, block)`` of each block: a ``HEADING`` of the article, ``INSIDE`` it, ``BESIDE`` it but perhaps content, or 0.
+
+    A group of links is none of these unless a heading stands before it. A page on
+    which the wrapper's articles hold less than half of the plain text, as one of
+    another layout, is read by its own elements; without a wrapper the whole page is.
+    """
+    symbols, blocks, place = _placed(page, known)
+    texts = {k: b.text() for k, b in enumerate(blocks) if b is not None}
+    mass = {k: (len(t), min(blocks[k].linked, len(t))) for k, t in texts.items()}
+    own = {k: chars - linked for k, (chars, linked) in mass.items()}
+    boxes = frozenset(k for k, a in place.items() if a in known.boxes)
+    found = walk(symbols, own, boxes)
+    plain = sum(n for k, n in own.items() if found.plain[k] or found.inside[k])
+    if known.nodes and (not boxes or 2 * sum(n for k, n in own.items() if found.inside[k]) < plain):
+        boxes = articles_of(symbols, mass)
+        found = walk(symbols, own, boxes)
+    explicit = not boxes or any(symbols[k] in MAIN for k in boxes)
+    inside = content(symbols, own, boxes, regions=bool(known.nodes))
+    group, headed, before = None, False, False
+    for k, text in texts.items():
+        at, flag, heading = place.get(k), 0, k > 0 and symbols[k - 1].rstrip("!") in HEADINGS
+        if at != group:
+            group, headed = at, before
+        before = heading
+        if inside[k]:
+            flag = HEADING if heading else INSIDE if at not in known.links or headed else 0
+        elif not explicit and found.plain[k] and 2 * mass[k][1] < len(text):
+            flag = BESIDE if (at in known.large if at is not None else own[k] >= max(SIDE * plain, SIDE_CHARS)) else 0
+        yield at, flag, blocks[k]
 
 
 def _key(place: int, text: str) -> str:
@@ -391,7 +537,8 @@ def _slots(batches):
     for batch in text_slices(batches, "html"):
         pages, keys, masses = [], [], []
         for page, w in zip(*(batch.column(c).to_pylist() for c in ("html", "wrapper")), strict=True):
-            found = [(at, block.text(), block.linked) for at, _, block in _read_slots(page or "", reader(w, ()))]
+            _, blocks, place = _placed(page or "", reader(w, ()))
+            found = [(place.get(k), block.text(), block.linked) for k, block in enumerate(blocks) if block is not None]
             pages.append(xxhash.xxh3_128_hexdigest("\0".join(text for _, text, _ in found)))
             keys.append(sorted({""} | {_key(at, text) for at, text, _ in found if at is not None and text}))
             mass: dict[int, list[int]] = {}
@@ -411,9 +558,11 @@ def _extract(seen: int):
             for page, wrapper, fixed, mass, n in zip(*(batch.column(c).to_pylist() for c in ("html", "wrapper", "fixed", "mass", "n")), strict=True):
                 fixed = set(fixed or ())
                 known = reader(wrapper, tuple((m["place"], m["chars"], m["linked"]) for m in mass or ()), n or 0, seen)
-                found = [(at, t) for at, flag, block in _read_slots(page or "", known) if flag and (t := block.text())]
-                told = [t for at, t in found if not (fixed and at is not None and _key(at, t) in fixed)]
-                texts.append("\n\n".join(told or [t for _, t in found]))
+                found = [(at, flag, t) for at, flag, block in _read_slots(page or "", known) if flag and (t := block.text())]
+                told = [(flag, t) for at, flag, t in found if flag == HEADING or at is None or _key(at, t) not in fixed]
+                if all(flag == HEADING for flag, _ in told):  # nothing of its own
+                    told = [(flag, t) for _, flag, t in found if flag != BESIDE]
+                texts.append("\n\n".join(t for _, t in told))
             yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("id", "url")), pa.array(texts, pa.string())], ["id", "url", "text"])
     return run
 
@@ -444,7 +593,11 @@ def main_text(pages: DataFrame, id_column: str = "page_id", url_column: str = "u
 
     What a slot holds as one text on every page of a host, of at least ``seen`` that
     differ, and groups of links on such hosts, are template text there and left
-    out, inside articles too. A page that holds nothing else keeps it.
+    out, inside articles too; but headings stay, and so do links under one. A page
+    that holds nothing else keeps it. Outside the article, where no article or main
+    element marks it, a text is kept if it isn't template and its place holds a
+    fiftieth of the host's text, ``SIDE_CHARS`` characters a page, and less than
+    half of it linked.
 
     * null or empty html, and pages without content, give an empty text;
     * a null or odd URL belongs to the empty host;

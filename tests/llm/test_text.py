@@ -317,3 +317,49 @@ def test_pipeline_stages_on_odd_rows(spark):
     assert sorted(kept["minhash_near_dedup"], key=key) == [1, 2, 2, 3]
     assert set(kept["mixing"]) <= {1, 3, None} and all(kept["mixing"].count(k) <= n for k, n in ((1, 4), (3, 2), (None, 2)))
     assert len(kept["sentencepiece"]) == len(rows)
+
+
+def texts_of(spark, pages, url="http://some.example/x"):
+    df = spark.createDataFrame([(k, url, p) for k, p in enumerate(pages)], "page_id long, url string, html string")
+    got = {r.page_id: r.text for r in wrapper.main_text(df).collect()}
+    return [got[k].split("\n\n") for k in range(len(pages))]
+
+
+def own(k, n=4):
+    return "".join(f"<p>Words {k}-{j} of a text that is long and stands on no other page of the host.</p>" for j in range(n))
+
+
+def test_pages_lose_nothing_of_their_article(spark):
+    said = [[f"Words {k}-{j} of a text that is long and stands on no other page of the host." for j in range(4)] for k in range(5)]
+    intro = [f"<body><div><a href=1>Home</a></div><div><p>An intro of page {k} that tells what is to come.</p></div><div><h1>Head {k}</h1>{own(k)}</div></body>" for k in range(5)]
+    assert texts_of(spark, intro) == [[f"An intro of page {k} that tells what is to come.", f"Head {k}", *said[k]] for k in range(5)]
+    two = [f"<body><article>{own(k)}</article><article><p>Second {k}.</p></article></body>" for k in range(5)]
+    assert texts_of(spark, two) == [[*said[k], f"Second {k}."] for k in range(5)]
+    form = [f"<main><form action=x><div>{own(k)}</div></form></main>" for k in range(5)]
+    assert texts_of(spark, form) == said
+    assert texts_of(spark, [f"<main><form><div>{own(0)}</div></form></main><form><p>Mail us</p></form>"]) == said[:1]
+    heads = [f"<body><div><h1>Daily report</h1>{own(k)}<h2>References</h2><ul><li><a href=1>Source {k}</a></li><li><a href=2>Other {k}</a></li></ul></div></body>" for k in range(5)]
+    assert texts_of(spark, heads) == [["Daily report", *said[k], "References", f"Source {k}", f"Other {k}"] for k in range(5)]
+    other = [f"<body><div>{own(k)}</div><p>tail</p></body>" for k in range(4)] + ["<body><table><tr><td>OTHER LAYOUT, with words enough to be a page of its own.</td></tr></table><div><p>tail of it</p></div></body>"]
+    assert texts_of(spark, other) == [*said[:4], ["OTHER LAYOUT, with words enough to be a page of its own.", "tail of it"]]
+
+
+@pytest.mark.parametrize("page", ['<div a="' * 20_000, "<svg a " * 20_000, "a<b " * 50_000, '<a "b>"' * 30_000, "<a x='>" * 30_000, '<a x=">\'' * 30_000 + ">", "<div>" * 20_000 + "x", "<div>" * 6_000 + "x" + "</p>" * 20_000, "<p>" * 20_000 + "</div>" * 20_000, "<svg>" * 30_000, "<!--" * 30_000, "<script>" * 30_000, "<form>" * 5_000 + "x", "<article>" * 5_000 + "x", "<b>" * 50_000, "<head>" * 20_000 + "<div>" * 20_000])
+def test_malformed_pages_take_little_time(page):
+    import time
+
+    began = time.time()
+    symbols, blocks = wrapper.tokens(page)
+    nodes, covers = wrapper.fold(symbols)
+    wrapper.articles_of(nodes, {k: (1, 0) for k in range(len(nodes))})
+    assert [x for x in wrapper._read_slots(page, wrapper.reader("[]", ()))] is not None
+    assert time.time() - began < 6
+
+
+def test_tags_end_outside_quotes():
+    parts = lambda page: [(kind, name or rest) for kind, name, rest in wrapper.scan(page)]
+    assert parts("a<p x='>'>b</p >") == [("text", "a"), ("open", "p"), ("text", "b"), ("close", "p")]
+    assert parts('<p x=">b') == [("open", "p"), ("text", "b")]  # quotes left open
+    assert parts("1 < 2 <b") == [("text", "1 "), ("text", "<"), ("text", " 2 "), ("text", "<"), ("text", "b")]
+    assert parts("<script>a<p></SCRIPT >b<svg><p></svg>c<svg/>d<svg>e") == [("raw", ""), ("text", "b"), ("raw", ""), ("text", "c"), ("raw", ""), ("text", "d"), ("raw", ""), ("text", "e")]
+    assert parts("<!-- a > -->b<!doctype x>c<![CDATA[<p>]]>d<!-- e") == [("nothing", ""), ("text", "b"), ("nothing", ""), ("text", "c"), ("nothing", ""), ("text", "d"), ("nothing", "")]
