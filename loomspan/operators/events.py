@@ -9,6 +9,7 @@ from operator import and_, or_
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..session import sized
 from . import scan
 
 #: Class and severity of a fault, by the first rule of which one alternative holds. An alternative maps the error's type ("kind"), its
@@ -102,21 +103,40 @@ def top_values(df: DataFrame, dims: Sequence[str], k: int = 10) -> DataFrame:
     return counts.withColumn("rank", rank).where(F.col("rank") <= k)
 
 
+def profile(df: DataFrame, dims: Sequence[str], time: str = "ts", k: int = 10) -> DataFrame:
+    """``top_values`` with the first and last time of each value, and a row of dimension ``all`` for the whole table."""
+    when = lambda x: (F.min(x).alias("first"), F.max(x).alias("last"))
+    long = df.select(time, F.explode(F.array(*(F.struct(F.lit(d).alias("dim"), F.col(d).cast("string").alias("value")) for d in dims))).alias("x")).select(time, "x.*")
+    counts = long.groupBy("dim", "value").agg(F.count("*").alias("n"), *when(time))
+    rank = F.row_number().over(Window.partitionBy("dim").orderBy(F.desc("n"), "value")).cast("long")
+    whole = df.agg(F.count("*").alias("n"), *when(time)).select(F.lit("all").alias("dim"), F.lit(None).cast("string").alias("value"), "n", "first", "last", F.lit(1).cast("long").alias("rank"))
+    return counts.withColumn("rank", rank).where(F.col("rank") <= k).unionByName(whole)
+
+
 def cost_by_day(log: DataFrame, budget: float) -> DataFrame:
     """Cost per day and key, and whether the day is over budget."""
     each = log.groupBy(F.to_date("ts").alias("day"), "key").agg(F.sum("cost").alias("c"))
     return each.withColumn("over_budget", F.sum("c").over(Window.partitionBy("day")) > budget).select("day", "key", F.round("c", 4).alias("cost"), "over_budget")
 
 
-def traces(events: DataFrame, faults: DataFrame, seconds: int) -> DataFrame:
+def traces(events: DataFrame, faults: DataFrame, seconds: int, most: int = 50_000) -> DataFrame:
     """``(fault_id, event_id)`` of ``events(event_id, second)`` within ``seconds`` of ``faults(fault_id, fault_second)``.
 
-    Times are cut into buckets of that width; an event is compared with faults
-    of its own and the two neighbouring buckets, so the join is on equality.
+    Times are cut into buckets of that width; an event is compared with faults of
+    its own and the two neighbouring buckets, so the join is on equality. A bucket
+    with more than ``most`` events or faults is split on both sides: each part of
+    its events meets each part of its faults, once.
     """
     near = faults.withColumn("bucket", F.explode(F.transform(F.array(F.lit(-1), F.lit(0), F.lit(1)), lambda d: F.floor(F.col("fault_second") / seconds) + d)))
     dealt = events.withColumn("bucket", F.floor(F.col("second") / seconds))
-    return dealt.join(near.hint("merge"), "bucket").where(F.abs(F.col("second") - F.col("fault_second")) <= seconds).select("fault_id", "event_id")
+    count = lambda df, name: df.groupBy("bucket").agg(F.ceil(F.count("*") / most).cast("int").alias(name))
+    dense = sized(count(dealt, "e").join(count(near, "f").hint("merge"), "bucket").where("e > 1 OR f > 1"), "dense")
+    part = lambda key, n: F.pmod(F.xxhash64(key), F.coalesce(n, F.lit(1))).cast("int")
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.coalesce(n, F.lit(1)) - 1))
+    mine = dealt.join(dense, "bucket", "left").withColumn("i", part("event_id", F.col("e"))).withColumn("j", every(F.col("f")))
+    theirs = near.join(dense, "bucket", "left").withColumn("j", part("fault_id", F.col("f"))).withColumn("i", every(F.col("e")))
+    both = mine.select("event_id", "second", "bucket", "i", "j").join(theirs.select("fault_id", "fault_second", "bucket", "i", "j").hint("merge"), ["bucket", "i", "j"])
+    return both.where(F.abs(F.col("second") - F.col("fault_second")) <= seconds).select("fault_id", "event_id")
 
 
 def rolling_speed(events: DataFrame, key: str, seconds: int = 30) -> DataFrame:

@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.text import base_name, extension
+from ..session import sized
 
 #: Least sizes in bytes by extension, and the archives among them. Fixed values.
 MIN_SIZES = {".pdf": 200, ".docx": 2000, ".pptx": 5000, ".xlsx": 2000, ".eml": 100}
@@ -126,6 +127,31 @@ def split_quarantine(files: DataFrame) -> DataFrame:
     return files.withColumn("disposition", F.when(F.col("reason").isNull(), "accepted").otherwise("quarantined"))
 
 
+def write_quarantine(files: DataFrame, path: str) -> None:
+    """Writes files ``(path, reason, ...)`` into folders by disposition and reason; a folder that gets rows is replaced, others stay."""
+    split_quarantine(files).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("disposition", "reason").parquet(path)
+
+
+def move_quarantined(spark: SparkSession, path: str, reasons: Sequence[str], back: bool = False) -> None:
+    """Accepts all quarantined files of some reasons or, with ``back``, puts those that were accepted so into quarantine again.
+
+    The files keep their reason. Only folders of these reasons are touched: the rows
+    are written beside the table, put in their new folder together with what it
+    holds, one for each path, and then taken from the old one. A call that failed
+    may be repeated; no row is lost in between.
+    """
+    old, new = ("accepted", "quarantined") if back else ("quarantined", "accepted")
+    rows = spark.read.parquet(path).where(F.col("reason").isin(*reasons))
+    rows = rows.dropDuplicates(["path"]).withColumn("disposition", F.lit(new))
+    side = path.rstrip("/") + "__next"
+    rows.write.mode("overwrite").parquet(side)
+    spark.read.parquet(side).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("disposition", "reason").parquet(path)
+    names = spark._jvm.org.apache.spark.sql.catalyst.catalog.ExternalCatalogUtils
+    for reason in reasons:
+        place = spark._jvm.org.apache.hadoop.fs.Path(f"{path}/disposition={old}/reason={names.escapePathName(reason)}")
+        place.getFileSystem(spark._jsc.hadoopConfiguration()).delete(place, True)
+
+
 def consistency(chunks: DataFrame, postings: DataFrame, embeddings: DataFrame, drift: int = 10) -> DataFrame:
     """Counts of chunks without postings, chunks without embedding and embeddings without chunk, each with a status."""
     ids, words, vectors = chunks.select("chunk_id"), postings.select("chunk_id").distinct(), embeddings.select("chunk_id")
@@ -136,4 +162,4 @@ def consistency(chunks: DataFrame, postings: DataFrame, embeddings: DataFrame, d
 
 def route(files: DataFrame, registry: DataFrame) -> DataFrame:
     """Adds ``tier`` from a registry ``(ext, tier)``; unknown extensions are unknown."""
-    return files.join(F.broadcast(registry), extension(F.col("path")) == F.col("ext"), "left").withColumn("tier", F.coalesce("tier", F.lit("unknown"))).drop("ext")  # the registry has one row for each format
+    return files.join(sized(registry, "registry"), extension(F.col("path")) == F.col("ext"), "left").withColumn("tier", F.coalesce("tier", F.lit("unknown"))).drop("ext")

@@ -120,6 +120,28 @@ def reconcile(files: DataFrame, transfers: DataFrame, skips: DataFrame, samples:
     )
 
 
+def failures(transfers: DataFrame, most: int = 20) -> DataFrame:
+    """``(source_path, size, error, failed_total)``: the first failed transfers by path, and how many there are in all."""
+    failed = transfers.where("result = 'failed'")
+    total = failed.agg(F.count("*").alias("failed_total"))
+    return failed.select("source_path", "size", "error").orderBy("source_path").limit(most).crossJoin(F.broadcast(total))  # one row
+
+
+def transfer_outcomes(transfers: DataFrame, skips: DataFrame) -> DataFrame:
+    """``(outcome, n, bytes, bytes_per_second)``: transfers by result, skips by reason, and the run ``all`` with its average speed.
+
+    The speed is the bytes of successful transfers over the seconds from the
+    first transfer's ``ts`` to the last one's, at least 0.1.
+    """
+    none = F.lit(None).cast("double").alias("bytes_per_second")
+    sent = transfers.groupBy(F.col("result").alias("outcome")).agg(F.count("*").alias("n"), F.sum("size").alias("bytes")).select("*", none)
+    left = skips.groupBy(F.concat(F.lit("skipped: "), F.coalesce("reason", F.lit("unknown"))).alias("outcome")).agg(F.count("*").alias("n"), F.sum("size").alias("bytes")).select("*", none)
+    good = F.coalesce(F.sum(F.when(F.col("result") == "success", F.col("size"))), F.lit(0))
+    speed = good / F.greatest((F.max("ts") - F.min("ts")).cast("double"), F.lit(0.1))
+    whole = transfers.agg(F.lit("all").alias("outcome"), F.count("*").alias("n"), good.alias("bytes"), F.round(F.coalesce(speed, F.lit(0.0)), 6).alias("bytes_per_second"))
+    return sent.union(left).union(whole)
+
+
 def upsert(old: DataFrame, new: DataFrame, keys: Sequence[str], order: str = "ts") -> DataFrame:
     """Rows of both; for a key the row with the latest ``order`` wins, nulls in it filled from the other."""
     value = [c for c in old.columns if c not in keys]

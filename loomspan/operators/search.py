@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Mapping
+from functools import reduce
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, Window
@@ -119,6 +120,17 @@ def answer_batch(df: DataFrame, responder: Callable[[DataFrame], DataFrame] | No
     return responder(df) if responder else df.withColumn("answer", best_sentence(F.col("query"), F.col("top_text")))
 
 
+def answer_by_mode(df: DataFrame, backends: Mapping[str, Callable[[DataFrame], DataFrame]], mode: str = "mode") -> DataFrame:
+    """Adds ``answer`` by the backend that each row's mode names; a mode without one, and a null mode, have no answer.
+
+    A backend takes its rows and adds ``answer``; it never sees those of another mode.
+    """
+    known = F.coalesce(F.col(mode).isin(*backends), F.lit(False))
+    parts = [df.where(~known).withColumn("answer", F.lit(None).cast("string"))] if backends else [df.withColumn("answer", F.lit(None).cast("string"))]
+    parts += [backend(df.where(F.col(mode) == name)).select(*df.columns, "answer") for name, backend in backends.items()]
+    return reduce(DataFrame.union, parts)
+
+
 def cost(tokens_in: Column, tokens_out: Column, mode: Column, rate_in: float = 0.0015, rate_out: float = 0.002) -> Column:
     """Price of a response by tokens per thousand; nothing offline."""
     return F.when(mode == "offline", F.lit(0.0)).otherwise(tokens_in / 1000 * F.lit(rate_in) + tokens_out / 1000 * F.lit(rate_out))

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..operators import ingest, manifest
+from ..session import shared_path
 from .retrieval import table
 
 QUERIES: dict = {}
@@ -136,6 +137,22 @@ def a8(spark, sf_dir):
     return _files(spark, sf_dir).groupBy(extension(F.col("path")).alias("ext")).agg(F.count("*").alias("files"), F.sum("size").alias("bytes")).orderBy(F.desc("files"), "ext").limit(15)
 
 
+@query("A6_failures", f"WITH {SNAPSHOTS} SELECT source_path, size, 'HTTP ' || (500 + ts % 4) AS error, (SELECT count(*) FROM transfers WHERE result = 'failed') AS failed_total FROM transfers WHERE result = 'failed' ORDER BY source_path LIMIT 20")
+def a6_failures(spark, sf_dir):
+    """The report's failed transfers, at most twenty, and their number."""
+    transfers = snapshots(spark, sf_dir)[2].withColumn("error", F.concat(F.lit("HTTP "), 500 + F.col("ts") % 4))
+    return manifest.failures(transfers)
+
+
+@query("A8_outcomes", f"""WITH {SNAPSHOTS} SELECT result AS outcome, count(*) AS n, sum(size)::BIGINT AS bytes, NULL::DOUBLE AS bytes_per_second FROM transfers GROUP BY result
+UNION ALL SELECT 'skipped: ' || reason, count(*), sum(size)::BIGINT, NULL FROM skips GROUP BY reason
+UNION ALL SELECT 'all', count(*), sum(size) FILTER (result = 'success')::BIGINT, round(sum(size) FILTER (result = 'success') / greatest((max(ts) - min(ts))::DOUBLE, 0.1), 6) FROM transfers""")
+def a8_outcomes(spark, sf_dir):
+    """Outcomes of a run, and its average speed."""
+    _, _, transfers, skips = snapshots(spark, sf_dir)
+    return manifest.transfer_outcomes(transfers, skips)
+
+
 @query("S1_discovery", f"WITH f AS ({_FILES}) SELECT doc_id FROM f WHERE (path LIKE '%.txt' OR path LIKE '%.MD') AND split_part(path, '/', 1) NOT IN ('src3', 'src7')")
 def s1(spark, sf_dir):
     """Files with listed extensions outside excluded directories (U4)."""
@@ -232,3 +249,15 @@ def e2(spark, sf_dir):
     """Documents without an embedding."""
     from ..operators.vector import missing_embeddings
     return missing_embeddings(table(spark, sf_dir, "documents").select("doc_id", "text"), table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("doc_id")), "doc_id", "text").select("doc_id")
+
+
+@query("S12_restored", f"""WITH {_BINARY}, r AS (SELECT path, {_RULES} AS reason FROM bin)
+SELECT path, reason, CASE WHEN reason IS NULL OR reason IN ('empty file', 'truncated PDF') THEN 'accepted' ELSE 'quarantined' END AS disposition FROM r""")
+def s12_restored(spark, sf_dir):
+    """Files in a written quarantine, some accepted by reason, some of these put back, and one reason accepted twice."""
+    root = shared_path(spark, "quarantine")
+    ingest.write_quarantine(ingest.preflight(_binary(spark, sf_dir)).select("path", "length", "reason"), f"{root}/files")
+    ingest.move_quarantined(spark, f"{root}/files", ["empty file", "no PDF header", "truncated PDF"])
+    ingest.move_quarantined(spark, f"{root}/files", ["no PDF header"], back=True)
+    ingest.move_quarantined(spark, f"{root}/files", ["empty file"])
+    return spark.read.parquet(f"{root}/files").select("path", "reason", "disposition")

@@ -113,6 +113,13 @@ def a14(spark, sf_dir):
     return ev.top_values(events(spark, sf_dir), ["event_type", "user_id"])
 
 
+@query("A14_profile_times", """WITH l AS (SELECT 'event_type' AS dim, event_type AS value, ts FROM events UNION ALL SELECT 'user_id', user_id::VARCHAR, ts FROM events), c AS (SELECT dim, value, count(*) AS n, min(ts) AS first, max(ts) AS last FROM l GROUP BY ALL)
+SELECT dim, value, n, first, last, rank FROM (SELECT *, row_number() OVER (PARTITION BY dim ORDER BY n DESC, value) AS rank FROM c) WHERE rank <= 10 UNION ALL SELECT 'all', NULL, count(*), min(ts), max(ts), 1 FROM events""")
+def a14_times(spark, sf_dir):
+    """The most common values with their first and last time, and the whole table's."""
+    return ev.profile(table(spark, sf_dir, "events"), ["event_type", "user_id"])
+
+
 @query("A16_status_counts", "SELECT count(*) FILTER (event_type = 'click') AS click, count(*) FILTER (event_type = 'error') AS error, count(*) FILTER (event_type = 'purchase') AS purchase, count(*) FILTER (event_type = 'signup') AS signup, count(*) FILTER (event_type = 'view') AS view FROM events")
 def a16(spark, sf_dir):
     """Events by status, pivoted."""

@@ -69,7 +69,7 @@ def j3(spark, sf_dir):
 def j1(spark, sf_dir):
     """Texts fetched for the winners only."""
     from .answers import hits
-    return hits(spark, sf_dir).join(table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), "text"), "id").select("query_id", "rank", "id", F.sha2("text", 256).alias("text_sha256"))
+    return hits(spark, sf_dir).join(table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), "text").hint("merge"), "id").select("query_id", "rank", "id", F.sha2("text", 256).alias("text_sha256"))
 
 
 @query("P10_min_score", f"WITH {HYBRID} SELECT query_id, count(*) AS hits FROM hits WHERE score >= 0.5 GROUP BY query_id")

@@ -127,6 +127,18 @@ def x4(spark, sf_dir):
     return search.outcome(search.answer_batch(t, backend)).select("conv_id", "turn", "answer", "error")
 
 
+@query("T9_by_mode", """WITH t AS (SELECT conv_id, turn, text AS query, CASE conv_id % 4 WHEN 0 THEN 'offline' WHEN 1 THEN 'online' WHEN 2 THEN 'strange' END AS mode FROM conversations WHERE role = 'user')
+SELECT conv_id, turn, mode, CASE mode WHEN 'offline' THEN 'local: ' || length(query) WHEN 'online' THEN 'remote: ' || left(query, 10) END AS answer FROM t""")
+def t9_mode(spark, sf_dir):
+    """Answers by the backend of each row's mode; other modes fail closed."""
+    i = F.col("conv_id") % 4
+    mode = F.when(i == 0, "offline").when(i == 1, "online").when(i == 2, "strange")
+    t = table(spark, sf_dir, "conversations").where("role = 'user'").select("conv_id", "turn", F.col("text").alias("query"), mode.alias("mode"))
+    local = lambda df: df.withColumn("answer", F.concat(F.lit("local: "), F.char_length("query")))
+    remote = lambda df: df.withColumn("answer", F.concat(F.lit("remote: "), F.left("query", F.lit(10))))
+    return search.answer_by_mode(t, {"offline": local, "online": remote}).select("conv_id", "turn", "mode", "answer")
+
+
 @query("X5_one_to_many", "SELECT doc_id, row_number() OVER (PARTITION BY doc_id ORDER BY k) - 1 AS nth, sha256(line) AS line_sha256 FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS k FROM documents)")
 def x5(spark, sf_dir):
     """Each document's lines by a table function joined laterally."""

@@ -8,7 +8,7 @@ import tempfile
 import uuid
 from pathlib import Path
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 ROOT = str(Path(__file__).resolve().parent.parent)
 
@@ -50,6 +50,13 @@ def written_bytes(spark: SparkSession, path: str) -> int:
     return place.getFileSystem(spark._jsc.hadoopConfiguration()).getContentSummary(place).getLength()
 
 
+def sized(df: DataFrame, name: str, limit: int = 32 << 20) -> DataFrame:
+    """``df`` written to the shared folder and read back, with the join hint its size allows: broadcast up to ``limit`` bytes, else merge."""
+    path = shared_path(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path).hint("broadcast" if written_bytes(df.sparkSession, path) <= limit else "merge")
+
+
 def local_session(name: str = "loomspan", cpus: int = 8, partitions: int = 8, memory: str = "8g") -> SparkSession:
     """A local session with UTC times and adaptive execution, for tests and the bench."""
     spark = (

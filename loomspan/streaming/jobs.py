@@ -15,6 +15,7 @@ from pyspark.sql.streaming.state import GroupState
 from ..operators.chunking import chunks
 from ..operators.events import LEAST_RATE, LEAST_SECONDS, classify_fault
 from ..operators.ingest import new_chunks
+from ..session import sized
 
 LATE = "10 minutes"
 
@@ -209,16 +210,20 @@ def ema_rate(stream: DataFrame, total: float = 0.0, alpha: float = 0.25, idle: s
 def faults(stream: DataFrame, playbook: DataFrame) -> DataFrame:
     """Error events classified and joined with a static playbook ``(error_class, advice)``."""
     found = stream.where("event_type = 'error'").withColumn("f", classify_fault(F.col("event_type"), F.col("props"))).select("event_id", "ts", "f.*")
-    return found.join(F.broadcast(playbook), "error_class", "left")  # at most one row for each class of fault
+    return found.join(sized(playbook, "playbook"), "error_class", "left")
 
 
-def traced(events: DataFrame, found: DataFrame, seconds: int = 60, late: str = LATE) -> DataFrame:
-    """Events within ``seconds`` of a fault, both streams watermarked."""
+def traced(events: DataFrame, found: DataFrame, seconds: int = 60, late: str = LATE, splits: int = 4) -> DataFrame:
+    """Events within ``seconds`` of a fault, both streams watermarked.
+
+    A bucket's events are dealt to ``splits`` keys, all of which each fault gets, so a burst of events is several tasks' work.
+    """
     bucket = F.floor(F.unix_seconds("ts") / seconds)
-    e = events.withWatermark("ts", late).select("event_id", F.col("ts").alias("event_ts"), bucket.alias("bucket"))
+    e = events.withWatermark("ts", late).select("event_id", F.col("ts").alias("event_ts"), bucket.alias("bucket"), F.pmod(F.xxhash64("event_id"), F.lit(splits)).cast("int").alias("split"))
     f = found.withWatermark("ts", late).select(F.col("event_id").alias("fault_id"), F.col("ts").alias("fault_ts"), F.explode(F.array(bucket - 1, bucket, bucket + 1)).alias("bucket"))
+    f = f.withColumn("split", F.explode(F.array(*(F.lit(k) for k in range(splits)))))
     near = F.expr(f"event_ts BETWEEN fault_ts - INTERVAL {seconds} SECONDS AND fault_ts + INTERVAL {seconds} SECONDS")
-    return e.join(f, "bucket").where(near).select("fault_id", "event_id")
+    return e.join(f.hint("merge"), ["bucket", "split"]).where(near).select("fault_id", "event_id")
 
 
 def observed(df: DataFrame, name: str, **metrics: Column) -> tuple[DataFrame, Observation]:
