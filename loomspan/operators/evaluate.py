@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -50,6 +52,35 @@ def rank_percentiles(df: DataFrame, key: str, value: str, ranks: dict[str, float
     return counts.groupBy(key).agg(*(F.min(F.when(F.col("__upto") > F.bround(F.lit(p) * (F.col("__all") - 1)), F.col(value))).alias(name) for name, p in ranks.items()))
 
 
+#: Entries of a quantile sketch, and the error of a rank (as a share of all values) that about 99 of 100 of its answers keep to.
+SKETCH_K, RANK_ERROR = 200, 0.0165
+
+
+def quantile_sketches(df: DataFrame, keys: Sequence[str], value: str, k: int = SKETCH_K) -> DataFrame:
+    """``(keys, n, sketch)``: mergeable sketches of a value, of a few kilobytes each however many values there are; nulls don't count.
+
+    Sketches of hours, batches or tasks are kept and merged by any coarser key
+    (``sketched_ranks``), where exact ranks need all values again.
+    """
+    told = df.where(F.col(value).isNotNull())
+    return told.groupBy(*keys).agg(F.count("*").alias("n"), F.kll_sketch_agg_double(F.col(value).cast("double"), F.lit(k)).alias("sketch"))
+
+
+def sketched_ranks(sketches: DataFrame, keys: Sequence[str], ranks: dict[str, float]) -> DataFrame:
+    """Per ``keys`` the number of values and about the values at the given ranks, within ``RANK_ERROR``, from sketches of finer keys."""
+    merged = sketches.groupBy(*keys).agg(F.sum("n").alias("n"), F.kll_merge_agg_double("sketch").alias("sketch"))
+    return merged.select(*keys, "n", *(F.kll_sketch_get_quantile_double("sketch", F.lit(p)).alias(name) for name, p in ranks.items()))
+
+
+def rank_errors(df: DataFrame, key: str, value: str, found: DataFrame, ranks: dict[str, float]) -> DataFrame:
+    """``(key, name, error)``: how far the values of ``found`` are from the ranks that they stand for; 0 where the rank lies among equal values."""
+    long = found.select(key, F.explode(F.array(*(F.struct(F.lit(name).alias("name"), F.lit(p).alias("p"), F.col(name).alias("at")) for name, p in ranks.items()))).alias("x")).select(key, "x.*")
+    v = F.col(value).cast("double")
+    both = df.where(F.col(value).isNotNull()).select(key, v.alias("v")).join(long.hint("merge"), key)
+    share = both.groupBy(key, "name", "p").agg((F.count_if(F.col("v") < F.col("at")) / F.count("*")).alias("low"), (F.count_if(F.col("v") <= F.col("at")) / F.count("*")).alias("high"))
+    return share.select(key, "name", F.greatest(F.col("low") - F.col("p"), F.col("p") - F.col("high"), F.lit(0.0)).alias("error"))
+
+
 def summary(scored: DataFrame) -> DataFrame:
     """Pass rate, errors and latency ranks, overall (type null) and by type."""
     sets = scored.withColumn("t", F.explode(F.array(F.lit(None).cast("string"), F.col("type"))))

@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from ..operators import evaluate
+from ..session import sized
 from ..sources import files
 from ..streaming import jobs
 from .operations import fault_case
@@ -207,3 +209,15 @@ def s11(spark, sf_dir):
     files.write_records(jobs.event_stream(spark, f"{root}/in").select("event_id", "event_type"), f"{root}/stream", f"{root}/checkpoint")
     read = lambda name: spark.read.schema("event_id long, event_type string").json(f"{root}/{name}").select(F.lit(name).alias("sink"), "event_id", "event_type")
     return read("batch").union(read("stream"))
+
+
+@query("A13_sketched_ranks", "SELECT event_type, name, count(*) AS n, true AS within FROM events, (VALUES ('p50'), ('p95')) r(name) WHERE value IS NOT NULL GROUP BY ALL")
+def a13_sketches(spark, sf_dir):
+    """Ranks of the value per type from a stream's sketches, and whether their measured error is within twice the stated one."""
+    root, ranks = shared_path(spark, "sketches"), {"p50": 0.5, "p95": 0.95}
+    for _ in _fed(spark, sf_dir, root):
+        jobs.keep_sketches(jobs.event_stream(spark, f"{root}/in", files_per_batch=1 << 30), f"{root}/out", f"{root}/checkpoint", ["event_type"], "value")
+    found = evaluate.sketched_ranks(spark.read.parquet(f"{root}/out"), ["event_type"], ranks)
+    found = sized(found, "ranks")
+    errors = evaluate.rank_errors(table(spark, sf_dir, "events"), "event_type", "value", found, ranks)
+    return errors.join(found.select("event_type", "n").hint("merge"), "event_type").select("event_type", "name", "n", (F.col("error") <= 2 * evaluate.RANK_ERROR).alias("within"))

@@ -13,6 +13,7 @@ from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle, St
 from pyspark.sql.streaming.state import GroupState
 
 from ..operators.chunking import chunks
+from ..operators.evaluate import quantile_sketches
 from ..operators.events import LEAST_RATE, LEAST_SECONDS, classify_fault
 from ..operators.ingest import new_chunks
 from ..session import sized
@@ -261,6 +262,14 @@ def late_rows(query) -> int:
     return sum(int(s.get("numRowsDroppedByWatermark", 0)) for p in query.recentProgress for s in p["stateOperators"])
 
 
+def keep_sketches(stream: DataFrame, path: str, checkpoint: str, keys: list[str], value: str):
+    """Writes each batch's quantile sketches to a folder of its own, so a batch that is run again replaces them; returns the finished query."""
+    def keep(batch: DataFrame, n: int) -> None:
+        quantile_sketches(batch, keys, value).write.mode("overwrite").parquet(f"{path}/batch={n}")
+
+    return drain(stream, "", checkpoint, sink=keep)
+
+
 def drain(df: DataFrame, name: str, checkpoint: str, mode: str = "append", sink: Callable[[DataFrame, int], None] | None = None):
     """Runs a stream over all that is there; returns the finished query. Rows are in the memory table ``name`` or went to ``sink``."""
     writer = df.writeStream.outputMode(mode).option("checkpointLocation", checkpoint).trigger(availableNow=True)

@@ -7,7 +7,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from loomspan.operators import events, ingest, manifest, scan, search
+from loomspan.operators import evaluate, events, ingest, manifest, scan, search
 from loomspan.streaming import jobs
 
 
@@ -158,3 +158,15 @@ def test_answers_by_mode(spark):
     got = {r.k: r.answer for r in search.answer_by_mode(df, {"a": lambda x: x.withColumn("answer", F.lit("A")), "b": lambda x: x.withColumn("answer", F.lit("B"))}).collect()}
     assert got == {1: "A", 2: "B", 3: None, 4: None}
     assert search.answer_by_mode(df, {}).where("answer IS NULL").count() == 4
+
+
+def test_sketches_merge_within_their_error(spark):
+    r = random.Random(7)
+    rows = [(r.choice("ab"), k % 40, r.choice([r.gauss(0, 1), r.paretovariate(1), 0.0, None])) for k in range(40_000)]
+    df = spark.createDataFrame(rows, "key string, hour int, value double").repartition(6)
+    ranks = {"p01": 0.01, "p50": 0.5, "p95": 0.95}
+    found = evaluate.sketched_ranks(evaluate.quantile_sketches(df, ["key", "hour"], "value"), ["key"], ranks)
+    assert {x.key: x.n for x in found.collect()} == {k: sum(a == k and v is not None for a, _, v in rows) for k in "ab"}
+    errors = evaluate.rank_errors(df, "key", "value", found, ranks).collect()
+    assert len(errors) == 6 and max(x.error for x in errors) <= 2 * evaluate.RANK_ERROR
+    assert evaluate.sketched_ranks(evaluate.quantile_sketches(df.limit(0), ["key"], "value"), ["key"], ranks).count() == 0
