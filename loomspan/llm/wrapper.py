@@ -58,6 +58,8 @@ _RAW = re.compile(r"(script|style|noscript|iframe|textarea)\b", re.I)
 _DRAWN = re.compile(r"(svg|math|template|canvas|object)\b", re.I)
 _NAME = re.compile(r"(/?)([a-z][^\s/>]*)", re.I)
 _MARK = re.compile("[>\"']")
+#: Text, or a tag without angle brackets inside; what it can't take is looked at closely.
+_PLAIN = re.compile(r"([^<]+)|<(?!(?:script|style|noscript|iframe|textarea|svg|math|template|canvas|object)\b)(/?)([a-z][^\s/<>]*)((?:[^<>\"']|\"[^\"<>]*\"|'[^'<>]*')*+)>", re.I)
 
 
 def scan(page: str) -> Iterator[tuple[str, str, str]]:
@@ -99,6 +101,15 @@ def scan(page: str) -> Iterator[tuple[str, str, str]]:
         return found.end()
 
     while at < n:
+        while m := _PLAIN.match(page, at):
+            at = m.end()
+            text, close, name, rest = m.groups()
+            if text is not None:
+                yield "text", "", text
+            else:
+                yield "close" if close else "open", name.lower(), rest
+        if at >= n:
+            break
         begin = page.find("<", at)
         begin = n if begin < 0 else begin
         if begin > at:
@@ -153,9 +164,12 @@ class Block:
 
     pieces: list[str] = field(default_factory=list)
     linked: int = 0  # characters inside links
+    known: str | None = None
 
     def text(self) -> str:
-        return " ".join(html.unescape("".join(self.pieces)).split())
+        if self.known is None:
+            self.known = " ".join(html.unescape("".join(self.pieces)).split())
+        return self.known
 
 
 def tokens(page: str) -> tuple[list[str], list[Block | None]]:
@@ -201,10 +215,11 @@ def fold(symbols: list) -> tuple[list, list[list[int]]]:
     """Folds runs of equal groups into ``("+", group)``; gives for each node the places it covers."""
     nodes, covers = list(symbols), [[k] for k in range(len(symbols))]
     for size in range(1, GROUP + 1):
-        out, cover, k = [], [], 0
-        while k < len(nodes):
-            group, runs = tuple(nodes[k : k + size]), 1
-            if len(group) == size and (size > 1 or not isinstance(group[0], tuple)):
+        out, cover, k, n = [], [], 0, len(nodes)
+        while k < n:
+            runs = 1
+            if k + size < n and nodes[k] == nodes[k + size] and (size > 1 or not isinstance(nodes[k], tuple)):
+                group = tuple(nodes[k : k + size])
                 while tuple(nodes[k + runs * size : k + (runs + 1) * size]) == group:
                     runs += 1
             if runs > 1:
@@ -289,7 +304,7 @@ def _symbols(node) -> Iterator[str]:
             yield from _symbols(n)
 
 
-@dataclass
+@dataclass(slots=True)
 class _Open:
     """An open element, with what holds for the text inside it."""
 
@@ -316,6 +331,8 @@ class Walked:
     mains: dict[int, int] = field(default_factory=dict)
     held: dict[int, float] = field(default_factory=dict)
     around: dict[int, tuple[bool, bool]] = field(default_factory=dict)  # hidden, in a main element
+    marked: list[int] = field(default_factory=list)  # by class words
+    every: int = 0  # main elements
 
 
 def _walk(nodes: list, mass: dict[int, float], boxes: frozenset[int], loose: frozenset[int], layouts: frozenset[int]) -> Walked:
@@ -340,7 +357,7 @@ def _walk(nodes: list, mass: dict[int, float], boxes: frozenset[int], loose: fro
 
     for k, n in enumerate(nodes):
         plain = inside = main = False
-        for s in _symbols(n):
+        for s in (n,) if isinstance(n, str) else _symbols(n):
             if s == SLOT:
                 top = stack[-1]
                 plain, inside, main = plain or not top.hidden, inside or (top.inside and not top.left_out), main or top.main
@@ -358,7 +375,10 @@ def _walk(nodes: list, mass: dict[int, float], boxes: frozenset[int], loose: fro
                     if name in ("p", "li") and stack[-1].name == name:
                         pop()
                     up = stack[-1]
-                    word = s.endswith("!") and serial not in layouts
+                    word = s[-1] == "!" and serial not in layouts
+                    if word:
+                        out.marked.append(serial)
+                    out.every += name in MAIN
                     aside = (word or (name in ASIDE and not (name == "header" and up.article))) and serial not in loose
                     here = isinstance(n, str)
                     box = here and k in boxes
@@ -377,30 +397,11 @@ def _walk(nodes: list, mass: dict[int, float], boxes: frozenset[int], loose: fro
 
 
 def walk(nodes: list, mass: dict[int, float], boxes: frozenset[int] = frozenset()) -> Walked:
-    """``_walk`` where a form with half of the text is no aside, and class words on elements that hold all main elements say nothing."""
-    symbols = {s for n in nodes for s in _symbols(n)}
-    loose = layouts = frozenset()
-    if "form" in symbols or (not MAIN.isdisjoint(symbols) and any(s.endswith("!") for s in symbols)):
-        first, total = _walk(nodes, mass, frozenset(), loose, layouts), sum(mass.values())
-        loose = frozenset(k for k, held in first.forms.items() if total and 2 * held >= total)
-        every = sum(s in MAIN for n in nodes for s in _symbols(n))
-        layouts = frozenset(k for k, held in first.mains.items() if every and held == every)
-    return _walk(nodes, mass, boxes, loose, layouts)
-
-
-def content(nodes: list, mass: dict[int, float] | None = None, boxes: frozenset[int] = frozenset(), regions: bool = True) -> list[bool]:
-    """Whether the text of each node is content, by the elements open around it.
-
-    With ``boxes``, places of elements that are articles, what stands inside one and
-    in no aside there. Without, the whole page or, with ``regions``, the inside of
-    its article and main elements if it has any, but no asides.
-    """
-    found = walk(nodes, mass or {}, boxes)
-    if boxes:
-        return found.inside
-    if regions and any(s in MAIN for n in nodes for s in _symbols(n)):
-        return [p and m for p, m in zip(found.plain, found.main, strict=True)]
-    return found.plain
+    """``_walk``, where a form with half of the text is no aside, and class words on an element that holds all main elements say nothing."""
+    found, total = _walk(nodes, mass, boxes, frozenset(), frozenset()), sum(mass.values())
+    loose = frozenset(k for k, held in found.forms.items() if total and 2 * held >= total)
+    layouts = frozenset(k for k in found.marked if found.every and found.mains[k] == found.every)
+    return _walk(nodes, mass, boxes, loose, layouts) if loose or layouts else found
 
 
 def articles_of(nodes: list, mass: dict[int, tuple[int, int]], share: float = 0.8) -> frozenset[int]:
@@ -412,10 +413,11 @@ def articles_of(nodes: list, mass: dict[int, tuple[int, int]], share: float = 0.
     chosen. If it is an article or main element itself, all such count.
     """
     own = {k: chars - linked for k, (chars, linked) in mass.items()}
-    plain = walk(nodes, own).plain
-    if any(plain[k] and n for k, n in own.items()):
-        own = {k: n for k, n in own.items() if plain[k]}
-    found, total, best = walk(nodes, own), sum(own.values()), None
+    found = walk(nodes, own)
+    shown = {k: n for k, n in own.items() if found.plain[k]}
+    if any(shown.values()) and len(shown) < len(own):
+        found, own = walk(nodes, shown), shown
+    total, best = sum(own.values()), None
     for k, (_, in_main) in found.around.items():
         if not in_main and total and nodes[k].rstrip("!") in BOXES and found.held.get(k, 0) >= share * total:
             best = k
@@ -511,7 +513,8 @@ def _read_slots(page: str, known: Reader) -> Iterator[tuple[int | None, int, Blo
         boxes = articles_of(symbols, mass)
         found = walk(symbols, own, boxes)
     explicit = not boxes or any(symbols[k] in MAIN for k in boxes)
-    inside = content(symbols, own, boxes, regions=bool(known.nodes))
+    regions = known.nodes and not MAIN.isdisjoint(symbols)
+    inside = found.inside if boxes else [p and (m or not regions) for p, m in zip(found.plain, found.main, strict=True)]
     group, headed, before = None, False, False
     for k, text in texts.items():
         at, flag, heading = place.get(k), 0, k > 0 and symbols[k - 1].rstrip("!") in HEADINGS
