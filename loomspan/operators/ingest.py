@@ -7,6 +7,7 @@ import zipfile
 from collections.abc import Sequence
 
 import pandas as pd
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -96,6 +97,29 @@ def new_chunks(new: DataFrame, table: DataFrame) -> DataFrame:
     return new.dropDuplicates(["chunk_id"]).join(table.select("chunk_id").hint("merge"), "chunk_id", "left_anti")
 
 
+def append_chunks(new: DataFrame, path: str, sources: DataFrame | None = None, buckets: int = 256) -> None:
+    """Appends the rows of ``new(chunk_id, source_path, ...)`` whose chunk id the table at ``path`` lacks, each id once.
+
+    The table lies in folders by a hash of the source. A chunk's id follows from
+    its source, so only the folders of the new rows' sources are read, and of these
+    the ids. ``sources(source_path)`` may name them where that takes less than
+    making ``new``. A call that is repeated appends nothing.
+    """
+    spark = new.sparkSession
+    bucket = F.pmod(F.xxhash64("source_path"), F.lit(buckets)).cast("int")
+    hit = sorted(r.bucket for r in (new if sources is None else sources).select(bucket.alias("bucket")).distinct().collect())  # at most ``buckets``
+    if not hit:
+        return
+    fresh = new.dropDuplicates(["chunk_id"]).withColumn("bucket", bucket)
+    try:
+        stored = spark.read.parquet(path).where(F.col("bucket").isin(hit))
+        fresh = fresh.join(stored.select("chunk_id").hint("merge"), "chunk_id", "left_anti").select(fresh.columns)
+    except AnalysisException as e:
+        if "PATH_NOT_FOUND" not in str(e):
+            raise
+    fresh.repartition("bucket").write.mode("append").partitionBy("bucket").parquet(path)
+
+
 def replace_sources(table: DataFrame, new: DataFrame) -> DataFrame:
     """The table with all chunks of the sources in ``new`` replaced."""
     return table.join(new.select("source_path").distinct(), "source_path", "left_anti").unionByName(new)

@@ -15,7 +15,7 @@ from pyspark.sql.streaming.state import GroupState
 from ..operators.chunking import chunks
 from ..operators.evaluate import quantile_sketches
 from ..operators.events import LEAST_RATE, LEAST_SECONDS, classify_fault
-from ..operators.ingest import new_chunks
+from ..operators.ingest import append_chunks
 from ..session import sized
 
 LATE = "10 minutes"
@@ -28,16 +28,9 @@ def event_stream(spark: SparkSession, folder: str, files_per_batch: int = 1) ->
 
 
 def index_new_documents(stream: DataFrame, table_path: str, checkpoint: str):
-    """Appends the chunks of new documents ``(source_path, mtime_ns, text)``, each id once, replays included."""
+    """Appends the chunks of new documents ``(source_path, mtime_ns, text)``, each id once, replays included; a batch reads the folders of its sources only."""
     def append(batch: DataFrame, _: int) -> None:
-        spark, rows = batch.sparkSession, chunks(batch)
-        try:
-            table = spark.read.parquet(table_path)
-        except Exception as e:
-            if "PATH_NOT_FOUND" not in str(e):
-                raise
-            table = rows.limit(0)
-        new_chunks(rows, table).write.mode("append").parquet(table_path)
+        append_chunks(chunks(batch), table_path, batch)
 
     return stream.writeStream.foreachBatch(append).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 

@@ -170,3 +170,18 @@ def test_sketches_merge_within_their_error(spark):
     errors = evaluate.rank_errors(df, "key", "value", found, ranks).collect()
     assert len(errors) == 6 and max(x.error for x in errors) <= 2 * evaluate.RANK_ERROR
     assert evaluate.sketched_ranks(evaluate.quantile_sketches(df.limit(0), ["key"], "value"), ["key"], ranks).count() == 0
+
+
+def test_appends_read_their_folders_only(spark, tmp_path):
+    path, kind = f"{tmp_path}/chunks", "chunk_id string, source_path string, n int"
+    rows = lambda a, b: spark.createDataFrame([(f"id{k}", f"s{k // 4}", k) for k in range(a, b)], kind)
+    ingest.append_chunks(rows(0, 0), path)
+    ingest.append_chunks(rows(0, 400), path, buckets=64)
+    files = sorted(spark.read.parquet(path).inputFiles())
+    ingest.append_chunks(rows(398, 402).union(rows(400, 401)), path, buckets=64)
+    ingest.append_chunks(rows(0, 402), path, buckets=64)  # all there
+    got = spark.read.parquet(path)
+    assert sorted(r.n for r in got.collect()) == list(range(402))
+    added = set(got.inputFiles()) - set(files)
+    assert {f.split("bucket=")[1].split("/")[0] for f in added} <= {str(r.bucket) for r in rows(396, 404).select(F.pmod(F.xxhash64("source_path"), F.lit(64)).alias("bucket")).collect()}
+    assert len({r.bucket for r in got.select("bucket").distinct().collect()}) > 10
