@@ -101,7 +101,7 @@ def _packed(df: DataFrame, key: str, kind: str, pack: int) -> DataFrame:
         for batch in batches:
             vectors = batch.column(1)
             sizes = pa.compute.list_value_length(vectors).to_numpy(zero_copy_only=False)
-            for dim in np.unique(sizes):
+            for dim in np.unique(sizes[sizes > 0]):
                 at = np.flatnonzero(sizes == dim)
                 for k in range(0, len(at), pack):
                     rows = pa.array(at[k : k + pack])
@@ -110,7 +110,7 @@ def _packed(df: DataFrame, key: str, kind: str, pack: int) -> DataFrame:
                     lists = [pa.ListArray.from_arrays(pa.array([0, len(x)], pa.int32()), x) for x in (keys, data)]
                     yield pa.RecordBatch.from_arrays([pa.array([dim], pa.int32()), *lists], ["dim", "keys", "data"])
 
-    told = df.select(key, "vector").where(F.col(key).isNotNull() & F.col("vector").isNotNull() & (F.size("vector") > 0))
+    told = df.select(key, "vector").where(F.col(key).isNotNull() & F.col("vector").isNotNull())  # lengths are told in the kernel, as a filter here would make the vectors twice
     return told.mapInArrow(run, f"dim int, keys array<{kind}>, data array<double>")
 
 
