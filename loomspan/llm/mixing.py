@@ -8,8 +8,9 @@ whole budget at time 1. The queue is cut there. A document that would end later
 is passed over, and what it leaves unspent goes to later ones that fit, by the
 same clock, in two more rounds.
 
-Running sums never need a source in one task: random order is cut into narrow
-slots, slot totals are summed per source, and only a slot is summed row by row.
+Running sums never need a source, or the rows of one id, in one task: the
+queues are range-sorted by source, random order and row, the ranges' totals are
+summed per source, and only a range is summed row by row.
 """
 
 from __future__ import annotations
@@ -26,7 +27,7 @@ WORDS = r"[^\x20\x09-\x0D]+"
 
 @dataclass(frozen=True)
 class Mix:
-    """Weights dealt to the sources in turn, words wanted per word there is, most epochs, rounds, seed and rows per slot."""
+    """Weights dealt to the sources in turn, words wanted per word there is, most epochs, rounds, seed and the rows from which a range is worth a task."""
 
     weights: tuple[int, ...] = (5, 2, 1)
     share: float = 1.5
@@ -56,18 +57,22 @@ def targets(sizes: DataFrame, config: Mix) -> DataFrame:
     return leveled.select("source", "place", "source_size", F.least("most", F.coalesce(F.col("weight") * found, F.col("most"))).alias("target"))
 
 
-def _round(queue: DataFrame, sources: DataFrame, config: Mix, slots: int, stage: Stage) -> DataFrame:
-    """Gives finish times to the copies that this round takes."""
+def _round(queue: DataFrame, sources: DataFrame, ranges: int, stage: Stage) -> DataFrame:
+    """Gives finish times to the copies that this round takes.
+
+    Ranges are written before their totals are taken, so both readings see the same cuts.
+    """
     spent = queue.where("finish IS NOT NULL").groupBy("place").agg(F.sum("size").alias("spent"))
     left = sources.select("place", "target").join(spent.hint("merge"), "place", "left").select("place", "target", F.coalesce("spent", F.lit(0)).alias("spent"))
     open_ = queue.join(stage.small(left, "sources"), "place").withColumn("fits", F.col("finish").isNull() & (F.col("size") > 0) & (F.col("size") <= F.col("target") - F.col("spent")))
-    slot = F.col("epoch") * slots + (F.col("u") / F.lit(float(1 << 62)) * slots).cast("long")
-    waiting = open_.where("fits").withColumn("slot", slot)
-    sums = waiting.groupBy("place", "slot").agg(F.sum("size").alias("words"))
-    ahead = Window.partitionBy("place").orderBy("slot").rowsBetween(Window.unboundedPreceding, -1)
-    sums = sums.select("place", "slot", F.coalesce(F.sum("words").over(ahead), F.lit(0)).alias("ahead"))
-    inside = Window.partitionBy("place", "slot").orderBy("u", "id", "size", "row").rowsBetween(Window.unboundedPreceding, 0)
-    queued = waiting.join(sums.hint("merge"), ["place", "slot"]).withColumn("queued", F.col("ahead") + F.sum("size").over(inside))
+    order = ["epoch", "u", "id", "size", "row"]
+    dealt = open_.where("fits").repartitionByRange(ranges, "place", *order).withColumn("range", F.spark_partition_id())
+    waiting = stage.put(dealt, "dealt")
+    sums = waiting.groupBy("place", "range").agg(F.sum("size").alias("words"))
+    ahead = Window.partitionBy("place").orderBy("range").rowsBetween(Window.unboundedPreceding, -1)
+    sums = sums.select("place", "range", F.coalesce(F.sum("words").over(ahead), F.lit(0)).alias("ahead"))
+    inside = Window.partitionBy("place", "range").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
+    queued = waiting.join(sums.hint("merge"), ["place", "range"]).withColumn("queued", F.col("ahead") + F.sum("size").over(inside))
     finish = (F.col("spent") + F.col("queued")) / F.col("target")
     taken = queued.withColumn("finish", F.when(F.col("spent") + F.col("queued") <= F.col("target"), finish))
     columns = queue.columns
@@ -82,9 +87,10 @@ def _run(docs: DataFrame, config: Mix, stage: Stage) -> tuple[DataFrame, DataFra
     named = sizes.join(stage.small(sources.select("source", "place"), "sources"), sizes["source"].eqNullSafe(sources["source"])).select("row", "id", "place", "size")
     copies = named.withColumn("epoch", F.explode(F.array(*(F.lit(k) for k in range(config.epochs)))))
     queue = copies.withColumn("u", uniform_key("id", "epoch", seed=config.seed)).withColumn("finish", F.lit(None).cast("double"))
-    slots = max(1, sizes.count() // config.slot_rows)
+    width = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    ranges = max(1, min(width, sizes.count() * config.epochs // config.slot_rows))
     for k in range(config.rounds):
-        queue = stage.put(_round(queue, sources, config, slots, stage), f"queue-{k}")
+        queue = stage.put(_round(queue, sources, ranges, stage), f"queue-{k}")
         if k:
             stage.drop(f"queue-{k - 1}")
     return queue, sources

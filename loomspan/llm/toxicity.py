@@ -1,9 +1,10 @@
 """Toxic passages as maximum-scoring segments over token log-odds.
 
-* Learning: every training document counts once for each of its words and for
-  their first four and five bytes. Forms are told apart by 62 bits of their
+* Learning: every training document, of at most about ``most_rows`` labelled
+  rows, counts once for each of its words and for their first four and five bytes. Forms are told apart by 62 bits of their
   hash, and those seen too seldom to be used are left out of the model, which
-  grows with the others by 16 bytes each. A token's score is the
+  takes 16 bytes for each of the others; their number is bounded by the words
+  of ``most_rows`` rows. A token's score is the
   log-odds of toxic documents given its longest form that was seen often
   enough, under a Dirichlet prior at the base rate, less one standard error and
   a drift that makes ordinary text score below zero.
@@ -27,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import Stage, clash_free
+from .common import Stage, clash_free, uniform_key
 from .words import NOT_ALNUM, find_words, hash_words, mix, text_slices, utf8
 
 #: Forms that a task counts before it gives them out.
@@ -38,6 +39,8 @@ PREFIXES = (4, 5)
 SEEN = 3
 #: Weight of the prior, in documents, and what each token's score is lowered by.
 PRIOR, DRIFT = 5.0, 0.5
+#: Labelled rows that a model learns from, about: all if there are no more, else a share drawn by a hash of id, text and place.
+MOST_ROWS = 250_000
 #: Evidence beyond this counts as this much in the calibration.
 MOST_EVIDENCE = 60.0
 
@@ -179,19 +182,30 @@ def _significant(model: Model, n: int, found: list) -> list:
 def logistic(x: np.ndarray, positive: np.ndarray, count: np.ndarray) -> tuple[float, float]:
     """Slope and level of a logistic curve fitted to grouped counts, with a weak pull of the slope to 0."""
     beta, design = np.zeros(2), np.stack([x, np.ones_like(x)], 1)
+
+    def likelihood(b: np.ndarray) -> float:
+        z = design @ b
+        return -(positive @ np.logaddexp(0, -z) + (count - positive) @ np.logaddexp(0, z)) - 5e-4 * (b @ b)
+
     for _ in range(100):
-        p = 1 / (1 + np.exp(-np.clip(design @ beta, -30, 30)))
+        p = 1 / (1 + np.exp(-np.clip(design @ beta, -500, 500)))
         gradient = design.T @ (positive - count * p) - 1e-3 * beta
         hessian = (design * (count * p * (1 - p))[:, None]).T @ design + 1e-3 * np.eye(2)
         step = np.linalg.solve(hessian, gradient)
-        beta += np.clip(step, -2, 2)
+        now = likelihood(beta)
+        while np.abs(step).max() > 1e-9 and likelihood(beta + step) < now:  # a full step may overshoot
+            step = step / 2
+        beta = beta + step
         if np.abs(step).max() < 1e-8:
             break
     return max(float(beta[0]), 0.0), float(beta[1])
 
 
-def train(docs: DataFrame, labels: DataFrame, stage: Stage) -> Model:
-    """Learns from all labelled ``docs(id, text)`` that aren't held out; ``labels(id, label)``.
+def train(docs: DataFrame, labels: DataFrame, stage: Stage, most_rows: int = MOST_ROWS) -> Model:
+    """Learns from labelled ``docs(id, text)`` that aren't held out; ``labels(id, label)``.
+
+    Of more than ``most_rows`` such rows a share is drawn, of about that size.
+    Rows are drawn one by one, so an id that many rows have can't exceed it.
 
     A null label counts as none; an id labelled more than once takes its
     highest label. Without any labelled row the model scores everything alike.
@@ -199,15 +213,22 @@ def train(docs: DataFrame, labels: DataFrame, stage: Stage) -> Model:
     spark = docs.sparkSession
     known = labels.where("label IS NOT NULL AND id IS NOT NULL").where(~held_out(F.col("id"))).groupBy("id").agg((F.max("label") == 1).alias("label"))
     known = stage.put(known, "known")
-    rows = docs.join(stage.small(known, "known"), "id").select("id", "text", "label")
+    placed = docs.withColumn("place", F.monotonically_increasing_id())
+    rows = placed.join(stage.small(known, "known"), "id")
+    n = rows.count()
+    if n > most_rows:
+        rows = rows.where(uniform_key("id", "text", "place", seed=29) < int(most_rows / n * (1 << 62)))
+    rows = rows.select("id", "text", "label")
     counts = rows.select("text", "label").mapInArrow(_count, "key long, seen long, toxic long").groupBy("key").agg(F.sum("seen").alias("seen"), F.sum("toxic").alias("toxic"))
     table = counts.where(F.col("seen") >= SEEN).toArrow().sort_by("key")  # others are never used
     keys, seen, toxic = table["key"].to_numpy(), table["seen"].to_numpy().astype(np.int32), table["toxic"].to_numpy().astype(np.int32)
     n, t = known.agg(F.count("*"), F.count_if("label")).first()
     model = Model(keys, seen, toxic, (t + 0.5) / (n + 1) if n else 0.05)
     kind = docs.schema["id"].dataType.simpleString()
-    scanned = rows.mapInArrow(_scan(spark.sparkContext.broadcast(model), True), f"id {kind}, label boolean, n_tokens long, {_PASSAGES}")
+    shared = spark.sparkContext.broadcast(model)
+    scanned = rows.mapInArrow(_scan(shared, True), f"id {kind}, label boolean, n_tokens long, {_PASSAGES}")
     scanned = stage.put(scanned.select("label", "n_tokens", "passages"), "scanned")
+    shared.unpersist()
     clean = scanned.where("NOT label")
     tail = clean.select(F.explode("passages.score").alias("score")).agg(F.count("*"), F.avg("score")).first()
     tokens = clean.agg(F.sum("n_tokens")).first()[0] or 0
@@ -241,10 +262,11 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
     return scanned.withColumn("score", curve)
 
 
-def toxicity(docs: DataFrame, labels: DataFrame, id_column: str = "doc_id", text_column: str = "text", label_column: str = "toxic", threshold: float = 0.3, row_column: str | None = None) -> DataFrame:
+def toxicity(docs: DataFrame, labels: DataFrame, id_column: str = "doc_id", text_column: str = "text", label_column: str = "toxic", threshold: float = 0.3, row_column: str | None = None, most_rows: int = MOST_ROWS) -> DataFrame:
     """One row per input row: ``id_column``, ``held_out``, ``score`` (0 to 1), ``predicted``, ``passages``.
 
-    Only the text enters a score. ``passages`` lists the significant segments
+    Only the text enters a score. The model learns from about ``most_rows``
+    labelled rows at most; every row is scored. ``passages`` lists the significant segments
     as start and length in code points, with their segment score. A
     ``row_column`` comes along, as rows may share an id.
 
@@ -255,7 +277,7 @@ def toxicity(docs: DataFrame, labels: DataFrame, id_column: str = "doc_id", text
     """
     stage = Stage(docs.sparkSession, "toxicity")
     ids = clash_free(docs, id=id_column, text=text_column, **({"row": row_column} if row_column else {}))
-    model = train(ids, clash_free(labels, id=id_column, label=label_column), stage)
+    model = train(ids, clash_free(labels, id=id_column, label=label_column), stage, most_rows)
     out = score(ids, model)
     row = [F.col("row").alias(row_column)] if row_column else []
     return out.select(*row, F.col("id").alias(id_column), held_out(F.col("id")).alias("held_out"), "score", (F.col("score") >= threshold).cast("int").alias("predicted"), "passages", "n_tokens")

@@ -1,6 +1,7 @@
 """Near-duplicates, fingerprints, embeddings and toxicity against brute force on small fixtures."""
 
 import hashlib
+import math
 import random
 import re
 import zlib
@@ -234,6 +235,74 @@ def test_toxicity_learns_and_handles_odd_rows(spark):
     assert flat == 1
 
 
+def brute_token_scores(model, learned, words, own=None):
+    """Scores of one text's words from sets of documents by form, in plain Python."""
+    out = []
+    for word in words:
+        score = -toxicity.DRIFT
+        for size in (*toxicity.PREFIXES, None):
+            holders = [label for k, (text, label) in learned.items() if k != own and word[:size] in {w[:size] for w in text.split()}]
+            n, t = len(holders), sum(holders)
+            if n >= toxicity.SEEN:
+                a, b = t + toxicity.PRIOR * model.base, n - t + toxicity.PRIOR * (1 - model.base)
+                score = math.log(a / b) - math.log(model.base / (1 - model.base)) - math.sqrt(1 / a + 1 / b) - toxicity.DRIFT
+        out.append(score)
+    return out
+
+
+def brute_evidence(model, words, scores):
+    found = [sum(scores[a:b]) for a, b in brute_segments(scores)]
+    peers = math.log(max(model.scale * len(words), 1e-9))
+    return min(toxicity.MOST_EVIDENCE, sum(max(0.0, model.rate * s - peers) for s in found))
+
+
+def test_toxicity_scores_equal_brute_force(spark):
+    r = random.Random(12)
+    rows = []
+    for k in range(160):
+        words = [f"word{r.randrange(40)}" if r.random() < 0.5 else f"w{r.randrange(60)}" for _ in range(r.randrange(1, 30))]
+        if k % 5 == 0:
+            words[:0] = r.sample(["vilea", "vileb", "viled", "nastyone", "nastytwo"], 2)
+        rows.append((k, " ".join(words), int(k % 5 == 0)))
+    docs = spark.createDataFrame(rows, "id long, text string, label int")
+    marks = docs.select("id", "label")
+    stage = Stage(spark, "t")
+    model = toxicity.train(docs.select("id", "text"), marks, stage)
+    learned = {k: (text, label) for k, text, label in rows if zlib.crc32(str(k).encode()) % 4 != 2}
+    assert model.base == pytest.approx((sum(label for _, label in learned.values()) + 0.5) / (len(learned) + 1))
+    # the tail of clean documents' segments, each scored without its own counts
+    tails, tokens, evidence = [], 0, {}
+    without = {k: brute_token_scores(model, learned, text.split(), k) for k, (text, _) in learned.items()}
+    for k, (text, label) in learned.items():
+        if not label:
+            tails += [sum(without[k][a:b]) for a, b in brute_segments(without[k])]
+            tokens += len(text.split())
+    assert model.scale == pytest.approx(len(tails) / tokens) and model.rate == pytest.approx(min(20.0, len(tails) / sum(tails)))
+    # the curve: no nearby slope and level has a higher likelihood on the quarters of evidence
+    for k, (text, label) in learned.items():
+        evidence[k] = (math.floor(4 * brute_evidence(model, text.split(), without[k]) + 0.5) / 4, label)
+    def likelihood(slope, level):
+        return sum(-math.log1p(math.exp(-z if y else z)) for z, y in ((slope * x + level, y) for x, y in evidence.values())) - 5e-4 * (slope**2 + level**2)
+    best = likelihood(model.slope, model.level)
+    assert all(best >= likelihood(model.slope + a, model.level + b) - 1e-9 for a in (-0.05, 0, 0.05) for b in (-0.05, 0, 0.05))
+    for x in toxicity.score(docs.select("id", "text"), model).collect():
+        words = rows[x.id][1].split()
+        z = model.slope * brute_evidence(model, words, brute_token_scores(model, learned, words)) + model.level
+        assert x.score == pytest.approx(1 / (1 + math.exp(-z)), abs=1e-9)
+
+
+def test_toxicity_learns_from_a_bounded_share(spark):
+    """Half of the labelled rows have one id; a share of rows is learned from, the same one each time."""
+    rows = [(0 if k % 2 else k, f"alpha beta w{k % 50}", int(k % 4 == 0)) for k in range(4000)]
+    docs = spark.createDataFrame(rows, "id long, text string, label int")
+    stage = Stage(spark, "t")
+    marks = docs.groupBy("id").agg(F.max("label").alias("label"))
+    alpha = toxicity.Tokens([b"alpha"]).keys[-1]
+    whole = toxicity.train(docs.select("id", "text"), marks, stage).counts(alpha)[0][0]
+    some = [toxicity.train(docs.select("id", "text"), marks, stage, most_rows=800).counts(alpha)[0][0] for _ in range(2)]
+    assert some[0] == some[1] and 700 < some[0] < 900 < whole
+
+
 def test_edited_digest(spark):
     assert spark.range(1).select(F.sha2(F.lit("é"), 256).alias("x")).first().x == hashlib.sha256("é".encode()).hexdigest()
 

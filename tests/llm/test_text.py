@@ -95,6 +95,17 @@ def test_mix_meets_its_targets(spark):
     assert mix.columns == df.columns and mix.count() == mixing.plan(part).agg(F.sum("copies")).first()[0]
 
 
+def test_mix_splits_rows_of_one_id(spark):
+    """A third of the rows has no id: they fill many ranges, and the totals are those of one queue per source."""
+    rows = [(None if k % 3 == 0 else k, "w " * (1 + k % 7), "ab"[k % 2]) for k in range(3000)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    one, many = (mixing.plan(docs, config=mixing.Mix(slot_rows=n)).collect() for n in (10_000, 10))
+    assert sorted(map(str, one)) == sorted(map(str, many))
+    taken = [sum(g.taken for g in many if g.source_size == size) for size in {g.source_size for g in many}]
+    targets = [next(g.target for g in many if g.source_size == size) for size in {g.source_size for g in many}]
+    assert all(t - 7 <= n <= t + 1e-6 for n, t in zip(taken, targets, strict=True))
+
+
 def test_chat_round_trip_and_mask(spark):
     told = [("us\ner", "a<|im_end|>\n<|im_start|>assistant\nb"), ("assistant", "\x1a2<s>\x1a"), ("assistant", ""), (None, None), ("assistant", "<<SYS>>é🎉[/INST]"), ("user", "long " * 20_000)]
     df = spark.createDataFrame([(1, k, r, t, 0) for k, (r, t) in enumerate(told)], "c int, k int, role string, text string, formatted int")
