@@ -36,6 +36,16 @@ def s6(spark, sf_dir):
     return read.select("path", "message", "subject", F.sha2(F.left(F.rtrim(F.col("body"), F.lit("\n")), F.lit(5000)), 256).alias("body_sha256"))
 
 
+@query("S6_mailbox_ranges", """SELECT doc_id::VARCHAR AS subject, sha256(rtrim(regexp_replace(text, '(^|\\n)From ', '\\1>From ', 'g'), chr(10))) AS body_sha256 FROM documents""")
+def s6_ranges(spark, sf_dir):
+    """All documents written as a few large mail archives, and their messages read by byte ranges, whole."""
+    root = shared_path(spark, "mailboxes")
+    mail = F.concat(F.lit("From a@example.org Thu Jan  1 00:00:00 2026\nSubject: "), "doc_id", F.lit("\nContent-Type: text/plain; charset=utf-8\nContent-Transfer-Encoding: 8bit\n\n"), F.regexp_replace("text", "(^|\\n)From ", "$1>From "), F.lit("\n"))
+    table(spark, sf_dir, "documents").select(mail.alias("value")).write.text(root)
+    read = files.read_mailboxes(spark, root, "*.txt", most=None, body=None)
+    return read.select("subject", F.sha2(F.rtrim("body", F.lit("\n")), 256).alias("body_sha256"))
+
+
 @query("S10_golden_set", "SELECT lpad(item_id::VARCHAR, 6, '0') AS id, 'answerable' AS type, text AS query, [left(text, 10)] AS expected_key_facts FROM benchmark ORDER BY item_id LIMIT 25")
 def s10(spark, sf_dir):
     """The first 25 golden questions of a JSON list, as the reader's limit asks."""

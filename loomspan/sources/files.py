@@ -5,18 +5,17 @@ from __future__ import annotations
 import email
 import email.policy
 import hashlib
-import mailbox
 import re
-import tempfile
 from collections.abc import Callable, Iterator
 from html.parser import HTMLParser
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import collapse, extension, strip_tags
 from ..operators.ingest import discover
+from ..session import sized
 
 #: Elements without visible text. Fixed values.
 SKIPPED = frozenset("script style noscript svg math template head iframe object embed".split())
@@ -24,6 +23,8 @@ SKIPPED = frozenset("script style noscript svg math template head iframe object
 BREAKS = frozenset((
     "p div section article main aside header footer nav h1 h2 h3 h4 h5 h6 blockquote pre ul ol li table tr td th caption"
     " dl dt dd figure figcaption details summary form fieldset hr br").split())
+#: What parts the messages of a mail archive. Fixed value.
+BORDER = b"\nFrom "
 VOID = frozenset("meta link br hr img input embed source track wbr area base col param".split())
 
 
@@ -130,21 +131,66 @@ def parse_mail(files: DataFrame) -> DataFrame:
     return _plain_body(files.select("path", "content").mapInPandas(run, f"path string, {MAIL}"))
 
 
-def explode_mbox(files: DataFrame, most: int = 200, body: int = 5000) -> DataFrame:
-    """One row per message of mail archives; both limits are the feature's own."""
+def _unframed(piece: bytes, last: bool) -> bytes:
+    """A message from what stands between two borders: without the rest of its border line and the blank line at its end."""
+    message = piece[piece.find(b"\n") + 1 :] if b"\n" in piece else b""
+    message += b"" if last or b"\n" not in piece else b"\n"  # the next border's line break
+    return message[:-1] if message == b"\n" or message.endswith(b"\n\n") else message
+
+
+def _shortened(mails: DataFrame, body: int | None) -> DataFrame:
+    return _plain_body(mails).withColumn("body", F.left("body", F.lit(body))) if body is not None else _plain_body(mails)
+
+
+def explode_mbox(files: DataFrame, most: int | None = 200, body: int | None = 5000) -> DataFrame:
+    """One row per message of mail archives ``(path, content)``; both limits are the feature's own, None lifts them.
+
+    An archive is one row, so one task's; ``read_mailboxes`` cuts stored ones by byte ranges.
+    """
     names = ["path", "message", *(x.split()[0] for x in MAIL.split(", "))]
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
             for path, content in zip(frame.path, frame.content, strict=True):
-                with tempfile.NamedTemporaryFile(suffix=".mbox") as f:  # gone before the task goes on
-                    f.write(content)
-                    f.flush()
-                    box = mailbox.mbox(f.name)
-                    rows = [{"path": path, "message": k} | _mail_row(bytes(box.get_bytes(key))) for k, key in enumerate(box.keys()) if k < most]
+                pieces = (b"\n" + bytes(content or b"")).split(BORDER)[1:]  # what comes before the first border is no message
+                rows = [{"path": path, "message": k} | _mail_row(_unframed(piece, k == len(pieces) - 1)) for k, piece in enumerate(pieces[:most])]
                 yield pd.DataFrame(rows, columns=names)
 
-    return _plain_body(files.select("path", "content").mapInPandas(run, f"path string, message int, {MAIL}")).withColumn("body", F.left("body", F.lit(body)))
+    return _shortened(files.select("path", "content").mapInPandas(run, f"path string, message int, {MAIL}"), body)
+
+
+def read_mailboxes(spark: SparkSession, root: str, pattern: str = "*.mbox", most: int | None = 200, body: int | None = 5000) -> DataFrame:
+    """One row per message of the mail archives below a folder, as ``explode_mbox`` gives them.
+
+    Archives are cut into byte ranges of ``spark.sql.files.maxPartitionBytes``
+    that meet at message borders, so a large one is many tasks' work. A first
+    pass counts the messages of each range; the second knows from that each
+    message's number in its archive, and no message is shuffled.
+
+    * text before the first border is no message; an empty archive gives no rows;
+    * a message that can't be parsed has its ``status``; bytes that aren't UTF-8 reach the parser unchanged;
+    * a message is one row, however long.
+    """
+    pieces = spark.read.option("lineSep", BORDER.decode()).option("recursiveFileLookup", True).option("pathGlobFilter", pattern).text(root)
+    pieces = pieces.select("value", F.col("_metadata.file_path").alias("path"), F.col("_metadata.file_block_start").alias("range"), F.monotonically_increasing_id().alias("place"))
+    ranges = pieces.groupBy("path", "range").agg(F.count("*").alias("n"), F.min(F.struct("place", F.col("value").startswith("From ").alias("border"))).alias("first"))
+    ahead, whole = Window.partitionBy("path").orderBy("range"), Window.partitionBy("path")  # one row for each range
+    framed = F.first("first.border").over(ahead)  # whether the archive begins with a message
+    before = F.coalesce(F.sum("n").over(ahead.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    starts = ranges.select("path", "range", (before - F.col("first.place") - F.when(framed, 0).otherwise(1)).alias("shift"), (F.sum("n").over(whole) - F.when(framed, 1).otherwise(2)).alias("final"))
+    numbered = pieces.join(sized(starts, "mailboxes"), ["path", "range"]).withColumn("message", F.col("place") + F.col("shift")).where("message >= 0")
+    if most is not None:
+        numbered = numbered.where(F.col("message") < most)
+    content = F.col("value").cast("binary")
+    numbered = numbered.select("path", F.col("message").cast("int").alias("message"), content.alias("content"), (F.col("message") == F.col("final")).alias("last"))
+    names = ["path", "message", *(x.split()[0] for x in MAIL.split(", "))]
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for frame in frames:
+            rows = [{"path": r.path, "message": r.message} | _mail_row(_unframed(bytes(r.content), r.last)) for r in frame.itertuples()]
+            yield pd.DataFrame(rows, columns=names)
+
+    return _shortened(numbered.mapInPandas(run, f"path string, message int, {MAIL}"), body)
 
 
 def read_golden(spark: SparkSession, path: str, limit: int | None = None) -> DataFrame:

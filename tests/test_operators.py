@@ -1,5 +1,6 @@
 """Edge cases of the library's operators."""
 
+import hashlib
 import io
 import mailbox
 import math
@@ -141,6 +142,30 @@ def test_mail_and_archives(spark, tmp_path):
     assert [r.subject for r in got] == ["one", "two"] and got[0].body.strip() == "hello" and got[1].body.strip() == "shown"
 
 
+def test_mailboxes_by_byte_ranges(spark, tmp_path):
+    """Any cut of an archive gives the messages, numbers and bytes that the standard reader gives."""
+    r, want = random.Random(3), {}
+    lines = [b"From b@example.org today\n", b"\n", b"\r\n", b">From c\n", b" From d\n", b"Subject: s\n", b"caf\xc3\xa9 \xff\n", b"a line of text\n", b"x" * 700 + b"\n", b"From\n"]
+    for k in range(12):
+        data = b"".join(r.choice(lines) for _ in range(r.randrange(400)))
+        data = [data, b"From a@example.org\n" + data, data.rstrip(b"\n"), b""][k % 4 if k < 11 else 3]
+        (tmp_path / f"{k}.mbox").write_bytes(data)
+        box = mailbox.mbox(str(tmp_path / f"{k}.mbox"))
+        want |= {(f"{k}.mbox", n): hashlib.sha1(box.get_bytes(key)).hexdigest() for n, key in enumerate(box.keys())}
+    (tmp_path / "other.txt").write_bytes(b"From a\n\nno archive\n")
+    loaded = spark.createDataFrame([(f.name, bytearray(f.read_bytes())) for f in tmp_path.glob("*.mbox")], "path string, content binary")
+    assert {(x.path, x.message): x.sha1 for x in files.explode_mbox(loaded, most=None).collect()} == want
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    for size in ("1000", "333", before):
+        spark.conf.set("spark.sql.files.maxPartitionBytes", size)
+        try:
+            got = files.read_mailboxes(spark, f"file://{tmp_path}", most=None).select("path", "message", "sha1").collect()
+        finally:
+            spark.conf.set("spark.sql.files.maxPartitionBytes", before)
+        assert len(got) == len(want) and {(x.path.rsplit("/", 1)[1], x.message): x.sha1 for x in got} == want, size
+    assert files.read_mailboxes(spark, f"file://{tmp_path}", most=2).count() == sum(n < 2 for _, n in want)
+
+
 def test_html_text_skips_and_decodes(spark):
     page = "<head><title>T &amp; U</title></head><body><script>no</script><embed><p>a&lt;b</p><svg>no</svg>c"
     got = files.extract_html(spark.createDataFrame([(page,), (None,)], "html string")).collect()
