@@ -6,6 +6,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..operators import evaluate, keyword, search, vector
+from ..session import spread
 from .retrieval import BM25, benchmark_queries, docs_index, table
 
 QUERIES: dict = {}
@@ -31,7 +32,7 @@ def letters(text):
 
 
 def _corpus(spark, sf_dir):
-    d = table(spark, sf_dir, "documents")
+    d = spread(table(spark, sf_dir, "documents"))
     return d.select(F.col("doc_id").alias("id"), "text", letters(F.col("text")).alias("vector"), F.concat_ws("/", "source", "doc_id").alias("source_path"))
 
 

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text as fn
 from ..operators import chunking, keyword, vector
-from ..session import shared_path
+from ..session import shared_path, spread
 
 QUERIES: dict = {}
 ORACLE: dict[str, str] = {}
@@ -55,7 +55,7 @@ def docs_index(spark: SparkSession, sf_dir: str) -> keyword.KeywordIndex:
     key = (spark.sparkContext.applicationId, sf_dir, tuple(states))
     if key not in _STORED:
         target = shared_path(spark, "keywords")
-        keyword.write_index(docs.select(F.col("doc_id").alias("id"), "text"), target)
+        keyword.write_index(spread(docs).select(F.col("doc_id").alias("id"), "text"), target)
         _STORED[key] = target
     return keyword.load_index(spark, _STORED[key])
 
@@ -121,7 +121,7 @@ def e1(spark, sf_dir):
 
 
 def _docs(spark, sf_dir):
-    return table(spark, sf_dir, "documents").select(F.concat_ws("/", "source", "doc_id").alias("source_path"), F.lit(0).cast("long").alias("mtime_ns"), "text")
+    return spread(table(spark, sf_dir, "documents")).select(F.concat_ws("/", "source", "doc_id").alias("source_path"), F.lit(0).cast("long").alias("mtime_ns"), "text")
 
 
 @query("C1_blocks", r"""WITH RECURSIVE w AS (

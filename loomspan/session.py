@@ -57,6 +57,17 @@ def sized(df: DataFrame, name: str, limit: int = 32 << 20) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path).hint("broadcast" if written_bytes(df.sparkSession, path) <= limit else "merge")
 
 
+def spread(table: DataFrame) -> DataFrame:
+    """A stored table's rows dealt over all cores if it is too small to fill them: a small file may be one row group, so one task's.
+
+    The shuffle is of less than ``spark.sql.files.maxPartitionBytes`` for each core. Larger tables are many splits and come as they are.
+    """
+    spark, plan = table.sparkSession, table._jdf.queryExecution().optimizedPlan()
+    split = spark._jvm.org.apache.spark.network.util.JavaUtils.byteStringAsBytes(spark.conf.get("spark.sql.files.maxPartitionBytes"))
+    cores = spark.sparkContext.defaultParallelism
+    return table.repartition(cores) if int(str(plan.stats().sizeInBytes())) < cores * split else table
+
+
 def local_session(name: str = "loomspan", cpus: int = 8, partitions: int = 8, memory: str = "8g") -> SparkSession:
     """A local session with UTC times and adaptive execution, for tests and the bench."""
     spark = (

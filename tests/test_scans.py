@@ -7,6 +7,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from loomspan import session
 from loomspan.operators import evaluate, events, ingest, manifest, scan, search
 from loomspan.streaming import jobs
 
@@ -185,3 +186,17 @@ def test_appends_read_their_folders_only(spark, tmp_path):
     added = set(got.inputFiles()) - set(files)
     assert {f.split("bucket=")[1].split("/")[0] for f in added} <= {str(r.bucket) for r in rows(396, 404).select(F.pmod(F.xxhash64("source_path"), F.lit(64)).alias("bucket")).collect()}
     assert len({r.bucket for r in got.select("bucket").distinct().collect()}) > 10
+
+
+def test_small_tables_are_dealt_over_all_cores(spark, tmp_path):
+    """A file of one row group is one task's, so it is dealt; a table of as many splits as cores is not."""
+    spark.range(1000).coalesce(1).write.parquet(f"{tmp_path}/t")
+    t = spark.read.parquet(f"{tmp_path}/t")
+    cores, before = spark.sparkContext.defaultParallelism, spark.conf.get("spark.sql.files.maxPartitionBytes")
+    dealt = session.spread(t)
+    assert dealt.select(F.spark_partition_id()).distinct().count() == cores and sorted(r.id for r in dealt.collect()) == list(range(1000))
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "500")
+    try:
+        assert session.spread(t) is t
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before)
