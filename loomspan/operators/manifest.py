@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import extension
+from ..session import written
 from . import scan
 
 #: Size limits in bytes and the longest path. Fixed values.
@@ -44,15 +45,20 @@ def delta(previous: DataFrame, current: DataFrame) -> DataFrame:
     """``(source_path, change, renamed_from)`` between two manifests ``(source_path, content_hash)``.
 
     Changes are new, deleted, modified, unchanged and renamed: a new and a
-    deleted path of one hash, paired one to one in path order.
+    deleted path of one hash, paired one to one in path order. The snapshots are
+    compared once; paths of one hash are numbered by ranges, so a content that
+    very many files share is no single task's. A file without a hash is told by
+    its path alone and never renamed.
     """
-    both = previous.select("source_path", F.col("content_hash").alias("old")).join(current.select("source_path", F.col("content_hash").alias("new")), "source_path", "full")
-    change = F.when(F.col("old").isNull(), "new").when(F.col("new").isNull(), "deleted").when(F.col("old") != F.col("new"), "modified").otherwise("unchanged")
-    kinds = both.withColumn("change", change)
-    nth = lambda column: F.row_number().over(Window.partitionBy(column).orderBy("source_path"))
-    gone = kinds.where("change = 'deleted'").select(F.col("source_path").alias("renamed_from"), F.col("old").alias("hash"), nth("old").alias("nth"))
-    came = kinds.where("change = 'new'").select("source_path", F.col("new").alias("hash"), nth("new").alias("nth"))
-    pairs = came.join(gone, ["hash", "nth"]).select("source_path", "renamed_from")
+    both = previous.select("source_path", F.col("content_hash").alias("old"), F.lit(True).alias("was")).join(current.select("source_path", F.col("content_hash").alias("new"), F.lit(True).alias("is")), "source_path", "full")
+    change = F.when(F.col("was").isNull(), "new").when(F.col("is").isNull(), "deleted").when(~F.col("old").eqNullSafe(F.col("new")), "modified").otherwise("unchanged")
+    kinds = written(both.withColumn("change", change), "kinds")
+    moved = kinds.where("change IN ('deleted', 'new')").select("change", F.coalesce("old", "new").alias("hash"), "source_path").where("hash IS NOT NULL")
+    dealt = scan.deal(moved, ["change", "hash"], ["source_path"])
+    numbered = scan.running(dealt, ["change", "hash"], ["source_path"], nth=F.lit(1))
+    gone = numbered.where("change = 'deleted'").select(F.col("source_path").alias("renamed_from"), "hash", "nth")
+    came = numbered.where("change = 'new'").select("source_path", "hash", "nth")
+    pairs = written(came.join(gone.hint("merge"), ["hash", "nth"]).select("source_path", "renamed_from"), "renamed")
     left = kinds.join(pairs.select(F.col("renamed_from").alias("source_path")), "source_path", "left_anti").join(pairs, "source_path", "left")
     return left.select("source_path", F.when(F.col("renamed_from").isNotNull(), "renamed").otherwise(F.col("change")).alias("change"), "renamed_from")
 

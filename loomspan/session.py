@@ -50,6 +50,13 @@ def written_bytes(spark: SparkSession, path: str) -> int:
     return place.getFileSystem(spark._jsc.hadoopConfiguration()).getContentSummary(place).getLength()
 
 
+def written(df: DataFrame, name: str) -> DataFrame:
+    """``df`` written to the shared folder and read back, so that several readers don't compute it again."""
+    path = shared_path(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def sized(df: DataFrame, name: str, limit: int = 32 << 20) -> DataFrame:
     """``df`` written to the shared folder and read back, with the join hint its size allows: broadcast up to ``limit`` bytes, else merge."""
     path = shared_path(df.sparkSession, name)

@@ -200,3 +200,16 @@ def test_small_tables_are_dealt_over_all_cores(spark, tmp_path):
         assert session.spread(t) is t
     finally:
         spark.conf.set("spark.sql.files.maxPartitionBytes", before)
+
+
+def test_renames_of_one_content_pair_in_path_order(spark):
+    """Very many files of one content move: each deleted path meets the new path of its number."""
+    before = [(f"a/{k:05d}", "same" if k % 3 else f"h{k}") for k in range(600)] + [("kept", "same"), ("none", None)]
+    after = [(f"b/{k:05d}", "same" if k % 3 else f"h{k}") for k in range(550)] + [("kept", "same")]
+    table = lambda rows: spark.createDataFrame(rows, "source_path string, content_hash string")
+    got = {r.source_path: (r.change, r.renamed_from) for r in manifest.delta(table(before), table(after)).collect()}
+    old = [p for p, h in before if h == "same" and p != "kept"]
+    new = [p for p, h in after if h == "same" and p != "kept"]
+    want = {b: ("renamed", a) for a, b in zip(old, new)} | {f"b/{k:05d}": ("renamed", f"a/{k:05d}") for k in range(0, 550, 3)}
+    want |= {a: ("deleted", None) for a in old[len(new):]} | {f"a/{k:05d}": ("deleted", None) for k in range(0, 600, 3) if k >= 550}
+    assert got == want | {"kept": ("unchanged", None), "none": ("deleted", None)}
