@@ -83,9 +83,10 @@ def safe_names(files: DataFrame, column: str = "target") -> DataFrame:
     The first file of a target keeps it. A number is left out where some
     target has that name itself. Case counts. A null target keeps a null name.
     """
-    nth = F.row_number().over(Window.partitionBy(column).orderBy("source_path")) - 1
+    order = ([column], ["source_path"])
+    numbered = scan.running(scan.deal(files, *order), *order, __nth=F.lit(1)).withColumn("__nth", F.col("__nth") - 1)  # a target of very many files is many ranges'
     stem, ext = F.regexp_extract(column, r"^(.*?)(\.[^./]*)?$", 1), F.regexp_extract(column, r"^(.*?)(\.[^./]*)?$", 2)
-    asked = files.withColumn("__nth", nth).withColumn("__stem", stem).withColumn("__ext", ext)
+    asked = numbered.withColumn("__stem", stem).withColumn("__ext", ext)
     # numbers that targets already have, as "stem_number.ext"
     number = F.regexp_extract("__stem", r"^(.*)_([1-9][0-9]{0,8})$", 2).try_cast("int")
     taken = asked.where("__nth = 0").select(F.regexp_extract("__stem", r"^(.*)_([1-9][0-9]{0,8})$", 1).alias("__stem"), "__ext", number.alias("taken")).where("taken IS NOT NULL")
