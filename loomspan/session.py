@@ -64,6 +64,22 @@ def sized(df: DataFrame, name: str, limit: int = 32 << 20) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path).hint("broadcast" if written_bytes(df.sparkSession, path) <= limit else "merge")
 
 
+#: Bytes of an Arrow batch that is sent to a Python worker.
+BATCH_BYTES = 4 << 20
+
+
+def bounded_batches(spark: SparkSession) -> SparkSession:
+    """Lowers the session's bound on bytes of an Arrow batch to ``BATCH_BYTES``; returns ``spark``.
+
+    Rows of long texts would else fill batches of many times that, in the JVM and in the worker.
+    """
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    now = spark._jvm.org.apache.spark.network.util.JavaUtils.byteStringAsBytes(spark.conf.get(key))
+    if now <= 0 or now > BATCH_BYTES:
+        spark.conf.set(key, str(BATCH_BYTES))
+    return spark
+
+
 def spread(table: DataFrame) -> DataFrame:
     """A stored table's rows dealt over all cores if it is too small to fill them: a small file may be one row group, so one task's.
 

@@ -314,3 +314,43 @@ def test_vector_search_in_rounds(spark, monkeypatch):
     monkeypatch.setattr(vector, "SENT_BYTES", 2000)
     assert sorted(map(tuple, vector.vector_topk(corpus, asked, 4, block=5).collect())) == want
     assert len(want) == 58 * 4
+
+
+def plan_of(df):
+    return df._jdf.queryExecution().executedPlan().toString()
+
+
+def test_index_deals_one_bucket_and_group_to_a_task_and_counts_words_before(spark):
+    docs = spark.createDataFrame([(k, "the the " * 50 + " ".join(f"w{k * n}" for n in range(9))) for k in range(60)] + [(60, ""), (61, None), (62, "...")], "id long, text string")
+    postings = keyword._postings(docs, 40, 8)
+    places = postings.withColumn("task", F.spark_partition_id()).groupBy("task").agg(F.count_distinct("bucket", "part").alias("n"), F.count("*").alias("rows"))
+    assert {r.n for r in places.collect()} == {1}
+    assert "Generate" not in plan_of(postings)
+    got = postings.orderBy("id").collect()
+    assert {(r.tf, r.dl) for r in got if r.term == "the"} == {(100, 109)} and sum(r.first for r in got) == 63
+    assert [(r.id, r.term, r.tf, r.dl, r.first) for r in got if r.id > 59] == [(k, None, 0, 0, True) for k in (60, 61, 62)]
+
+
+def test_queries_that_share_terms_do_not_multiply_what_is_shuffled(spark, tmp_path):
+    docs = spark.createDataFrame([(k, f"alpha beta gamma word{k}") for k in range(50)], "id long, text string")
+    index = keyword.write_index(docs, f"{tmp_path}/index", docs_a_range=8)
+    asked = spark.createDataFrame([(q, "alpha beta beta") for q in range(9)] + [(9, "word7 none")], "query_id long, query string")
+    for found in (keyword.matched(index, asked), keyword.bm25_topk(index, asked, k=3)):
+        plan = plan_of(found)
+        assert "SortMergeJoin" not in plan and not re.search(r"hashpartitioning\(query_id#\d+L?, id#", plan)
+    assert "WindowGroupLimit" in plan
+    got = {(r.query_id, r.id): r.terms for r in keyword.matched(index, asked).collect()}
+    assert got == {(q, k): 2 for q in range(9) for k in range(50)} | {(9, 7): 1}
+
+
+def test_distinct_words_leave_out_documents_without_words(spark, tmp_path):
+    from loomspan.plans import all_queries
+    spark.createDataFrame([(1, "a b b"), (2, "..."), (3, ""), (4, "b c")], "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    assert [tuple(r) for r in all_queries()["U5_distinct_words"](spark, str(tmp_path)).collect()] == [(3, 3 - 1)]
+
+
+def test_few_hits_are_sent_to_the_texts(spark):
+    texts = spark.range(100).select("id", F.concat(F.lit("t"), "id").alias("text"))
+    found = search.with_texts(spark.createDataFrame([(1, 7), (1, 8), (2, 7)], "query_id long, id long"), texts)
+    assert "BroadcastHashJoin" in plan_of(found) and "SortMergeJoin" not in plan_of(found)
+    assert sorted((r.query_id, r.text) for r in found.collect()) == [(1, "t7"), (1, "t8"), (2, "t7")]
