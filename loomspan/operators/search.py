@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import query_terms, sigmoid
+from ..session import sized
 from . import keyword, vector
 
 
@@ -54,9 +55,14 @@ def overlap_scorer(query: Column, text: Column) -> Column:
     return F.size(F.filter(terms, lambda t: F.contains(low, t))) - F.size(terms) / 2
 
 
+def with_texts(hits: DataFrame, texts: DataFrame) -> DataFrame:
+    """Hits with the columns of ``texts(id, ...)``: few hits are sent to the texts, which are then not shuffled."""
+    return texts.join(sized(hits, "hits"), "id")
+
+
 def boosted(by_vector: DataFrame, queries: DataFrame, texts: DataFrame) -> DataFrame:
     """Vector hits with the lexical boost, ranked again; texts are joined to the winners only."""
-    full = by_vector.join(queries.hint("merge"), "query_id").join(texts.hint("merge"), "id")
+    full = with_texts(by_vector.join(queries.hint("merge"), "query_id"), texts)
     gain = full.withColumn("score", F.round(F.col("score") + lexical_boost(F.col("query"), F.col("text")), 9)).drop("rank")
     return gain.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "id")).cast("long")).select("query_id", "rank", "id", "score")
 
@@ -82,7 +88,7 @@ def search(queries: DataFrame, corpus: DataFrame, index: keyword.KeywordIndex, c
     else:
         found = boosted(near, queries.select("query_id", "query"), texts)
     if config.rerank:
-        found = rerank(found.join(queries.select("query_id", "query").hint("merge"), "query_id").join(texts.hint("merge"), "id"))
+        found = rerank(with_texts(found.join(queries.select("query_id", "query").hint("merge"), "query_id"), texts))
     kept = found.where(F.col("score") >= config.min_score).withColumn("place", -F.col("rank")).drop("rank")
     return ranked(kept, config.top_k, "place").select("query_id", "rank", "id", "score")
 

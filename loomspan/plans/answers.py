@@ -36,6 +36,10 @@ def _corpus(spark, sf_dir):
     return d.select(F.col("doc_id").alias("id"), "text", letters(F.col("text")).alias("vector"), F.concat_ws("/", "source", "doc_id").alias("source_path"))
 
 
+def _texts(spark, sf_dir):
+    return table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), "text", "source", F.concat_ws("/", "source", "doc_id").alias("source_path"))
+
+
 def _asked(spark, sf_dir):
     return table(spark, sf_dir, "benchmark").select((-1 - F.col("item_id")).alias("query_id"), F.col("text").alias("query"), letters(F.col("text")).alias("vector"))
 
@@ -88,14 +92,14 @@ def t5(spark, sf_dir):
 @query("A4_source_summary", f"WITH {HYBRID} SELECT query_id, source AS source_path, count(*) AS chunks, round(avg(round(score, 9)), 6) AS avg_relevance FROM best JOIN documents ON id = doc_id GROUP BY ALL")
 def a4(spark, sf_dir):
     """Chunks and average relevance per query and source."""
-    full = hits(spark, sf_dir).withColumn("score", F.round("score", 9)).join(table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), F.col("source").alias("source_path")).hint("merge"), "id")
+    full = search.with_texts(hits(spark, sf_dir).withColumn("score", F.round("score", 9)), _texts(spark, sf_dir).select("id", F.col("source").alias("source_path")))
     return search.source_summary(full)
 
 
 @query("A20_context", f"""WITH {HYBRID} SELECT query_id, string_agg('[Source ' || rank || '] ' || source_path || chr(10) || text, chr(10) || chr(10) || '---' || chr(10) || chr(10) ORDER BY rank) AS context, count(*) AS chunks_used FROM best JOIN c USING (id) GROUP BY query_id""")
 def a20(spark, sf_dir):
     """Numbered context of every query."""
-    return search.context(hits(spark, sf_dir).join(_corpus(spark, sf_dir).select("id", "text", "source_path").hint("merge"), "id"))
+    return search.context(search.with_texts(hits(spark, sf_dir), _texts(spark, sf_dir).select("id", "text", "source_path")))
 
 
 _CONTEXT = "string_agg('[Source ' || rank || '] ' || source_path || chr(10) || text, chr(10) || chr(10) || '---' || chr(10) || chr(10) ORDER BY rank)"
@@ -118,7 +122,7 @@ SELECT query_id, answer, CASE WHEN text IS NULL THEN 'no_results' WHEN trim(text
   CASE WHEN text IS NULL THEN 'No relevant information was found.' WHEN trim(text, ' ') = '' THEN 'The documents found hold no text.' ELSE answer END AS message FROM parts LEFT JOIN chosen USING (query_id)""")
 def t9(spark, sf_dir):
     """Best sentence of every query's best hit, with its outcome."""
-    top = hits(spark, sf_dir).where("rank = 1").join(_corpus(spark, sf_dir).select("id", F.col("text").alias("top_text")).hint("merge"), "id")
+    top = search.with_texts(hits(spark, sf_dir).where("rank = 1"), _texts(spark, sf_dir).select("id", F.col("text").alias("top_text")))
     asked = _asked(spark, sf_dir).select("query_id", "query").join(top.hint("merge"), "query_id", "left")
     done = search.answer_batch(asked).withColumn("hits", F.when(F.col("id").isNotNull(), 1).otherwise(0)).withColumn("context", F.col("top_text")).withColumn("failure", F.lit(None).cast("string"))
     return search.outcome(done).select("query_id", "answer", "error", "message")
