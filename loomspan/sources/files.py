@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 from ..functions.text import collapse, extension, strip_tags
 from ..operators.ingest import discover
-from ..session import sized
+from ..session import bounded_batches, sized
 
 #: Elements without visible text. Fixed values.
 SKIPPED = frozenset("script style noscript svg math template head iframe object embed".split())
@@ -128,6 +128,7 @@ def parse_mail(files: DataFrame) -> DataFrame:
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
             yield pd.DataFrame([{"path": p} | _mail_row(c) for p, c in zip(frame.path, frame.content, strict=True)], columns=["path", *(x.split()[0] for x in MAIL.split(", "))])
+    bounded_batches(files.sparkSession)
     return _plain_body(files.select("path", "content").mapInPandas(run, f"path string, {MAIL}"))
 
 
@@ -156,6 +157,7 @@ def explode_mbox(files: DataFrame, most: int | None = 200, body: int | None = 50
                 rows = [{"path": path, "message": k} | _mail_row(_unframed(piece, k == len(pieces) - 1)) for k, piece in enumerate(pieces[:most])]
                 yield pd.DataFrame(rows, columns=names)
 
+    bounded_batches(files.sparkSession)
     return _shortened(files.select("path", "content").mapInPandas(run, f"path string, message int, {MAIL}"), body)
 
 
@@ -190,6 +192,7 @@ def read_mailboxes(spark: SparkSession, root: str, pattern: str = "*.mbox", most
             rows = [{"path": r.path, "message": r.message} | _mail_row(_unframed(bytes(r.content), r.last)) for r in frame.itertuples()]
             yield pd.DataFrame(rows, columns=names)
 
+    bounded_batches(spark)
     return _shortened(numbered.mapInPandas(run, f"path string, message int, {MAIL}"), body)
 
 

@@ -153,6 +153,22 @@ def test_mail_archives_cut_bodies_after_their_last_newlines(spark, tmp_path):
     assert sorted(map(tuple, got)) == sorted(con.sql(all_sql()["S6_mail_archives"]).fetchall())
 
 
+def test_mails_reach_workers_in_batches_of_bounded_bytes(spark, tmp_path):
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    before = spark.conf.get(key)
+    head = "From a\nSubject: s\n\n"
+    (tmp_path / "a.mbox").write_text("".join(f"{head}{'x' * 400_000}\n\n" for _ in range(40)))
+    mails = spark.range(0, 40, 1, 1).select(F.col("id").cast("string").alias("path"), F.concat(F.lit("Subject: s\n\n"), F.repeat(F.lit("x"), 400_000)).cast("binary").alias("content"))
+    try:
+        for read in (lambda: files.parse_mail(mails), lambda: files.read_mailboxes(spark, f"file://{tmp_path}", most=None, body=None)):
+            spark.conf.set(key, "256m")
+            found = read()
+            assert int(spark.conf.get(key)) <= 4 << 20
+            assert found.where("length(body) >= 400000").count() == 40
+    finally:
+        spark.conf.set(key, before)
+
+
 def test_mailboxes_by_byte_ranges(spark, tmp_path):
     """Any cut of an archive gives the messages, numbers and bytes that the standard reader gives."""
     r, want = random.Random(3), {}
