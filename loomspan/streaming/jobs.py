@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import math
 import threading
 from collections.abc import Callable, Iterator
 from contextlib import contextmanager
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
@@ -174,7 +176,8 @@ def ema_rate(stream: DataFrame, total: float = 0.0, alpha: float = 0.25, idle: s
 
     def row(key, ema, done, rate, ended) -> pd.DataFrame:
         eta = max(total - done, 0.0) / rate if total > 0 and rate is not None and rate > LEAST_RATE else None
-        return pd.DataFrame({"user_id": [key[0]], "ema": [ema], "done": [done], "rate": pd.Series([rate], dtype="float64"), "eta": pd.Series([eta], dtype="float64"), "ended": [ended]})
+        lacking = lambda x: math.nan if x is None else x
+        return pd.DataFrame({"user_id": np.array([key[0]]), "ema": np.array([ema], float), "done": np.array([done], float), "rate": np.array([lacking(rate)]), "eta": np.array([lacking(eta)]), "ended": np.array([ended])})
 
     def fold(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         if state.hasTimedOut:
@@ -182,10 +185,11 @@ def ema_rate(stream: DataFrame, total: float = 0.0, alpha: float = 0.25, idle: s
             state.remove()
             yield row(key, ema, done, rate, True)
             return
-        rows = pd.concat(frames).sort_values(["ts", "event_id"])
+        ats, ids, values = (np.concatenate(x) for x in zip(*((f.ts.to_numpy("datetime64[ns]"), f.event_id.to_numpy(), f.value.to_numpy(float)) for f in frames), strict=True))
+        order = np.lexsort((ids, ats))  # rows without a time are last
+        seconds, values = ats[order].astype(np.int64) // 10**9, np.nan_to_num(values[order], nan=0.0, posinf=np.inf, neginf=-np.inf)
         ema, done, rate, last = state.get if state.exists else (None, 0.0, None, None)
-        for second, v in zip((rows.ts.astype("int64") // 10**9).tolist() if rows.ts.dtype == "datetime64[ns]" else rows.ts.map(lambda t: pd.Timestamp(t).value // 10**9), rows.value, strict=True):
-            v = 0.0 if pd.isna(v) else float(v)
+        for second, v in zip(seconds.tolist(), values.tolist(), strict=True):
             ema = v if ema is None else alpha * v + (1 - alpha) * ema
             done += max(v, 0.0)
             if last is not None:
