@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import itertools
 import math
 import threading
 from collections.abc import Callable, Iterator
@@ -9,10 +10,13 @@ from contextlib import contextmanager
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle, StreamingQueryListener
 from pyspark.sql.streaming.state import GroupState
+from pyspark.sql.streaming.stateful_processor import ListState
 
 from ..operators.chunking import chunks
 from ..operators.evaluate import quantile_sketches
@@ -52,9 +56,6 @@ def sliding_speed(stream: DataFrame, width: str = "30 seconds", step: str = "10
     return stream.withWatermark("ts", late).groupBy(F.window("ts", width, step).alias("w")).agg(F.round(F.sum("value"), 6).alias("total")).select(F.col("w.start").alias("start"), "total")
 
 
-_EVENT = "event_id long, ts timestamp, event_type string"
-
-
 def _latest_of(held: list[tuple], frame: pd.DataFrame, n: int) -> list[tuple]:
     """The last ``n`` of held and new events by time and id, oldest first; an event without a time is older than all."""
     new = [(int(i), None if pd.isna(t) else t.to_pydatetime(), k) for i, t, k in zip(frame.event_id, frame.ts, frame.event_type, strict=True)]
@@ -77,72 +78,147 @@ def last_events(stream: DataFrame, n: int = 1000) -> DataFrame:
     return stream.groupBy("user_id").applyInPandasWithState(keep, "user_id long, events array<long>", "events array<long>, at array<long>", "update", "NoTimeout")
 
 
+_TOLD = pa.schema([("user_id", pa.int64()), ("event_id", pa.int64()), ("at", pa.int64()), ("event_type", pa.string())])
+_GIVEN = pa.schema([("user_id", pa.int64()), ("blocks", pa.int64()), ("due", pa.int64())])
+_MANY = 50_000
+
+
+def _pack(state: ListState, rows: pa.Table) -> None:
+    """Replaces the list by the rows, as Arrow streams of ``_MANY`` rows at most."""
+    packed = []
+    for k in range(0, rows.num_rows, _MANY):
+        sink = pa.BufferOutputStream()
+        with pa.ipc.new_stream(sink, rows.schema) as out:
+            out.write_table(rows.slice(k, _MANY))
+        packed.append((sink.getvalue().to_pybytes(),))
+    if packed:
+        state.put(packed)
+    else:
+        state.clear()
+
+
+def _unpack(state: ListState, schema: pa.Schema) -> pa.Table:
+    return pa.concat_tables([schema.empty_table(), *(pa.ipc.open_stream(pa.py_buffer(x)).read_all() for (x,) in state.get())]).combine_chunks()
+
+
+def _by_user(*tables: pa.Table) -> pa.Table:
+    """Rows by user, time and id; what is null is first."""
+    rows = pa.concat_tables(tables).combine_chunks()
+    return rows.take(pc.sort_indices(rows, sort_keys=[(c, "ascending") for c in ("user_id", "at", "event_id")], null_placement="at_start"))
+
+
+def _users(rows: pa.Table) -> tuple[list, np.ndarray, np.ndarray]:
+    """The users of rows sorted by user, where the rows of each start and how many they are."""
+    ids, lacking = rows["user_id"].fill_null(0).to_numpy(), rows["user_id"].is_null().to_numpy()
+    starts = np.flatnonzero(np.r_[np.ones(min(len(ids), 1), bool), (ids[1:] != ids[:-1]) | (lacking[1:] != lacking[:-1])])
+    return rows["user_id"].take(pa.array(starts)).to_pylist(), starts, np.diff(np.r_[starts, len(ids)])
+
+
 class FlightRecorder(StatefulProcessor):
-    """Keeps a user's last ``n`` events in list state and gives out all events once, in blocks of ``block``.
+    """Keeps each user's last ``n`` events in list state and gives out all events once, in blocks of ``block``.
 
-    Events of an unfinished block wait in state of their own until they are
-    ``block``, or until the watermark is ``idle`` beyond the user's last event.
+    The key is a group of users, whose rows are sorted, cut and stored together:
+    a call on the state costs about as much as a thousand rows. Events of an
+    unfinished block wait in state of their own until they are ``block``, or until
+    the watermark is ``idle`` beyond the user's last event. The group's timer is
+    set to the first of its users' times.
     """
 
     def __init__(self, n: int, block: int, idle: pd.Timedelta) -> None:
-        self.n, self.block, self.idle = n, block, idle
+        self.n, self.block, self.idle = n, block, idle // pd.Timedelta(milliseconds=1)
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        self.recent = handle.getListState("recent", _EVENT)
-        self.pending = handle.getListState("pending", _EVENT)
-        self.given = handle.getValueState("given", "blocks long, timer long")
-
-    def _give(self, key: tuple, rows: list[tuple]) -> Iterator[pd.DataFrame]:
-        """The rows as finished blocks; the last one may be short."""
-        if rows:
-            first = self.blocks
-            self.blocks += -(-len(rows) // self.block)
-            ids, times, kinds = zip(*rows, strict=True)
-            yield pd.DataFrame({"user_id": key[0], "block": [first + k // self.block for k in range(len(rows))], "event_id": ids, "ts": pd.Series(pd.to_datetime(list(times))), "event_type": kinds})
+        self.recent, self.pending, self.given = (handle.getListState(name, "rows binary") for name in ("recent", "pending", "given"))
+
+    def _blocks(self, rows: pa.Table, given: dict[int | None, list], short: bool = False) -> tuple[pa.Table, Iterator[pd.DataFrame]]:
+        """The sorted rows that wait on, and the others as blocks, numbered from the user's count in ``given``; all are given out if the last may be ``short``."""
+        users, starts, sizes = _users(rows)
+        whole = sizes if short else sizes - sizes % self.block
+        first = np.array([given.setdefault(u, [0, None])[0] for u in users], np.int64)
+        for u, blocks in zip(users, (-(-whole // self.block)).tolist(), strict=True):
+            given[u][0] += blocks
+        place = np.arange(rows.num_rows) - np.repeat(starts, sizes)
+        done = place < np.repeat(whole, sizes)
+        out = rows.append_column("block", pa.array(np.repeat(first, sizes) + place // self.block, pa.int64())).filter(pa.array(done))
+        frames = [out.to_pandas(types_mapper={pa.int64(): pd.Int64Dtype()}.get)] if out.num_rows else []
+        return rows.filter(pa.array(~done)), iter(frames)
+
+    def _state(self) -> tuple[pa.Table, dict[int | None, list], int | None]:
+        """What waits, blocks given and time due of each user, and the timer that is set."""
+        given = {u: [blocks, due] for u, blocks, due in zip(*(c.to_pylist() for c in _unpack(self.given, _GIVEN).itercolumns()), strict=True)}
+        return _unpack(self.pending, _TOLD), given, self._first(given)
+
+    def _first(self, given: dict[int | None, list]) -> int | None:
+        return min((due for _, due in given.values() if due is not None), default=None)
+
+    def _keep(self, waiting: pa.Table, given: dict[int | None, list]) -> None:
+        _pack(self.pending, waiting)
+        _pack(self.given, pa.table([list(given), [b for b, _ in given.values()], [d for _, d in given.values()]], schema=_GIVEN))
+        if (timer := self._first(given)) is not None:
+            self.handle.registerTimer(timer)
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
-        recent, waiting = list(self.recent.get()), list(self.pending.get())
-        self.blocks, timer = self.given.get() if self.given.exists() else (0, None)
-        for frame in rows:
-            recent = _latest_of(recent, frame, self.n)
-            waiting += _latest_of([], frame, len(frame))
-            whole = len(waiting) - len(waiting) % self.block
-            yield from self._give(key, waiting[:whole])
-            waiting = waiting[whole:]
-        self.recent.put(recent)
-        self.pending.clear()
+        (waiting, given, timer), recent = self._state(), _unpack(self.recent, _TOLD)
         if timer is not None:
             self.handle.deleteTimer(timer)
-            timer = None
-        if waiting:
-            self.pending.put(waiting)
-            base = 0 if waiting[-1][1] is None else pd.Timestamp(waiting[-1][1]).value // 1_000_000
-            timer = max(base + self.idle // pd.Timedelta(milliseconds=1), timerValues.getCurrentWatermarkInMs() + 1)
-            self.handle.registerTimer(timer)
-        self.given.update((self.blocks, timer))
+        touched, new = set(), []
+        for frame in itertools.chain(rows, [None]):  # frames are joined until they are as many as the rows kept, so that sorting stays linear
+            if frame is not None:
+                value = lambda name, bit, f=frame: pa.array(f[name].to_numpy(np.int64), mask=(f["lacks"].to_numpy() & bit) > 0)
+                new.append(pa.table([value("user_id", 1), value("event_id", 2), value("at", 4), pa.array(frame["event_type"], pa.string(), from_pandas=True)], schema=_TOLD))
+            if new and (frame is None or sum(t.num_rows for t in new) >= max(_MANY, recent.num_rows)):
+                for t in new:
+                    touched.update(t["user_id"].unique().to_pylist())
+                recent = _by_user(recent, *new)
+                _, starts, sizes = _users(recent)
+                recent = recent.filter(pa.array(np.arange(recent.num_rows) >= np.repeat(starts + sizes - self.n, sizes)))
+                waiting, done = self._blocks(_by_user(waiting, *new), given)
+                yield from done
+                new = []
+        for u in touched:
+            given[u][1] = None
+        users, starts, sizes = _users(waiting)
+        for u, last in zip(users, waiting["at"].take(pa.array(starts + sizes - 1)).to_pylist(), strict=True):
+            if u in touched:
+                given[u][1] = max((last or 0) // 1000 + self.idle, timerValues.getCurrentWatermarkInMs() + 1)
+        _pack(self.recent, recent)
+        self._keep(waiting, given)
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
-        waiting, (self.blocks, _) = list(self.pending.get()), self.given.get()
-        self.pending.clear()
-        yield from self._give(key, waiting)
-        self.given.update((self.blocks, None))
+        waiting, given, timer = self._state()
+        ended = {u for u, (_, due) in given.items() if due is not None and due <= max(timer, timerValues.getCurrentWatermarkInMs())}
+        users, _, sizes = _users(waiting)
+        over = np.repeat(np.array([u in ended for u in users], bool), sizes)
+        _, done = self._blocks(waiting.filter(pa.array(over)), given, short=True)
+        yield from done
+        for u in ended:
+            given[u][1] = None
+        self._keep(waiting.filter(pa.array(~over)), given)
 
     def close(self) -> None:
         pass
 
 
-def flight_log(stream: DataFrame, n: int = 1000, block: int = 100, idle: str = "1 hour", late: str = LATE) -> DataFrame:
+def flight_log(stream: DataFrame, n: int = 1000, block: int = 100, idle: str = "1 hour", late: str = LATE, groups: int = 1024) -> DataFrame:
     """Append-only log ``(user_id, block, event_id, ts, event_type)``: every event once, each hundred of a user's events as one block.
 
-    The last ``n`` events of each user stay in the list state ``recent``. A
-    block that isn't full is given out once the watermark is ``idle`` beyond the
-    user's last event. Written by a file sink with a checkpoint, the log holds
-    every event once, restarts included. Needs a RocksDB state store (``state_store``).
+    The last ``n`` events of each user stay in the list state ``recent``
+    (``kept_state``). A block that isn't full is given out once the watermark is
+    ``idle`` beyond the user's last event. Written by a file sink with a checkpoint,
+    the log holds every event once, restarts included. Users are dealt to ``groups``
+    by hash. What a group keeps is held in one task's memory and written anew by each
+    batch that touches it, so many millions of users, or small batches that come often,
+    want more groups. Their number must stay the same for a checkpoint. Needs a RocksDB
+    state store (``state_store``).
     """
-    told = stream.withWatermark("ts", late).select("user_id", "event_id", "ts", "event_type")
-    return told.groupBy("user_id").transformWithStateInPandas(
-        FlightRecorder(n, block, pd.Timedelta(idle)), "user_id long, block long, event_id long, ts timestamp, event_type string", "Append", "EventTime")
+    lacks = sum((F.when(F.col(c).isNull(), bit).otherwise(0) for c, bit in (("user_id", 1), ("event_id", 2), ("ts", 4))), F.lit(0))
+    whole = lambda c, name: F.coalesce(c, F.lit(0)).cast("long").alias(name)
+    told = stream.withWatermark("ts", late).select(
+        F.pmod(F.xxhash64("user_id"), F.lit(groups)).alias("dealt"), "ts", whole(F.col("user_id"), "user_id"), whole(F.col("event_id"), "event_id"), whole(F.unix_micros("ts"), "at"), lacks.alias("lacks"), "event_type")
+    log = told.groupBy("dealt").transformWithStateInPandas(
+        FlightRecorder(n, block, pd.Timedelta(idle)), "user_id long, block long, event_id long, at long, event_type string", "Append", "EventTime")
+    return log.select("user_id", "block", "event_id", F.timestamp_micros("at").alias("ts"), "event_type")
 
 
 @contextmanager
@@ -158,9 +234,15 @@ def state_store(spark: SparkSession, provider: str = "org.apache.spark.sql.execu
 
 
 def kept_state(spark: SparkSession, checkpoint: str, name: str, operator: int = 0) -> DataFrame:
-    """Rows ``(user_id, ...)`` of a list that a stream of ``flight_log`` keeps in its state."""
-    rows = spark.read.format("statestore").option("path", checkpoint).option("operatorId", operator).option("stateVarName", name).load()
-    return rows.select(F.col("key.user_id").alias("user_id"), "list_element.*")
+    """Rows ``(user_id, event_id, ts, event_type)`` of a list, ``recent`` or ``pending``, that a stream of ``flight_log`` keeps in its state."""
+    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for x in batch.column(0):
+                yield from pa.ipc.open_stream(x.as_buffer())
+
+    packed = spark.read.format("statestore").option("path", checkpoint).option("operatorId", operator).option("stateVarName", name).load()
+    told = packed.select("list_element.rows").mapInArrow(rows, "user_id long, event_id long, at long, event_type string")
+    return told.select("user_id", "event_id", F.timestamp_micros("at").alias("ts"), "event_type")
 
 
 def ema_rate(stream: DataFrame, total: float = 0.0, alpha: float = 0.25, idle: str = "1 hour", late: str = LATE) -> DataFrame:

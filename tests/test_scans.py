@@ -128,6 +128,22 @@ def test_flight_log_gives_every_event_once(spark, tmp_path):
     assert {u: sorted(v) for u, v in kept.items() if u >= 0} == {u: [k for k in range(70) if k % 3 == u][-5:] for u in range(3)}
 
 
+def test_flight_log_keeps_users_in_groups(spark, tmp_path):
+    """Very many users are a bounded number of keys, and each one's events are still given out once, in blocks of its own."""
+    rows = [(k, at(k % 20), k % 2000 if k < 4000 else k % 3, "view", 1.0, "") for k in range(4200)]
+    with jobs.state_store(spark):
+        job = lambda s: jobs.flight_log(s, n=4, block=8, idle="30 minutes", late="30 minutes")
+        out, _ = fed(spark, tmp_path, [rows[:2600], rows[2600:], [(-1, at(5000), -1, "end", 0.0, "")]], job)
+    log = [x for x in out if x.user_id != -1]
+    assert sorted((u, i, t, k) for i, t, u, k, _, _ in rows) == sorted((x.user_id, x.event_id, x.ts, x.event_type) for x in log)
+    sizes = {}
+    for x in log:
+        sizes.setdefault(x.user_id, {}).setdefault(x.block, []).append(x)
+    assert all(sorted(b) == list(range(len(b))) and all(len(v) == 8 for k, v in b.items() if k < len(b) - 1) for b in sizes.values())
+    keys = spark.read.format("statestore").option("path", f"{tmp_path}/checkpoint").option("stateVarName", "recent").load().select("key").distinct().count()
+    assert len(sizes) == 2000 and keys <= 1024
+
+
 def test_rates_expire_when_a_run_is_idle(spark, tmp_path):
     rows = [(k, at(k), k % 2, "view", float(k), "") for k in range(20)]
     job = lambda s: jobs.ema_rate(s, total=1000.0, idle="30 minutes", late="1 minute")
