@@ -144,6 +144,26 @@ def test_flight_log_keeps_users_in_groups(spark, tmp_path):
     assert len(sizes) == 2000 and keys <= 1024
 
 
+def test_kept_state_of_odd_rows(spark, tmp_path):
+    """Users and events without an id, very large ids, and events without a time or type stay apart and whole in the state and the log."""
+    r = random.Random(3)
+    users = [None, 0, -7, 2**62 + 1, 2**62 + 2, *range(40)]
+    rows = [(k if k % 97 else None, at(r.randint(0, 20)) if k % 13 else None, r.choice(users), r.choice(["view", None]), 1.0, "") for k in range(600)]
+    rows[4] = (2**60 + 1, *rows[4][1:])
+    with jobs.state_store(spark):
+        job = lambda s: jobs.flight_log(s, n=4, block=8, idle="30 minutes", late="30 minutes", groups=6)
+        out, _ = fed(spark, tmp_path, [rows[:250], rows[250:], [(-1, at(5000), -1, "end", 0.0, "")]], job)
+    plain = lambda rows: sorted(rows, key=repr)
+    assert plain((u, i, t, k) for i, t, u, k, _, _ in rows) == plain((x.user_id, x.event_id, x.ts, x.event_type) for x in out if x.user_id != -1)
+    kept, want = {}, {}
+    for x in jobs.kept_state(spark, f"{tmp_path}/checkpoint", "recent").collect():
+        kept.setdefault(x.user_id, []).append((x.ts, x.event_id))
+    for i, t, u, _, _, _ in rows:
+        want.setdefault(u, []).append((t, i))
+    late = lambda e: (e[0] is not None, e[0] or at(0), e[1] is not None, e[1] or 0)
+    assert {u: plain(v) for u, v in kept.items() if u != -1} == {u: plain(sorted(v, key=late)[-4:]) for u, v in want.items()}
+
+
 def test_rates_expire_when_a_run_is_idle(spark, tmp_path):
     rows = [(k, at(k), k % 2, "view", float(k), "") for k in range(20)]
     job = lambda s: jobs.ema_rate(s, total=1000.0, idle="30 minutes", late="1 minute")
