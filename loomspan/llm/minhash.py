@@ -231,7 +231,9 @@ def _pairs(members: DataFrame, config: MinHash, low: int, high: int) -> DataFram
 
     Every member goes to the tiles of the round's leaders, and only a leader to all later tiles.
     """
-    parts = 4 * int(members.sparkSession.conf.get("spark.sql.shuffle.partitions"))  # the work is in the pairs, not in the bytes
+    spark = members.sparkSession
+    # the work is in the pairs, not in the bytes: a few tasks for each core, even if the bytes need less; a task of its own costs as much as thousands of rows
+    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 4 * spark.sparkContext.defaultParallelism)
     lowest, highest = (low - 1) // TILE, (high - 1) // TILE
     at, last = F.floor((F.col("rank") - 1) / TILE), F.floor((F.col("last") - 1) / TILE)
 
@@ -258,21 +260,27 @@ def _links(pairs: DataFrame, profiles: DataFrame, config: MinHash) -> DataFrame:
 
 
 def _merge(members: DataFrame, profiles: DataFrame, config: MinHash, stage: Stage) -> DataFrame:
-    """``(id, component)`` of all members, merging the lists round by round."""
+    """``(id, component)`` of all members, merging the lists round by round.
+
+    Components only grow, so a list that isn't open in one round isn't in the next, which reads the open ones alone.
+    """
     components = stage.put(members.select("id").distinct().withColumn("component", F.col("id")), "components")
     for k, (low, high) in enumerate(ROUNDS):
         now = members.join(components, "id")
         open_lists = now.groupBy("key").agg(F.min("component").alias("x"), F.max("component").alias("y"), F.max("rank").alias("last")).where(f"x <> y AND last > {low}")
         now = stage.put(now.join(open_lists.select("key", "last").hint("merge"), "key"), f"open-{k}")
+        stage.drop(f"open-{k - 1}")
+        members = now.drop("component", "last")
         if now.isEmpty():
             break
-        pairs = stage.put(_pairs(now, config, low, high), f"pairs-{k}")
-        links = stage.put(_links(pairs, profiles, config), f"links-{k}")
+        links = stage.put(_links(_pairs(now, config, low, high), profiles, config), f"links-{k}")
+        if links.isEmpty():
+            continue
         named = links.join(components.toDF("a", "x"), "a").join(components.toDF("b", "y"), "b")
         merged = connected_components(named.select(F.col("x").alias("a"), F.col("y").alias("b")), stage, f"merged-{k}")
         merged = components.join(merged.withColumnRenamed("component", "least"), F.col("component") == F.col("node"), "left")
         components = stage.put(merged.select("id", F.coalesce("least", "component").alias("component")), f"components-{k}")
-        stage.drop(f"open-{k}", f"pairs-{k}")
+    stage.drop(*(f"open-{k}" for k in range(len(ROUNDS))))
     return components
 
 

@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from loomspan.llm import embedding, minhash, simhash, toxicity
 from loomspan.llm.common import Stage
+from loomspan.llm.components import connected_components
 from loomspan.llm.words import flat_words, shingle_hashes
 
 
@@ -74,6 +75,53 @@ def test_minhash_tiles_leave_no_pair_out(spark, monkeypatch):
     assert [got[k] for k in range(len(texts))] == closure(len(texts), lambda a, b: 100 * len(sets[a] & sets[b]) >= 80 * len(sets[a] | sets[b]) and bool(sets[a]))
 
 
+def test_minhash_pairs_are_dealt_to_no_more_tasks_than_the_session_asks_for(spark):
+    rows = spark.createDataFrame([(1, 1, 1, 5, 5, 1, 2, b"")], "key long, id long, component long, n long, common long, rank long, last long, marks binary")
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    try:
+        for asked, parts in ((64, 64), (2, 4 * spark.sparkContext.defaultParallelism)):
+            spark.conf.set("spark.sql.shuffle.partitions", asked)
+            plan = minhash._pairs(rows, minhash.MinHash(), 1, 1)._jdf.queryExecution().toString()
+            assert re.findall(r"lead_tile#\d+L, other_tile#\d+L, (\d+)\)", plan) and set(re.findall(r"lead_tile#\d+L, other_tile#\d+L, (\d+)\)", plan)) == {str(parts)}
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
+
+
+def test_minhash_rounds_read_open_lists_and_end_when_nothing_links(spark, monkeypatch):
+    monkeypatch.setattr(minhash, "ROUNDS", ((1, 1), (2, 2), (3, 1 << 62)))
+    base = [f"w{k}" for k in range(150)]
+    texts = [" ".join(base[:120] + [f"{j}x{k}" for k in range(25)]) for j in range(12)]  # about 0.7 alike: pairs without links
+    texts += [" ".join([*base[:100], f"y{j}"]) for j in range(6)]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    written, put = {}, Stage.put
+    monkeypatch.setattr(Stage, "put", lambda self, df, name, *a, **k: (out := put(self, df, name, *a, **k), written.update({name: out.count()}))[0])
+    got = {r.doc_id: r.component_id for r in minhash.near_duplicates(df).collect()}
+    sets = [shingles(t, 5) for t in texts]
+    assert got == dict(enumerate(closure(len(texts), lambda a, b: 100 * len(sets[a] & sets[b]) >= 80 * len(sets[a] | sets[b]))))
+    assert not any(x.startswith("pairs-") for x in written)
+    assert all((f"components-{k}" in written) == (written[f"links-{k}"] > 0) for k in range(3) if f"links-{k}" in written), written
+
+
+def test_components_end_when_all_are_stars(spark, monkeypatch):
+    written, put = [], Stage.put
+    monkeypatch.setattr(Stage, "put", lambda self, df, name, *a, **k: (written.append(name), put(self, df, name, *a, **k))[1])
+
+    def got(edges, kind="long"):
+        del written[:]
+        df = spark.createDataFrame(edges, f"a {kind}, b {kind}")
+        return {r.node: r.component for r in connected_components(df, Stage(spark, "test"), "c").collect()}
+
+    assert got([(1, k) for k in range(2, 9)] + [(20, 30), (20, 20), (None, 5)]) == {k: 1 for k in range(1, 9)} | {20: 20, 30: 20}
+    assert written == ["c-0"]  # one contraction, not another to see that nothing changes
+    assert got([(3, 3)]) == {} and written == ["c-0"]
+    assert got([("b", "c"), ("c", "a")], "string") == {"a": "a", "b": "a", "c": "a"}
+    r = random.Random(5)
+    for edges in ([(k, k + 1) for k in range(40)], [(k, 50) for k in range(30)], [(r.randrange(60), r.randrange(60)) for _ in range(45)]):
+        linked = {frozenset(e) for e in edges}
+        least = closure(61, lambda a, b: frozenset((a, b)) in linked)  # noqa: B023
+        assert got(edges) == {x: least[x] for a, b in edges if a != b for x in (a, b)}
+
+
 def test_minhash_repeated_rows_and_empty_table(spark):
     df = spark.createDataFrame([(1, "a b c d e f"), (1, "a b c d e f"), (2, "a b c d e f")], "doc_id long, text string")
     assert sorted((r.doc_id, r.component_id, r.kept) for r in minhash.near_duplicates(df).collect()) == [(1, 1, True), (1, 1, True), (2, 1, False)]
