@@ -72,9 +72,10 @@ def embed(df: DataFrame, text_column: str = "text", dim: int = 384, embedder: Ca
     return unit.withColumn("vector", vector_to_array("__unit")).drop("__words", "__tf", "__idf", "__unit")
 
 
-def missing_embeddings(chunks: DataFrame, embeddings: DataFrame, key: str = "chunk_id", text_column: str = "chunk") -> DataFrame:
-    """Chunks with text that have no embedding yet."""
-    return chunks.where(F.char_length(text_column) > 0).join(embeddings.select(key), key, "left_anti")
+def missing_embeddings(chunks: DataFrame, embeddings: DataFrame, key: str = "chunk_id", text_column: str | None = "chunk") -> DataFrame:
+    """Chunks with text that have no embedding yet; without ``text_column`` all that have none, also those without text."""
+    asked = chunks.where(F.char_length(text_column) > 0) if text_column else chunks
+    return asked.join(embeddings.select(key), key, "left_anti")
 
 
 def backfill(chunks: DataFrame, embeddings: DataFrame, key: str = "chunk_id", text_column: str = "chunk", dim: int = 384, embedder=None) -> DataFrame:

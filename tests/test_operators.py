@@ -388,3 +388,28 @@ def test_streamed_documents_come_as_a_file_for_each_core(spark, tmp_path, monkey
     files_read = len(spark.read.parquet(f"{tmp_path}/documents.parquet").inputFiles())
     batches = [p for p in runs[0].recentProgress if p["numInputRows"]]
     assert files_read == 10 and 2 <= len(batches) <= 5
+
+
+def against_sql(spark, folder, name):
+    """Rows of a registered query and of its SQL over the tables in a folder, both sorted."""
+    import duckdb
+
+    from loomspan.plans import all_queries, all_sql
+    con = duckdb.connect()
+    for path in folder.glob("*.parquet"):
+        con.sql(f"CREATE VIEW {path.stem} AS SELECT * FROM '{path}/*.parquet'")
+    want = con.sql(all_sql()[name])
+    got = all_queries()[name](spark, str(folder)).select(*want.columns).collect()
+    return sorted(map(tuple, got), key=repr), sorted(map(tuple, want.fetchall()), key=repr)
+
+
+#: Documents without text, with a null id, and with ids that stand twice.
+ODD_DOCUMENTS = [(1, "a b"), (2, ""), (3, None), (4, "a b"), (4, "c"), (None, "d"), (None, None), (6, "c"), (6, "c")]
+
+
+@pytest.mark.parametrize("ids", [[1, 9], [], [1, None], [None]])
+def test_missing_embeddings_of_odd_documents(spark, tmp_path, ids):
+    spark.createDataFrame(ODD_DOCUMENTS, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([(i,) for i in ids], "vec_id long").write.parquet(f"{tmp_path}/embeddings.parquet")
+    got, want = against_sql(spark, tmp_path, "E2_missing_embeddings")
+    assert got == want
