@@ -83,9 +83,9 @@ def backfill(chunks: DataFrame, embeddings: DataFrame, key: str = "chunk_id", te
     return embed(missing_embeddings(chunks, embeddings, key, text_column), text_column, dim, embedder).select(key, "vector")
 
 
-def rebuild(chunks: DataFrame, path: str, key: str = "chunk_id", text_column: str = "chunk", dim: int = 384, embedder=None) -> DataFrame:
-    """Embeds all ``chunks`` with text again, writes ``(key, vector)`` over what is at ``path`` and returns it."""
-    made = embed(chunks.where(F.char_length(text_column) > 0), text_column, dim, embedder).select(key, "vector")
+def rebuild(chunks: DataFrame, path: str, key: str = "chunk_id", text_column: str = "chunk", dim: int = 384, embedder=None, blank: bool = False) -> DataFrame:
+    """Embeds all ``chunks`` with text again (with ``blank`` also those without), writes ``(key, vector)`` over what is at ``path`` and returns it."""
+    made = embed(chunks if blank else chunks.where(F.char_length(text_column) > 0), text_column, dim, embedder).select(key, "vector")
     made.write.mode("overwrite").parquet(path)
     return chunks.sparkSession.read.parquet(path)
 

@@ -413,3 +413,10 @@ def test_missing_embeddings_of_odd_documents(spark, tmp_path, ids):
     spark.createDataFrame([(i,) for i in ids], "vec_id long").write.parquet(f"{tmp_path}/embeddings.parquet")
     got, want = against_sql(spark, tmp_path, "E2_missing_embeddings")
     assert got == want
+
+
+@pytest.mark.parametrize("documents", [ODD_DOCUMENTS, [(1, "a b"), (3, "")], []])
+def test_rebuilt_embeddings_of_odd_documents(spark, tmp_path, documents):
+    spark.createDataFrame(documents, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    got, want = against_sql(spark, tmp_path, "E3_rebuild_embeddings")
+    assert got == want
