@@ -11,7 +11,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from loomspan.llm import embedding, minhash, simhash, toxicity
-from loomspan.llm.common import Stage
+from loomspan.llm.common import Stage, shuffles_removed
 from loomspan.llm.components import connected_components
 from loomspan.llm.words import flat_words, shingle_hashes
 
@@ -212,6 +212,78 @@ def test_embedding_tiles(spark, monkeypatch):
     assert [r.n_links for r in embedding.near_duplicates(df).orderBy("vec_id").collect()] == want.tolist()
 
 
+def embedded(spark, seed, n, dim, spread, labels=1):
+    """Vectors around a few centres, and the matrix of their links."""
+    r = np.random.default_rng(seed)
+    centres, label = r.standard_normal((4, dim)), r.integers(0, labels, n)
+    x = (centres[r.integers(0, 4, n)] + r.standard_normal((n, dim)) * r.choice(spread, (n, 1))).astype(np.float32)
+    df = spark.createDataFrame([(k, x[k].tolist(), int(label[k])) for k in range(n)], "vec_id long, embedding array<float>, label int")
+    u = x.astype(float) / np.linalg.norm(x.astype(float), axis=1, keepdims=True)
+    return df, (u @ u.T >= 0.93) & (label[:, None] == label) & ~np.eye(n, dtype=bool)
+
+
+def stored_rows(monkeypatch):
+    """Rows of each table that an operator writes from now on."""
+    rows, put = {}, Stage.put
+
+    def counted(self, df, name, *a):
+        out = put(self, df, name, *a)
+        rows[name] = out.count()
+        return out
+    monkeypatch.setattr(Stage, "put", counted)
+    return rows
+
+
+@pytest.mark.parametrize("tile", [None, 7])
+def test_embedding_links_in_rounds(spark, monkeypatch, tile):
+    rounds, asked = embedding._rounds, []
+    monkeypatch.setattr(embedding, "_rounds", lambda blocks, n: asked.extend(rounds(blocks, 20)) or asked)
+    monkeypatch.setattr(embedding, "TILE", tile or embedding.TILE)
+    df, links = embedded(spark, 8, 120, 24, [0.05, 0.2, 0.27, 0.4], labels=2)
+    got = embedding.near_duplicates(df).orderBy("vec_id").collect()
+    assert len(asked) == 16 and {(b, k) for blocks, k, _ in asked for b in blocks} == {(b, k) for b in range(8) for k in range(2)}
+    assert [r.n_links for r in got] == links.sum(axis=1).tolist()
+    assert [r.component_id for r in got] == closure(120, lambda a, b: links[a, b])
+
+
+def test_embedding_rounds_cover_all_blocks_and_parts():
+    for n in (1, 3, 8, 17, 40):
+        found = [(b, k, parts) for blocks, k, parts in embedding._rounds(8, n) for b in blocks]
+        assert sorted(found) == sorted((b, k, p) for p in {max(1, round(n / 8))} for b in range(8) for k in range(p))
+
+
+def test_embedding_pairs_are_not_stored(spark, monkeypatch):
+    stored = stored_rows(monkeypatch)
+    df, links = embedded(spark, 9, 300, 16, [0.01])
+    got = embedding.near_duplicates(df).orderBy("vec_id").collect()
+    assert [r.n_links for r in got] == links.sum(axis=1).tolist() and links.sum() > 300 * 60
+    assert max(stored.values()) <= 300 * 36 / 4  # of 36 rows of grid cells for each vector, and over ten thousand pairs
+
+
+def test_embedding_pairs_at_the_bound(spark, monkeypatch):
+    stored = stored_rows(monkeypatch)
+    r = np.random.default_rng(10)
+    rows, want = [], []
+    for k, away in enumerate([1e-4, 1e-5, 1e-7, 1e-10, -1e-10, -1e-7, -1e-5, -1e-4]):
+        q = np.linalg.qr(r.standard_normal((64, 2)))[0].T
+        v = (0.93 + away) * q[0] + np.sqrt(1 - (0.93 + away) ** 2) * q[1]
+        rows += [(2 * k, (3 * q[0]).tolist(), k), (2 * k + 1, v.tolist(), k)]
+        want += [int(away > 0)] * 2
+    got = embedding.near_duplicates(spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int")).orderBy("vec_id").collect()
+    assert [x.n_links for x in got] == want
+    assert [x.component_id for x in got] == [k - k % 2 if n else k for k, n in enumerate(want)]
+    assert stored["close"] >= 2  # those that steps can't decide
+
+
+def test_shuffle_files_are_kept_outside(spark):
+    key = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    before = spark.conf.get(key)
+    with pytest.raises(KeyError), shuffles_removed(spark):
+        assert spark.conf.get(key) == "true"
+        raise KeyError
+    assert spark.conf.get(key) == before
+
+
 def test_simhash_search_equals_brute_force(spark):
     r = random.Random(4)
     prints = [(r.getrandbits(128)) for _ in range(60)]
